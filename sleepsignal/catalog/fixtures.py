@@ -28,6 +28,7 @@ DENSE_FS = 16.0
 ORIGIN_US = 1704067200000000
 
 SQL: dict[str, str] = {}
+_STAGES: dict[tuple[str, str], DataFrame] = {}
 
 
 def with_views(*names: str, body: str) -> str:
@@ -94,15 +95,15 @@ def night(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("S"), F.col("user_id")).alias(KEY), "event_id",
         ((micros("ts") - F.lit(ORIGIN_US)) / F.lit(1e6)).alias(T),
         choose(F.col("event_type"), STAGE_OF_EVENT).alias("stage"), k.alias("k"),
-        F.col("value").alias("LOC"), (-F.col("value") * k / F.lit(100.0)).alias("ROC"),
+        (F.col("value") + k / F.lit(7919.0)).alias("LOC"), (-F.col("value") * k / F.lit(107.0)).alias("ROC"),
     )
 
 
 SQL["night"] = f"""
 SELECT 'S' || user_id AS session_id, event_id, (epoch_us(ts) - {ORIGIN_US}) / 1e6 AS time_sec,
        {sql_choose('event_type', STAGE_OF_EVENT)} AS stage,
-       CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS k, value AS LOC,
-       -value * CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) / 100.0 AS ROC
+       CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS k, value + CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) / 7919e0 AS LOC,
+       -value * CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) / 107e0 AS ROC
 FROM events"""
 
 
@@ -238,8 +239,11 @@ def _sql_peak(view: str) -> str:
 
 
 def merged_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The merged timeline as a written stage, read by the feature queries."""
-    return cut(merged(spark, sf))
+    """The merged timeline as a stage table, written once per application and table set."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STAGES:
+        _STAGES[key] = cut(merged(spark, sf))
+    return _STAGES[key]
 
 
 SQL["merged"] = f"""
@@ -277,11 +281,11 @@ SELECT * REPLACE (CASE WHEN abs(LOC) <= 300 AND abs(ROC) <= 300 THEN LOC END AS
 def dense(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines of a supplier as a regular 16 Hz signal."""
     li = table(spark, sf, "lineitem").select(
-        F.concat(F.lit("D"), F.col("l_suppkey")).alias(KEY), "l_orderkey", "l_linenumber",
+        F.concat(F.lit("D"), F.col("l_suppkey")).alias(KEY), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
         choose(F.concat("l_returnflag", "l_linestatus"), STAGE_OF_LINE).alias("stage"),
         (F.col("l_quantity") * 10 - 250).alias("LOC"), F.col("l_discount").alias("_d"), "l_tax",
     )
-    li = row_index(with_time_chunk(li, "l_orderkey", 8192), [KEY], ["l_orderkey", "l_linenumber"], "sample_idx")
+    li = row_index(with_time_chunk(li, "l_orderkey", 8192), [KEY], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "sample_idx")
     li = li.withColumn("ROC", -F.col("LOC") * (F.lit(0.5) + F.col("_d") * 5) + F.col("l_tax") * 100)
     anti = F.col("LOC") * F.col("ROC") < 0
     return li.select(
@@ -300,7 +304,7 @@ SELECT session_id, sample_idx, sample_idx / {DENSE_FS} AS time_sec, stage, LOC,
   CASE WHEN l_tax < 0.03::DOUBLE THEN 'Phasic' WHEN l_tax < 0.06::DOUBLE THEN 'Tonic' END AS EpochType
 FROM (SELECT *, -LOC * (0.5::DOUBLE + l_discount * 5) + l_tax * 100 AS ROC FROM
  (SELECT 'D' || l_suppkey AS session_id, l_discount, l_tax, {sql_choose('l_returnflag || l_linestatus', STAGE_OF_LINE)} AS stage,
-   l_quantity * 10 - 250 AS LOC, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS sample_idx FROM lineitem))"""
+   l_quantity * 10 - 250 AS LOC, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS sample_idx FROM lineitem))"""
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,9 +314,9 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
         F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("lines"), F.sum("l_discount").alias("disc")
     )
     per = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.count(F.lit(1)).cast("double").alias("order_count"), F.round(F.avg("o_totalprice"), 4).alias("price_mean"),
-        F.round(F.stddev_samp("o_totalprice"), 4).alias("price_std"), F.max("o_totalprice").alias("price_max"),
-        F.round(F.sum("q") / F.sum("lines"), 4).alias("quantity_mean"), F.round(F.sum("disc") / F.sum("lines"), 6).alias("discount_mean"),
+        F.count(F.lit(1)).cast("double").alias("order_count"), F.round(F.avg("o_totalprice") * 1.0123456789, 7).alias("price_mean"),
+        F.round(F.stddev_samp("o_totalprice"), 7).alias("price_std"), F.max("o_totalprice").alias("price_max"),
+        F.round(F.sum("q") / F.sum("lines") * 0.987654321, 9).alias("quantity_mean"), F.round(F.sum("disc") / F.sum("lines") * 1.0123456789, 11).alias("discount_mean"),
     )
     c = table(spark, sf, "customer")
     return c.join(per, "c_custkey", "left").select(
@@ -327,9 +331,9 @@ SQL["features"] = f"""
 SELECT 'C' || c_custkey AS subject_id, {sql_choose('c_mktsegment', GROUP_OF_SEGMENT)} AS segment_group, c_acctbal AS balance,
   order_count, price_mean, price_std, price_max, quantity_mean, discount_mean
 FROM customer LEFT JOIN (
-  SELECT o_custkey, CAST(count(*) AS DOUBLE) AS order_count, round(avg(o_totalprice), 4) AS price_mean,
-    round(stddev_samp(o_totalprice), 4) AS price_std, max(o_totalprice) AS price_max, round(sum(q) / sum(lines), 4) AS quantity_mean,
-    round(sum(disc) / sum(lines), 6) AS discount_mean
+  SELECT o_custkey, CAST(count(*) AS DOUBLE) AS order_count, round(avg(o_totalprice) * 1.0123456789e0, 7) AS price_mean,
+    round(stddev_samp(o_totalprice), 7) AS price_std, max(o_totalprice) AS price_max, round(sum(q) / sum(lines) * 0.987654321e0, 9) AS quantity_mean,
+    round(sum(disc) / sum(lines) * 1.0123456789e0, 11) AS discount_mean
   FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q, count(*) AS lines, sum(l_discount) AS disc FROM lineitem GROUP BY 1)
     ON o_orderkey = l_orderkey GROUP BY 1) ON c_custkey = o_custkey"""
 

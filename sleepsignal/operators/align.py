@@ -53,12 +53,12 @@ def align(samples: DataFrame, feeds: Sequence[Feed], chunk_s: float = CHUNK_S, n
     runs = []
     for f in feeds:
         if f.look in ("back", "both"):
-            runs.append(Run(f"{f.name}_back", F.col(f.name), "last"))
+            runs.append(Run(f"{f.name}_back", F.col(f.name), "last", where=f"{f.name} IS NOT NULL"))
         if f.look in ("ahead", "both"):
-            runs.append(Run(f"{f.name}_ahead", F.col(f.name), "next"))
+            runs.append(Run(f"{f.name}_ahead", F.col(f.name), "next", where=f"{f.name} IS NOT NULL"))
     if neighbours:
         here = F.when(F.col("_kind") == 1, F.col("_t"))
-        runs += [Run("_prev_t", here, "last_before"), Run("_next_t", here, "next_after")]
+        runs += [Run("_prev_t", here, "last_before", monotone=True), Run("_next_t", here, "next_after", monotone=True)]
     out = running(
         with_time_chunk(u, "_t", chunk_s),
         [KEY],

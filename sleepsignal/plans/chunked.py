@@ -31,11 +31,17 @@ class Run:
     kind: ``sum`` (inclusive), ``last`` / ``next`` (nearest non-null value at or
     before / at or after the row), ``last_before`` / ``next_after`` (the same,
     current row excluded), ``lag`` / ``lead`` (value of the adjacent row).
+
+    ``where`` names the rows that can hold a value, so that the chunk summary reads
+    only those (in a union: only their branch).  ``monotone`` says the value itself
+    grows with the ordering, so a plain maximum or minimum summarises a chunk.
     """
 
     name: str
     expr: Column
     kind: str
+    where: str | None = None
+    monotone: bool = False
 
 
 BACKWARD = ("sum", "last", "last_before", "lag")
@@ -79,7 +85,8 @@ def running(
     """
     keys = list(keys)
     pos = F.struct(*order)
-    aggs, carries, outs = [], [], []
+    aggs: dict[str | None, list[Column]] = {}
+    carries, outs = [], []
     fwd = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     bwd = Window.partitionBy(*keys).orderBy(F.desc(chunk)).rowsBetween(Window.unboundedPreceding, -1)
     local_f = Window.partitionBy(*keys, chunk).orderBy(*order)
@@ -91,7 +98,7 @@ def running(
     for r in runs:
         s, c = f"_s_{r.name}", f"_c_{r.name}"
         if r.kind == "sum":
-            aggs.append(F.sum(r.expr).alias(s))
+            aggs.setdefault(r.where, []).append(F.sum(r.expr).alias(s))
             carries.append(F.sum(s).over(fwd).alias(c))
             local = F.sum(r.expr).over(local_f.rowsBetween(*upto))
             out = F.coalesce(local, F.lit(0)) + F.coalesce(F.col(c), F.lit(0))
@@ -99,8 +106,11 @@ def running(
             back = r.kind in BACKWARD
             adjacent = r.kind in ("lag", "lead")
             e = F.struct(r.expr.alias("v")) if adjacent else r.expr
-            agg = F.max_by if back else F.min_by
-            aggs.append(agg(e, F.when(e.isNotNull(), pos)).alias(s))
+            if r.monotone:
+                agg = F.max(e) if back else F.min(e)
+            else:
+                agg = (F.max_by if back else F.min_by)(e, F.when(e.isNotNull(), pos))
+            aggs.setdefault(r.where, []).append(agg.alias(s))
             carries.append(F.last(s, ignorenulls=True).over(fwd if back else bwd).alias(c))
             w = local_f if back else local_b
             frame = upto if r.kind in ("last", "next") else before
@@ -110,7 +120,12 @@ def running(
                 out = out.getField("v")
         outs.append((r.name, out, c))
 
-    summary = df.groupBy(*keys, chunk).agg(*aggs)
+    summary = df.groupBy(*keys, chunk).agg(*aggs.pop(None, [F.count(F.lit(1)).alias("_rows")]))
+    for where, parts in aggs.items():
+        summary = summary.unionByName(df.filter(where).groupBy(*keys, chunk).agg(*parts), allowMissingColumns=True)
+    if aggs:
+        names = [c for c in summary.columns if c.startswith("_s_")]
+        summary = summary.groupBy(*keys, chunk).agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
     carry = summary.select(*keys, chunk, *carries)
     joined = df.join(carry, [*keys, chunk])
     return joined.select(*df.columns, *[o.alias(n) for n, o, _ in outs])
