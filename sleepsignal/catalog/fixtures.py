@@ -316,7 +316,7 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     per = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.count(F.lit(1)).cast("double").alias("order_count"), F.round(F.avg("o_totalprice") * 1.0123456789, 7).alias("price_mean"),
         F.round(F.stddev_samp("o_totalprice"), 7).alias("price_std"), F.max("o_totalprice").alias("price_max"),
-        F.round(F.sum("q") / F.sum("lines") * 0.987654321, 9).alias("quantity_mean"), F.round(F.sum("disc") / F.sum("lines") * 1.0123456789, 11).alias("discount_mean"),
+        F.round(F.sum("q") / F.sum("lines") * 0.987654321, 9).alias("quantity_mean"), F.round(F.sum("disc") / F.sum("lines") * 1.01234567893, 11).alias("discount_mean"),
     )
     c = table(spark, sf, "customer")
     return c.join(per, "c_custkey", "left").select(
@@ -333,7 +333,7 @@ SELECT 'C' || c_custkey AS subject_id, {sql_choose('c_mktsegment', GROUP_OF_SEGM
 FROM customer LEFT JOIN (
   SELECT o_custkey, CAST(count(*) AS DOUBLE) AS order_count, round(avg(o_totalprice) * 1.0123456789e0, 7) AS price_mean,
     round(stddev_samp(o_totalprice), 7) AS price_std, max(o_totalprice) AS price_max, round(sum(q) / sum(lines) * 0.987654321e0, 9) AS quantity_mean,
-    round(sum(disc) / sum(lines) * 1.0123456789e0, 11) AS discount_mean
+    round(sum(disc) / sum(lines) * 1.01234567893e0, 11) AS discount_mean
   FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q, count(*) AS lines, sum(l_discount) AS disc FROM lineitem GROUP BY 1)
     ON o_orderkey = l_orderkey GROUP BY 1) ON c_custkey = o_custkey"""
 

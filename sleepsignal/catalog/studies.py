@@ -9,6 +9,7 @@ from sleepsignal.catalog.cohorts import LONG, long
 from sleepsignal.catalog.fixtures import FEATURES, table, with_views
 from sleepsignal.catalog.registry import query
 from sleepsignal.operators import compare, ml, report, stats
+from sleepsignal.session import cut
 
 # ---- univariate statistics ----
 
@@ -277,7 +278,7 @@ h AS (SELECT CAST(coalesce(least(59, floor((v - lo) / (hi - lo) * 60)), 0) AS IN
 SELECT 'delta' AS feature, CAST(g.bin AS INTEGER) AS bin, round(lo + (hi - lo) / 60 * g.bin, 9) AS "left", round(lo + (hi - lo) / 60 * (g.bin + 1), 9) AS "right", coalesce(c, 0) AS count
 FROM (SELECT unnest(range(60)) AS bin) g CROSS JOIN e LEFT JOIN h ON h.bin = g.bin"""))
 def bootstrap_histogram(spark, sf):
-    d = deltas(spark, sf).select(F.lit("delta").alias("feature"), F.col("delta").alias("value"))
+    d = cut(deltas(spark, sf)).select(F.lit("delta").alias("feature"), F.col("delta").alias("value"))
     return report.histogram(d, n_bins=60).withColumns({c: F.round(c, 9) for c in ("left", "right")})
 
 
@@ -452,7 +453,7 @@ SMALL = {"Random Forest": {"n_estimators": 10, "max_depth": 5}, "Boosted Trees":
 
 def _classifier(name):
     def run(spark, sf):
-        m = ml.standardise(matrix(spark, sf), [], COLS)[0]
+        m = cut(ml.standardise(matrix(spark, sf), [], COLS)[0])
         return ml.predict(ml.fit(m, COLS, name, SMALL.get(name)), m, name)
 
     return run
@@ -469,12 +470,13 @@ def kfold_cv(spark, sf):
 
 @query("nested_cv")
 def nested_cv(spark, sf):
-    return ml.nested_cross_validate(matrix(spark, sf), COLS, ["Logistic Regression"], k_outer=2, k_inner=2, n_iter=2)
+    return ml.nested_cross_validate(matrix(spark, sf), COLS, ["Random Forest"], k_outer=2, k_inner=2, n_iter=2,
+                                    spaces={"Random Forest": {"n_estimators": [5, 10], "max_depth": [3, 5]}})
 
 
 @query("mdi_importance")
 def mdi_importance(spark, sf):
-    m = ml.standardise(matrix(spark, sf), [], COLS)[0]
+    m = cut(ml.standardise(matrix(spark, sf), [], COLS)[0])
     return ml.mdi_importance(ml.fit(m, COLS, "Random Forest", SMALL["Random Forest"]), spark, COLS, 20)
 
 

@@ -12,6 +12,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _N = NormalDist()
 
@@ -74,22 +75,22 @@ def _each(fn, *cols: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return _each(lambda v: min(1.0, 2.0 * norm_sf(abs(v))), z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_ppf(p: pd.Series) -> pd.Series:
     return _each(_N.inv_cdf, p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def exact_u(u: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return _each(lambda a, b, c: exact_u_two_sided(a, int(b), int(c)), u, n, m)
 

@@ -12,6 +12,7 @@ from sleepsignal.functions.distributions import normal_two_sided
 from sleepsignal.functions.quantile import exact_quantiles
 from sleepsignal.functions.ranks import cumulative_counts, rank_sums, value_counts
 from sleepsignal.plans.chunked import CHUNK, row_index, with_value_chunk
+from sleepsignal.session import cut
 
 # Fixed value: modulus of the draw generator (a Mersenne prime, so squares fit 64 bits).
 PRIME = 2147483647
@@ -88,7 +89,7 @@ def bootstrap_weights(num: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
 
 def bootstrap_deltas(oof: DataFrame, a: str, b: str, n_boot: int = 10_000, seed: int = 42) -> DataFrame:
     """AUC of both models in every paired resample; replicates without both classes are NULL."""
-    num = numbered(oof)
+    num = cut(numbered(oof))
     drawn = bootstrap_weights(num, n_boot, seed).join(num, "i")
     long = long_scores(drawn, [a, b], ("b", "y_true", "w"))
     auc = rank_sums(long, ["b", "model"], "score", "y_true", "w")
@@ -98,7 +99,8 @@ def bootstrap_deltas(oof: DataFrame, a: str, b: str, n_boot: int = 10_000, seed:
 
 def bootstrap_auc(oof: DataFrame, a: str, b: str, n_boot: int = 10_000, seed: int = 42, deltas: DataFrame | None = None) -> DataFrame:
     """Observed AUCs, their difference, share of resamples with delta <= 0 and the 95 % interval."""
-    d = (bootstrap_deltas(oof, a, b, n_boot, seed) if deltas is None else deltas).withColumn("_all", F.lit(0))
+    # One row per replicate, read by the share and by both passes of the quantiles.
+    d = cut(bootstrap_deltas(oof, a, b, n_boot, seed) if deltas is None else deltas).withColumn("_all", F.lit(0))
     obs = rank_sums(long_scores(oof, [a, b]), ["model"], "score", "y_true").withColumn("_all", F.lit(0)).groupBy("_all").agg(
         F.max(F.when(F.col("model") == a, F.col("auc"))).alias("auc_1"), F.max(F.when(F.col("model") == b, F.col("auc"))).alias("auc_2"))
     p = d.groupBy("_all").agg(F.avg((F.col("delta") <= 0).cast("int")).alias("p_value"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sleepsignal.operators.compare import classification_metrics, majority_baseline, stratified_folds
+from sleepsignal.session import cut
 
 Scaler = dict[str, tuple[float, float]]
 # Candidates of the hyper-parameter search.
@@ -49,15 +50,17 @@ def impute_knn(rows: DataFrame, train: DataFrame, cols: Sequence[str], subject:
     cols = list(cols)
     need = rows.filter(" OR ".join(f"`{c}` IS NULL" for c in cols))
     n_rows, n_train = max(1, -(-need.count() // block)), max(1, -(-train.count() // block))
-    cut = lambda d, n: F.pmod(F.xxhash64(subject), F.lit(n)).cast("int")
+    block_of = lambda n: F.pmod(F.xxhash64(subject), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = need.select(subject, *cols, cut(need, n_rows).alias("_a"), spread(n_train).alias("_b"))
-    right = train.select(subject, *cols, cut(train, n_train).alias("_b"), spread(n_rows).alias("_a"))
+    left = need.select(subject, *cols, block_of(n_rows).alias("_a"), spread(n_train).alias("_b"))
+    # Fresh names, because training rows are often the rows themselves.
+    right = train.select(
+        F.col(subject).alias("_donor"), *[F.col(c).alias(f"_d_{c}") for c in cols], block_of(n_train).alias("_rb"), spread(n_rows).alias("_ra"))
     kind = rows.schema[subject].dataType.simpleString()
 
     def best(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        rp = rp.sort_values(subject)
-        x, y = lp[cols].to_numpy(float), rp[cols].to_numpy(float)
+        rp = rp.sort_values("_donor")
+        x, y = lp[cols].to_numpy(float), rp[[f"_d_{c}" for c in cols]].to_numpy(float)
         hx, hy = ~np.isnan(x), ~np.isnan(y)
         x0, y0 = np.where(hx, x, 0.0), np.where(hy, y, 0.0)
         shared = hx.astype(float) @ hy.T.astype(float)
@@ -76,11 +79,11 @@ def impute_knn(rows: DataFrame, train: DataFrame, cols: Sequence[str], subject:
             for r, p in zip(who, pick):
                 for q in p:
                     if np.isfinite(dist[r, donors[q]]):
-                        out.append((lp[subject].iloc[r], c, float(dist[r, donors[q]]), rp[subject].iloc[donors[q]], float(y[donors[q], j])))
+                        out.append((lp[subject].iloc[r], c, float(dist[r, donors[q]]), rp["_donor"].iloc[donors[q]], float(y[donors[q], j])))
         return pd.DataFrame(out, columns=[subject, "feature", "dist", "donor", "value"])
 
     schema = f"{subject} {kind}, feature string, dist double, donor {kind}, value double"
-    near = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(best, schema)
+    near = left.groupBy("_a", "_b").cogroup(right.groupBy("_ra", "_rb")).applyInPandas(best, schema)
     top = near.groupBy(subject, "feature").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "donor", "value"))), 1, k).alias("_t"))
     fill = top.select(subject, "feature", (F.aggregate("_t", F.lit(0.0), lambda a, t: a + t["value"]) / F.size("_t")).alias("_f"))
     wide = fill.groupBy(subject).agg(*[F.max(F.when(F.col("feature") == c, F.col("_f"))).alias(f"_f_{c}") for c in cols])
@@ -114,9 +117,9 @@ def build(name: str, params: dict, seed: int, n_classes: int, total_weight: floa
     common = {"featuresCol": "features", "labelCol": "y", "weightCol": "weight"}
     depth = lambda d: UNLIMITED_DEPTH if d is None else d
     if name == "Logistic Regression":
-        return LogisticRegression(**common, maxIter=2000, standardization=False, regParam=1.0 / (params["C"] * total_weight), elasticNetParam=0.0)
+        return LogisticRegression(**common, maxIter=2000, tol=1e-4, standardization=False, regParam=1.0 / (params["C"] * total_weight), elasticNetParam=0.0)
     if name == "SVM":
-        svc = LinearSVC(**common, maxIter=200, standardization=False, regParam=1.0 / (params["C"] * total_weight))
+        svc = LinearSVC(**common, maxIter=200, tol=1e-3, standardization=False, regParam=1.0 / (params["C"] * total_weight))
         return svc if n_classes == 2 else OneVsRest(classifier=svc, featuresCol="features", labelCol="y", weightCol="weight")
     if name == "Random Forest":
         return RandomForestClassifier(**common, numTrees=params["n_estimators"], maxDepth=depth(params["max_depth"]), seed=seed)
@@ -174,14 +177,15 @@ def cross_validate(
 
     The loop is over folds and models; rows stay in Spark.
     """
-    d = df if "fold" in df.columns else stratified_folds(df, k, seed)
+    d = cut(df if "fold" in df.columns else stratified_folds(df, k, seed))
     parts = [majority_baseline(d).withColumn("probs", F.lit(None).cast("array<double>"))]
     for f in range(k):
-        tr, va = prepare_fold(d.filter(F.col("fold") != f), d.filter(F.col("fold") == f), cols, imputer)
+        # Every solver iteration reads the prepared rows, so they are written once per fold.
+        tr, va = map(cut, prepare_fold(d.filter(F.col("fold") != f), d.filter(F.col("fold") == f), cols, imputer))
         for name, params in models.items():
             best = params if choose is None else choose(tr, name)
             parts.append(predict(fit(tr, cols, name, best, seed), va, name))
-    return _union([p.select("model", "id", "fold", F.col("y_true").cast("int").alias("y_true"), F.col("y_pred").cast("int").alias("y_pred"), "probs") for p in parts])
+    return cut(_union([p.select("model", "id", "fold", F.col("y_true").cast("int").alias("y_true"), F.col("y_pred").cast("int").alias("y_pred"), "probs") for p in parts]))
 
 
 def sample_params(space: dict[str, list], n_iter: int, seed: int) -> list[dict]:
@@ -200,7 +204,7 @@ def nested_cross_validate(
     spaces = spaces or SEARCH
 
     def choose(train: DataFrame, name: str) -> dict:
-        inner = stratified_folds(train.drop("fold"), k_inner, seed)
+        inner = cut(stratified_folds(train.drop("fold"), k_inner, seed))
         scored = []
         for params in sample_params(spaces[name], n_iter, seed):
             preds = _union([

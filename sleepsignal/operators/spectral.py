@@ -99,7 +99,7 @@ def antiphase_gate(df: DataFrame, loc: str = "LOC_clean", roc: str = "ROC_clean"
 
 
 def _psd_udf(fs: float):
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(Ty.ArrayType(Ty.DoubleType()))
     def psd(segments: pd.Series) -> pd.Series:
         out: list = [None] * len(segments)
         lengths = segments.map(len).to_numpy()
