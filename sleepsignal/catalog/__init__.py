@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("joins", "sequences", "nights", "cohorts", "studies")
+MODULES = ("joins", "sequences", "nights", "cohorts", "studies", "inventory")
 
 
 def load():

@@ -9,6 +9,7 @@ from sleepsignal.catalog.cohorts import LONG, long
 from sleepsignal.catalog.fixtures import FEATURES, table, with_views
 from sleepsignal.catalog.registry import query
 from sleepsignal.operators import compare, ml, report, stats
+from sleepsignal.plans import training
 from sleepsignal.session import cut
 
 # ---- univariate statistics ----
@@ -488,11 +489,7 @@ def pca_2d(spark, sf):
 @query("compare_models")
 def compare_models(spark, sf):
     """All columns against the first half of them: pooled predictions of both, then the paired bootstrap."""
-    m = compare.stratified_folds(matrix(spark, sf), 3)
-    one = lambda cols: ml.cross_validate(m, cols, {"Logistic Regression": {}}, k=3).filter(F.col("probs").isNotNull()).select("id", "y_true", F.col("probs")[1].alias("s"))
-    a, b = one(COLS), one(COLS[:32])
-    oof = a.withColumnRenamed("s", "score_a").join(b.select("id", F.col("s").alias("score_b")), "id")
-    return compare.bootstrap_auc(oof, "score_a", "score_b", 50)
+    return training.compare_models(matrix(spark, sf), COLS, COLS[:32], {"Logistic Regression": {}}, k=3, n_boot=50)
 
 
 @query("macro_auc", """

@@ -195,8 +195,9 @@ def stratified_folds(df: DataFrame, k: int, seed: int = 42, y: str = "y", subjec
 
 def majority_baseline(df: DataFrame, y: str = "y") -> DataFrame:
     """For each fold the most common class of the other folds as prediction (smallest class on ties)."""
-    c = df.groupBy("fold", y).agg(F.count(F.lit(1)).alias("n"))
-    folds = c.select(F.col("fold").alias("val")).distinct()
-    per = folds.join(c, F.col("val") != F.col("fold")).groupBy("val", y).agg(F.sum("n").alias("n"))
+    c = df.groupBy("fold", y).agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
+    total = c.groupBy(y, "_one").agg(F.sum("n").alias("_t"), F.map_from_entries(F.collect_list(F.struct("fold", "n"))).alias("_m"))
+    folds = c.groupBy("_one").agg(F.collect_set("fold").alias("_f"))
+    per = total.join(folds, "_one").withColumn("val", F.explode("_f")).withColumn("n", F.col("_t") - F.coalesce(F.try_element_at("_m", F.col("val")), F.lit(0)))
     best = per.groupBy(F.col("val").alias("fold")).agg(F.max_by(y, F.struct("n", -F.col(y))).alias("y_pred"))
     return df.join(best, "fold").select(F.lit("Baseline (majority)").alias("model"), "fold", "id", F.col(y).alias("y_true"), "y_pred")

@@ -42,9 +42,9 @@ def waso(df: DataFrame, fs: float = 250.0) -> DataFrame:
         F.when(F.max("_on").isNotNull(), F.round(minutes(wake, fs), 4)).alias("waso_min"))
 
 
-def extra_features(df: DataFrame, fs: float = 250.0, chunk_s: float = runs.CHUNK_S, sub_s: float = 4.0, **spectral) -> DataFrame:
+def extra_features(df: DataFrame, fs: float = 250.0, chunk_s: float = runs.CHUNK_S, sub_s: float = 4.0, long_s: float = 30.0, **spectral_options) -> DataFrame:
     require(df, [T, "stage", "EEG_LOC", "EEG_ROC"])
-    out = eeg.context_power(df, fs, chunk_s, **spectral)
-    for part in (bout.bout_structure(df, fs, sub_s), em_morphology(df), sleep_architecture(df, chunk_s)):
+    out = eeg.context_power(df, fs, chunk_s, **spectral_options)
+    for part in (bout.bout_structure(df, fs, sub_s, long_s), em_morphology(df), sleep_architecture(df, chunk_s)):
         out = out.join(part, KEY, "left")
     return out
