@@ -23,12 +23,12 @@ def files(spark, sf):
     o = table(spark, sf, "orders")
     letter = F.element_at(F.array(*map(F.lit, "abcd")), (F.col("o_orderkey") % 4 + 1).cast("int"))
     p = F.col("o_orderpriority")
-    name = F.when(p == "1-URGENT", "contiguous.edf").when(p == "2-HIGH", "csv_hypnogram.csv").when(p == "3-MEDIUM", "lights.txt").when(p == "4-NOT SPECIFIED", "night/contiguous.edf").otherwise("notes.md")
+    name = F.when(p == "1-URGENT", "contiguous.edf").when(p == "2-HIGH", "hypnogram.csv").when(p == "3-MEDIUM", "lights.txt").when(p == "4-NOT SPECIFIED", "night/contiguous.edf").otherwise("notes.md")
     return o.select(F.concat(F.lit("/raw/DCSM_"), "o_custkey", F.lit("_"), letter, F.lit("/"), name).alias("path"), F.col("o_totalprice").cast("long").alias("length"))
 
 
 FILES = """fl AS (SELECT 'DCSM_' || o_custkey || '_' || substr('abcd', CAST(o_orderkey % 4 + 1 AS INTEGER), 1) AS folder, o_custkey, substr('abcd', CAST(o_orderkey % 4 + 1 AS INTEGER), 1) AS letter,
-  CASE o_orderpriority WHEN '1-URGENT' THEN 'contiguous.edf' WHEN '2-HIGH' THEN 'csv_hypnogram.csv' WHEN '3-MEDIUM' THEN 'lights.txt' WHEN '4-NOT SPECIFIED' THEN 'night/contiguous.edf' ELSE 'notes.md' END AS name FROM orders)"""
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'contiguous.edf' WHEN '2-HIGH' THEN 'hypnogram.csv' WHEN '3-MEDIUM' THEN 'lights.txt' WHEN '4-NOT SPECIFIED' THEN 'night/contiguous.edf' ELSE 'notes.md' END AS name FROM orders)"""
 
 
 def _index_sql(recursive: bool) -> str:

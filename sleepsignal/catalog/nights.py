@@ -270,7 +270,7 @@ def psd_curve(spark, sf):
 , sig AS (SELECT session_id, sample_idx AS pos, LOC AS x FROM dense), {welch_sql('sig', 'session_id', 1)}
 SELECT session_id, {', '.join(f'round({band_sql(*v)}, 6) AS {b}' for b, v in BANDS.items())} FROM pl GROUP BY 1"""))
 def welch_bands(spark, sf):
-    d = dense(spark, sf).select(KEY, F.col("sample_idx").alias("pos"), F.col("LOC").alias("x"))
+    d = spectral.positions(dense(spark, sf).select(KEY, T, F.col("LOC").alias("x")), [KEY], DCHUNK)
     p = spectral.band_power(spectral.welch(d, [KEY], "pos", "x", DENSE_FS, SEG_S), [KEY], BANDS, False)
     return p.select(KEY, *[F.round(b, 6).alias(b) for b in BANDS])
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from sleepsignal.plans.chunked import CHUNK, Run, row_index, running, with_time_chunk
+from sleepsignal.plans.chunked import CHUNK, Run, row_index_and_total, running, with_time_chunk
 from sleepsignal.schemas import KEY, STAGES, T
 
 # Frequency bands in Hz; bands share their edges.
@@ -119,19 +119,19 @@ def _psd_udf(fs: float):
 def welch(df: DataFrame, by: Sequence[str], pos: str, x: str, fs: float, seg_s: float = 4.0, min_n: float = 1) -> DataFrame:
     """Mean one-sided spectral density per group: columns k, freq, psd.
 
-    ``pos`` is the 0-based position in the group.  Hann segments of ``seg_s`` seconds (the
+    ``pos`` is the 0-based position in the group and column ``n`` the size of the group.  Hann segments of ``seg_s`` seconds (the
     whole series when shorter), half overlapping, mean removed.  A segment, never a
     series, is the unit of work; segment spectra are averaged with partial aggregation.
     """
     by = list(by)
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_n)
-    size = F.least(F.lit(int(seg_s * fs)).cast("long"), F.col("_n"))
-    seg = n.withColumn("_size", size).withColumn("_step", F.col("_size") - F.floor(F.col("_size") / 2))
-    seg = seg.withColumn("_segs", F.floor((F.col("_n") - F.floor(F.col("_size") / 2)) / F.col("_step")))
+    n, size = F.col("n"), F.col("_size")
+    d = df.filter(n >= min_n).withColumn("_size", F.least(F.lit(int(seg_s * fs)).cast("long"), n))
+    step = size - F.floor(size / 2)
+    segs = F.floor((n - F.floor(size / 2)) / step)
     i = F.col(pos)
-    lo = F.greatest(F.lit(0).cast("long"), F.floor((i - F.col("_size")) / F.col("_step")) + 1)
-    hi = F.least(F.floor(i / F.col("_step")), F.col("_segs") - 1)
-    rows = df.join(seg, by).withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi")
+    lo = F.greatest(F.lit(0).cast("long"), F.floor((i - size) / step) + 1)
+    hi = F.least(F.floor(i / step), segs - 1)
+    rows = d.withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi")
     rows = rows.select(*by, "_size", pos, x, F.explode(F.sequence("_lo", "_hi")).alias("_seg"))
     filled = F.coalesce(F.col(x), F.lit(float("nan")))
     vec = rows.groupBy(*by, "_seg", "_size").agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("i"), filled.alias("x")))).alias("_v"))
@@ -154,9 +154,9 @@ def band_power(psd: DataFrame, by: Sequence[str], bands: dict[str, tuple[float,
     return p.groupBy(*by).agg(*aggs)
 
 
-def positions(df: DataFrame, by: Sequence[str], chunk_s: float, name: str = "pos") -> DataFrame:
-    """0-based position in time order within a group."""
-    return row_index(with_time_chunk(df, T, chunk_s), list(by), [T], name).drop(CHUNK)
+def positions(df: DataFrame, by: Sequence[str], chunk_s: float, name: str = "pos", total: str = "n") -> DataFrame:
+    """0-based position in time order within a group, and the size of the group."""
+    return row_index_and_total(with_time_chunk(df, T, chunk_s), list(by), [T], name, total).drop(CHUNK)
 
 
 def stage_signal(df: DataFrame, chunk_s: float) -> DataFrame:
@@ -167,9 +167,9 @@ def stage_signal(df: DataFrame, chunk_s: float) -> DataFrame:
     """
     groups = F.array_compact(F.array(F.when(F.col("stage").isin(*STAGES), F.col("stage")), F.lit(ALL)))
     base = df.select(KEY, T, F.explode(groups).alias("stage"), "EEG_LOC", "EEG_ROC")
-    side = lambda c: positions(base.filter(F.col(c).isNotNull()), [KEY, "stage"], chunk_s).select(KEY, "stage", "pos", c)
+    side = lambda c: positions(base.filter(F.col(c).isNotNull()), [KEY, "stage"], chunk_s, total=f"_n_{c}").select(KEY, "stage", "pos", c, f"_n_{c}")
     both = side("EEG_LOC").join(side("EEG_ROC"), [KEY, "stage", "pos"])
-    return both.select(KEY, "stage", "pos", ((F.col("EEG_LOC") + F.col("EEG_ROC")) / 2).alias("x"))
+    return both.select(KEY, "stage", "pos", F.least("_n_EEG_LOC", "_n_EEG_ROC").alias("n"), ((F.col("EEG_LOC") + F.col("EEG_ROC")) / 2).alias("x"))
 
 
 def context_signal(df: DataFrame, chunk_s: float, stage: Column | None = None) -> DataFrame:

@@ -30,7 +30,8 @@ class Run:
 
     kind: ``sum`` (inclusive), ``last`` / ``next`` (nearest non-null value at or
     before / at or after the row), ``last_before`` / ``next_after`` (the same,
-    current row excluded), ``lag`` / ``lead`` (value of the adjacent row).
+    current row excluded), ``lag`` / ``lead`` (value of the adjacent row), ``total``
+    (sum over the whole key, taken from the chunk summaries).
 
     ``where`` names the rows that can hold a value, so that the chunk summary reads
     only those (in a union: only their branch).  ``monotone`` says the value itself
@@ -45,6 +46,7 @@ class Run:
 
 
 BACKWARD = ("sum", "last", "last_before", "lag")
+AHEAD = ("next", "next_after", "lead")
 
 
 def with_time_chunk(df: DataFrame, t: str, length: float, name: str = CHUNK) -> DataFrame:
@@ -86,7 +88,7 @@ def running(
     keys = list(keys)
     pos = F.struct(*order)
     aggs: dict[str | None, list[Column]] = {}
-    carries, outs = [], []
+    carries, outs_back, outs_ahead = [], [], []
     fwd = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     bwd = Window.partitionBy(*keys).orderBy(F.desc(chunk)).rowsBetween(Window.unboundedPreceding, -1)
     local_f = Window.partitionBy(*keys, chunk).orderBy(*order)
@@ -102,6 +104,10 @@ def running(
             carries.append(F.sum(s).over(fwd).alias(c))
             local = F.sum(r.expr).over(local_f.rowsBetween(*upto))
             out = F.coalesce(local, F.lit(0)) + F.coalesce(F.col(c), F.lit(0))
+        elif r.kind == "total":
+            aggs.setdefault(r.where, []).append(F.sum(r.expr).alias(s))
+            carries.append(F.sum(s).over(Window.partitionBy(*keys)).alias(c))
+            out = F.col(c)
         else:
             back = r.kind in BACKWARD
             adjacent = r.kind in ("lag", "lead")
@@ -118,7 +124,7 @@ def running(
             out = F.coalesce(local, F.col(c))
             if adjacent:
                 out = out.getField("v")
-        outs.append((r.name, out, c))
+        (outs_ahead if r.kind in AHEAD else outs_back).append(out.alias(r.name))
 
     summary = df.groupBy(*keys, chunk).agg(*aggs.pop(None, [F.count(F.lit(1)).alias("_rows")]))
     for where, parts in aggs.items():
@@ -127,8 +133,12 @@ def running(
         names = [c for c in summary.columns if c.startswith("_s_")]
         summary = summary.groupBy(*keys, chunk).agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
     carry = summary.select(*keys, chunk, *carries)
-    joined = df.join(carry, [*keys, chunk])
-    return joined.select(*df.columns, *[o.alias(n) for n, o, _ in outs])
+    # Outer, so that only the summaries, never the rows, can become the built side of the join.
+    joined = df.join(carry, [*keys, chunk], "left")
+    if outs_ahead:
+        # The descending pass goes first: its sort should not carry the columns of the other pass.
+        joined = joined.select(*df.columns, *[f"_c_{r.name}" for r in runs if r.kind not in AHEAD], *outs_ahead)
+    return joined.select(*df.columns, *[r.name for r in runs if r.kind in AHEAD], *outs_back)
 
 
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, chunk: str = CHUNK) -> DataFrame:
@@ -137,6 +147,15 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
     return out.withColumn(name, F.col(name) - 1)
 
 
+def row_index_and_total(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, total: str, chunk: str = CHUNK
+) -> DataFrame:
+    """0-based position of each row in its key, and the number of rows of the key."""
+    one = F.lit(1).cast("long")
+    out = running(df, keys, order, [Run(name, one, "sum"), Run(total, one, "total")], chunk=chunk)
+    return out.withColumn(name, F.col(name) - 1)
+
+
 def run_ids(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], label: Column, name: str = "run_id", chunk: str = CHUNK
 ) -> DataFrame:
@@ -163,7 +182,7 @@ def run_ids(
         *keys, chunk, F.sum("_step").over(by_chunk.rowsBetween(Window.unboundedPreceding, 0)).alias("_offset")
     )
     return (
-        local.join(offset, [*keys, chunk])
+        local.join(offset, [*keys, chunk], "left")
         .withColumn(name, F.col("_local") + F.col("_offset") + 1)
         .select(*df.columns, name)
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sleepsignal.schemas import KEY, SESSION_FOLDER
 
 # Names of the raw files of a session, and of a stage's output.
-RAW_FILES = {"edf": "contiguous.edf", "csv": "csv_hypnogram.csv", "txt": "lights.txt"}
+RAW_FILES = {"edf": "contiguous.edf", "csv": "hypnogram.csv", "txt": "lights.txt"}
 STAGE_SUFFIX = {
     "eog": r"_eog\.csv(\.gz)?$", "staging": r"_gssc\.csv(\.gz)?$", "rem_events": r"_extracted_rems\.csv(\.gz)?$", "em_events": r"_em\.csv(\.gz)?$",
     "subepochs": r"_subepochs\.csv(\.gz)?$", "eeg": r"_eeg\.csv(\.gz)?$", "merged": r"_merged\.csv(\.gz)?$",
