@@ -20,7 +20,10 @@ CHUNK_S = 3600.0
 
 @dataclass(frozen=True)
 class Feed:
-    """Rows to look up from each sample: ``{name}_back`` and / or ``{name}_ahead`` structs."""
+    """Rows to look up from each sample: ``{name}_back`` and / or ``{name}_ahead``.
+
+    The result is a struct ``(at, payload...)``, or the plain time when there is no payload.
+    """
 
     name: str
     df: DataFrame
@@ -31,7 +34,7 @@ class Feed:
 
 
 def align(samples: DataFrame, feeds: Sequence[Feed], chunk_s: float = CHUNK_S, neighbours: bool = False) -> DataFrame:
-    """Samples plus one struct ``(at, payload...)`` per feed and direction.
+    """Samples plus the row found per feed and direction.
 
     At an equal time a feed row counts as both behind and ahead of the sample.  With
     ``neighbours`` the times of the adjacent samples are added as ``_prev_t``, ``_next_t``.
@@ -43,7 +46,7 @@ def align(samples: DataFrame, feeds: Sequence[Feed], chunk_s: float = CHUNK_S, n
     for f in feeds:
         require(f.df, [KEY, f.at, *f.payload])
         tie = F.lit(0) if f.order is None else F.col(f.order)
-        body = F.struct(F.col(f.at).alias("at"), *[F.col(c) for c in f.payload])
+        body = F.struct(F.col(f.at).alias("at"), *[F.col(c) for c in f.payload]) if f.payload else F.col(f.at)
         u = u.unionByName(
             f.df.filter(F.col(f.at).isNotNull()).select(
                 KEY, F.col(f.at).alias("_t"), F.lit(0).alias("_kind"), tie.cast("long").alias("_ord"), body.alias(f.name)
@@ -52,10 +55,11 @@ def align(samples: DataFrame, feeds: Sequence[Feed], chunk_s: float = CHUNK_S, n
         )
     runs = []
     for f in feeds:
+        there = {"where": f"{f.name} IS NOT NULL", "monotone": not f.payload}
         if f.look in ("back", "both"):
-            runs.append(Run(f"{f.name}_back", F.col(f.name), "last", where=f"{f.name} IS NOT NULL"))
+            runs.append(Run(f"{f.name}_back", F.col(f.name), "last", **there))
         if f.look in ("ahead", "both"):
-            runs.append(Run(f"{f.name}_ahead", F.col(f.name), "next", where=f"{f.name} IS NOT NULL"))
+            runs.append(Run(f"{f.name}_ahead", F.col(f.name), "next", **there))
     if neighbours:
         here = F.when(F.col("_kind") == 1, F.col("_t"))
         runs += [Run("_prev_t", here, "last_before", monotone=True), Run("_next_t", here, "next_after", monotone=True)]
@@ -114,7 +118,7 @@ def is_nearest(back: Column, ahead: Column) -> Column:
 def nearest_sample_flag(samples: DataFrame, events: DataFrame, name: str, chunk_s: float = CHUNK_S) -> DataFrame:
     """True on the sample nearest to an event peak."""
     a = align(samples, [Feed("_p", events, "Peak", look="both")], chunk_s, neighbours=True)
-    return a.select(*samples.columns, is_nearest(F.col("_p_back.at"), F.col("_p_ahead.at")).alias(name))
+    return a.select(*samples.columns, is_nearest(F.col("_p_back"), F.col("_p_ahead")).alias(name))
 
 
 def interval_label(
@@ -199,11 +203,11 @@ def merged_timeline(
         F.coalesce(in_rem, F.lit(False)).alias("is_rem_event"),
         F.when(in_rem, F.col("rem_back.at")).alias("event_Start"),
         *spread("event_", "rem_back", rem_cols, in_rem),
-        is_nearest(F.col("rpk_back.at"), F.col("rpk_ahead.at")).alias("event_is_peak"),
+        is_nearest(F.col("rpk_back"), F.col("rpk_ahead")).alias("event_is_peak"),
         F.coalesce(in_em, F.lit(False)).alias("is_em_event"),
         F.when(in_em, F.col("em_back.at")).alias("em_Start"),
         *spread("em_", "em_back", [c for c in em_cols if c != "EM_Type"], in_em),
-        is_nearest(F.col("epk_back.at"), F.col("epk_ahead.at")).alias("em_is_peak"),
+        is_nearest(F.col("epk_back"), F.col("epk_ahead")).alias("em_is_peak"),
         F.when(in_em, F.col("em_back.EM_Type")).alias("EM_Type"),
         *spread("", "sub_back", ["EpochType"], F.col(T) < F.col("sub_back.SubEpochEnd")),
         *nearest("eeg", ["EEG_LOC", "EEG_ROC"]),
