@@ -259,7 +259,7 @@ def deltas(spark, sf):
 
 @query("bootstrap_deltas", with_views("oof", body=f", {DRAWS} SELECT b, round(auc_1, 9) AS auc_1, round(auc_2, 9) AS auc_2, round(auc_1 - auc_2, 9) AS delta FROM bd"))
 def bootstrap_deltas(spark, sf):
-    return deltas(spark, sf).select("b", *[F.round(c, 9).alias(c) for c in ("auc_1", "auc_2", "delta")])
+    return deltas(spark, sf).select(F.col("replicate").alias("b"), *[F.round(c, 9).alias(c) for c in ("auc_1", "auc_2", "delta")])
 
 
 @query("bootstrap_auc", with_views("oof", body=f""", {DRAWS}, {SCORES},

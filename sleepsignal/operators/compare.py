@@ -82,19 +82,19 @@ def numbered(oof: DataFrame) -> DataFrame:
 
 
 def bootstrap_weights(num: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
-    """How often each subject is drawn in each replicate: (b, i, w)."""
-    d = num.select("i", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("b"))
-    return d.groupBy("b", draw(F.col("i"), F.col("b"), F.col("n"), seed).alias("i")).agg(F.count(F.lit(1)).alias("w"))
+    """How often each subject is drawn in each replicate: (replicate, i, w)."""
+    d = num.select("i", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("replicate"))
+    return d.groupBy("replicate", draw(F.col("i"), F.col("replicate"), F.col("n"), seed).alias("i")).agg(F.count(F.lit(1)).alias("w"))
 
 
 def bootstrap_deltas(oof: DataFrame, a: str, b: str, n_boot: int = 10_000, seed: int = 42) -> DataFrame:
     """AUC of both models in every paired resample; replicates without both classes are NULL."""
     num = cut(numbered(oof))
     drawn = bootstrap_weights(num, n_boot, seed).join(num, "i")
-    long = long_scores(drawn, [a, b], ("b", "y_true", "w"))
-    auc = rank_sums(long, ["b", "model"], "score", "y_true", "w")
+    long = long_scores(drawn, [a, b], ("replicate", "y_true", "w"))
+    auc = rank_sums(long, ["replicate", "model"], "score", "y_true", "w")
     pick = lambda m: F.max(F.when(F.col("model") == m, F.col("auc")))
-    return auc.groupBy("b").agg(pick(a).alias("auc_1"), pick(b).alias("auc_2")).withColumn("delta", F.col("auc_1") - F.col("auc_2"))
+    return auc.groupBy("replicate").agg(pick(a).alias("auc_1"), pick(b).alias("auc_2")).withColumn("delta", F.col("auc_1") - F.col("auc_2"))
 
 
 def bootstrap_auc(oof: DataFrame, a: str, b: str, n_boot: int = 10_000, seed: int = 42, deltas: DataFrame | None = None) -> DataFrame:
