@@ -77,7 +77,7 @@ def bandpass_filter(
         samples.schema[KEY], Ty.StructField(idx, Ty.LongType()), *[Ty.StructField(f"{c}{suffix}", Ty.DoubleType()) for c in cols],
     ])
 
-    def apply(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def apply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lo = int(key[1]) * chunk_rows
         pdf = pdf.sort_values(idx)
         at = pdf[idx].to_numpy() - (lo - half)

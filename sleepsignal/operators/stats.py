@@ -149,7 +149,7 @@ def shapiro_summary(labelled: DataFrame, subject: str = "subject_id", keys: Sequ
     s = lowest(v.withColumn("_u", uniform(seed, *all_keys, subject)), all_keys, "_u", SHAPIRO_MAX)
     schema = ", ".join(f"{k} string" for k in all_keys) + ", W double, p double"
 
-    def test(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def test(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         w, p = shapiro_wilk(pdf["value"].to_numpy()) if len(pdf) >= 3 else (np.nan, np.nan)
         return pd.DataFrame([[*key, w, p]], columns=[*all_keys, "W", "p"])
 
