@@ -116,8 +116,8 @@ def lights_files(spark, sf):
 
 
 LIGHTS = """lf AS (SELECT '/raw/' || o_orderkey || '/lights.txt' AS path, o_custkey % 5 <> 4 AS has_columns,
-  CASE WHEN o_custkey % 5 = 4 THEN NULL WHEN o_orderkey % 6 = 0 THEN 0 WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey END AS lights_off,
-  CASE WHEN o_custkey % 5 = 4 THEN NULL WHEN o_orderkey % 9 = 0 THEN 0 ELSE o_orderkey + o_custkey END AS lights_on FROM orders)"""
+  CASE WHEN o_custkey % 5 = 4 THEN NULL WHEN o_orderkey % 6 = 0 THEN 0 WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderkey AS DOUBLE) END AS lights_off,
+  CASE WHEN o_custkey % 5 = 4 THEN NULL WHEN o_orderkey % 9 = 0 THEN 0 ELSE CAST(o_orderkey + o_custkey AS DOUBLE) END AS lights_on FROM orders)"""
 
 
 @query("lights_parse", f"WITH {LIGHTS} SELECT path, lights_off, lights_on, (lights_on - lights_off) / 60 AS sleep_min FROM lf WHERE has_columns AND NOT coalesce(lights_off = 0 AND lights_on = 0, false)")

@@ -261,7 +261,7 @@ sig AS (SELECT session_id, stage, channel, x, row_number() OVER (PARTITION BY se
 
 
 @query("psd_curve", with_views("dense", body=f""", {LONG_SIG}, {welch_sql('sig', 'session_id, stage, channel', MIN_S * DENSE_FS)}
-SELECT session_id, stage, channel, k, freq, round(psd, 6) AS psd FROM psd WHERE freq BETWEEN 0.5 AND 7.5"""))
+SELECT session_id, stage, channel, CAST(k AS INTEGER) AS k, freq, round(psd, 6) AS psd FROM psd WHERE freq BETWEEN 0.5 AND 7.5"""))
 def psd_curve(spark, sf):
     return spectral.psd_curve(dense(spark, sf), DENSE_FS, DCHUNK, 0.5, 7.5, MIN_S, SEG_S).withColumn("psd", F.round("psd", 6))
 

@@ -92,7 +92,7 @@ def rank_min(df: DataFrame, col: str, name: str, by: Sequence[str] = (), desc: b
     """
     order = F.col(col).desc_nulls_last() if desc else F.col(col).asc_nulls_last()
     w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn(name, F.when(F.col(col).isNotNull(), F.rank().over(w)))
+    return df.withColumn(name, F.when(F.col(col).isNotNull(), F.rank().over(w).cast("long")))
 
 
 def importance_stability(imp: DataFrame, top_k: int = 20) -> DataFrame:
@@ -173,7 +173,7 @@ def top_max_effect(df: DataFrame, n: int) -> DataFrame:
 
 def top_per_group(long: DataFrame, group: str, metric: str, n: int) -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.col(metric).desc_nulls_last(), "feature")
-    return long.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
+    return long.withColumn("position", F.row_number().over(w).cast("long")).filter(F.col("position") <= n)
 
 
 def top_significant(df: DataFrame, n: int = 10) -> DataFrame:
