@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sleepsignal.functions.quantile import exact_quantiles
 from sleepsignal.operators.clean import em_type
 from sleepsignal.operators.runs import mask_runs
-from sleepsignal.plans.chunked import CHUNK, Run, running, with_time_chunk
+from sleepsignal.plans.chunked import CHUNK, Run, join_per_key, running, with_time_chunk
 from sleepsignal.schemas import KEY, require
 
 AMP_LIMIT = 600.0
@@ -54,7 +54,7 @@ def is_minimum() -> Column:
 
 def local_minima(samples: DataFrame, threshold: DataFrame, idx: str = "sample_idx", loc: str = "loc_clean", roc: str = "roc_clean", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Minima of the amplitude that lie below half the threshold."""
-    s = amplitude_steps(samples, idx, loc, roc, chunk_rows).join(threshold, KEY)
+    s = join_per_key(amplitude_steps(samples, idx, loc, roc, chunk_rows), threshold, [KEY])
     return s.filter(is_minimum() & (F.col("amp") < F.col("threshold") / 2)).select(KEY, idx, "amp")
 
 
@@ -100,7 +100,7 @@ def detect_movements(
     gives the bases, with the adjacent sample as fallback.
     """
     require(samples, [KEY, idx, loc, roc, "stage"])
-    s = amplitude_steps(samples, idx, loc, roc, chunk_rows).join(threshold.select(KEY, "threshold"), KEY)
+    s = join_per_key(amplitude_steps(samples, idx, loc, roc, chunk_rows), threshold.select(KEY, "threshold"), [KEY])
     s = s.withColumns({
         "_cand": F.coalesce(em_candidates(F.col("threshold"), limit), F.lit(False)),
         "_low": F.coalesce(is_minimum() & (F.col("amp") < F.col("threshold") / 2), F.lit(False)),
@@ -194,7 +194,9 @@ def two_window_rule(
     e = events.filter(F.col("Stage") == "REM")
     ends = e.groupBy(KEY).agg(F.min("Start").alias("_t0"), F.max("Start").alias("_t1"))
     n = F.ceil((F.col("_t1") - F.col("_t0")) / epoch_s).cast("long")
-    grid = ends.withColumn("_n", n).filter("_n > 0").select(KEY, "_t0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("slot"))
+    # Two steps, so that no row holds the grid of a whole session.
+    blocks = ends.withColumn("_n", n).filter("_n > 0").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(4096).cast("long"))))
+    grid = blocks.select(KEY, "_t0", F.explode(F.sequence("_b", F.least(F.col("_b") + 4095, F.col("_n") - 1))).alias("slot"))
     rel = F.col("Start") - F.col("_t0")
     slot = F.floor(rel / epoch_s).cast("long")
     cand = ((F.col("LOCAbsValPeak") > amp_uv) | (F.col("ROCAbsValPeak") > amp_uv)) & (F.col("Duration") < max_s)
@@ -223,5 +225,6 @@ def min_spacing(epochs: DataFrame, every: int = 2) -> DataFrame:
 
 def movement_runs(samples: DataFrame, threshold: DataFrame, idx: str = "sample_idx", loc: str = "loc_clean", roc: str = "roc_clean", limit: float = AMP_LIMIT, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """First and last index of every candidate run."""
-    s = samples.withColumn("amp", F.abs(F.col(roc) - F.col(loc))).join(threshold, KEY)
+    s = with_time_chunk(samples.withColumn("amp", F.abs(F.col(roc) - F.col(loc))), idx, chunk_rows)
+    s = join_per_key(s, threshold, [KEY])
     return mask_runs(s, em_candidates(F.col("threshold"), limit), idx, chunk_rows)

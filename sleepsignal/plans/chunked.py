@@ -141,6 +141,16 @@ def running(
     return joined.select(*df.columns, *[r.name for r in runs if r.kind in AHEAD], *outs_back)
 
 
+def join_per_key(df: DataFrame, per_key: DataFrame, keys: Sequence[str], chunk: str = CHUNK) -> DataFrame:
+    """Attach one row per key to chunked rows without shuffling the rows by key.
+
+    The small table is spread over the key's chunks first, so the rows keep the
+    (keys, chunk) partitioning that the running functions use.
+    """
+    spots = df.select(*keys, chunk).distinct().join(per_key, list(keys))
+    return df.join(spots, [*keys, chunk], "left")
+
+
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, chunk: str = CHUNK) -> DataFrame:
     """0-based position of each row in its key."""
     out = running(df, keys, order, [Run(name, F.lit(1).cast("long"), "sum")], chunk=chunk)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sleepsignal.functions.distributions import beta_inc, exact_u_two_sided, norm_sf, shapiro_wilk, t_two_sided
 from sleepsignal.operators import compare, ml, report, stats
+from sleepsignal.plans import training
 
 
 def test_known_probabilities():
@@ -131,3 +132,18 @@ def test_histogram_edges(spark):
     f = h[h.feature == "f"].sort_values("bin")
     assert f["count"].tolist() == [2, 2, 2, 2, 3] and f["left"].iloc[0] == 0.0 and f["right"].iloc[-1] == 10.0
     assert h[h.feature == "flat"]["count"].sum() == 2
+
+
+def test_training_writes_fold_and_summary_tables(spark, tmp_path):
+    r = np.random.default_rng(12)
+    g = np.array(["Control", "iRBD", "PD(-RBD)"])[np.arange(60) % 3]
+    x = (g == "iRBD") * 3 + r.normal(size=60)
+    d = spark.createDataFrame(pd.DataFrame({"id": np.arange(60), "group": g, "a": np.where(np.arange(60) % 7 == 0, np.nan, x), "b": r.normal(size=60)}))
+    d = d.withColumn("a", F.nanvl("a", F.lit(None).cast("double")))
+    out = str(tmp_path)
+    folds, summary = training.run_training(d, ["a", "b"], ("control_vs_irbd",), ("kfold",), {"Logistic Regression": {}}, k=2, out=out)
+    assert folds.count() == 4 and summary.columns[:3] == ["task", "method", "model"]
+    assert spark.read.parquet(f"{out}/predictions").filter("model = 'Logistic Regression'").count() == 40
+    assert summary.first()["model"] == "Logistic Regression" and spark.read.parquet(f"{out}/summary").count() == 2
+    with pytest.raises(ValueError, match="unknown task"):
+        training.run_training(d, ["a"], ("nope",))
