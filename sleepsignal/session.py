@@ -32,7 +32,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if named is None:
         named = sc.getCheckpointDir()
     if named is None:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="sleepsignal-")
     if sc.getCheckpointDir() is None:
