@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -73,54 +75,93 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class Numbers(dict):
+    """Word to its number, in order of first sight."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class WordTokens:
-    """Token ids of whole texts, one call of the tokenizer per distinct word.
+    """Token ids of whole texts; each distinct word passes the tokenizer once.
 
-    The tokenizer splits at white space and looks at nothing beyond it, so a text's ids are those of
-    its pieces between spaces, tabs and line ends; a test holds this against whole-text encoding.
-    The table of known words is emptied between batches once it has ``limit`` words.
+    The tokenizer splits at white space, looks at nothing beyond it and ignores case, so a text's ids are
+    those of its pieces between spaces, tabs and line ends; a test holds this against whole-text encoding.
+    New words are encoded together, a control character between them; words that hold it go by themselves.
+    Once the table of known words has ``limit`` of them, rare ones are dropped between batches.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    MARK = "\x01"
+
+    def __init__(self, path: str, limit: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
+        self.mark = self._encode([self.MARK])[0]
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.pool, self.starts, self.lens = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.index = Numbers()
+        self.pool, self.starts, self.lens, self.hits = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words met most often, up to half of the limit; drop those met once."""
+        least = max(2, int(np.sort(self.hits)[-(self.limit // 2)]) if len(self.hits) > self.limit // 2 else 2)
+        keep = np.flatnonzero(self.hits >= least)[: self.limit // 2]
+        words = list(self.index)
+        index = Numbers(zip((words[i] for i in keep.tolist()), range(len(keep)), strict=True))
+        lens = self.lens[keep]
+        ends = np.cumsum(lens)
+        pool = self.pool[np.arange(int(lens.sum())) + np.repeat(self.starts[keep] - ends + lens, lens)]
+        self.index, self.pool, self.starts, self.lens, self.hits = index, pool, ends - lens, lens, np.zeros(len(keep), np.int64)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        if any(self.MARK in w for w in words) or len(self.mark) != 1:
+            found = self._encode(words)
+            return np.array([i for ids in found for i in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
+        ids = np.array(self._encode([f" {self.MARK} ".join(words)])[0], np.int32)
+        at = np.concatenate([[-1], np.flatnonzero(ids == self.mark[0]), [len(ids)]])
+        return ids[ids != self.mark[0]], np.diff(at) - 1
 
     def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(lens.sum()))
-        first = len(self.pool)
-        self.starts = np.concatenate([self.starts, first + np.cumsum(lens) - lens])
+        found = [self._together(words[a: a + 4096]) for a in range(0, len(words), 4096)]
+        lens = np.concatenate([n for _, n in found])
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
-        self.pool = np.concatenate([self.pool, flat])
+        self.pool = np.concatenate([self.pool, *[ids for ids, _ in found]])
+        self.hits = np.concatenate([self.hits, np.zeros(len(lens), np.int64)])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text (0 for null and empty ones)."""
         if len(self.index) > self.limit:
-            self._reset()
+            self._forget()
         index, counts, place = self.index, [], []
         for text in texts:
-            words = (text or "").replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
-            place.extend([index.setdefault(w, len(index)) for w in words])
+            text = text or ""
+            if "<|" not in text:  # else a special token in capitals would become one
+                text = text.encode().lower().decode()
+            words = text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
+            place.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
             counts.append(len(words))
-        new = len(index) - len(self.lens)
-        if new:
-            self._learn(list(index)[len(self.lens):])
-        at = np.array(place, np.int64)
+        if len(index) > len(self.lens):
+            self._learn(list(islice(index, len(self.lens), None)))
+        if not texts:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        at = np.concatenate(place)
+        self.hits += np.bincount(at, minlength=len(self.hits))
         lens, starts = self.lens[at], self.starts[at]
         ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.arange(total) + np.repeat(starts - ends + lens, lens)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        ids = self.pool[np.arange(int(ends[-1])) + np.repeat(starts - ends + lens, lens)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(bounds)
 
 
-def slices(batch: pa.RecordBatch, text: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that one slice holds about ``chars`` characters at most, or one row."""
     if not batch.num_rows:
         return

@@ -38,8 +38,8 @@ MAGIC = b"IDSRANS1"
 LANES, STEPS, CHECK = 128, 512, 128
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
-SHARD_IDS = 8_000_000
-TOGETHER = 16  # blocks coded side by side
+SHARD_IDS = 4_000_000
+TOGETHER = 8  # blocks coded side by side
 SPLIT_BLOCKS = 16  # blocks per reading task
 
 SHARDS = "part int, seq int, file string, n_docs long, n_ids long, n_blocks int"
@@ -306,8 +306,8 @@ def read_ids(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                 shard = Shard(row["file"])
                 starts = shard.ends - shard.lens.astype(np.int64)
                 lo, hi = np.searchsorted(starts, [row["split"] * SPLIT_BLOCKS * shard.block, (row["split"] + 1) * SPLIT_BLOCKS * shard.block])
-                while lo < hi:  # a slice of documents at a time, so that no more than a few million ids are held
-                    to = min(hi, max(lo + 1, int(np.searchsorted(shard.ends, starts[lo] + 4_000_000))))
+                while lo < hi:  # a slice of documents at a time, so that no more than about a million ids, or one document's, are held
+                    to = min(hi, max(lo + 1, int(np.searchsorted(shard.ends, starts[lo] + 1_000_000))))
                     ids = shard.ids(int(starts[lo]), int(shard.ends[to - 1])).astype("<u4")
                     docs = [ids[a:b].tobytes() for a, b in zip(starts[lo:to] - starts[lo], shard.ends[lo:to] - starts[lo], strict=True)]
                     yield pa.RecordBatch.from_pydict({
