@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sleepsignal.llm import rans
-from sleepsignal.llm.common import read_table
+from sleepsignal.llm import packing, rans, warc
+from sleepsignal.llm.common import read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,3 +24,30 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op1_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as range-coded ids and read back: doc_id, start, n_tokens, ids_crc32."""
     return rans.encode_corpus(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
+
+
+ORACLE["op2_warc_archive"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, n AS payload_bytes,
+  list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * i + 1)::BIGINT, 5))::INTEGER >> s) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (h)
+"""
+
+
+@query
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC and read back by ranges: one row per page."""
+    folder = shared_folder(spark, "warc")
+    warc.write_warc(read_table(spark, sf_dir, "pages"), folder, min_revisit_bytes=0)
+    records = warc.read_warc(spark, warc.list_warc(spark, folder))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op3_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 ids: one row per piece."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), size=2048, end_id=0)
