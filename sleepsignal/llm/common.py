@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,13 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def runs(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The stretches ``pool[start: start + len]`` in a row."""
+    ends = np.cumsum(lens)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.arange(total) + np.repeat(starts - ends + lens, lens)]
+
+
 class Numbers(dict):
     """Word to its number, in order of first sight."""
 
@@ -87,81 +95,115 @@ class WordTokens:
     """Token ids of whole texts; each distinct word passes the tokenizer once.
 
     The tokenizer splits at white space, looks at nothing beyond it and ignores case, so a text's ids are
-    those of its pieces between spaces, tabs and line ends; a test holds this against whole-text encoding.
-    New words are encoded together, a control character between them; words that hold it go by themselves.
-    Once the table of known words has ``limit`` of them, rare ones are dropped between batches.
+    those of its words; a test holds this against whole-text encoding. A new word of small Latin letters, with
+    marks behind it or none, needs no normalising and goes straight to the tokenizer's model. Other new words
+    are encoded together, a control character between them; words that hold it go by themselves. Once the
+    table has ``limit`` words, rare ones are dropped between batches.
     """
 
-    MARK = "\x01"
+    SEPARATOR = "\x01"
+    MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
+    LETTERS = "[a-zß-öø-ÿ]"
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        letters = [c for c in map(chr, range(0x61, 0x100)) if re.fullmatch(self.LETTERS, c)]
+        self.bytes_of = {ord(c): "".join(t for t, _ in split(c)) for c in letters}
         self.limit = limit
-        self.mark = self._encode([self.MARK])[0]
-        self._reset()
-
-    def _reset(self) -> None:
+        self.separator = self._encode([self.SEPARATOR])[0]
         self.index = Numbers()
         self.pool, self.starts, self.lens, self.hits = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _forget(self) -> None:
         """Keep the words met most often, up to half of the limit; drop those met once."""
-        least = max(2, int(np.sort(self.hits)[-(self.limit // 2)]) if len(self.hits) > self.limit // 2 else 2)
-        keep = np.flatnonzero(self.hits >= least)[: self.limit // 2]
+        half = self.limit // 2
+        least = max(2, int(np.sort(self.hits)[-half])) if len(self.hits) > half else 2
+        keep = np.flatnonzero(self.hits >= least)[:half]
         words = list(self.index)
-        index = Numbers(zip((words[i] for i in keep.tolist()), range(len(keep)), strict=True))
-        lens = self.lens[keep]
-        ends = np.cumsum(lens)
-        pool = self.pool[np.arange(int(lens.sum())) + np.repeat(self.starts[keep] - ends + lens, lens)]
-        self.index, self.pool, self.starts, self.lens, self.hits = index, pool, ends - lens, lens, np.zeros(len(keep), np.int64)
+        self.index = Numbers(zip((words[i] for i in keep.tolist()), range(len(keep)), strict=True))
+        self.pool = runs(self.pool, self.starts[keep], self.lens[keep])
+        self.lens = self.lens[keep]
+        self.starts, self.hits = np.cumsum(self.lens) - self.lens, np.zeros(len(keep), np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has."""
-        if any(self.MARK in w for w in words) or len(self.mark) != 1:
+        if any(self.SEPARATOR in w for w in words) or len(self.separator) != 1:
             found = self._encode(words)
             return np.array([i for ids in found for i in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
-        ids = np.array(self._encode([f" {self.MARK} ".join(words)])[0], np.int32)
-        at = np.concatenate([[-1], np.flatnonzero(ids == self.mark[0]), [len(ids)]])
-        return ids[ids != self.mark[0]], np.diff(at) - 1
+        ids = np.array(self._encode([f" {self.SEPARATOR} ".join(words)])[0], np.int32)
+        at = np.concatenate([[-1], np.flatnonzero(ids == self.separator[0]), [len(ids)]])
+        return ids[ids != self.separator[0]], np.diff(at) - 1
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of small Latin letters."""
+        tokenize, table = self.model.tokenize, self.bytes_of
+        ids = [[t.id for t in tokenize(w if w.isascii() else w.translate(table))] for w in words]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum())), lens
 
     def _learn(self, words: list[str]) -> None:
-        found = [self._together(words[a: a + 4096]) for a in range(0, len(words), 4096)]
-        lens = np.concatenate([n for _, n in found])
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.pool = np.concatenate([self.pool, *[ids for ids, _ in found]])
-        self.hits = np.concatenate([self.hits, np.zeros(len(lens), np.int64)])
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Fill in the ids of the words last numbered. Words that end in marks are made from what is in front."""
+        first = len(self.lens)
+        column = pa.array(words, pa.string())
+        stems = pc.ascii_rtrim(column, characters=self.MARKS)
+        simple = pc.match_substring_regex(stems, f"^{self.LETTERS}+$").to_numpy(zero_copy_only=False)
+        bare = pc.equal(pc.binary_length(column), pc.binary_length(stems)).to_numpy(zero_copy_only=False)
+        marked = np.flatnonzero(simple & ~bare)
+        fronts = stems.take(pa.array(marked)).to_pylist()
+        front = np.fromiter(map(self.index.__getitem__, fronts), np.int64, len(fronts))
+        extra = list(islice(self.index, first + len(words), None))
+        self.starts = np.concatenate([self.starts, np.zeros(len(words) + len(extra), np.int64)])
+        self.lens = np.concatenate([self.lens, np.zeros(len(words) + len(extra), np.int64)])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words) + len(extra), np.int64)])
+
+        def put(at: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+            self.starts[first + at], self.lens[first + at] = len(self.pool) + np.cumsum(lens) - lens, lens
+            self.pool = np.concatenate([self.pool, ids])
+
+        plain = np.flatnonzero(simple & bare)
+        put(np.concatenate([plain, len(words) + np.arange(len(extra))]), *self._plain([words[i] for i in plain.tolist()] + extra))
+        other = np.flatnonzero(~simple)
+        for a in range(0, len(other), 4096):
+            put(other[a: a + 4096], *self._together([words[i] for i in other[a: a + 4096].tolist()]))
+        tails = Numbers()
+        tail = np.fromiter((tails[words[i][len(f):]] for i, f in zip(marked.tolist(), fronts, strict=True)), np.int64, len(marked))
+        mark_ids = self._encode(list(tails))
+        mark_lens = np.fromiter(map(len, mark_ids), np.int64, len(mark_ids))
+        pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(mark_ids), np.int32, int(mark_lens.sum()))])
+        two_starts = np.stack([self.starts[front], len(self.pool) + (np.cumsum(mark_lens) - mark_lens)[tail]], axis=1).reshape(-1)
+        two_lens = np.stack([self.lens[front], mark_lens[tail]], axis=1)
+        put(marked, runs(pool, two_starts, two_lens.reshape(-1)), two_lens.sum(axis=1))
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text (0 for null and empty ones)."""
+        column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+        if not len(column):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         if len(self.index) > self.limit:
             self._forget()
-        index, counts, place = self.index, [], []
-        for text in texts:
-            text = text or ""
-            if "<|" not in text:  # else a special token in capitals would become one
-                text = text.encode().lower().decode()
-            words = text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
-            place.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-            counts.append(len(words))
-        if len(index) > len(self.lens):
-            self._learn(list(islice(index, len(self.lens), None)))
-        if not texts:
-            return np.empty(0, np.int32), np.empty(0, np.int64)
-        at = np.concatenate(place)
-        self.hits += np.bincount(at, minlength=len(self.hits))
-        lens, starts = self.lens[at], self.starts[at]
-        ends = np.cumsum(lens)
-        ids = self.pool[np.arange(int(ends[-1])) + np.repeat(starts - ends + lens, lens)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(bounds)
-
-
-def slices(batch: pa.RecordBatch, text: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+        if not pc.any(pc.match_substring(column, "<|")).as_py():  # else a special token in capitals would become one
+            column = pc.ascii_lower(column)
+        words = pc.ascii_split_whitespace(column)
+        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        number = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        if len(self.index) > len(self.lens):
+            self._learn(list(islice(self.index, len(self.lens), None)))
+        self.hits[number] += 1
+        at = number[coded.indices.to_numpy(zero_copy_only=False)]
+        lens = self.lens[at]
+        bounds = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])]
+        return runs(self.pool, self.starts[at], lens), np.diff(bounds)
+
+
+def slices(batch: pa.RecordBatch, text: str, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that one slice holds about ``chars`` characters at most, or one row."""
     if not batch.num_rows:
         return
@@ -172,6 +214,11 @@ def slices(batch: pa.RecordBatch, text: str, chars: int = 2_000_000) -> Iterator
         yield batch.slice(a, b - a)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Let Spark hand texts to Python in batches of a few megabytes, so that long texts can't fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def fold(id_column: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     c = F.col(id_column) if isinstance(id_column, str) else id_column

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import WordTokens, slices
+from sleepsignal.llm.common import WordTokens, slices, small_batches
 from sleepsignal.session import cut
 
 GROUPS = 512
@@ -46,7 +46,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int, end_id: int, with_ids:
         words, seen = WordTokens(tokenizer), np.zeros(size + 1, np.int64)
         for whole in batches:
             for batch in slices(whole, "text"):
-                ids, lens = words.encode(batch.column("text").to_pylist())
+                ids, lens = words.encode(batch.column("text"))
                 ids = np.insert(ids, np.cumsum(lens), end_id).astype("<u4")
                 lens = lens + 1
                 first = np.cumsum(lens) - lens
@@ -232,6 +232,7 @@ def ranked_in_task(rows: DataFrame, value: str, size: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, groups: int = GROUPS, with_ids: bool = False) -> DataFrame:
     """Pack all ``docs``: per piece its sequence_id and offset there; sequences hold ``size`` ids at most."""
+    small_batches(docs.sparkSession)
     small = size // SMALL
     pieces = cut(pieces_of(docs, tokenizer, size, end_id, with_ids))
     counts = histogram(pieces, "length", size)

@@ -31,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import WordTokens, open_fs, shared_folder, slices, write_file
+from sleepsignal.llm.common import WordTokens, open_fs, shared_folder, slices, small_batches, write_file
 from sleepsignal.session import cut
 
 MAGIC = b"IDSRANS1"
 LANES, STEPS, CHECK = 128, 512, 128
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
-SHARD_IDS = 4_000_000
+SHARD_IDS = 2_000_000
 TOGETHER = 8  # blocks coded side by side
 SPLIT_BLOCKS = 16  # blocks per reading task
 
@@ -246,6 +246,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | No
     ``shard_ids`` ids. File names follow from the task, and a file appears only once it is whole.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or shared_folder(spark, "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +270,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | No
 
         for whole in batches:
             for batch in slices(whole, "text"):
-                ids, lens = words.encode(batch.column("text").to_pylist())
+                ids, lens = words.encode(batch.column("text"))
                 # the end id goes behind each document
                 out = np.insert(ids, np.cumsum(lens), end_id).astype(np.int32)
                 held.append((out, lens + 1, batch.column("doc_id").to_pylist()))

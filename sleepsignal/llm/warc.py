@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import open_fs, shared_folder, write_file
+from sleepsignal.llm.common import open_fs, shared_folder, small_batches, write_file
 from sleepsignal.session import cut
 
 MAGIC = b"\x1f\x8b\x08"
@@ -140,6 +140,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_revisit_bytes: i
     refer to it. Only digests that occur twice are joined, over ``SALTS`` shares of each, so a page that makes
     up a third of the table is spread over as many tasks.
     """
+    small_batches(pages.sparkSession)
     folder = folder or shared_folder(pages.sparkSession, "warc")
     html = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("payload"))
