@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sleepsignal.llm import packing, rans, warc
-from sleepsignal.llm.common import read_table, shared_folder
+from sleepsignal.llm import langid, packing, quality, rans, toxicity, warc
+from sleepsignal.llm.common import fold, read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,3 +52,33 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids: one row per piece."""
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), size=2048, end_id=0)
+
+
+def classified(scored: DataFrame, held_out: int, folds: int, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op5_positive_unlabelled_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity: doc_id, held_out, score, predicted."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = toxicity.score_toxicity(docs, labels, "_score")
+    return classified(scored, toxicity.HELD_OUT, toxicity.FOLDS, toxicity.THRESHOLD)
+
+
+@query
+def op8_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality: doc_id, held_out, score, predicted."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = quality.score_quality(docs, labels, "_score")
+    return classified(scored, quality.HELD_OUT, quality.FOLDS, quality.THRESHOLD)
+
+
+@query
+def op10_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its language: doc_id, held_out, lang_pred, score."""
+    docs = langid.identify(read_table(spark, sf_dir, "documents"), "_language")
+    return docs.select("doc_id", (fold("doc_id", langid.FOLDS) == langid.HELD_OUT).alias("held_out"), "_language.lang_pred", "_language.score")
