@@ -76,6 +76,19 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def word_hashes(column: pa.Array, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (lower case, split at white space) in a row, and the number of words of each text."""
+    words = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(column.cast(pa.string()), "")))
+    flat = words.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    kept = real.to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    coded = flat.filter(real).dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    return known.of(distinct)[coded.indices.to_numpy(zero_copy_only=False)], np.bincount(doc[kept], minlength=len(counts))
+
+
 def runs(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The stretches ``pool[start: start + len]`` in a row."""
     ends = np.cumsum(lens)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleepsignal.llm import langid, packing, quality, rans, toxicity, warc
+from sleepsignal.llm import jaccard, langid, packing, quality, rans, toxicity, warc
 from sleepsignal.llm.common import fold, read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,24 @@ def op10_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFram
     """Every document with its language: doc_id, held_out, lang_pred, score."""
     docs = langid.identify(read_table(spark, sf_dir, "documents"), "_language")
     return docs.select("doc_id", (fold("doc_id", langid.FOLDS) == langid.HELD_OUT).alias("held_out"), "_language.lang_pred", "_language.score")
+
+
+ORACLE["op7_minhash_forest_join"] = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y, c = nx.n AND c = ny.n AS same FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 5 * c >= 4 * (nx.n + ny.n - c)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+roots AS (SELECT x, min(y) AS root FROM r GROUP BY x),
+ends AS (SELECT x, count(*) AS n_links, min(y) FILTER (WHERE same) AS copy FROM l GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(root, doc_id)) AS class_id, coalesce(n_links, 0) AS n_links, least(doc_id, coalesce(copy, doc_id)) AS copy_id
+FROM documents LEFT JOIN roots ON roots.x = doc_id LEFT JOIN ends ON ends.x = doc_id
+"""
+
+
+@query
+def op7_minhash_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate class and its number of links."""
+    return jaccard.similarity_join(read_table(spark, sf_dir, "documents"))
