@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleepsignal.llm import jaccard, langid, packing, quality, rans, toxicity, warc
+from sleepsignal.llm import decontaminate, jaccard, langid, packing, quality, rans, toxicity, warc
 from sleepsignal.llm.common import fold, read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,9 @@ FROM documents LEFT JOIN roots ON roots.x = doc_id LEFT JOIN ends ON ends.x = do
 def op7_minhash_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate class and its number of links."""
     return jaccard.similarity_join(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its verified overlap with the benchmark."""
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
