@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sleepsignal.llm.common import fold, unit
-from sleepsignal.llm.ngrams import Linear, Sample, features_of, sample_labelled, with_score
+from sleepsignal.llm.ngrams import Linear, Sample, collect_features, sample_labelled, with_score
 
-POSITIVES, UNLABELLED = 4000, 8000
+POSITIVES, UNLABELLED = 3000, 6000
 HELD_OUT, FOLDS = 0, 5
 THRESHOLD = 0.5
 
@@ -74,8 +74,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     rows = docs.filter(fold("doc_id", FOLDS) != HELD_OUT)
     n = max(1, rows.count())
     unl = rows.filter(unit(F.col("doc_id"), 11) < unlabelled / n).select("text", F.lit(0).alias("kind")).limit(2 * unlabelled)
-    got = features_of(pos.unionByName(unl), ["kind"]).toArrow()
-    kinds, feats = got.column("kind").to_numpy(), [np.frombuffer(x, np.uint64) for x in got.column("features").to_pylist()]
+    kinds, feats = collect_features(pos.unionByName(unl), "kind")
     return fit_nnpu([f for k, f in zip(kinds, feats, strict=True) if k], [f for k, f in zip(kinds, feats, strict=True) if not k], prior)
 
 
