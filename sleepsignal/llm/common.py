@@ -238,6 +238,12 @@ def fold(id_column: Column | str, n: int) -> Column:
     return (F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
+def text_key() -> list[Column]:
+    """128 bits that follow from the text alone, as columns ``_k1`` and ``_k2``; a null text counts as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.xxhash64(F.lit(1), text).alias("_k1"), F.xxhash64(F.lit(2), text).alias("_k2")]
+
+
 def unit(c: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the value alone."""
     return F.pmod(F.xxhash64(F.lit(seed), c), F.lit(1 << 30)) / F.lit(float(1 << 30))

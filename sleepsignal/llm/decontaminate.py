@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import MIX_A, WordHashes, mix, slices, small_batches, word_hashes
+from sleepsignal.llm.common import MIX_A, WordHashes, mix, slices, small_batches, text_key, word_hashes
 from sleepsignal.session import cut
 
 #: 1 is compared, 0 ignored.
@@ -95,11 +95,6 @@ def mask_number(length: int, short: list[int]) -> list[int]:
     return list(range(len(MASKS))) if length >= SPAN else [len(MASKS) + short.index(length)]
 
 
-def text_key() -> list:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return [F.xxhash64(F.lit(1), text).alias("_k1"), F.xxhash64(F.lit(2), text).alias("_k2")]
-
-
 def benchmark_words(benchmark: DataFrame) -> DataFrame:
     """Distinct items of at least ``SHORTEST`` words: item_id, words (64-bit hashes), n."""
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import MIX_A, WordHashes, mix, runs, slices, small_batches, word_hashes
+from sleepsignal.llm.common import MIX_A, WordHashes, mix, runs, slices, small_batches, text_key, word_hashes
 from sleepsignal.llm.components import connected_components
 from sleepsignal.session import cut
 
@@ -91,7 +91,7 @@ def depth_for(target: float, threshold: float, trees: int, depth: int) -> int:
 
 
 def sketch(docs: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """doc_id, node (128-bit hash of the set; null without words), n (shingles) and signature of each row."""
+    """doc_id, text key, node (128-bit hash of the set; null without words), n (shingles), signature of each row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -102,13 +102,13 @@ def sketch(docs: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame
                 ends = np.cumsum(n)
                 node = [xxhash.xxh3_128_digest(h[a:b].tobytes()) if b > a else None for a, b in zip(ends - n, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(node, pa.binary()), pa.array(n.astype(np.int32)), pa.array([s.tobytes() for s in sig], pa.binary())],
-                    ["doc_id", "node", "n", "signature"],
+                    [batch.column("doc_id"), batch.column("_k1"), batch.column("_k2"), pa.array(node, pa.binary()), pa.array(n.astype(np.int32)), pa.array([s.tobytes() for s in sig], pa.binary())],
+                    ["doc_id", "_k1", "_k2", "node", "n", "signature"],
                 )
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(make, "doc_id long, node binary, n int, signature binary")
+    rows = docs.select(F.col("doc_id").cast("long"), *text_key(), F.col("text").cast("string"))
+    return rows.mapInArrow(make, "doc_id long, _k1 long, _k2 long, node binary, n int, signature binary")
 
 
 def prefixes(nodes: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
@@ -276,12 +276,8 @@ def verify(rows: DataFrame) -> DataFrame:
     return by.mapInArrow(make, "node binary, links long, root binary, blocks int")
 
 
-def similarity_join(docs: DataFrame, target: float = TARGET, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """Per row of ``docs``: doc_id, class_id (smallest doc_id linked to it by a chain of links), n_links, copy_id.
-
-    ``n_links`` counts the other rows with a Jaccard similarity of 0.8 or more, exact copies included;
-    ``copy_id`` is the smallest doc_id with the same set of shingles.
-    """
+def link(docs: DataFrame, target: float = TARGET, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """Per row of ``docs``: doc_id, text key and, where it has links, root, class_id, n_links and copy_id."""
     sketches = cut(sketch(docs, trees, depth))
     nodes = sketches.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.max("signature").alias("signature"))
@@ -305,8 +301,36 @@ def similarity_join(docs: DataFrame, target: float = TARGET, trees: int = TREES,
     known = nodes.select("node", "doc_id", "size").join(roots, "node", "left").filter("size > 1 or links > 0")
     known = known.withColumn("root", F.coalesce("root", "node"))
     named = known.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    info = known.join(named, "root").select("node", F.col("doc_id").alias("copy_id"), "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    info = known.join(named, "root").select("node", "root", F.col("doc_id").alias("copy_id"), "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     info = info.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = sketches.select("doc_id", "node", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = rows.join(info, ["node", "salt"], "left")
+    rows = sketches.select("doc_id", "_k1", "_k2", "node", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return rows.join(info, ["node", "salt"], "left").drop("salt")
+
+
+def similarity_join(docs: DataFrame, target: float = TARGET, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """Per row of ``docs``: doc_id, class_id (smallest doc_id linked to it by a chain of links), n_links, copy_id.
+
+    ``n_links`` counts the other rows with a Jaccard similarity of 0.8 or more, exact copies included;
+    ``copy_id`` is the smallest doc_id with the same set of shingles.
+    """
+    out = link(docs, target, trees, depth)
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copy_id", "doc_id").alias("copy_id"))
+
+
+def keep_one(docs: DataFrame, target: float = TARGET, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """One row of each class of linked rows, all columns kept: smallest doc_id (null last), then smallest text key.
+
+    Rows without links stay. Of rows with equal doc_id and text that are the first of their class, one stays.
+    """
+    rows = cut(link(docs, target, trees, depth).filter(F.col("root").isNotNull()).groupBy("root", "doc_id", "_k1", "_k2").agg(F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "_k1", "_k2")
+    first = rows.groupBy("root").agg(F.min(order).alias("f")).select("root", F.col("f.doc_id").alias("f_id"), F.col("f._k1").alias("f1"), F.col("f._k2").alias("f2"))
+    judged = rows.join(first, "root").withColumn("first", F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("_k1") == F.col("f1")) & (F.col("_k2") == F.col("f2")))
+    judged = cut(judged.select(F.col("doc_id").alias("_j"), F.col("_k1").alias("_j1"), F.col("_k2").alias("_j2"), "n", "first"))
+    k1, k2 = text_key()
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_j")) & (k1 == F.col("_j1")) & (k2 == F.col("_j2"))
+    out = docs.join(judged.filter("not first or n > 1").select("_j", "_j1", "_j2"), match, "left_anti")
+    again = judged.filter("first and n > 1").select("_j", "_j1", "_j2")
+    if again.isEmpty():
+        return out
+    return out.unionByName(docs.join(again, match, "left_semi").dropDuplicates(["doc_id", "text"]))
