@@ -238,6 +238,45 @@ def fold(id_column: Column | str, n: int) -> Column:
     return (F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
+BITMAP_BITS = 1 << 26
+PROBES = 3
+
+
+def place_in_bitmap(h: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    return ((h >> np.uint64(13 * probe)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def bitmap_of(hashes: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
+    """Bits set for 64-bit ``column``, as bytes; at most ``bits / 64`` rows reach the driver, whatever the input."""
+    places = F.array(*[F.shiftrightunsigned(column, 13 * k).bitwiseAND(F.lit(bits - 1)) for k in range(PROBES)])
+    rows = hashes.select(F.explode(places).alias("at"))
+    rows = rows.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bit"))
+    got = rows.toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bit").to_numpy()
+    return out.view(np.uint8)
+
+
+def in_bitmap(h: np.ndarray, table: np.ndarray, probe: int) -> np.ndarray:
+    at = place_in_bitmap(h, probe, len(table) * 8)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def may_be_in(docs: DataFrame, hashed: Column, keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """Rows of ``docs`` whose ``hashed`` value may be among ``column`` of ``keys``: all that are, and few others.
+
+    The bitmap has a fixed size, so it can be broadcast for any number of keys; a join has to follow.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(keys, column, bits))
+
+    @F.arrow_udf("boolean")
+    def known(h: pa.Array) -> pa.Array:
+        x = h.to_numpy(zero_copy_only=False).view(np.uint64)
+        return pa.array(np.logical_and.reduce([in_bitmap(x, shared.value, k) for k in range(PROBES)]))
+
+    return docs.filter(known(hashed))
+
+
 def text_key() -> list[Column]:
     """128 bits that follow from the text alone, as columns ``_k1`` and ``_k2``; a null text counts as empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

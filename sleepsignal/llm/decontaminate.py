@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import MIX_A, WordHashes, mix, slices, small_batches, text_key, word_hashes
+from sleepsignal.llm.common import BITMAP_BITS, MIX_A, PROBES, WordHashes, bitmap_of, in_bitmap, mix, slices, small_batches, text_key, word_hashes
 from sleepsignal.session import cut
 
 #: 1 is compared, 0 ignored.
@@ -38,8 +38,6 @@ SPAN = len(MASKS[0])
 SHORTEST = 5
 MIN_OVERLAP = 13
 EQUAL = 0.75
-BITMAP_BITS = 1 << 26
-PROBES = 3
 REACH = 48  # words around a hit that are kept for the comparison
 SALTS = 8
 
@@ -86,10 +84,6 @@ def seeds(words: np.ndarray, counts: np.ndarray, mask: np.ndarray, span: int, nu
     return mix(h[at] * MIX_A), at
 
 
-def place_in_bitmap(h: np.ndarray, probe: int, bits: int) -> np.ndarray:
-    return ((h >> np.uint64(13 * probe)) & np.uint64(bits - 1)).astype(np.int64)
-
-
 def mask_number(length: int, short: list[int]) -> list[int]:
     """Masks that an item of ``length`` words is searched by."""
     return list(range(len(MASKS))) if length >= SPAN else [len(MASKS) + short.index(length)]
@@ -127,23 +121,6 @@ def benchmark_seeds(items: DataFrame, short: list[int]) -> DataFrame:
     return items.mapInArrow(make, "hash long, item_id long, place int")
 
 
-def bitmap_of(found: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap over the seeds' hashes as bytes; at most ``bits / 64`` rows reach the driver."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column("hash").to_numpy().view(np.uint64)
-            for k in range(PROBES):
-                at = place_in_bitmap(h, k, bits)
-                one = np.uint64(1) << (at % 64).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(at // 64), pa.array(one.view(np.int64))], ["word", "bit"])
-
-    got = found.select("hash").mapInArrow(make, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[got.column("word").to_numpy()] = got.column("bit").to_numpy()
-    return out.view(np.uint8)
-
-
 STRETCH = "_k1 long, _k2 long, stretch int, words binary, hits array<struct<place:int,hash:long>>"
 
 
@@ -152,7 +129,6 @@ def stretches(docs: DataFrame, short: list[int], bitmap: np.ndarray) -> DataFram
     masks = masks_for(short)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bitmap)  # its size is fixed by the parameter
-    bits = len(bitmap) * 8
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = Bare(), shared.value
@@ -163,8 +139,7 @@ def stretches(docs: DataFrame, short: list[int], bitmap: np.ndarray) -> DataFram
                 for number, mask in enumerate(masks):
                     h, at = seeds(words, counts, mask, int(mask[-1]) + 1, number)
                     for k in range(PROBES):  # each probe only for what the last let through
-                        probe = place_in_bitmap(h, k, bits)
-                        inside = (table[probe >> 3] >> (probe & 7).astype(np.uint8)) & 1 == 1
+                        inside = in_bitmap(h, table, k)
                         h, at = h[inside], at[inside]
                     hits.append(h)
                     places.append(at)
@@ -207,7 +182,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, bits: int = BITMAP_BITS) ->
     items = cut(benchmark_words(benchmark))
     short = sorted(r["n"] for r in items.filter(F.col("n") < SPAN).select("n").distinct().collect())  # SPAN - SHORTEST values
     found = cut(benchmark_seeds(items, short))
-    around = cut(stretches(docs, short, bitmap_of(found, bits)).dropDuplicates(["_k1", "_k2", "stretch"]))
+    around = cut(stretches(docs, short, bitmap_of(found, "hash", bits)).dropDuplicates(["_k1", "_k2", "stretch"]))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     salt = F.pmod(F.xxhash64("_k1"), F.lit(SALTS)).cast("int").alias("salt")
     key = ["_k1", "_k2", "stretch"]

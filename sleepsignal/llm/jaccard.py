@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import MIX_A, WordHashes, mix, runs, slices, small_batches, text_key, word_hashes
+from sleepsignal.llm.common import MIX_A, WordHashes, may_be_in, mix, runs, slices, small_batches, text_key, word_hashes
 from sleepsignal.llm.components import connected_components
 from sleepsignal.session import cut
 
@@ -194,6 +194,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     texts = docs.select(key.alias("_key"), F.col("text").cast("string"))
+    texts = may_be_in(texts, F.xxhash64("_key"), wanted.select(F.xxhash64(key).alias("_h")), "_h")  # else all texts are shuffled
     joined = texts.join(wanted.withColumn("_key", key).drop("doc_id"), "_key").select(*extra, "text")
     return joined.mapInArrow(make, f"{kinds}, set binary")
 
