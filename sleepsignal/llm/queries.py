@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleepsignal.llm import decontaminate, jaccard, langid, packing, quality, rans, toxicity, warc
+from sleepsignal.llm import ann, decontaminate, jaccard, langid, packing, quality, rans, toxicity, warc
 from sleepsignal.llm.common import fold, read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,9 @@ def op7_minhash_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its verified overlap with the benchmark."""
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vector among all others."""
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
