@@ -3,7 +3,7 @@
 Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest length, so that the nearest of these is
 the one with the largest inner product. Equal vectors are one node.
 
-Building: nodes meet in random groups first and keep their ``degree`` nearest. Then, in rounds, each node
+Building: nodes meet in several random groups first and keep their ``degree`` nearest. Then, in rounds, each node
 joins its neighbours and a bounded number of those it is a neighbour of; members of such a group that have not
 met before are compared, and each keeps its nearest. Rounds end when few neighbours change.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from sleepsignal.session import cut
 
 DEGREE, REVERSE = 24, 24
-GROUP = 64
+GROUP, STARTS = 64, 4
 OFFERS = 8  # neighbours a group offers to each member
 ROUNDS, SETTLED = 10, 0.02
 ENTRIES, BEAM, OPEN = 512, 80, 12
@@ -167,7 +167,9 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE,
     n = half.count()
     groups = max(1, -(-n // GROUP))
     lowest = F.lit(float("-inf")).cast("float")
-    start = half.select(F.pmod(sample_hash(3, "node"), F.lit(groups)).alias("g"), F.col("node").alias("u"), "vec", lowest.alias("worst"), F.lit(True).alias("fresh"))
+    # several groupings, so that neighbours of neighbours lead out of a group
+    dealt = F.explode(F.array(*[F.pmod(sample_hash(100 + k, "node"), F.lit(groups)) * STARTS + k for k in range(STARTS)]))
+    start = half.select(dealt.alias("g"), F.col("node").alias("u"), "vec", lowest.alias("worst"), F.lit(True).alias("fresh"))
     edges = cut(keep_nearest(local_join(start).withColumn("old", F.lit(False)), degree))
     few = Window.partitionBy("g").orderBy(sample_hash(5, "g", "u"), "u")
     for _ in range(rounds):
