@@ -34,7 +34,7 @@ DEGREE, REVERSE = 24, 24
 GROUP, STARTS = 64, 4
 OFFERS = 8  # neighbours a group offers to each member
 ROUNDS, SETTLED = 10, 0.02
-ENTRIES, BEAM, OPEN = 512, 80, 12
+ENTRIES, BEAM, OPEN = 512, 160, 16
 RANDOM_LINKS = 2
 
 

@@ -37,14 +37,15 @@ class Shapes(dict):
 class Grams:
     """Features of texts as 64-bit hashes: words and pairs of words; with ``marks`` also marks, shapes and repeats.
 
-    Without ``marks``, longer words also give their first four and five letters, so that inflected forms meet.
+    Without ``marks`` and with ``stems``, longer words also give their first four and five letters, so that
+    inflected forms meet.
 
     With ``marks``, runs of marks are tokens, pairs of shapes are features, and so are the shares (in eighths) of
     capital words, of marks, of tokens that repeat the one before, and of distinct words among all.
     """
 
-    def __init__(self, marks: bool = False):
-        self.marks, self.words, self.shapes = marks, WordHashes(), Shapes()
+    def __init__(self, marks: bool = False, stems: bool = True):
+        self.marks, self.stems, self.words, self.shapes = marks, stems, WordHashes(), Shapes()
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Features, each with the index of its text; a feature may come more than once."""
@@ -59,7 +60,7 @@ class Grams:
         pairs = mix(raw[:-1] * MIX_A + raw[1:])[same]
         feats, docs = [raw, pairs], [doc, doc[:-1][same]]
         if not self.marks:
-            for k in STEMS:
+            for k in STEMS if self.stems else ():
                 long_ = [i for i, w in enumerate(flat) if len(w) > k]
                 feats.append(self.words.of([f"{flat[i][:k]}-" for i in long_]))
                 docs.append(doc[long_])

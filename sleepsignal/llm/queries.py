@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleepsignal.llm import ann, decontaminate, jaccard, langid, packing, quality, rans, toxicity, warc
+from sleepsignal.llm import ann, decontaminate, jaccard, langid, license, packing, quality, rans, toxicity, warc
 from sleepsignal.llm.common import fold, read_table, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,10 @@ def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 def op6_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every 20th vector among all others."""
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op4_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the licence families of its paragraphs."""
+    docs = license.scan_licences(read_table(spark, sf_dir, "documents"), "_licences")
+    return docs.select("doc_id", F.array_join("_licences.families", ",").alias("families"), "_licences.n_paragraphs", "_licences.score")
