@@ -28,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sleepsignal.llm.common import release
 from sleepsignal.session import cut
 
-DEGREE, REVERSE = 24, 24
+DEGREE, REVERSE = 40, 32
 GROUP, STARTS = 64, 4
-OFFERS = 8  # neighbours a group offers to each member
+OFFERS = 10  # neighbours a group offers to each member
 ROUNDS, SETTLED = 10, 0.02
-ENTRIES, BEAM, OPEN = 512, 160, 16
+ENTRIES, BEAM, OPEN = 512, 128, 16
 RANDOM_LINKS = 2
 
 
@@ -180,6 +181,7 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE,
         info = half.join(worst, half["node"] == worst["u"], "left").select("node", "vec", F.coalesce("worst", lowest).alias("worst"))
         members = both.join(info, both["u"] == info["node"]).select("g", "u", "vec", "worst", "fresh")
         offers = local_join(members).withColumn("old", F.lit(False))
+        release(half.sparkSession)
         edges = cut(keep_nearest(edges.select("u", "c", "s", F.lit(True).alias("old")).unionByName(offers), degree))
         if edges.filter("fresh").count() <= SETTLED * n * degree:
             break
@@ -271,6 +273,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, links: DataFrame, entrie
         after = cut(advance(states, near.join(vectors, "node").select("q", "node", "vec"), beam, width))
         finished.append(after.filter(F.size("todo") == 0))
         states = after.filter(F.size("todo") > 0)
+        release(nodes.sparkSession)
     finished.append(states)
     for part in finished:
         done = done.unionByName(part)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
@@ -232,6 +233,12 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of rounds that are over; else they stay until memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(id_column: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     c = F.col(id_column) if isinstance(id_column, str) else id_column

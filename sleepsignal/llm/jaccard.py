@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import MIX_A, WordHashes, may_be_in, mix, runs, slices, small_batches, text_key, word_hashes
+from sleepsignal.llm.common import MIX_A, WordHashes, may_be_in, mix, release, runs, slices, small_batches, text_key, word_hashes
 from sleepsignal.llm.components import connected_components
 from sleepsignal.session import cut
 
@@ -94,9 +94,9 @@ def sketch(docs: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame
     """doc_id, text key, node (128-bit hash of the set; null without words), n (shingles), signature of each row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = WordHashes(150_000)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 2_000_000):
                 h, n = shingles(*word_hashes(batch.column("text"), known))
                 sig = signatures(h, n, trees * depth)
                 ends = np.cumsum(n)
@@ -182,9 +182,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.select(*extra).schema)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = WordHashes(150_000)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 2_000_000):
                 h, n = shingles(*word_hashes(batch.column("text"), known))
                 ends = np.cumsum(n)
                 sets = [h[a:b].tobytes() for a, b in zip(ends - n, ends, strict=True)]
@@ -293,6 +293,7 @@ def link(docs: DataFrame, target: float = TARGET, trees: int = TREES, depth: int
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = sets.withColumn("_o", other).withColumn("x", F.least("block", "_o")).withColumn("y", F.greatest("block", "_o")).drop("_o")
     found = cut(verify(pairs))
+    release(docs.sparkSession)
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("blocks").alias("blocks"))
     whole = links.filter("blocks = 1").select("node", "root")
     split = found.filter("blocks > 1 and node <> root").select("node", "root")

@@ -51,7 +51,10 @@ IDS = "doc_id long, local_start long, n_tokens long, ids_crc32 long, ids binary"
 
 def frequencies(counts: np.ndarray, bits: int) -> np.ndarray:
     """Scale counts to a sum of 2**bits; every symbol that occurs keeps at least 1."""
+    out = np.zeros(len(counts), np.int64)
     seen = np.flatnonzero(counts)
+    if not len(seen):
+        return out
     total = 1 << bits
     f = np.maximum(1, counts[seen] * total // counts.sum())
     over = int(f.sum()) - total
@@ -64,7 +67,6 @@ def frequencies(counts: np.ndarray, bits: int) -> np.ndarray:
             over -= take
             if not over:
                 break
-    out = np.zeros(len(counts), np.int64)
     out[seen] = f
     return out
 
