@@ -220,7 +220,8 @@ def begin(queries: DataFrame, nodes: DataFrame, entries: int, beam: int, width:
     """States of the queries (q, query) at the entry nodes, ``entries`` at most by smallest hash."""
     got = nodes.select("node", "vec").orderBy(sample_hash(9, "node"), "node").limit(entries).toArrow()
     ids = got.column("node").to_numpy()
-    x = np.frombuffer(b"".join(got.column("vec").to_pylist()), np.float32).reshape(len(ids), -1)
+    x = np.frombuffer(b"".join(got.column("vec").to_pylist()), np.float32)
+    x = x.reshape(len(ids), len(x) // max(1, len(ids)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

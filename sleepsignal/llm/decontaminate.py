@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import BITMAP_BITS, MIX_A, PROBES, WordHashes, bitmap_of, in_bitmap, mix, slices, small_batches, text_key, word_hashes
+from sleepsignal.llm.common import BITMAP_BITS, MIX_A, PROBES, WordHashes, bitmap_of, in_bitmap, mix, slices, small_batches, text_key, trimmed, word_hashes
 from sleepsignal.session import cut
 
 #: 1 is compared, 0 ignored.
@@ -133,7 +133,7 @@ def stretches(docs: DataFrame, short: list[int], bitmap: np.ndarray) -> DataFram
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = Bare(), shared.value
         for whole in batches:
-            for batch in slices(whole, "text", 4_000_000):
+            for batch in slices(whole, "text", 2_000_000):
                 words, counts = words_of(batch.column("text"), known)
                 hits, places = [], []
                 for number, mask in enumerate(masks):
@@ -165,7 +165,7 @@ def stretches(docs: DataFrame, short: list[int], bitmap: np.ndarray) -> DataFram
                     ("_k1", pa.int64()), ("_k2", pa.int64()), ("stretch", pa.int32()), ("words", pa.binary()),
                     ("hits", pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64())])))]))
 
-    return docs.select(*text_key(), F.col("text").cast("string")).mapInArrow(make, STRETCH)
+    return docs.select(*text_key(), F.col("text").cast("string")).mapInArrow(trimmed(make), STRETCH)
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:

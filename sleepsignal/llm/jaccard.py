@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import MIX_A, WordHashes, may_be_in, mix, release, runs, slices, small_batches, text_key, word_hashes
+from sleepsignal.llm.common import MIX_A, WordHashes, may_be_in, mix, release, runs, slices, small_batches, text_key, trimmed, word_hashes
 from sleepsignal.llm.components import connected_components
 from sleepsignal.session import cut
 
@@ -108,7 +108,7 @@ def sketch(docs: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), *text_key(), F.col("text").cast("string"))
-    return rows.mapInArrow(make, "doc_id long, _k1 long, _k2 long, node binary, n int, signature binary")
+    return rows.mapInArrow(trimmed(make), "doc_id long, _k1 long, _k2 long, node binary, n int, signature binary")
 
 
 def prefixes(nodes: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
@@ -196,7 +196,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = docs.select(key.alias("_key"), F.col("text").cast("string"))
     texts = may_be_in(texts, F.xxhash64("_key"), wanted.select(F.xxhash64(key).alias("_h")), "_h")  # else all texts are shuffled
     joined = texts.join(wanted.withColumn("_key", key).drop("doc_id"), "_key").select(*extra, "text")
-    return joined.mapInArrow(make, f"{kinds}, set binary")
+    return joined.mapInArrow(trimmed(make), f"{kinds}, set binary")
 
 
 def count_links(sets: list[np.ndarray], sizes: np.ndarray, left: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +274,7 @@ def verify(rows: DataFrame) -> DataFrame:
 
     keyed = rows.withColumn("pair", F.xxhash64("component", F.lit("pair"))).drop("component")
     by = keyed.repartition("pair", "x", "y").sortWithinPartitions("pair", "x", "y", "node")
-    return by.mapInArrow(make, "node binary, links long, root binary, blocks int")
+    return by.mapInArrow(trimmed(make), "node binary, links long, root binary, blocks int")
 
 
 def link(docs: DataFrame, target: float = TARGET, trees: int = TREES, depth: int = DEPTH) -> DataFrame:

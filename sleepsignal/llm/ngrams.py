@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import MIX_A, WordHashes, fold, mix, slices, small_batches, unit
+from sleepsignal.llm.common import MIX_A, WordHashes, fold, mix, slices, small_batches, trimmed, unit
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 WORDS = re.compile(r"\w+")
@@ -61,8 +61,8 @@ class Grams:
         feats, docs = [raw, pairs], [doc, doc[:-1][same]]
         if not self.marks:
             for k in STEMS if self.stems else ():
-                long_ = [i for i, w in enumerate(flat) if len(w) > k]
-                feats.append(self.words.of([f"{flat[i][:k]}-" for i in long_]))
+                long_ = np.fromiter(map(len, flat), np.int64, len(flat)) > k
+                feats.append(self.words.of([f"{w[:k]}-" for w in flat if len(w) > k]))
                 docs.append(doc[long_])
         else:
             shape = np.fromiter(map(self.shapes.__getitem__, flat), np.int64, len(flat))
@@ -102,16 +102,19 @@ class Linear:
 def with_score(docs: DataFrame, model: Linear, name: str, marks: bool = False) -> DataFrame:
     """Add the model's score of each whole text as column ``name``; only the text goes through Python."""
 
-    @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grams = Grams(marks)
         for column in batches:
             out = []
-            for part in slices(pa.record_batch({"text": column}), "text"):
+            for part in slices(pa.record_batch({"text": column}), "text", 1_000_000):
                 feats, doc = grams.of(part.column(0).to_pylist())
                 out.append(model.scores(feats, doc, part.num_rows))
             yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from trimmed(make)(batches)
+
     small_batches(docs.sparkSession)
     return docs.withColumn(name, score(F.col("text").cast("string")))
 
@@ -125,13 +128,13 @@ def features_of(docs: DataFrame, keep: list[str], marks: bool = False) -> DataFr
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(marks)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1_000_000):
                 feats, doc = grams.of(batch.column("text").to_pylist())
                 order = np.argsort(doc, kind="stable")
                 rows = [np.unique(x).tobytes() for x in np.split(feats[order], np.searchsorted(doc[order], np.arange(1, batch.num_rows)))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, pa.binary())], [*keep, "features"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(make, f"{kinds}, features binary")
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(trimmed(make), f"{kinds}, features binary")
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: int, folds: int, rows: int, seed: int = 7) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import WordTokens, slices, small_batches
+from sleepsignal.llm.common import WordTokens, slices, small_batches, trimmed
 from sleepsignal.session import cut
 
 GROUPS = 512
@@ -74,7 +74,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int, end_id: int, with_ids:
                 yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(make, PIECES + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(trimmed(make), PIECES + (", ids binary" if with_ids else ""))
 
 
 def rank_all(rows: DataFrame, value: str) -> DataFrame:

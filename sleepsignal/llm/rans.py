@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import WordTokens, open_fs, shared_folder, slices, small_batches, write_file
+from sleepsignal.llm.common import WordTokens, open_fs, shared_folder, slices, small_batches, trimmed, write_file
 from sleepsignal.session import cut
 
 MAGIC = b"IDSRANS1"
@@ -118,7 +118,7 @@ def decode_blocks(states: np.ndarray, words: np.ndarray, at: np.ndarray, steps:
         x = table.freq[sym] * (x >> table.bits) + slot - table.start[sym]
         need = x < LOW
         nth = np.cumsum(need, axis=1)
-        x[need] = (x[need] << WORD) | words[(at[:, None] + nth - 1)[need]]
+        x[need] = (x[need] << WORD) | words.take((at[:, None] + nth - 1)[need], mode="clip")
         at += nth[:, -1]
     return out
 
@@ -284,7 +284,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | No
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return cut(ordered.mapInArrow(write, SHARDS))
+    return cut(ordered.mapInArrow(trimmed(write), SHARDS))
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -324,7 +324,7 @@ def read_ids(shards: DataFrame, with_ids: bool = False) -> DataFrame:
 
     splits = shard_starts(shards).select("file", "shard_start", F.explode(F.sequence(F.lit(0), ((F.col("n_blocks") - 1) / SPLIT_BLOCKS).cast("int"))).alias("split"))
     n = max(1, min(100_000, splits.count()))
-    out = splits.repartition(n, "file", "split").mapInArrow(read, IDS).withColumnRenamed("local_start", "start")
+    out = splits.repartition(n, "file", "split").mapInArrow(trimmed(read), IDS).withColumnRenamed("local_start", "start")
     return out if with_ids else out.drop("ids")
 
 

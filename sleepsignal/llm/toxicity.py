@@ -26,41 +26,49 @@ from sleepsignal.llm.ngrams import Linear, Sample, collect_features, sample_labe
 POSITIVES, UNLABELLED = 3000, 6000
 HELD_OUT, FOLDS = 0, 5
 THRESHOLD = 0.5
+LIFT, SIGMAS = 2.0, 5.0
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 200, step: float = 0.5, l1: float = 2e-4, beta: float = 0.0) -> Linear:
-    """Weights by full-batch adaptive steps on the non-negative risk, with an L1 proximal step."""
-    s = Sample([*positive, *unlabelled], least=max(2, min(5, len(positive) // 4)))
-    n_pos = len(positive)
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 200, step: float = 0.3, l1: float = 1e-4) -> Linear:
+    """Weights by full-batch adaptive steps on the non-negative risk, with an L1 proximal step.
+
+    Only features that are clearly more common among the positive examples than in unlabelled text take part:
+    ``LIFT`` times as common, by ``SIGMAS`` standard errors. Words of a language, as common in both, would else
+    swing with every step.
+    """
+    s = Sample([*positive, *unlabelled], least=2)
+    n_pos, n_unl = max(1, len(positive)), max(1, len(unlabelled))
     prior = float(np.clip(prior, 1e-3, 0.999))
-    m = len(s.features)
+    with_pos = np.bincount(s.column[s.row < len(positive)], minlength=len(s.features)) / n_pos
+    with_unl = np.bincount(s.column[s.row >= len(positive)], minlength=len(s.features)) / n_unl
+    floor = np.maximum(with_unl, 3 / n_unl)
+    used = (with_pos >= LIFT * floor) & (with_pos - with_unl >= SIGMAS * np.sqrt(floor / n_pos))
+    number, kept = np.cumsum(used) - 1, used[s.column]
+    column, row, features = number[s.column[kept]], s.row[kept], s.features[used]
+    m = len(features)
     w, b = np.zeros(m), float(np.log(prior / (1 - prior)))
-    square, square_b = np.full(m, 1e-6), 1e-6
-    is_pos = np.arange(s.n) < n_pos
-    n_unl = max(1, s.n - n_pos)
+    square, square_b = np.full(m, 1e-8), 1e-8
+    is_pos = np.arange(s.n) < len(positive)
     for _ in range(rounds):
-        g = b + np.bincount(s.row, w[s.column], s.n)
+        g = b + np.bincount(row, w[column], s.n)
         p = sigmoid(g)
-        loss_neg = np.logaddexp(0, g)  # of calling it clean
-        bracket = loss_neg[~is_pos].sum() / n_unl - prior * loss_neg[is_pos].sum() / max(1, n_pos)
-        grad_bracket = np.where(is_pos, -prior * p / max(1, n_pos), p / n_unl)
-        if bracket >= -beta:
-            grad = grad_bracket + np.where(is_pos, -prior * (1 - p) / max(1, n_pos), 0.0)
-        else:
-            grad = -grad_bracket
-        dw, db = np.bincount(s.column, grad[s.row], m), grad.sum()
+        as_clean = np.logaddexp(0, g)  # loss of calling it clean
+        bracket = as_clean[~is_pos].sum() / n_unl - prior * as_clean[is_pos].sum() / n_pos
+        up = np.where(is_pos, -prior * p / n_pos, p / n_unl)
+        grad = up + np.where(is_pos, -prior * (1 - p) / n_pos, 0.0) if bracket >= 0 else -up
+        dw, db = np.bincount(column, grad[row], m), grad.sum()
         square += dw * dw
         square_b += db * db
         rate = step / np.sqrt(square)
-        w = w - rate * dw
+        w -= rate * dw
         w = np.sign(w) * np.maximum(0, np.abs(w) - rate * l1)
-        b -= step * 0.2 * db / np.sqrt(square_b)
-    used = np.flatnonzero(w)
-    return Linear(s.features[used], w[used], b)
+        b -= step * db / np.sqrt(square_b)
+    left = np.flatnonzero(w)
+    return Linear(features[left], w[left], b)
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Linear:
