@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sleepsignal.llm.common import fold, unit
 from sleepsignal.llm.ngrams import Linear, Sample, collect_features, sample_labelled, with_score
 
-POSITIVES, UNLABELLED = 3000, 6000
+POSITIVES, UNLABELLED = 2000, 4000
 HELD_OUT, FOLDS = 0, 5
 THRESHOLD = 0.5
 LIFT, SIGMAS = 2.0, 5.0
