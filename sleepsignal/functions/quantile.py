@@ -1,8 +1,8 @@
 """Exact interpolated quantiles without holding a group in one aggregation buffer.
 
-``percentile`` keeps every distinct value of a group in one map.  Here a histogram
-(partial aggregation, at most ``n_buckets`` rows per group) finds the bucket that
-holds each wanted rank; only the values of those buckets are counted and ordered.
+``percentile`` keeps every distinct value of a group in one map.  Here a histogram over
+buckets cut at approximate quantiles (partial aggregation, at most ``n_buckets`` rows per
+group) finds the bucket that holds each wanted rank; only its values are ordered.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sleepsignal.plans.chunked import bucket_of
+from sleepsignal.plans.chunked import with_value_chunk
 
-N_BUCKETS = 4096
+N_BUCKETS = 512
 
 
 def exact_quantiles(
@@ -23,9 +23,9 @@ def exact_quantiles(
     """One row per key with a column for each entry of ``probs`` (name -> probability)."""
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    bounds = data.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_n"))
-    bucketed = data.join(bounds, keys).withColumn("_b", bucket_of(F.col("_v"), F.col("_lo"), F.col("_hi"), n_buckets))
-    hist = bucketed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_m"), F.first("_n").alias("_n"))
+    bucketed = with_value_chunk(data, keys, "_v", n_buckets, "_b")
+    hist = bucketed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_m"))
+    hist = hist.withColumn("_n", F.sum("_m").over(Window.partitionBy(*keys)))
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("_below", F.sum("_m").over(upto) - F.col("_m"))
 
@@ -36,10 +36,8 @@ def exact_quantiles(
     wanted = F.lit(False)
     for s in spots.values():
         wanted = wanted | inside(F.col("_below"), F.col("_m"), F.floor(s)) | inside(F.col("_below"), F.col("_m"), F.ceil(s))
-    targets = hist.filter(wanted).select(*keys, "_b", "_below")
-    values = bucketed.join(targets, [*keys, "_b"]).groupBy(*keys, "_b", "_v").agg(
-        F.count(F.lit(1)).alias("_m"), F.first("_below").alias("_below"), F.first("_n").alias("_n")
-    )
+    targets = hist.filter(wanted).select(*keys, "_b", "_below", "_n")
+    values = bucketed.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_m")).join(targets, [*keys, "_b"])
     inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     values = values.withColumn("_start", F.col("_below") + F.sum("_m").over(inner) - F.col("_m"))
     aggs = []

@@ -23,19 +23,21 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, y: str, weight:
     )
 
 
-def cumulative_counts(counts: DataFrame, keys: Sequence[str], n_chunks: int = 512) -> DataFrame:
+def cumulative_counts(counts: DataFrame, keys: Sequence[str], n_chunks: int = 512, bound_keys: Sequence[str] | None = None) -> DataFrame:
     """Adds the inclusive running counts ``_cpos`` and ``_cneg`` by ascending value."""
     return running(
-        with_value_chunk(counts, keys, "_v", n_chunks),
+        with_value_chunk(counts, keys, "_v", n_chunks, bound_keys=bound_keys),
         keys,
         ["_v"],
         [Run("_cpos", F.col("_pos"), "sum"), Run("_cneg", F.col("_neg"), "sum")],
     ).drop(CHUNK)
 
 
-def rank_sums(df: DataFrame, keys: Sequence[str], value: str, y: str, weight: str | None = None) -> DataFrame:
+def rank_sums(
+    df: DataFrame, keys: Sequence[str], value: str, y: str, weight: str | None = None, bound_keys: Sequence[str] | None = None
+) -> DataFrame:
     """Per key: n_pos, n_neg, Mann-Whitney U of the positives, tie term and AUC."""
-    cum = cumulative_counts(value_counts(df, keys, value, y, weight), keys)
+    cum = cumulative_counts(value_counts(df, keys, value, y, weight), keys, bound_keys=bound_keys)
     t = (F.col("_pos") + F.col("_neg")).cast("double")
     u = F.col("_pos") * (F.col("_cneg") - F.col("_neg") / F.lit(2.0))
     return (

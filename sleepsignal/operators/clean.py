@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from sleepsignal.plans.chunked import Run, running, with_time_chunk
+from sleepsignal.plans.chunked import Run, join_salted, running, with_time_chunk
 from sleepsignal.schemas import KEY, SESSION_ID, STAGE_CODES, STAGES, T, require
 
 ARTEFACT_UV = 300.0
@@ -56,15 +56,15 @@ def channel_names(channels: DataFrame) -> DataFrame:
 
 
 def trim_lights(df: DataFrame, lights: DataFrame, t: str = T) -> DataFrame:
-    """Rows with lights_off <= t <= lights_on."""
-    cond = F.col(t).between(F.col("lights_off"), F.col("lights_on"))
-    return df.join(lights.select(KEY, "lights_off", "lights_on"), KEY).filter(cond).select(*df.columns)
+    """Rows with lights_off <= t <= lights_on; a session without a lights row, or a limit that is NULL, is kept whole."""
+    cond = (F.col(t) >= F.coalesce("lights_off", t)) & (F.col(t) <= F.coalesce("lights_on", t))
+    return join_salted(df, lights.select(KEY, "lights_off", "lights_on"), [KEY], "left").filter(cond).select(*df.columns)
 
 
 def time_offset(df: DataFrame, lights: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Shift recording-relative times by lights_off."""
-    off = df.join(lights.select(KEY, "lights_off"), KEY)
-    return off.select(*[(F.col(c) + F.col("lights_off")).alias(c) if c in cols else F.col(c) for c in df.columns])
+    """Shift recording-relative times by lights_off; by nothing where a session has no lights row."""
+    off = join_salted(df, lights.select(KEY, "lights_off"), [KEY], "left")
+    return off.select(*[(F.col(c) + F.coalesce("lights_off", F.lit(0.0))).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def mask_artefacts(df: DataFrame, limit: float = ARTEFACT_UV) -> DataFrame:

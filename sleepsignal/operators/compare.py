@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sleepsignal.functions.distributions import normal_two_sided
 from sleepsignal.functions.quantile import exact_quantiles
 from sleepsignal.functions.ranks import cumulative_counts, rank_sums, value_counts
-from sleepsignal.plans.chunked import CHUNK, row_index, with_value_chunk
+from sleepsignal.plans.chunked import CHUNK, join_salted, row_index, with_value_chunk
 from sleepsignal.session import cut
 
 # Fixed value: modulus of the draw generator (a Mersenne prime, so squares fit 64 bits).
@@ -78,7 +78,7 @@ def numbered(oof: DataFrame) -> DataFrame:
     """Predictions with a 0-based number by id and the total."""
     d = oof.withColumn("_all", F.lit(0))
     n = d.groupBy("_all").agg(F.count(F.lit(1)).alias("n"))
-    return row_index(with_value_chunk(d, ["_all"], "id"), ["_all"], ["id"], "i").drop(CHUNK).join(n, "_all").drop("_all")
+    return row_index(with_value_chunk(d, ["_all"], "id"), ["_all"], ["id"], "i").drop(CHUNK).join(F.broadcast(n), "_all").drop("_all")
 
 
 def bootstrap_weights(num: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
@@ -92,7 +92,8 @@ def bootstrap_deltas(oof: DataFrame, a: str, b: str, n_boot: int = 10_000, seed:
     num = cut(numbered(oof))
     drawn = bootstrap_weights(num, n_boot, seed).join(num, "i")
     long = long_scores(drawn, [a, b], ("replicate", "y_true", "w"))
-    auc = rank_sums(long, ["replicate", "model"], "score", "y_true", "w")
+    # the boundaries of a model's scores serve all its replicates
+    auc = rank_sums(long, ["replicate", "model"], "score", "y_true", "w", bound_keys=["model"])
     pick = lambda m: F.max(F.when(F.col("model") == m, F.col("auc")))
     return auc.groupBy("replicate").agg(pick(a).alias("auc_1"), pick(b).alias("auc_2")).withColumn("delta", F.col("auc_1") - F.col("auc_2"))
 
@@ -182,7 +183,7 @@ def probability_strip(pred: DataFrame, binary: bool = True) -> DataFrame:
     """Plotted probability of every subject with its class size."""
     p = F.col("probs")[1] if binary else F.array_max("probs")
     n = pred.groupBy("model", "y_true").agg(F.count(F.lit(1)).alias("n_class"))
-    return pred.join(n, ["model", "y_true"]).select("model", "id", "y_true", p.alias("prob"), "n_class")
+    return join_salted(pred, n, ["model", "y_true"]).select("model", "id", "y_true", p.alias("prob"), "n_class")
 
 
 def stratified_folds(df: DataFrame, k: int, seed: int = 42, y: str = "y", subject: str = "id") -> DataFrame:
@@ -200,4 +201,4 @@ def majority_baseline(df: DataFrame, y: str = "y") -> DataFrame:
     folds = c.groupBy("_one").agg(F.collect_set("fold").alias("_f"))
     per = total.join(folds, "_one").withColumn("val", F.explode("_f")).withColumn("n", F.col("_t") - F.coalesce(F.try_element_at("_m", F.col("val")), F.lit(0)))
     best = per.groupBy(F.col("val").alias("fold")).agg(F.max_by(y, F.struct("n", -F.col(y))).alias("y_pred"))
-    return df.join(best, "fold").select(F.lit("Baseline (majority)").alias("model"), "fold", "id", F.col(y).alias("y_true"), "y_pred")
+    return join_salted(df, best, ["fold"]).select(F.lit("Baseline (majority)").alias("model"), "fold", "id", F.col(y).alias("y_true"), "y_pred")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sleepsignal.operators.compare import classification_metrics, majority_baseline, stratified_folds
+from sleepsignal.plans.chunked import join_salted
 from sleepsignal.session import cut
 
 Scaler = dict[str, tuple[float, float]]
@@ -109,7 +110,7 @@ def class_weights(df: DataFrame, y: str = "y") -> DataFrame:
     c = df.groupBy(y).agg(F.count(F.lit(1)).alias("_nc"))
     t = c.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k")).withColumn("_one", F.lit(1))
     w = c.withColumn("_one", F.lit(1)).join(F.broadcast(t), "_one").select(y, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("weight"))
-    return df.join(w, y)
+    return join_salted(df, w, [y])
 
 
 def build(name: str, params: dict, seed: int, n_classes: int, total_weight: float):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sleepsignal.functions.quantile import exact_quantiles
+from sleepsignal.plans.chunked import join_salted
 
 BOX = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -41,7 +42,7 @@ def histogram(long: DataFrame, keys: Sequence[str] = ("feature",), n_bins: int |
     b = b.withColumn("n_bins", bins.cast("int"))
     pos = F.floor((F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * F.col("n_bins"))
     at = F.coalesce(F.least(F.col("n_bins") - 1, pos), F.lit(0)).cast("int")
-    counts = v.join(b, keys).groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = join_salted(v, b, keys).groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = b.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)))
     step = (F.col("hi") - F.col("lo")) / F.col("n_bins")
     return grid.join(counts, [*keys, "bin"], "left").select(
@@ -58,14 +59,14 @@ def boxplot_stats(long: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFr
     iqr = F.col("q3") - F.col("q1")
     r = r.withColumns({
         "whisker_lo": F.greatest("_min", F.col("q1") - iqr * 1.5), "whisker_hi": F.least("_max", F.col("q3") + iqr * 1.5)})
-    out = v.join(r.select(*keys, "whisker_lo", "whisker_hi"), keys).groupBy(*keys).agg(
+    out = join_salted(v, r.select(*keys, "whisker_lo", "whisker_hi"), keys).groupBy(*keys).agg(
         F.count_if(~F.col("value").between(F.col("whisker_lo"), F.col("whisker_hi"))).alias("n_outliers"))
     return r.drop("_min", "_max").join(out, keys)
 
 
 def outliers(long: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
     box = boxplot_stats(long, keys).select(*keys, "whisker_lo", "whisker_hi")
-    return long.join(box, list(keys)).filter(~F.col("value").between(F.col("whisker_lo"), F.col("whisker_hi"))).drop("whisker_lo", "whisker_hi")
+    return join_salted(long, box, keys).filter(~F.col("value").between(F.col("whisker_lo"), F.col("whisker_hi"))).drop("whisker_lo", "whisker_hi")
 
 
 def group_distribution(long: DataFrame, group: str = "group") -> DataFrame:

@@ -54,22 +54,36 @@ def with_time_chunk(df: DataFrame, t: str, length: float, name: str = CHUNK) ->
 
 
 def with_value_chunk(
-    df: DataFrame, keys: Sequence[str], value: str, n_chunks: int = 512, name: str = CHUNK
+    df: DataFrame, keys: Sequence[str], value: str, n_chunks: int = 512, name: str = CHUNK, bound_keys: Sequence[str] | None = None
 ) -> DataFrame:
-    """Equal-width value buckets per key, from the key's own minimum and maximum."""
-    bounds = df.groupBy(*keys).agg(
-        F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi")
-    )
-    return (
-        df.join(bounds, list(keys))
-        .withColumn(name, bucket_of(F.col(value).cast("double"), F.col("_lo"), F.col("_hi"), n_chunks))
-        .drop("_lo", "_hi")
-    )
+    """Value buckets per key, cut at the key's approximate quantiles: an outlier moves no boundary.
 
-
-def bucket_of(v: Column, lo: Column, hi: Column, n: int) -> Column:
-    pos = F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * n)
-    return F.coalesce(F.least(F.lit(n - 1), F.greatest(F.lit(0), pos)), F.lit(0)).cast("long")
+    The number of chunks is the next power of two. Equal values share a chunk. ``bound_keys`` (default: all
+    keys) are those whose values are taken together for the boundaries.
+    """
+    by = list(keys if bound_keys is None else bound_keys)
+    n = 1 << max(0, n_chunks - 1).bit_length()
+    v = F.col(value).cast("double")
+    if n == 1:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    cuts = df.groupBy(*by).agg(F.percentile_approx(v, [k / n for k in range(1, n)], 20 * n).alias("_cuts"))
+    out, step = join_salted(df, cuts, by).withColumn(name, F.lit(0)), n // 2
+    while step:  # binary search: how many cuts lie below the value
+        out = out.withColumn(name, F.col(name) + F.when(v > F.element_at("_cuts", F.col(name) + step), step).otherwise(0))
+        step //= 2
+    return out.withColumn(name, F.col(name).cast("long")).drop("_cuts")
+
+
+def join_salted(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """Attach one row per key to many rows, with every key spread over ``salts`` shares.
+
+    The small table is repeated per share, so a key that holds a third of the rows is not one task's work.
+    Spark still broadcasts it where it is small.
+    """
+    simple = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
+    share = F.pmod(F.xxhash64(*simple), F.lit(salts)).cast("int")
+    small = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", share).join(small, [*keys, "_salt"], how).drop("_salt")
 
 
 def running(
