@@ -329,7 +329,7 @@ def topk_frequency(spark, sf):
     return report.top_frequency(stability(spark, sf), 8)
 
 
-YEARS = ("y1993", "y1994", "y1995")
+YEARS = tuple(f"y{y}" for y in range(1992, 1999))
 
 
 def effects(spark, sf):

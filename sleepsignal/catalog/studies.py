@@ -241,7 +241,7 @@ def oof_alignment(spark, sf):
     return compare.check_aligned(a, b)
 
 
-N_BOOT = 60
+N_BOOT = 10_000
 DRAWS = f"""num AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM oof),
 d1 AS (SELECT b.b, n, ((i + 1) * 48271 + (b.b + 1) * 69621 + 42) % 2147483647 AS x FROM num, (SELECT unnest(range({N_BOOT})) AS b) b),
 d2 AS (SELECT b, n, x, (x * x + 12387) % 2147483647 AS y FROM d1),
@@ -478,7 +478,7 @@ def nested_cv(spark, sf):
 @query("mdi_importance")
 def mdi_importance(spark, sf):
     m = cut(ml.standardise(matrix(spark, sf), [], COLS)[0])
-    return ml.mdi_importance(ml.fit(m, COLS, "Random Forest", SMALL["Random Forest"]), spark, COLS, 20)
+    return ml.mdi_importance(ml.fit(m, COLS, "Random Forest", SMALL["Random Forest"]), spark, COLS, len(COLS))
 
 
 @query("pca_2d")
@@ -493,10 +493,10 @@ def compare_models(spark, sf):
 
 
 @query("macro_auc", """
-WITH z AS (SELECT label AS y, k, embedding[k + 1] AS s FROM embeddings, range(10) r(k)),
+WITH z AS (SELECT label AS y, k, embedding[k + 1] AS s FROM embeddings, range(64) r(k)),
 c AS (SELECT k, CAST(y = k AS INTEGER) AS h, rank() OVER (PARTITION BY k ORDER BY s) + (count(*) OVER (PARTITION BY k, s) - 1) / 2 AS r FROM z),
-a AS (SELECT k, (sum(r) FILTER (WHERE h = 1) - sum(h) * (sum(h) + 1) / 2) / (sum(h) * sum(1 - h)) AS auc FROM c GROUP BY 1)
+a AS (SELECT k, (sum(r) FILTER (WHERE h = 1) - sum(h) * (sum(h) + 1) / 2) / nullif(sum(h) * sum(1 - h), 0) AS auc FROM c GROUP BY 1)
 SELECT 'm' AS model, round(avg(auc), 9) AS auc FROM a""")
 def macro_auc(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.lit("m").alias("model"), F.col("label").alias("y_true"), F.slice("embedding", 1, 10).cast("array<double>").alias("probs"))
+    e = table(spark, sf, "embeddings").select(F.lit("m").alias("model"), F.col("label").alias("y_true"), F.col("embedding").cast("array<double>").alias("probs"))
     return compare.macro_auc(e).withColumn("auc", F.round("auc", 9))

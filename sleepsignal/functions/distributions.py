@@ -12,7 +12,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 _N = NormalDist()
 
@@ -44,12 +44,19 @@ def beta_inc(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return front * h
+            return front * h
+    raise ArithmeticError(f"the continued fraction did not settle for a={a}, b={b}, x={x}")
 
 
 def t_two_sided(t: float, df: float) -> float:
-    return beta_inc(df / 2.0, 0.5, df / (df + t * t))
+    """Two-sided tail of Student's t; from 1000 degrees of freedom on by Hill's normalising expansion (1970)."""
+    if df < 1000:
+        return beta_inc(df / 2.0, 0.5, df / (df + t * t))
+    a = df - 0.5
+    b = 48.0 * a * a
+    y = a * math.log1p(t * t / df)
+    z = math.sqrt(y) * (1.0 + ((((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + b) + y + 3.0) / b)
+    return min(1.0, 2.0 * norm_sf(z))
 
 
 def exact_u_two_sided(u: float, n: int, m: int) -> float:
@@ -95,34 +102,32 @@ def exact_u(u: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return _each(lambda a, b, c: exact_u_two_sided(a, int(b), int(c)), u, n, m)
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """W and p after Royston (1995), for 3 to 5000 values."""
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    if n < 3 or x[-1] - x[0] < 1e-19:
-        return (1.0, 1.0) if n >= 3 else (math.nan, math.nan)
-    m = np.array([_N.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    ssq, rsn = float(m @ m), 1.0 / math.sqrt(n)
-    a = np.zeros(n)
+def royston(n: int, ssq: float, m_last: float, m_second: float, ends: tuple[float, float, float, float], inner: float, ss: float) -> tuple[float, float]:
+    """W and p after Royston (1995) from sums over the ordered values.
+
+    ``ssq`` is the sum of squared normal scores, ``m_last`` and ``m_second`` the two largest scores, ``ends`` the
+    first, second, second last and last value, ``inner`` the sum of score times value between them, ``ss`` the
+    sum of squared deviations. The polynomials for p were fitted for up to 5000 values.
+    """
+    first, second, before_last, last = ends
+    if n < 3:
+        return math.nan, math.nan
+    if last - first < 1e-19:
+        return 1.0, 1.0
+    rsn = 1.0 / math.sqrt(n)
     if n == 3:
-        a[0], a[-1] = -math.sqrt(0.5), math.sqrt(0.5)
+        w = (math.sqrt(0.5) * (last - first)) ** 2 / ss
+        return min(1.0, w), max(0.0, 6.0 / math.pi * (math.asin(math.sqrt(min(1.0, w))) - math.asin(math.sqrt(0.75))))
+    # Royston's polynomial coefficients for the outer weights.
+    a_n = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], rsn) + m_last / math.sqrt(ssq)
+    a_n1 = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], rsn) + m_second / math.sqrt(ssq)
+    if n > 5:
+        phi = (ssq - 2 * m_last**2 - 2 * m_second**2) / (1 - 2 * a_n**2 - 2 * a_n1**2)
+        top = a_n * (last - first) + a_n1 * (before_last - second) + inner / math.sqrt(phi)
     else:
-        # Royston's polynomial coefficients for the outer weights.
-        a_n = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], rsn) + m[-1] / math.sqrt(ssq)
-        a_n1 = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], rsn) + m[-2] / math.sqrt(ssq)
-        if n > 5:
-            phi = (ssq - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * a_n**2 - 2 * a_n1**2)
-            a[2:-2] = m[2:-2] / math.sqrt(phi)
-            a[-2], a[1] = a_n1, -a_n1
-        else:
-            phi = (ssq - 2 * m[-1] ** 2) / (1 - 2 * a_n**2)
-            a[1:-1] = m[1:-1] / math.sqrt(phi)
-        a[-1], a[0] = a_n, -a_n
-    d = x - x.mean()
-    w = min(1.0, float((a @ x) ** 2 / (d @ d)))
-    if n == 3:
-        p = 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, max(0.0, p)
+        phi = (ssq - 2 * m_last**2) / (1 - 2 * a_n**2)
+        top = a_n * (last - first) + (m_second * (before_last - second) + inner) / math.sqrt(phi)
+    w = min(1.0, top**2 / ss)
     # Royston's polynomials for the transformed statistic.
     y = math.log1p(-w) if w < 1 else -math.inf
     if n <= 11:
@@ -137,3 +142,25 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
         mu = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], ln)
         sigma = math.exp(np.polyval([0.0030302, -0.082676, -0.4803], ln))
     return w, norm_sf((y - mu) / sigma)
+
+
+def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
+    """W and p of a local sample."""
+    x = np.sort(np.asarray(values, dtype=float))
+    n = len(x)
+    if n < 3:
+        return math.nan, math.nan
+    m = np.array([_N.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    d = x - x.mean()
+    return royston(n, float(m @ m), m[-1], m[-2], (x[0], x[1], x[-2], x[-1]), float(m[2:-2] @ x[2:-2]), float(d @ d))
+
+
+@F.pandas_udf(StructType([StructField("W", DoubleType()), StructField("p", DoubleType())]))
+def shapiro_from_sums(
+    n: pd.Series, ssq: pd.Series, m_last: pd.Series, m_second: pd.Series, x1: pd.Series, x2: pd.Series, x3: pd.Series, x4: pd.Series, inner: pd.Series, ss: pd.Series
+) -> pd.DataFrame:
+    rows = [
+        royston(int(a), b, c, d, (e, f, g, h), i, j) if a >= 3 else (None, None)
+        for a, b, c, d, e, f, g, h, i, j in zip(n, ssq, m_last, m_second, x1, x2, x3, x4, inner.fillna(0.0), ss, strict=True)
+    ]
+    return pd.DataFrame(rows, columns=["W", "p"], dtype="float64")

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sleepsignal.functions.distributions import exact_u, normal_ppf, normal_two_sided, shapiro_wilk, student_two_sided
+from sleepsignal.functions.distributions import exact_u, normal_ppf, normal_two_sided, shapiro_from_sums, student_two_sided
 from sleepsignal.functions.ranks import rank_sums
-from sleepsignal.plans.chunked import CHUNK, row_index, with_value_chunk
+from sleepsignal.plans.chunked import CHUNK, row_index_and_total, with_value_chunk
 
 KEYS = ("split", "feature")
 # The standing comparisons, positive groups against negative groups.
@@ -20,8 +18,7 @@ SPLITS = {
     "control_vs_pdrbd": (("PD(+RBD)",), ("Control",)),
     "control_vs_all": (("iRBD", "PD(+RBD)"), ("Control",)),
 }
-SHAPIRO_MAX = 5000
-EXACT_CELLS = 20_000_000
+EXACT_MAX = 8  # fixed value: the published limit up to which ``auto`` takes the exact test
 
 
 def binary_split(long: DataFrame, splits: dict = SPLITS, group: str = "group") -> DataFrame:
@@ -87,11 +84,14 @@ def welch_t(m: DataFrame) -> DataFrame:
     return m.withColumns({"t": t, "df": df}).withColumn("p_t", student_two_sided("t", "df"))
 
 
-def mann_whitney(labelled: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def mann_whitney(labelled: DataFrame, keys: Sequence[str] = KEYS, method: str = "auto") -> DataFrame:
     """U of the positives, z with tie and continuity correction, two-sided p, AUC.
 
-    Exact p when one group has at most 8 values and nothing is tied.
+    ``method``: ``asymptotic``; ``exact``, which fails on ties; ``auto`` is exact when one group has at most 8
+    values and nothing is tied, else asymptotic, whatever the size of the other group.
     """
+    if method not in ("auto", "exact", "asymptotic"):
+        raise ValueError(f"method must be auto, exact or asymptotic, not {method!r}")
     r = rank_sums(labelled, keys, "value", "y").withColumnRenamed("auc", "auc_pos")
     n1, n0 = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
     n = n1 + n0
@@ -100,7 +100,9 @@ def mann_whitney(labelled: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     big = F.greatest("u", n1 * n0 - F.col("u"))
     ok = (n1 >= 1) & (n0 >= 1)
     z = F.when(ok, (big - mu - 0.5) / F.nullif(sd, F.lit(0.0)))
-    small = ok & (F.least(n1, n0) <= 8) & (F.col("tie_term") == 0) & (n1 * n0 <= EXACT_CELLS)
+    untied = F.col("tie_term") == 0
+    small = {"auto": ok & (F.least(n1, n0) <= EXACT_MAX) & untied, "asymptotic": F.lit(False),
+             "exact": ok & F.when(untied, True).otherwise(F.raise_error(F.lit("the exact test needs values without ties")).cast("boolean"))}[method]
     r = r.withColumns({"z_u": z, "_exact": small}).withColumns({
         "_pa": F.when(F.col("z_u") < 0, F.lit(1.0)).otherwise(normal_two_sided("z_u")),
         "_pe": exact_u(F.when(F.col("_exact"), F.col("u")), n1, n0)})
@@ -119,43 +121,29 @@ def bh_fdr(df: DataFrame, p: str = "p", by: Sequence[str] = ("split",), name: st
     return d.withColumn(name, F.when(F.col(p).isNotNull(), q)).drop("_q")
 
 
-def lowest(df: DataFrame, keys: Sequence[str], score: str, n: int, n_chunks: int = 1024) -> DataFrame:
-    """The n rows of each key with the smallest score in [0, 1), without ordering the whole key.
+def shapiro_summary(labelled: DataFrame, subject: str = "subject_id", keys: Sequence[str] = KEYS) -> DataFrame:
+    """W and p per class over all its values, from sums over the ordered values; no class is held in one task.
 
-    Scores are counted per bucket first; only the buckets up to the cut are ordered.
+    ``subject`` breaks ties of the order and changes no result.
     """
     keys = list(keys)
-    b = F.least(F.floor(F.col(score) * n_chunks), F.lit(n_chunks - 1)).cast("int")
-    d = df.withColumn("_b", b)
-    hist = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_m"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    keep = hist.withColumn("_below", F.coalesce(F.sum("_m").over(before), F.lit(0))).filter(F.col("_below") < n).select(*keys, "_b")
-    w = Window.partitionBy(*keys).orderBy(score)
-    return d.join(keep, [*keys, "_b"], "left_semi").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn", "_b")
-
-
-def uniform(seed: int, *cols: str) -> Column:
-    """Repeatable pseudo-random number in [0, 1) from a row's own columns."""
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 53)) / F.lit(float(1 << 53))
-
-
-def shapiro_summary(labelled: DataFrame, subject: str = "subject_id", keys: Sequence[str] = KEYS, seed: int = 0) -> DataFrame:
-    """W and p per class; at most 5000 values enter the test, as its p-value is valid only up to there."""
-    keys = list(keys)
-    cls = F.when(F.col("y") == 1, "positive").otherwise("negative")
-    v = labelled.filter(F.col("value").isNotNull()).withColumn("class", cls).select(*keys, "class", subject, "value")
     all_keys = [*keys, "class"]
-    n = labelled.withColumn("class", cls).groupBy(*all_keys).agg(F.count("value").alias("n"))
-    s = lowest(v.withColumn("_u", uniform(seed, *all_keys, subject)), all_keys, "_u", SHAPIRO_MAX)
-    schema = ", ".join(f"{k} string" for k in all_keys) + ", W double, p double"
-
-    def test(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(pdf["value"].to_numpy()) if len(pdf) >= 3 else (np.nan, np.nan)
-        return pd.DataFrame([[*key, w, p]], columns=[*all_keys, "W", "p"])
-
-    r = s.groupBy(*all_keys).applyInPandas(test, schema)
-    nn = lambda c: F.nanvl(c, F.lit(None).cast("double")).alias(c)
-    return n.join(r, all_keys, "left").select(*all_keys, "n", nn("W"), nn("p")).withColumn("normal_at_0.05", F.col("p") >= 0.05)
+    cls = F.when(F.col("y") == 1, "positive").otherwise("negative")
+    rows = labelled.withColumn("class", cls).select(*all_keys, subject, "value")
+    counts = rows.groupBy(*all_keys).agg(F.count("value").alias("n"))
+    v = with_value_chunk(rows.filter(F.col("value").isNotNull()), all_keys, "value")
+    r = row_index_and_total(v, all_keys, ["value", subject], "i", "_n")
+    r = r.withColumn("m", normal_ppf((F.col("i") + 0.625) / (F.col("_n") + 0.25)))
+    at = lambda place, c="value": F.max(F.when(F.col("i") == place, F.col(c)))
+    size = F.col("_n")
+    s = r.groupBy(*all_keys).agg(
+        F.sum(F.col("m") * F.col("m")).alias("ssq"), at(size - 1, "m").alias("m_last"), at(size - 2, "m").alias("m_second"),
+        at(F.lit(0)).alias("x1"), at(F.lit(1)).alias("x2"), at(size - 2).alias("x3"), at(size - 1).alias("x4"),
+        F.sum(F.when((F.col("i") >= 2) & (F.col("i") <= size - 3), F.col("m") * F.col("value"))).alias("inner"),
+        (F.var_pop("value") * F.count("value")).alias("ss"))
+    t = counts.join(s, all_keys, "left").withColumn("_t", shapiro_from_sums("n", "ssq", "m_last", "m_second", "x1", "x2", "x3", "x4", "inner", "ss"))
+    value = lambda c: F.nanvl(F.col(f"_t.{c}"), F.lit(None).cast("double")).alias(c)
+    return t.select(*all_keys, "n", value("W"), value("p")).withColumn("normal_at_0.05", F.col("p") >= 0.05)
 
 
 def normality_overview(shapiro: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -198,8 +186,7 @@ def qq_points(labelled: DataFrame, subject: str = "subject_id", keys: Sequence[s
     """Ordered values against normal order-statistic medians, per class."""
     all_keys = [*keys, "y"]
     v = labelled.filter(F.col("value").isNotNull()).select(*all_keys, subject, "value")
-    n = v.groupBy(*all_keys).agg(F.count(F.lit(1)).alias("n"))
-    r = row_index(with_value_chunk(v, all_keys, "value"), all_keys, ["value", subject], "i").drop(CHUNK).join(n, all_keys)
+    r = row_index_and_total(with_value_chunk(v, all_keys, "value"), all_keys, ["value", subject], "i", "n").drop(CHUNK)
     i, size = F.col("i") + 1, F.col("n")
     top = F.pow(F.lit(0.5), 1 / size)
     pos = F.when(i == size, top).when(i == 1, 1 - top).otherwise((i - 0.3175) / (size + 0.365))
