@@ -120,7 +120,7 @@ class WordTokens:
     MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
     LETTERS = "[a-zß-öø-ÿ]"
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
@@ -234,7 +234,7 @@ def trimmed(make: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return run
 
 
-def slices(batch: pa.RecordBatch, text: str, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that one slice holds about ``chars`` characters at most, or one row."""
     if not batch.num_rows:
         return
@@ -245,7 +245,7 @@ def slices(batch: pa.RecordBatch, text: str, chars: int = 8_000_000) -> Iterator
         yield batch.slice(a, b - a)
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Let Spark hand texts to Python in batches of a few megabytes, so that long texts can't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

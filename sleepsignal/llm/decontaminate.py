@@ -131,7 +131,7 @@ def stretches(docs: DataFrame, short: list[int], bitmap: np.ndarray) -> DataFram
     shared = spark.sparkContext.broadcast(bitmap)  # its size is fixed by the parameter
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = Bare(), shared.value
+        known, table = Bare(150_000), shared.value
         for whole in batches:
             for batch in slices(whole, "text", 2_000_000):
                 words, counts = words_of(batch.column("text"), known)

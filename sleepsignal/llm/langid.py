@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import fold, slices, small_batches, unit
+from sleepsignal.llm.common import fold, slices, small_batches, trimmed, unit
 
 DIMENSIONS = 1024
 LEARN = 20_000
@@ -135,7 +135,7 @@ def learn_profiles(docs: DataFrame, learn: int = LEARN, dimensions: int = DIMENS
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
     n = max(1, rows.count())
     chosen = rows.filter(unit(F.col("doc_id"), 23) < learn / n).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    got = chosen.mapInArrow(count, "lang string, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toArrow()
+    got = chosen.mapInArrow(trimmed(count), "lang string, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(got.column("lang").to_pylist()))
     vectors, out = Vectors(dimensions), np.zeros((len(names), dimensions))
     trigram, times, lang = got.column("trigram").to_numpy(), got.column("n").to_numpy(), np.array(got.column("lang").to_pylist())
@@ -153,8 +153,7 @@ def with_language(docs: DataFrame, names: list[str], prototypes: np.ndarray, col
     """Add a struct ``column`` of lang_pred and score (the cosine, at least 0)."""
     profiles = prototypes.T.astype(np.float32)
 
-    @F.arrow_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vectors = Vectors(prototypes.shape[1])
         for texts in batches:
             langs, scores = [], []
@@ -169,6 +168,11 @@ def with_language(docs: DataFrame, names: list[str], prototypes: np.ndarray, col
                 scores.append(np.where(norm == 0, 0.0, np.clip(cosine.max(axis=1), 0, 1)).astype(np.float64))
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.empty(0))], ["lang_pred", "score"])
 
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from trimmed(make)(batches)
+
+    small_batches(docs.sparkSession)
     return docs.withColumn(column, predict(F.col("text").cast("string")))
 
 

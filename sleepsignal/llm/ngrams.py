@@ -24,7 +24,7 @@ class Shapes(dict):
     """Token to its shape."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         if token.isalpha():
             shape = UPPER if token.isupper() and len(token) > 1 else CAPITAL if token[0].isupper() else LOWER
@@ -45,7 +45,7 @@ class Grams:
     """
 
     def __init__(self, marks: bool = False, stems: bool = True):
-        self.marks, self.stems, self.words, self.shapes = marks, stems, WordHashes(), Shapes()
+        self.marks, self.stems, self.words, self.shapes = marks, stems, WordHashes(150_000), Shapes()
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Features, each with the index of its text; a feature may come more than once."""
