@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,12 @@ from sleepsignal.operators.clean import em_type
 from sleepsignal.operators.runs import mask_runs
 from sleepsignal.plans.chunked import CHUNK, Run, join_per_key, running, with_time_chunk
 from sleepsignal.schemas import KEY, require
+from sleepsignal.session import cut
 
 AMP_LIMIT = 600.0
 PERCENTILE = 0.92
 CHUNK_ROWS = 460_000
+SPACING_CHUNK = 100_000
 
 
 def stagewise_threshold(samples: DataFrame, loc: str = "LOC", roc: str = "ROC", p: float = PERCENTILE) -> DataFrame:
@@ -214,13 +218,32 @@ def two_window_rule(
     )
 
 
-def min_spacing(epochs: DataFrame, every: int = 2) -> DataFrame:
-    """Greedy spacing on the full epoch grid: keep a slot once ``every`` slots have passed.
+def min_spacing(epochs: DataFrame, min_gap_s: float = 8.0, epoch_s: float = 4.0) -> DataFrame:
+    """Keep an epoch once at least ``min_gap_s`` seconds have passed since the start of the last kept one.
 
-    The grid has no holes, so keeping the next slot at least ``every`` steps after
-    the last kept one is keeping every ``every``-th slot.
+    The rule is greedy from the first epoch of the session on and works on any grid, with holes too. Each epoch
+    points to the first one that may follow it; the kept ones are those reached from the first. Pointers are
+    doubled in rounds, so a chain of n epochs takes log2 n joins and no session is held in one task.
     """
-    return epochs.filter(F.col("slot") % every == 0)
+    every = max(1, math.ceil(min_gap_s / epoch_s - 1e-9))
+    slots = epochs.select(KEY, "slot").distinct()
+    # the follower is among the slots from slot + every on: the next slot of the epoch every - 1 later or after
+    marks = slots.select(KEY, "slot", F.lit(1).alias("_own")).unionByName(slots.select(KEY, (F.col("slot") + every).alias("slot"), F.lit(0).alias("_own")))
+    marks = marks.groupBy(KEY, "slot").agg(F.max("_own").alias("_own"))
+    ahead = running(
+        with_time_chunk(marks, "slot", SPACING_CHUNK), [KEY], ["slot"],
+        [Run("_next", F.when(F.col("_own") == 1, F.col("slot")), "next")]).select(KEY, (F.col("slot") - every).alias("slot"), "_next")
+    step = cut(ahead.filter("_next is not null").join(slots, [KEY, "slot"], "left_semi"))
+    kept = cut(slots.groupBy(KEY).agg(F.min("slot").alias("slot")))
+    while True:  # kept slots reach as many again through pointers of the doubled length
+        reached = kept.join(step, [KEY, "slot"]).select(KEY, F.col("_next").alias("slot"))
+        more = cut(reached.join(kept, [KEY, "slot"], "left_anti").distinct())
+        if more.isEmpty():
+            break
+        kept = cut(kept.unionByName(more))
+        to = step.select(KEY, F.col("slot").alias("_next"), F.col("_next").alias("_next2"))
+        step = cut(step.join(to, [KEY, "_next"]).select(KEY, "slot", F.col("_next2").alias("_next")))
+    return epochs.join(kept, [KEY, "slot"], "left_semi")
 
 
 def movement_runs(samples: DataFrame, threshold: DataFrame, idx: str = "sample_idx", loc: str = "loc_clean", roc: str = "roc_clean", limit: float = AMP_LIMIT, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -78,3 +78,15 @@ def test_value_chunks_are_monotone(frame):
     _, df = frame
     p = with_value_chunk(df, ["s"], "t", 16).toPandas().sort_values(["s", "t"])
     assert (p.groupby("s")[CHUNK].diff().dropna() >= 0).all() and p[CHUNK].nunique() > 8
+
+
+def test_an_outlier_or_a_heavy_tail_does_not_fill_a_chunk(spark):
+    r = np.random.default_rng(2)
+    v = np.concatenate([r.lognormal(0, 2, 40_000), [1e12, -1e15]])
+    df = spark.createDataFrame(pd.DataFrame({"k": "f", "v": v}))
+    sizes = [x["count"] for x in with_value_chunk(df, ["k"], "v", 64).groupBy(CHUNK).count().collect()]
+    assert len(sizes) == 64 and max(sizes) <= 3 * len(v) / 64
+    low = with_value_chunk(df, ["k"], "v", 64).groupBy(CHUNK).agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy(CHUNK).collect()
+    assert all(x["b"] < y["a"] for x, y in zip(low, low[1:]))
+    q = exact_quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.999}, 32).first()
+    assert (q["a"], q["b"]) == pytest.approx(tuple(np.quantile(v, [0.25, 0.999])))

@@ -154,6 +154,28 @@ def test_two_window_rule(spark):
     assert [r["slot"] for r in events.min_spacing(out).orderBy("slot").collect()] == [0, 2]
 
 
+def test_min_spacing_is_greedy_on_a_grid_with_holes(spark, monkeypatch):
+    monkeypatch.setattr(events, "SPACING_CHUNK", 7)
+    r = np.random.default_rng(3)
+    rows = [("a", s) for s in (0, 3, 4, 6)] + [("b", int(s)) for s in np.flatnonzero(r.random(120) < 0.6)] + [("c", 5)]
+    want = []
+    for key in "abc":
+        last = None
+        for s in sorted(s for k, s in rows if k == key):
+            if last is None or s - last >= 3:
+                want.append((key, s))
+                last = s
+    got = events.min_spacing(spark.createDataFrame(rows, "session_id string, slot long"), 12.0, 4.0).collect()
+    assert sorted((g["session_id"], g["slot"]) for g in got) == want
+
+
+def test_sessions_without_lights_are_kept_whole(spark):
+    samples = spark.createDataFrame([("a", 1.0), ("a", 5.0), ("b", 1.0), ("c", 9.0)], "session_id string, time_sec double")
+    lights = spark.createDataFrame([("a", 2.0, 6.0), ("c", None, 8.0)], "session_id string, lights_off double, lights_on double")
+    assert sorted(map(tuple, clean.trim_lights(samples, lights).collect())) == [("a", 5.0), ("b", 1.0)]
+    assert sorted(map(tuple, clean.time_offset(samples, lights, ["time_sec"]).collect())) == [("a", 3.0), ("a", 7.0), ("b", 1.0), ("c", 9.0)]
+
+
 def test_sine_power_lands_in_its_band(spark):
     fs, n = 64.0, 64 * 20
     t = np.arange(n) / fs
