@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import release
+from sleepsignal.llm.common import release, trimmed
 from sleepsignal.session import cut
 
 DEGREE, REVERSE = 40, 32
@@ -71,7 +71,7 @@ def nodes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             vec = [np.asarray(y, np.float32).tobytes() for y in b.column("y").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("x"), pa.array(vec, pa.binary())], ["node", "x", "vec"])
 
-    return cut(full.mapInArrow(pack, "node long, x array<double>, vec binary")), members
+    return cut(full.mapInArrow(trimmed(pack), "node long, x array<double>, vec binary")), members
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -125,7 +125,7 @@ def local_join(members: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(other), pa.array(value[ok])], ["u", "c", "s"])
 
     by = members.repartition("g").sortWithinPartitions("g")
-    return by.mapInArrow(make, "u long, c long, s float")
+    return by.mapInArrow(trimmed(make), "u long, c long, s float")
 
 
 def keep_nearest(rows: DataFrame, degree: int) -> DataFrame:
@@ -150,7 +150,7 @@ def keep_nearest(rows: DataFrame, degree: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c), pa.array(s), pa.array(~old), pa.array(worst)], ["u", "c", "s", "fresh", "worst"])
 
     by = rows.repartition("u").sortWithinPartitions("u")
-    return by.mapInArrow(make, "u long, c long, s float, fresh boolean, worst float")
+    return by.mapInArrow(trimmed(make), "u long, c long, s float, fresh boolean, worst float")
 
 
 def half_precision(nodes: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def half_precision(nodes: DataFrame) -> DataFrame:
             vec = [np.frombuffer(v, np.float32).astype(np.float16).tobytes() for v in b.column("vec").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(vec, pa.binary())], ["node", "vec"])
 
-    return nodes.select("node", "vec").mapInArrow(make, "node long, vec binary")
+    return nodes.select("node", "vec").mapInArrow(trimmed(make), "node long, vec binary")
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
@@ -231,7 +231,7 @@ def begin(queries: DataFrame, nodes: DataFrame, entries: int, beam: int, width:
                 rows.append({"q": q, **best_of(query, ids, x @ query, np.zeros(len(ids), bool), beam, width)})
             yield pa.RecordBatch.from_pylist(rows, STATE_SCHEMA)
 
-    return queries.mapInArrow(make, STATE)
+    return queries.mapInArrow(trimmed(make), STATE)
 
 
 def advance(states: DataFrame, found: DataFrame, beam: int, width: int) -> DataFrame:
@@ -259,7 +259,7 @@ def advance(states: DataFrame, found: DataFrame, beam: int, width: int) -> DataF
     none = F.lit(None).cast("binary")
     heads = states.select("q", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("node"), F.col("query").alias("vec"), "ids", "scores", "opened")
     rows = heads.unionByName(found.select("q", F.lit(1).alias("kind"), "node", "vec", none.alias("ids"), none.alias("scores"), none.alias("opened")))
-    return rows.repartition("q").sortWithinPartitions("q", "kind", "node").mapInArrow(make, STATE)
+    return rows.repartition("q").sortWithinPartitions("q", "kind", "node").mapInArrow(trimmed(make), STATE)
 
 
 def greedy_search(queries: DataFrame, nodes: DataFrame, links: DataFrame, entries: int = ENTRIES, beam: int = BEAM, width: int = OPEN) -> DataFrame:
@@ -285,7 +285,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, links: DataFrame, entrie
                 node = np.frombuffer(ids, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), q)), pa.array(node)], ["q", "node"])
 
-    return done.select("q", "ids").mapInArrow(unpack, "q long, node long")
+    return done.select("q", "ids").mapInArrow(trimmed(unpack), "q long, node long")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:

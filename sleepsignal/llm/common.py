@@ -225,7 +225,6 @@ def trimmed(make: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
         try:
             yield from make(batches)
         finally:
-            gc.collect()
             pa.default_memory_pool().release_unused()
             give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
             if give_back is not None:
