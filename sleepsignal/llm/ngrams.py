@@ -119,8 +119,8 @@ def with_score(docs: DataFrame, model: Linear, name: str, marks: bool = False) -
     return docs.withColumn(name, score(F.col("text").cast("string")))
 
 
-def features_of(docs: DataFrame, keep: list[str], marks: bool = False) -> DataFrame:
-    """Columns ``keep`` and the distinct features of each text as 64-bit numbers."""
+def features_of(docs: DataFrame, keep: list[str], marks: bool = False, only: np.ndarray | None = None) -> DataFrame:
+    """Columns ``keep`` and the distinct features of each text as 64-bit numbers; of ``only`` (ascending), if given."""
     small_batches(docs.sparkSession)
     fields = [docs.schema[c] for c in keep]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
@@ -130,6 +130,9 @@ def features_of(docs: DataFrame, keep: list[str], marks: bool = False) -> DataFr
         for whole in batches:
             for batch in slices(whole, "text", 1_000_000):
                 feats, doc = grams.of(batch.column("text").to_pylist())
+                if only is not None:
+                    known = np.isin(feats, only)
+                    feats, doc = feats[known], doc[known]
                 order = np.argsort(doc, kind="stable")
                 rows = [np.unique(x).tobytes() for x in np.split(feats[order], np.searchsorted(doc[order], np.arange(1, batch.num_rows)))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, pa.binary())], [*keep, "features"])
@@ -149,9 +152,9 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: in
     return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
 
 
-def collect_features(sample: DataFrame, keep: str, marks: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+def collect_features(sample: DataFrame, keep: str, marks: bool = False, only: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """Column ``keep`` and the features of a bounded sample, on the driver and without copies of the features."""
-    got = features_of(sample, [keep], marks).toArrow()
+    got = features_of(sample, [keep], marks, only).toArrow()
     rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("features")]
     return got.column(keep).to_numpy(), rows
 

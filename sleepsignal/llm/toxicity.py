@@ -26,7 +26,7 @@ from sleepsignal.llm.ngrams import Linear, Sample, collect_features, sample_labe
 POSITIVES, UNLABELLED = 2000, 4000
 HELD_OUT, FOLDS = 0, 5
 THRESHOLD = 0.5
-LIFT, SIGMAS = 2.0, 5.0
+LIFT, SIGMAS, LEAST = 2.0, 5.0, 3
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -82,8 +82,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     rows = docs.filter(fold("doc_id", FOLDS) != HELD_OUT)
     n = max(1, rows.count())
     unl = rows.filter(unit(F.col("doc_id"), 11) < unlabelled / n).select("text", F.lit(0).alias("kind")).limit(2 * unlabelled)
-    kinds, feats = collect_features(pos.unionByName(unl), "kind")
-    return fit_nnpu([f for k, f in zip(kinds, feats, strict=True) if k], [f for k, f in zip(kinds, feats, strict=True) if not k], prior)
+    toxic_rows = collect_features(pos, "kind")[1]
+    # only what at least three positive examples have can take part, so nothing else is gathered from unlabelled text
+    frequent = Sample(toxic_rows, least=LEAST).features
+    toxic_rows = [f[np.isin(f, frequent)] for f in toxic_rows]
+    return fit_nnpu(toxic_rows, collect_features(unl, "kind", only=frequent)[1], prior)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxicity", **sample: int) -> DataFrame:
