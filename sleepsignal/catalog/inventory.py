@@ -10,6 +10,7 @@ from sleepsignal.catalog import fixtures as fx
 from sleepsignal.catalog.cohorts import modules
 from sleepsignal.catalog.fixtures import CHUNK_S, FS, SUB_S, table, with_views
 from sleepsignal.catalog.registry import ORACLE, query
+from sleepsignal.operators import cohort
 from sleepsignal.operators.features import eog
 from sleepsignal.plans import night
 from sleepsignal.schemas import KEY
@@ -163,6 +164,22 @@ def incremental_features(spark, sf):
     return incremental.incremental(n, old, lambda d: d.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")), KEY)
 
 
+@query("module_tables", with_views("night", body="""
+SELECT session_id, count(*) AS n, CASE WHEN max(time_sec) < 2550000 THEN -1 ELSE 0 END + round(sum(LOC), 4) AS total, round(max(ROC), 6) AS top FROM night GROUP BY 1"""))
+def module_tables(spark, sf):
+    """Three nights of runs: some sessions, then all with one module changed and redone, then nothing new."""
+    n = fx.night(spark, sf)
+    root = f"{checkpoint_dir(spark)}/modules-{uuid.uuid4().hex}"
+    early = n.join(n.groupBy(KEY).agg(F.max("time_sec").alias("_t")).filter("_t < 2550000").select(KEY), KEY, "left_semi")
+    total = lambda shift: lambda d: d.groupBy(KEY).agg((F.when(F.max("time_sec") < 2550000, shift).otherwise(0) + F.round(F.sum("LOC"), 4)).alias("total"))
+    count = lambda d: d.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    top = lambda d: d.groupBy(KEY).agg(F.round(F.max("ROC"), 6).alias("top"))
+    incremental.update_modules(early, root, {"count": count, "total": total(7)}, KEY)
+    for _ in range(2):
+        found, failed = incremental.update_modules(n, root, {"count": count, "total": total(-1), "top": top}, KEY, redo=("total",))
+    return cohort.outer_merge(list(found.values()), KEY)
+
+
 @query("incremental_ingest", with_views("night", body="SELECT user_id AS session, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1"))
 def incremental_ingest(spark, sf):
     """The event file as a stream of session files; the second run finds nothing new."""

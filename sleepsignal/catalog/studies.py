@@ -449,13 +449,10 @@ def standardise(spark, sf):
 
 # ---- classifiers: rows-only checks ----
 
-SMALL = {"Random Forest": {"n_estimators": 10, "max_depth": 5}, "Boosted Trees": {"n_estimators": 5, "max_depth": 3}}
-
-
 def _classifier(name):
     def run(spark, sf):
         m = cut(ml.standardise(matrix(spark, sf), [], COLS)[0])
-        return ml.predict(ml.fit(m, COLS, name, SMALL.get(name)), m, name)
+        return ml.predict(ml.fit(m, COLS, name), m, name)
 
     return run
 
@@ -466,7 +463,7 @@ for _key, _name in (("clf_logistic", "Logistic Regression"), ("clf_linear_svm",
 
 @query("kfold_cv")
 def kfold_cv(spark, sf):
-    return ml.cross_validate(matrix(spark, sf), COLS, {"Logistic Regression": {}, "Random Forest": SMALL["Random Forest"]}, k=3)
+    return ml.cross_validate(matrix(spark, sf), COLS, {name: ml.DEFAULTS[name] for name in ("Logistic Regression", "SVM", "Random Forest")}, k=5)
 
 
 @query("nested_cv")
@@ -478,7 +475,7 @@ def nested_cv(spark, sf):
 @query("mdi_importance")
 def mdi_importance(spark, sf):
     m = cut(ml.standardise(matrix(spark, sf), [], COLS)[0])
-    return ml.mdi_importance(ml.fit(m, COLS, "Random Forest", SMALL["Random Forest"]), spark, COLS, len(COLS))
+    return ml.mdi_importance(ml.fit(m, COLS, "Random Forest"), spark, COLS, len(COLS))
 
 
 @query("pca_2d")
@@ -489,7 +486,7 @@ def pca_2d(spark, sf):
 @query("compare_models")
 def compare_models(spark, sf):
     """All columns against the first half of them: pooled predictions of both, then the paired bootstrap."""
-    return training.compare_models(matrix(spark, sf), COLS, COLS[:32], {"Logistic Regression": {}}, k=3, n_boot=50)
+    return training.compare_models(matrix(spark, sf), COLS, COLS[:32], {"Logistic Regression": {}}, k=5, n_boot=N_BOOT)
 
 
 @query("macro_auc", """

@@ -30,7 +30,8 @@ DEFAULTS = {
     "Logistic Regression": {"C": 1.0}, "SVM": {"C": 1.0}, "Random Forest": {"n_estimators": 100, "max_depth": None},
     "Boosted Trees": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "subsample": 1.0},
 }
-UNLIMITED_DEPTH = 30  # the deepest tree pyspark.ml can grow
+#: ``max_depth`` None means this deep, which is the deepest tree pyspark.ml can grow.
+UNLIMITED_DEPTH = 30
 
 
 def impute_simple(train: DataFrame, other: DataFrame, cols: Sequence[str], strategy: str = "mean") -> tuple[DataFrame, DataFrame]:
