@@ -119,6 +119,13 @@ def with_score(docs: DataFrame, model: Linear, name: str, marks: bool = False) -
     return docs.withColumn(name, score(F.col("text").cast("string")))
 
 
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in ``known``, which is ascending."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def features_of(docs: DataFrame, keep: list[str], marks: bool = False, only: np.ndarray | None = None) -> DataFrame:
     """Columns ``keep`` and the distinct features of each text as 64-bit numbers; of ``only`` (ascending), if given."""
     small_batches(docs.sparkSession)
@@ -131,7 +138,7 @@ def features_of(docs: DataFrame, keep: list[str], marks: bool = False, only: np.
             for batch in slices(whole, "text", 1_000_000):
                 feats, doc = grams.of(batch.column("text").to_pylist())
                 if only is not None:
-                    known = np.isin(feats, only)
+                    known = among(feats, only)
                     feats, doc = feats[known], doc[known]
                 order = np.argsort(doc, kind="stable")
                 rows = [np.unique(x).tobytes() for x in np.split(feats[order], np.searchsorted(doc[order], np.arange(1, batch.num_rows)))]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sleepsignal.llm.common import fold, unit
-from sleepsignal.llm.ngrams import Linear, Sample, collect_features, sample_labelled, with_score
+from sleepsignal.llm.ngrams import Linear, Sample, among, collect_features, sample_labelled, with_score
 
 POSITIVES, UNLABELLED = 2000, 4000
 HELD_OUT, FOLDS = 0, 5
@@ -85,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     toxic_rows = collect_features(pos, "kind")[1]
     # only what at least three positive examples have can take part, so nothing else is gathered from unlabelled text
     frequent = Sample(toxic_rows, least=LEAST).features
-    toxic_rows = [f[np.isin(f, frequent)] for f in toxic_rows]
+    toxic_rows = [f[among(f, frequent)] for f in toxic_rows]
     return fit_nnpu(toxic_rows, collect_features(unl, "kind", only=frequent)[1], prior)
 
 
