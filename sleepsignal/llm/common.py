@@ -285,8 +285,8 @@ def in_bitmap(h: np.ndarray, table: np.ndarray, probe: int) -> np.ndarray:
     return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def may_be_in(docs: DataFrame, hashed: Column, keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> DataFrame:
-    """Rows of ``docs`` whose ``hashed`` value may be among ``column`` of ``keys``: all that are, and few others.
+def may_be_in(docs: DataFrame, hashed: Column, keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose ``hashed`` value may be among ``column`` of ``keys``: all that are, and few others; and the rest.
 
     The bitmap has a fixed size, so it can be broadcast for any number of keys; a join has to follow.
     """
@@ -297,7 +297,7 @@ def may_be_in(docs: DataFrame, hashed: Column, keys: DataFrame, column: str, bit
         x = h.to_numpy(zero_copy_only=False).view(np.uint64)
         return pa.array(np.logical_and.reduce([in_bitmap(x, shared.value, k) for k in range(PROBES)]))
 
-    return docs.filter(known(hashed))
+    return docs.filter(known(hashed)), docs.filter(~known(hashed))
 
 
 def text_key() -> list[Column]:
