@@ -128,8 +128,25 @@ def prefixes(nodes: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(make, "prefix long, node binary")
 
 
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest member of each one's component under the pairs (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def near_signatures(members: DataFrame, least: float, trees: int, depth: int) -> DataFrame:
-    """Edges (a, b) between members of one prefix whose signatures agree in at least the share ``least``."""
+    """Edges (a, b) that connect members of one prefix whose signatures agree in at least the share ``least``.
+
+    Of all such pairs a spanning forest is enough, so there are fewer edges than members.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -150,9 +167,10 @@ def near_signatures(members: DataFrame, least: float, trees: int, depth: int) ->
                     a.append(near)
                     b.append(near + d)
             if a:
-                node = table.column("node").combine_chunks()
-                both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(x)).combine_chunks() if isinstance(node, pa.ChunkedArray) else node.take(pa.array(x)) for x in both], ["a", "b"])
+                node = pa.array(table.column("node").to_pylist(), pa.binary())
+                root = forest(np.concatenate(a), np.concatenate(b), len(prefix))
+                child = np.flatnonzero(root != np.arange(len(prefix)))
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(root[child])), node.take(pa.array(child))], ["a", "b"])
             last = np.flatnonzero(prefix != prefix[-1])
             held = table.slice(int(last[-1]) + 1 if len(last) else 0)  # the open prefix, SMALL rows at most
 
@@ -194,7 +212,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     texts = docs.select(key.alias("_key"), F.col("text").cast("string"))
-    texts = may_be_in(texts, F.xxhash64("_key"), wanted.select(F.xxhash64(key).alias("_h")), "_h")  # else all texts are shuffled
+    texts = may_be_in(texts, F.xxhash64("_key"), wanted.select(F.xxhash64(key).alias("_h")), "_h")[0]  # else all texts are shuffled
     joined = texts.join(wanted.withColumn("_key", key).drop("doc_id"), "_key").select(*extra, "text")
     return joined.mapInArrow(trimmed(make), f"{kinds}, set binary")
 
@@ -331,7 +349,10 @@ def keep_one(docs: DataFrame, target: float = TARGET, trees: int = TREES, depth:
     judged = cut(judged.select(F.col("doc_id").alias("_j"), F.col("_k1").alias("_j1"), F.col("_k2").alias("_j2"), "n", "first"))
     k1, k2 = text_key()
     match = F.col("doc_id").cast("long").eqNullSafe(F.col("_j")) & (k1 == F.col("_j1")) & (k2 == F.col("_j2"))
-    out = docs.join(judged.filter("not first or n > 1").select("_j", "_j1", "_j2"), match, "left_anti")
+    out = judged.filter("not first or n > 1").select("_j", "_j1", "_j2")
+    # rows that can't be meant pass by the join, else all texts would be shuffled
+    doubted, clear = may_be_in(docs, F.xxhash64(F.col("doc_id").cast("long"), k1, k2), out.select(F.xxhash64("_j", "_j1", "_j2").alias("_h")), "_h")
+    out = clear.unionByName(doubted.join(out, match, "left_anti"))
     again = judged.filter("first and n > 1").select("_j", "_j1", "_j2")
     if again.isEmpty():
         return out
