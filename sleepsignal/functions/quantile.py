@@ -25,7 +25,8 @@ def exact_quantiles(
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     bucketed = with_value_chunk(data, keys, "_v", n_buckets, "_b")
     hist = bucketed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_m"))
-    hist = hist.withColumn("_n", F.sum("_m").over(Window.partitionBy(*keys)))
+    every = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hist = hist.withColumn("_n", F.sum("_m").over(every))
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("_below", F.sum("_m").over(upto) - F.col("_m"))
 

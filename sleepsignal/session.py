@@ -40,8 +40,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_stages: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a stage that several later steps read as Parquet in the shared folder, and read it back."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    _stages.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def discard_stages(spark: SparkSession) -> int:
+    """Delete the stage tables this process has written, at the end of a run; nothing may read them any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _stages:
+        path = hadoop.Path(_stages.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
