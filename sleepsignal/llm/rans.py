@@ -253,7 +253,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | No
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        words = WordTokens(tokenizer, 400_000)
+        words = WordTokens(tokenizer, 600_000)
         n_symbols = max(words.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         held: list[tuple[np.ndarray, np.ndarray, list]] = []
 
