@@ -43,9 +43,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int, end_id: int, with_ids:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, nth = TaskContext.get().partitionId(), 0
-        words, seen = WordTokens(tokenizer), np.zeros(size + 1, np.int64)
+        words, seen = WordTokens(tokenizer, 150_000), np.zeros(size + 1, np.int64)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1_500_000):
                 ids, lens = words.encode(batch.column("text"))
                 ids = np.insert(ids, np.cumsum(lens), end_id).astype("<u4")
                 lens = lens + 1
