@@ -248,12 +248,12 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | No
     ``shard_ids`` ids. File names follow from the task, and a file appears only once it is whole.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, "6m")  # larger batches have fewer distinct words in all
     folder = folder or shared_folder(spark, "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        words = WordTokens(tokenizer, 600_000)
+        words = WordTokens(tokenizer, 400_000)
         n_symbols = max(words.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         held: list[tuple[np.ndarray, np.ndarray, list]] = []
 
@@ -271,7 +271,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | No
             })
 
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 6_000_000):
                 ids, lens = words.encode(batch.column("text"))
                 # the end id goes behind each document
                 out = np.insert(ids, np.cumsum(lens), end_id).astype(np.int32)
