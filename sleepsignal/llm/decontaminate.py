@@ -1,7 +1,8 @@
 """Benchmark decontamination with spaced seeds.
 
-A seed is a window of 12 words of which a fixed mask ignores four, so an item whose words were partly replaced
-still shares seeds with its source. Seeds of the benchmark and of the training texts are joined on their
+A seed is six words at the places of a fixed mask inside a window of 8 to 12, so an item whose words were partly
+replaced still shares seeds with its source. The four masks are chosen so that every stretch that the comparison
+below accepts, of any items of 12 words and more, has a seed; tests hold this. Seeds of the benchmark and of the training texts are joined on their
 hashes. Before that, a bitmap of fixed size over the benchmark's seeds, three bits each, leaves out nearly all
 training seeds where they are made; it only saves work, the join decides. Each hit gives an alignment of a
 stretch of text with an item; the stretch of best score (+1 for an equal word, -2 for another) is kept if it
@@ -27,14 +28,14 @@ from pyspark.sql import functions as F
 from sleepsignal.llm.common import BITMAP_BITS, MIX_A, PROBES, WordHashes, bitmap_of, in_bitmap, mix, slices, small_batches, text_key, trimmed, word_hashes
 from sleepsignal.session import cut
 
-#: 1 is compared, 0 ignored.
+#: 1 is compared, 0 ignored. Together they meet every accepted pattern of equal words.
 MASKS = (
-    "111011001011",
-    "110110101011",
-    "101101110011",
-    "111100010111",
+    "10100100111",
+    "1010100111",
+    "110000011011",
+    "11001111",
 )
-SPAN = len(MASKS[0])
+SPAN = max(map(len, MASKS))
 SHORTEST = 5
 MIN_OVERLAP = 13
 EQUAL = 0.75
