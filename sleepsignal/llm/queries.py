@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sleepsignal.llm import ann, decontaminate, jaccard, langid, license, packing, quality, rans, toxicity, warc
 from sleepsignal.llm.common import fold, read_table, shared_folder
+from sleepsignal.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -43,8 +44,10 @@ FROM p JOIN f USING (h)
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC and read back by ranges: one row per page."""
     folder = shared_folder(spark, "warc")
-    warc.write_warc(read_table(spark, sf_dir, "pages"), folder, min_revisit_bytes=0)
+    written = warc.write_warc(read_table(spark, sf_dir, "pages"), folder, min_revisit_bytes=0)
     records = warc.read_warc(spark, warc.list_warc(spark, folder))
+    records = cut(records.select("file", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    warc.check_counts(written, records)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

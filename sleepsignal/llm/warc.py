@@ -3,7 +3,8 @@
 A reading task gets a range of a file. It looks for the gzip magic from the start of its range, takes a
 candidate only if the bytes there decompress to a WARC header that is whole and names its length, and owns
 the records whose first byte lies in its range; the last one may end beyond it. From an owned record on,
-the next starts where that one ends.
+the next starts where that one ends. A header may be of any length. ``check_counts`` holds the records read
+against those written.
 
 Nulls and edge cases: null html is an empty payload; a null url leaves out the target header; a null page_id
 leaves out the id and never is the smallest; rows with equal page_id and payload get the same type; an empty
@@ -34,7 +35,6 @@ DATE = "2000-01-01T00:00:00Z"
 SALTS = 16
 FILE_BYTES = 64_000_000
 RANGE_BYTES = 8_000_000
-HEADER_BYTES = 65_536
 
 RECORDS = (
     "file string, position long, page_id long, url string, record_type string, payload_bytes long, "
@@ -93,7 +93,7 @@ class Range:
     def member(self, at: int) -> tuple[dict[str, str], bytes, int] | None:
         """Header, block and end of the record at ``at``; None if no record starts there."""
         z, out, place = zlib.decompressobj(31), bytearray(), at
-        fields = None
+        fields, seen = None, 0
         while not z.eof:
             data = self.view(place, min(16_384 if place == at else self.block // 2, self.size - place))
             if not data:
@@ -106,10 +106,12 @@ class Range:
                 return None
             place += len(data)
             if fields is None:
-                fields = parse_header(bytes(out[:HEADER_BYTES]))
-                if fields is None and (z.eof or len(out) >= HEADER_BYTES or not b"WARC/1.".startswith(bytes(out[:7]))):
+                head = out.find(END, seen)
+                seen = max(0, len(out) - len(END) + 1)
+                fields = parse_header(bytes(out[: head + len(END)])) if head >= 0 else None
+                if fields is None and (z.eof or head >= 0 or not b"WARC/1.".startswith(bytes(out[:7]))):
                     return None
-        body = out.find(END) + len(END)
+        body = head + len(END)
         return fields, bytes(out[body: body + int(fields["content-length"])]), place - len(z.unused_data)
 
     def records(self) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -207,7 +209,7 @@ def read_warc(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BY
                         r["file"], at, page_of(f.get("warc-record-id")), f.get("warc-target-uri"), f["warc-type"], length,
                         digest, page_of(f.get("warc-refers-to")), payload if with_payload and whole else None,
                     ))
-                    held += len(payload) if with_payload else 200
+                    held += (len(payload) if with_payload else 200) + len(rows[-1][3] or "")
                     if held > 8_000_000:
                         yield as_batch(rows)
                         rows, held = [], 0
@@ -220,6 +222,16 @@ def read_warc(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BY
     return out if with_payload else out.drop("payload")
 
 
+def check_counts(written: DataFrame, records: DataFrame) -> None:
+    """Raise if a file of ``written`` (file, records) has not as many ``records`` as were written to it."""
+    name = F.element_at(F.split("file", "/"), -1).alias("name")
+    read = records.groupBy(name).agg(F.count(F.lit(1)).alias("n_read"))
+    both = written.groupBy(name).agg(F.sum("records").alias("n")).join(read, "name", "full")
+    wrong = both.filter(~F.coalesce("n", F.lit(0)).eqNullSafe(F.coalesce("n_read", F.lit(0)))).orderBy("name").limit(5).collect()
+    if wrong:
+        raise ValueError("records read differ from those written: " + ", ".join(f"{r['name']} {r['n_read'] or 0} of {r['n'] or 0}" for r in wrong))
+
+
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
     names = [c.split()[0] for c in RECORDS.split(", ")]
