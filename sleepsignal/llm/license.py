@@ -7,8 +7,15 @@ part kept apart, one temperature calibrates the probabilities, and the least pro
 that at most ``FALSE_RATE`` of unknown lines pass. A prediction counts only if enough of the paragraph's word
 triples, or of a template's, are found in the other: a line that merely has licence words stays unknown.
 
+A notice may stand inside a line of any length. Places where word triples of any template occur are joined over
+gaps of up to ``GAP`` words, and each piece of a line that comes of it, and each sentence in it, is classified and
+confirmed as a line is, but must share ``PIECE`` triples times ``CONFIRM`` with a template, or that part of a
+shorter one: the piece was chosen for its triples. Text without a template's triples could not be confirmed anyway.
+Lines that are a licence's title or a label with its name, and SPDX identifiers anywhere, count as they are, with a
+probability of 1.
+
 Nulls and edge cases: null and empty texts have no paragraph and no licence; a paragraph of fewer than three
-words is unknown; an empty table gives no rows; equal rows get equal results; only doc_id and text are read.
+words is unknown unless it is a title; an empty table gives no rows; equal rows get equal results; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import slices, small_batches, unit
+from sleepsignal.llm.common import MIX_A, WordHashes, mix, slices, small_batches, unit
 from sleepsignal.llm.ngrams import WORDS, Grams
 
 #: Opening and notice texts of common public licences, by family.
@@ -104,6 +111,28 @@ NO_LICENCE = [
     "Free copies of the file can be obtained from the library for a fee.",
     "This program is shown on public television every year.",
 ]
+#: Names of the families; as a line of their own, or in one with only "license" or "the", they are titles.
+NAMES = {
+    "AGPL": ["GNU Affero General Public", "GNU AGPL", "AGPL-3.0", "AGPLv3", "AGPL"],
+    "Apache": ["Apache", "Apache 2.0", "Apache-2.0", "Apache Version 2.0"],
+    "BSD": ["BSD", "BSD 2-Clause", "BSD 3-Clause", "BSD-2-Clause", "BSD-3-Clause", "New BSD", "Simplified BSD", "Modified BSD"],
+    "CC-BY": ["Creative Commons Attribution", "Creative Commons Attribution 4.0 International", "CC BY", "CC BY 4.0"],
+    "CC-BY-NC": ["Creative Commons Attribution-NonCommercial", "Creative Commons Attribution-NonCommercial 4.0 International", "CC BY-NC", "CC BY-NC 4.0", "CC BY-NC-SA", "CC BY-NC-SA 4.0"],
+    "CC-BY-SA": ["Creative Commons Attribution-ShareAlike", "Creative Commons Attribution-ShareAlike 4.0 International", "CC BY-SA", "CC BY-SA 4.0"],
+    "CC0": ["CC0", "CC0 1.0", "CC0 1.0 Universal"],
+    "GPL": ["GNU General Public", "GNU GPL", "GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0"],
+    "ISC": ["ISC"],
+    "LGPL": ["GNU Lesser General Public", "GNU LGPL", "LGPL", "LGPLv3", "LGPL-2.1", "LGPL-3.0"],
+    "MIT": ["MIT"],
+    "MPL": ["Mozilla Public", "MPL", "MPL-2.0", "MPL 2.0"],
+    "Unlicense": ["Unlicense"],
+}
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\n]*)", re.I)
+SPDX_IDS = {
+    "AGPL": r"AGPL-\d.*", "Apache": r"Apache-\d.*", "BSD": r"BSD-\d.*|0BSD", "CC-BY": r"CC-BY-\d.*", "CC-BY-NC": r"CC-BY-NC(-SA|-ND)?-\d.*", "CC-BY-SA": r"CC-BY-SA-\d.*",
+    "CC0": r"CC0-\d.*", "GPL": r"GPL-\d.*", "ISC": "ISC", "LGPL": r"LGPL-\d.*", "MIT": "MIT|MIT-0", "MPL": r"MPL-\d.*", "Unlicense": "Unlicense",
+}
+GAP, PIECE = 12, 10
 UNKNOWN = "unknown"
 COPIES, LINES = 120, 6000
 FALSE_RATE = 0.001
@@ -131,6 +160,86 @@ def triples(text: str) -> set[tuple[str, ...]]:
     return {tuple(w[i: i + 3]) for i in range(len(w) - 2)}
 
 
+def titles() -> dict[tuple[str, ...], str]:
+    """Words of a line that is a title, to the family. A name of one plain word is none without "license"."""
+    out = {}
+    for family, names in NAMES.items():
+        for name in names:
+            bare = tuple(WORDS.findall(name.lower()))
+            forms = [("license", *bare), ("licence", *bare), (*bare, "license"), (*bare, "licence")]
+            if bare[0] == "apache" and len(bare) > 2:  # Apache License, Version 2.0
+                forms.append(("apache", "license", *bare[1:]))
+            if name == "Apache":
+                forms.append(("apache", "license", "version", "2", "0"))
+            if family == "MPL" and "public" in bare:
+                forms += [(*bare, "license", "version", "2", "0"), (*bare, "license", "2", "0")]
+            if family.endswith("GPL") and "public" in bare:
+                forms += [(*bare, "license", "version", v) for v in ("2", "3")]
+            if "commons" in bare and "4" in bare:
+                forms += [(*bare, "public", "license"), (*bare[:-3], "license")]
+            if len(bare) > 1 and name not in ("Apache Version 2.0", "GNU General Public", "Mozilla Public") or family == "CC0":
+                forms.append(bare)
+            if name == "Unlicense":
+                forms.append(("the", "unlicense"))
+            for form in forms:
+                out |= {form: family, ("the", *form): family, (*form, bare[-1]): family, ("the", *form, bare[-1]): family}
+    return out
+
+
+def spdx(text: str) -> set[str]:
+    """Families that SPDX identifiers in ``text`` name; of expressions all that they join."""
+    found = set()
+    for line in SPDX.findall(text):
+        expr = re.match(r"\(*[\w.+-]+\)*(\s+(AND|OR|WITH)\s+\(*[\w.+-]+\)*)*", line)
+        ids = re.sub(r"\bWITH\s+\S+", "", expr.group()) if expr else ""
+        for x in re.findall(r"[\w.+-]+", ids):
+            found |= {f for f, p in SPDX_IDS.items() if re.fullmatch(p, x.rstrip("."), re.I)}
+    return found
+
+
+class Places:
+    """Finds the pieces of lines in which word triples of templates stand."""
+
+    def __init__(self):
+        self.words = WordHashes(150_000)
+        flat = sorted({t for ts in TEMPLATES.values() for x in ts for t in triples(x)})
+        self.known = np.unique(self.mixed(self.words.of([w for t in flat for w in t]))[::3])
+        self.near = np.zeros(1 << 16, bool)
+        self.near[(self.known & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    @staticmethod
+    def mixed(h: np.ndarray) -> np.ndarray:
+        return mix((h[:-2] * MIX_A + h[1:-1]) * MIX_A + h[2:])
+
+    def of(self, tokens: list[list[str]]) -> list[tuple[int, int, int]]:
+        """Line, first and last place of triples of each piece with at least two."""
+        counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        h = self.words.of([w for t in tokens for w in t])
+        if len(h) < 3:
+            return []
+        m = self.mixed(h)
+        at = np.flatnonzero(self.near[(m & np.uint64(0xFFFF)).astype(np.int64)])
+        at = at[self.known[np.minimum(np.searchsorted(self.known, m[at]), len(self.known) - 1)] == m[at]]
+        ends = np.cumsum(counts)
+        line = np.searchsorted(ends, at, side="right")
+        inside = at + 3 <= ends[line] if len(at) else np.zeros(0, bool)
+        at, line = at[inside], line[inside]
+        cuts = np.concatenate([[0], np.flatnonzero((np.diff(line) != 0) | (np.diff(at) > GAP)) + 1, [len(at)]])
+        start = ends - counts
+        return [(int(line[a]), int(at[a] - start[line[a]]), int(at[b - 1] - start[line[a]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
+
+
+def pieces(tokens: list[list[str]], lines: list[str], places: Places) -> list[tuple[int, str]]:
+    """Line and words of every piece that may be a notice, and of its sentences."""
+    out = {}
+    for i, a, b in places.of(tokens):
+        out[i, a, b + 3] = None
+        ends = np.cumsum([len(WORDS.findall(x)) for x in re.split(r"(?<=[.;!?])\s+", lines[i].lower())])
+        inner = [a, *ends[(ends > a) & (ends < b + 3)].tolist(), b + 3]
+        out |= {(i, x, y): None for x, y in zip(inner[:-1], inner[1:], strict=True) if y - x > 2}
+    return [(i, " ".join(tokens[i][a:b])) for i, a, b in out]
+
+
 class Classifier:
     """Softmax regression over the features that templates have."""
 
@@ -165,6 +274,9 @@ def fit(lines: list[str], copies: int = COPIES, rounds: int = 150, l2: float = 1
     known = [t for ts in TEMPLATES.values() for x in ts for t in triples(x)]
     known = set(known)
     lines = [x for x in lines if (t := triples(x)) and len(t & known) < CONFIRM * len(t)]
+    every = [triples(x) for ts in TEMPLATES.values() for x in ts]
+    noticed = {i for i, x in pieces([WORDS.findall(x.lower()) for x in lines], lines, Places()) if confirm(x, every, PIECE) >= CONFIRM}
+    lines = [x for i, x in enumerate(lines) if i not in noticed]
     texts, target = [], []
     for c, family in enumerate(classes[:-1]):
         for template in TEMPLATES[family]:
@@ -207,10 +319,10 @@ def sample_lines(docs: DataFrame, lines: int = LINES) -> list[str]:
     return [r["line"] for r in some.filter(F.length("line").between(10, 400)).limit(lines).collect()]
 
 
-def confirm(text: str, templates: list[set]) -> float:
-    """Largest share of the paragraph's triples found in a template, or of a template's found in the paragraph."""
+def confirm(text: str, templates: list[set], least: int = 1) -> float:
+    """Largest share of the paragraph's triples, taken as ``least`` at least, found in a template, or of a template's found in the paragraph."""
     t = triples(text)
-    return max((len(t & x) / min(len(t), len(x)) for x in templates if t), default=0.0)
+    return max((len(t & x) / min(max(len(t), least), len(x)) for x in templates if t), default=0.0)
 
 
 FOUND = "families array<string>, n_paragraphs int, score double"
@@ -220,9 +332,11 @@ def with_licences(docs: DataFrame, model: Classifier, name: str = "licences") ->
     """Add a struct ``name``: confirmed families in order, paragraphs that have one, the largest probability."""
     by_family = {f: [triples(x) for x in ts] for f, ts in TEMPLATES.items()}
 
+    named = titles()
+
     @F.arrow_udf(FOUND)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        grams = Grams(stems=False)
+        grams, places = Grams(stems=False), Places()
         for whole in batches:
             rows = []
             for part in slices(pa.record_batch({"text": whole}), "text", 2_000_000):
@@ -231,16 +345,35 @@ def with_licences(docs: DataFrame, model: Classifier, name: str = "licences") ->
                 flat = [x for ls in lines for x in ls]
                 doc = np.repeat(np.arange(len(lines)), [len(ls) for ls in lines])
                 out = [{"families": [], "n_paragraphs": 0, "score": 0.0} for _ in texts]
-                column, row = model.columns(*grams.of(flat)) if flat else (np.empty(0, np.int64),) * 2
+                found: dict[int, dict[str, float]] = {}  # by line
+
+                def add(i: int, family: str, p: float, found: dict = found) -> None:
+                    had = found.setdefault(i, {})
+                    had[family] = max(p, had.get(family, 0.0))
+
+                tokens = [WORDS.findall(x.lower()) for x in flat]
+                for i, words in enumerate(tokens):
+                    if 0 < len(words) < 12 and (family := named.get(tuple(words))):
+                        add(i, family, 1.0)
+                for i, x in enumerate(flat):
+                    if "identifier" in x.lower():
+                        for family in spdx(x):
+                            add(i, family, 1.0)
+                cut_out = pieces(tokens, flat, places)
+                del tokens
+                every, line = flat + [x for _, x in cut_out], [*range(len(flat)), *(i for i, _ in cut_out)]
+                column, row = model.columns(*grams.of(every)) if every else (np.empty(0, np.int64),) * 2
                 seen, row = np.unique(row, return_inverse=True)  # paragraphs with a template's word
                 p = model.probabilities(model.logits(column, row, len(seen)))[:, :-1] if len(seen) else np.empty((0, 1))
                 for i in np.flatnonzero(p.max(axis=1) >= model.least) if len(seen) else []:
-                    family = model.classes[int(p[i].argmax())]
-                    if confirm(flat[seen[i]], by_family[family]) >= CONFIRM:
-                        r = out[doc[seen[i]]]
-                        r["families"] = sorted({*r["families"], family})
-                        r["n_paragraphs"] += 1
-                        r["score"] = max(r["score"], float(p[i].max()))
+                    family, k = model.classes[int(p[i].argmax())], int(seen[i])
+                    if confirm(every[k], by_family[family], 1 if k < len(flat) else PIECE) >= CONFIRM:
+                        add(line[k], family, float(p[i].max()))
+                for i, families in found.items():
+                    r = out[doc[i]]
+                    r["families"] = sorted({*r["families"], *families})
+                    r["n_paragraphs"] += 1
+                    r["score"] = max(r["score"], *families.values())
                 rows += out
             yield pa.array(rows, pa.struct([("families", pa.list_(pa.string())), ("n_paragraphs", pa.int32()), ("score", pa.float64())]))
 
