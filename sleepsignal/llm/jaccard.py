@@ -1,10 +1,11 @@
-"""Similarity join on sets of five-word shingles with a MinHash LSH forest and exact verification.
+"""Similarity join on sets of five-word shingles with banded MinHash and exact verification.
 
 1. Each text becomes its set of shingles, each set 120 minima of hash functions, dealt to 20 trees of depth 6.
    Texts with equal sets form one node; only nodes take part from here on.
-2. A tree is a trie of the signatures sorted by their prefixes. Matching starts with whole prefixes and they
-   are shortened until a pair at the threshold would be missed by all trees with less than 1 - target.
-   A node alone with its prefix in all trees has no partner.
+2. In place of an LSH forest's sorted tries, bands: of each tree the first values, as many as the parameters
+   allow if a pair at the threshold is to be missed by all trees with at most 1 - target (``depth_for``), are
+   hashed and nodes with an equal hash meet. Nothing is shortened by what the data holds. The other values
+   of a tree serve the comparison of signatures only. A node alone with its prefix in all trees has no partner.
 3. Members of small prefixes are compared by their whole signatures; members of large ones are tied to the
    smallest. Either way a true pair that meets in some tree ends up in one component of candidates.
 4. Sets of a component meet, once, in blocks of bounded size, and all pairs of a block pair are counted
