@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleepsignal.llm import ann, decontaminate, jaccard, langid, license, packing, quality, rans, toxicity, warc
+from sleepsignal.llm import ann, decontaminate, jaccard, langid, license, online_packing, packing, quality, rans, toxicity, warc
 from sleepsignal.llm.common import fold, read_table, shared_folder
 from sleepsignal.session import cut
 
@@ -125,3 +125,9 @@ def op4_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the licence families of its paragraphs."""
     docs = license.scan_licences(read_table(spark, sf_dir, "documents"), "_licences")
     return docs.select("doc_id", F.array_join("_licences.families", ",").alias("families"), "_licences.n_paragraphs", "_licences.score")
+
+
+@query
+def op13_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed online into sequences of 4096 ids: one row per piece."""
+    return online_packing.pack_online(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), size=4096, end_id=2)
