@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleepsignal.llm import ann, decontaminate, jaccard, langid, license, online_packing, packing, quality, rans, toxicity, warc
+from sleepsignal.llm import ann, decontaminate, jaccard, langid, license, online_packing, packing, quality, rans, spelling, toxicity, warc
 from sleepsignal.llm.common import fold, read_table, shared_folder
 from sleepsignal.session import cut
 
@@ -131,3 +131,33 @@ def op4_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed online into sequences of 4096 ids: one row per piece."""
     return online_packing.pack_online(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), size=4096, end_id=2)
+
+
+#: crc32 of a list of bytes ``b`` in SQL, over a table made from the polynomial.
+CRC_TABLE = """SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)"""
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, {b}), lambda x, y: xor(t[(xor(x, y) & 255) + 1], x >> 8)), 4294967295::BIGINT)"
+
+ORACLE["op12_spelling_variants"] = f"""
+WITH RECURSIVE tab AS ({CRC_TABLE}),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+d AS (SELECT doc_id, r, count(*) AS n FROM r WHERE length(r) >= 6 GROUP BY ALL),
+b AS (SELECT r, n, regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)), '..') AS hx FROM d),
+h AS (SELECT r, n, {CRC.format(b="list_transform(hx, lambda x: ('0x' || x)::BIGINT)")} AS h FROM b, tab),
+c AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w, n FROM h),
+v AS (SELECT w, sum(n)::BIGINT AS n FROM c WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5),
+p AS (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM v),
+q AS (SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS less FROM p),
+near AS (SELECT a.w AS x, b.w AS y, b.n FROM q a JOIN q b ON a.less = b.less AND a.i = b.i AND a.w <> b.w
+  UNION SELECT a.w, v.w, v.n FROM q a JOIN v ON a.less = v.w UNION SELECT v.w, a.w, a.n FROM q a JOIN v ON a.less = v.w),
+m AS (SELECT x, count(*) AS n_near, min_by(y, (-n, y)) AS y, max(n) AS n FROM near GROUP BY x),
+f AS (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m.n >= 5 * v.n THEN y END AS form, CASE WHEN m.n >= 5 * v.n THEN m.n END AS form_n FROM v LEFT JOIN m ON m.x = v.w),
+t AS (SELECT w, w AS far, form AS next FROM f UNION ALL SELECT t.w, f.w, f.form FROM t JOIN f ON f.w = t.next)
+SELECT f.w AS word, form, far AS root, n, n_near, form_n FROM f JOIN t ON t.w = f.w AND t.next IS NULL
+"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the documents with their near words, form and root."""
+    return spelling.spelling_variants(spelling.word_counts(read_table(spark, sf_dir, "documents")))
