@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleepsignal.llm import ann, decontaminate, jaccard, langid, license, online_packing, packing, quality, rans, spelling, toxicity, warc
+from sleepsignal.llm import ann, decontaminate, jaccard, langid, license, online_packing, packing, prefix_trie, quality, rans, spelling, toxicity, warc
 from sleepsignal.llm.common import fold, read_table, shared_folder
 from sleepsignal.session import cut
 
@@ -161,3 +161,29 @@ SELECT f.w AS word, form, far AS root, n, n_near, form_n FROM f JOIN t ON t.w =
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of the documents with their near words, form and root."""
     return spelling.spelling_variants(spelling.word_counts(read_table(spark, sf_dir, "documents")))
+
+
+ORACLE["op11_conversation_prefix_trie"] = f"""
+WITH tab AS ({CRC_TABLE}),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM o),
+h AS (SELECT conv_id, {CRC.format(b="b")} % 4 AS h FROM c, tab),
+r AS (SELECT h.conv_id, 0 AS own, k, role, text FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20 AND k <= h
+  UNION ALL SELECT h.conv_id, 1, k, role, text FROM h JOIN o USING (conv_id) WHERE k > h),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, k) AS depth, sha256(length(role) || ':' || role || text) AS s, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM r),
+p AS (SELECT conv_id, depth, string_agg(s, '') OVER (PARTITION BY conv_id ORDER BY depth) AS node, w FROM t UNION ALL SELECT conv_id, 0, '', 0 FROM h),
+n AS (SELECT node, min(conv_id) AS conv_id, max(depth) AS depth, count(*) AS n_convs, max(w) AS w FROM p GROUP BY node),
+l AS (SELECT conv_id, max(depth) AS m FROM p GROUP BY conv_id),
+e AS (SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS s FROM p JOIN l USING (conv_id) WHERE depth = m GROUP BY node),
+k AS (SELECT u.node, min(u.conv_id) AS up, count(*) AS c FROM n JOIN n u ON u.depth = n.depth - 1 AND u.node = substr(n.node, 1, u.depth * 64) GROUP BY u.node),
+f AS (SELECT n.*, coalesce(c, 0) AS c FROM n LEFT JOIN k USING (node)),
+s AS (SELECT p.node, sum((f.n_convs - 1) * f.w)::BIGINT AS saved, count(*) FILTER (WHERE f.c = 0) AS leaves FROM f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.node)
+SELECT f.conv_id, f.depth, k.up AS parent_conv_id, n_convs, f.c AS n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(e.s, sha256('')) AS ends_sha256
+FROM f JOIN s USING (node) LEFT JOIN e USING (node) LEFT JOIN k ON f.depth > 0 AND k.node = substr(f.node, 1, (f.depth - 1) * 64)
+"""
+
+
+@query
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations: one row per node."""
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
