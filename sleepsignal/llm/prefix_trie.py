@@ -100,23 +100,21 @@ def rebuilt(conversations: DataFrame, group: int = GROUP, heads: int = HEADS) ->
 # -- names -----------------------------------------------------------------------------------------
 
 
-def block_names(blocks: DataFrame, height: int) -> DataFrame:
-    """(conv_id, block, top): the name of the prefix above every block but the first.
+def cut_names(blocks: DataFrame, height: int) -> DataFrame:
+    """(conv_id, block, top): the name of the prefix above ``block``, wherever the block before it is full.
 
     Upward: contents of 1, 2, 4, ... blocks; downward: at each cut the prefix above the upper half, joined with the upper half's content.
     """
-    full = F.aggregate("turns", root(), lambda acc, t: after(acc, t["key"]))
-    level = cut(blocks.filter(F.size("turns") == height).select("conv_id", "block", full.alias("content")))
-    last = blocks.agg(F.max("block")).first()[0] or 0
+    content = F.aggregate("turns", root(), lambda acc, t: after(acc, t["key"]))
+    level = cut(blocks.filter(F.size("turns") == height).select("conv_id", "block", content.alias("content")))
+    tops = level.filter("block = 0").select("conv_id", "block", root().alias("top"))
+    full = level.agg(F.max("block") + 1).first()[0] or 0
     contents = []
-    for _ in range(int(last).bit_length()):
+    for _ in range(int(full).bit_length()):
         contents.append(level)
         two = F.sort_array(F.collect_list(F.struct("block", "content")))
         pairs = level.groupBy("conv_id", F.shiftright("block", 1).alias("_up")).agg(two.alias("_two")).filter(F.size("_two") == 2)
         level = cut(pairs.select("conv_id", F.col("_up").alias("block"), after(F.col("_two")[0]["content"], F.col("_two")[1]["content"]).alias("content")))
-    tops = blocks.filter("block = 0").select("conv_id", F.lit(0).cast("long").alias("block"), root().alias("top"))
-    if contents:
-        tops = tops.join(contents[0].filter("block = 0").select("conv_id"), "conv_id")  # only these can be longer than a block
     for j in reversed(range(len(contents))):
         upper = contents[j].withColumn("block", F.shiftleft("block", j))
         lower = tops.join(upper, ["conv_id", "block"]).filter(F.shiftright("block", j) % 2 == 0)
@@ -125,12 +123,20 @@ def block_names(blocks: DataFrame, height: int) -> DataFrame:
 
 
 def paths_of(turns: DataFrame, convs: DataFrame, height: int) -> DataFrame:
-    """Blocks of each conversation: (conv_id, block, m, names, words); ``names`` starts with the prefix above the block."""
+    """Blocks of each conversation: (conv_id, block, m, names, words); ``names`` starts with the prefix above the block.
+
+    Inside a block each turn lengthens the name before it; the last name of a full block is that of the cut behind it.
+    """
     blocks = turns.groupBy("conv_id", F.floor((F.col("depth") - 1) / height).alias("block")).agg(F.sort_array(F.collect_list(F.struct("depth", "key", "words"))).alias("turns"))
     blocks = cut(blocks)
-    blocks = blocks.join(block_names(blocks, height), ["conv_id", "block"], "left").join(convs, "conv_id")
+    tops = cut_names(blocks, height)
+    none = F.lit(None).cast("struct<a: bigint, b: bigint>")
+    ends = tops.withColumn("end", none).unionByName(tops.select("conv_id", (F.col("block") - 1).alias("block"), none.alias("top"), F.col("top").alias("end")))
+    ends = ends.groupBy("conv_id", "block").agg(F.max("top").alias("top"), F.max("end").alias("end"))
+    blocks = blocks.join(ends, ["conv_id", "block"], "left").join(convs, "conv_id")
     start = F.array(F.coalesce("top", root()))
     names = F.aggregate("turns", start, lambda acc, t: F.concat(acc, F.array(after(F.element_at(acc, -1), t["key"]))))
+    names = F.when(F.size("turns") < height, names).otherwise(F.concat(F.slice(names, 1, height), F.array("end")))
     return cut(blocks.select("conv_id", "block", "m", names.alias("names"), F.transform("turns", lambda t: t["words"]).alias("words")))
 
 
