@@ -72,7 +72,7 @@ ORDER = ["has_turn", "turn", "key"]
 
 
 def rebuilt(conversations: DataFrame, group: int = GROUP, heads: int = HEADS) -> tuple[DataFrame, DataFrame]:
-    """Rebuilt turns (conv_id, depth from 1, key, words), and conversations (conv_id, m turns).
+    """Rebuilt turns (conv_id, depth from 1, key, words, m), and conversations (conv_id, m turns).
 
     The first h turns are those of conversation c - c % group, with h = crc32(c) % heads; c's own follow after its first h.
     """
@@ -88,12 +88,12 @@ def rebuilt(conversations: DataFrame, group: int = GROUP, heads: int = HEADS) ->
     convs = convs.join(top, "_base", "left").withColumn("_head", F.slice(F.coalesce("_head", F.array()), F.lit(1), F.col("_h").cast("int")))
     convs = cut(convs.select("conv_id", "_h", "_head", F.size("_head").cast("long").alias("_k"), (F.size("_head") + F.greatest(F.lit(0), F.col("_own") - F.col("_h"))).cast("long").alias("m")))
     by_chunk = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    spots = chunks.withColumn("_before", F.coalesce(F.sum("_n").over(by_chunk), F.lit(0))).join(convs.select("conv_id", "_h", "_k"), "conv_id")
+    spots = chunks.withColumn("_before", F.coalesce(F.sum("_n").over(by_chunk), F.lit(0))).join(convs.select("conv_id", "_h", "_k", "m"), "conv_id")
     place = F.row_number().over(Window.partitionBy("conv_id", "chunk").orderBy(*ORDER))
-    own = turns.withColumn("_at", place).join(spots.select("conv_id", "chunk", "_before", "_h", "_k"), ["conv_id", "chunk"])
+    own = turns.withColumn("_at", place).join(spots, ["conv_id", "chunk"])
     own = own.withColumn("_at", F.col("_at") + F.col("_before")).filter("_at > _h")
-    own = own.select("conv_id", (F.col("_at") - F.col("_h") + F.col("_k")).alias("depth"), "key", "words")
-    front = convs.select("conv_id", F.explode("_head").alias("_t")).select("conv_id", F.col("_t._k").cast("long").alias("depth"), "_t.key", "_t.words")
+    own = own.select("conv_id", (F.col("_at") - F.col("_h") + F.col("_k")).alias("depth"), "key", "words", "m")
+    front = convs.select("conv_id", "m", F.explode("_head").alias("_t")).select("conv_id", F.col("_t._k").cast("long").alias("depth"), "_t.key", "_t.words", "m")
     return own.unionByName(front), convs.select("conv_id", "m")
 
 
@@ -122,18 +122,18 @@ def cut_names(blocks: DataFrame, height: int) -> DataFrame:
     return tops.filter("block > 0")
 
 
-def paths_of(turns: DataFrame, convs: DataFrame, height: int) -> DataFrame:
+def paths_of(turns: DataFrame, height: int) -> DataFrame:
     """Blocks of each conversation: (conv_id, block, m, names, words); ``names`` starts with the prefix above the block.
 
     Inside a block each turn lengthens the name before it; the last name of a full block is that of the cut behind it.
     """
-    blocks = turns.groupBy("conv_id", F.floor((F.col("depth") - 1) / height).alias("block")).agg(F.sort_array(F.collect_list(F.struct("depth", "key", "words"))).alias("turns"))
-    blocks = cut(blocks)
+    blocks = turns.groupBy("conv_id", F.floor((F.col("depth") - 1) / height).alias("block"))
+    blocks = cut(blocks.agg(F.sort_array(F.collect_list(F.struct("depth", "key", "words"))).alias("turns"), F.max("m").alias("m")))
     tops = cut_names(blocks, height)
     none = F.lit(None).cast("struct<a: bigint, b: bigint>")
     ends = tops.withColumn("end", none).unionByName(tops.select("conv_id", (F.col("block") - 1).alias("block"), none.alias("top"), F.col("top").alias("end")))
     ends = ends.groupBy("conv_id", "block").agg(F.max("top").alias("top"), F.max("end").alias("end"))
-    blocks = blocks.join(ends, ["conv_id", "block"], "left").join(convs, "conv_id")
+    blocks = blocks.join(ends, ["conv_id", "block"], "left")
     start = F.array(F.coalesce("top", root()))
     names = F.aggregate("turns", start, lambda acc, t: F.concat(acc, F.array(after(F.element_at(acc, -1), t["key"]))))
     names = F.when(F.size("turns") < height, names).otherwise(F.concat(F.slice(names, 1, height), F.array("end")))
@@ -234,7 +234,7 @@ def ends_hashes(paths: DataFrame, convs: DataFrame, height: int) -> DataFrame:
 def prefix_trie(conversations: DataFrame, group: int = GROUP, heads: int = HEADS, height: int = HEIGHT) -> DataFrame:
     """One row per node of the trie of rebuilt conversations."""
     turns, convs = rebuilt(conversations, group, heads)
-    paths = paths_of(turns, convs, height)
+    paths = paths_of(turns, height)
     nodes = nodes_of(paths, convs, height)
     sums = grafted(nodes, paths, height)
     under_root = nodes.filter("depth = 1").join(sums, ["a", "b"]).agg(F.coalesce(F.sum("saved"), F.lit(0)).alias("saved"), F.coalesce(F.sum("leaves"), F.lit(1)).alias("leaves"))
