@@ -40,6 +40,7 @@ from sleepsignal.session import cut
 SIZE = 4096
 OPEN_WINDOWS = 16
 BLOCK = 1024  # tasks summed together
+WORDS = 300_000  # distinct words whose ids a task remembers
 
 PIECES = "part int, left int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 FIELDS = [f.split() for f in PIECES.split(", ")]
@@ -132,7 +133,7 @@ def packed(docs: DataFrame, tokenizer: str, size: int, end_id: int, open_windows
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        words, packer = WordTokens(tokenizer, 100_000), Packer(size, open_windows)
+        words, packer = WordTokens(tokenizer, WORDS), Packer(size, open_windows)
         first = part << 32
         for whole in batches:
             for batch in slices(whole, "text", 1_500_000):
