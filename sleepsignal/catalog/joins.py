@@ -58,6 +58,17 @@ def interval_label(spark, sf):
     )
 
 
+@query("interval_label_overlapping", with_views("night", "rem_events", body="""
+SELECT n.session_id, n.time_sec, arg_max(r.Stage, r.event_id) AS EpochType
+FROM night n LEFT JOIN rem_events r ON n.session_id = r.session_id AND n.time_sec >= r.Start AND n.time_sec < r."End"
+GROUP BY 1, 2"""))
+def interval_label_overlapping(spark, sf):
+    """Events as spans: many overlap, some cover whole chunks; the last listed event gives the label."""
+    return align.interval_label(
+        fx.eog(spark, sf).select(KEY, T), fx.rem_events(spark, sf).withColumnRenamed("Stage", "EpochType"), "Start", "End", "EpochType", DAY / 4, "event_id"
+    )
+
+
 @query("asof_nearest", with_views("night", "eeg", body="""
 SELECT n.session_id, n.time_sec,
   CASE WHEN a.time_sec IS NULL OR n.time_sec - b.time_sec <= a.time_sec - n.time_sec THEN b.EEG_LOC ELSE a.EEG_LOC END AS EEG_LOC,

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sleepsignal.operators.spans import disjoint_spans
 from sleepsignal.plans.chunked import CHUNK, Run, running, with_time_chunk
 from sleepsignal.schemas import KEY, T, require
 
@@ -122,33 +123,14 @@ def nearest_sample_flag(samples: DataFrame, events: DataFrame, name: str, chunk_
 
 
 def interval_label(
-    samples: DataFrame, spans: DataFrame, start: str, end: str, label: str, chunk_s: float = CHUNK_S
+    samples: DataFrame, spans: DataFrame, start: str, end: str, label: str, chunk_s: float = CHUNK_S, order: str | None = None
 ) -> DataFrame:
-    """Label of the non-overlapping span with start <= t < end."""
-    a = align(samples, [Feed("_f", spans, start, [end, label])], chunk_s)
+    """Label of the span with start <= t < end; where spans overlap, of the one listed last (see ``disjoint_spans``)."""
+    flat = disjoint_spans(spans, start, end, label, order, chunk_s)
+    a = align(samples, [Feed("_f", flat, start, [end, label])], chunk_s)
     return a.select(*samples.columns, *spread("", "_f_back", [label], F.col(T) < F.col("_f_back").getField(end)))
 
 
-def interval_label_overlapping(
-    samples: DataFrame, spans: DataFrame, start: str, end: str, label: str, seq: str, bucket_s: float
-) -> DataFrame:
-    """Label of the last listed span with start <= t < end, spans may overlap.
-
-    A span is replicated to the time buckets it touches and joined on
-    (session, bucket); a sample meets only the spans of its own bucket.
-    """
-    parts = spans.select(
-        KEY, F.col(start).alias("_lo"), F.col(end).alias("_hi"), F.col(label).alias("_label"), F.col(seq).alias("_seq"),
-        F.explode(
-            F.sequence(F.floor(F.col(start) / bucket_s).cast("long"), F.floor(F.col(end) / bucket_s).cast("long"))
-        ).alias("_bucket"),
-    )
-    s = samples.withColumn("_bucket", F.floor(F.col(T) / bucket_s).cast("long"))
-    hit = (F.col(T) >= F.col("_lo")) & (F.col(T) < F.col("_hi"))
-    best = s.join(parts, [KEY, "_bucket"]).filter(hit).groupBy(KEY, T).agg(F.max_by("_label", "_seq").alias(label))
-    return samples.join(best, [KEY, T], "left")
-
-
 def asof_nearest(samples: DataFrame, other: DataFrame, at: str, payload: Sequence[str], chunk_s: float = CHUNK_S) -> DataFrame:
     """The nearest row by time, earlier one on ties."""
     a = align(samples, [Feed("_f", other, at, payload, look="both")], chunk_s)
@@ -170,8 +152,12 @@ def merged_timeline(
     subepochs: DataFrame,
     eeg: DataFrame,
     chunk_s: float = CHUNK_S,
+    order: str | None = None,
 ) -> DataFrame:
-    """Every input on the sample timeline: one union, one shuffle by (session, chunk)."""
+    """Every input on the sample timeline: one union, one shuffle by (session, chunk).
+
+    Sub-epochs may overlap: the one listed last, by the column ``order``, gives the label.
+    """
     require(eog, [KEY, T])
     require(rem_events, ["Start", "End"])
     require(em_events, ["Start", "End", "EM_Type"])
@@ -186,7 +172,7 @@ def merged_timeline(
             Feed("stg", staging, "epoch_start", stage_cols),
             Feed("rem", rem_events, "Start", rem_cols, "event_id"),
             Feed("em", em_events, "Start", em_cols, "event_id"),
-            Feed("sub", subepochs, "SubEpochStart", ["SubEpochEnd", "EpochType"]),
+            Feed("sub", disjoint_spans(subepochs, "SubEpochStart", "SubEpochEnd", "EpochType", order, chunk_s), "SubEpochStart", ["SubEpochEnd", "EpochType"]),
             Feed("eeg", eeg, T, ["EEG_LOC", "EEG_ROC"], look="both"),
             Feed("rpk", rem_events, "Peak", look="both"),
             Feed("epk", em_events, "Peak", look="both"),
