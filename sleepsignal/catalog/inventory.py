@@ -10,12 +10,13 @@ from sleepsignal.catalog import fixtures as fx
 from sleepsignal.catalog.cohorts import modules
 from sleepsignal.catalog.fixtures import CHUNK_S, FS, SUB_S, table, with_views
 from sleepsignal.catalog.registry import ORACLE, query
+from sleepsignal import schemas
 from sleepsignal.operators import cohort
 from sleepsignal.operators.features import eog
 from sleepsignal.plans import night
 from sleepsignal.schemas import KEY
 from sleepsignal.session import checkpoint_dir
-from sleepsignal.sources import incremental, listing, tables
+from sleepsignal.sources import incremental, listing, quarantine, tables
 from sleepsignal.streaming.ingest import ingest, session_stream
 
 
@@ -192,6 +193,29 @@ def incremental_ingest(spark, sf):
     return out.groupBy("session").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 
+#: Every third session's file lacks a column, every fifth has rows cut short, every seventh nothing but a header.
+FAULT = """CASE WHEN u % 3 = 0 THEN 'missing columns: ROC' WHEN u % 7 = 0 THEN 'no rows' WHEN u % 5 = 0 THEN n || ' rows cut or joined' END"""
+
+
+@query("ingest_rejects", f"""
+SELECT session_id, CASE WHEN reason IS NULL THEN n END AS n, CASE WHEN reason IS NULL THEN round(total, 4) END AS total, reason FROM (
+  SELECT 'DCSM_' || u || '_a' AS session_id, n, total, {FAULT} AS reason FROM (SELECT user_id AS u, count(*) AS n, sum(value) AS total FROM events GROUP BY 1))""")
+def ingest_rejects(spark, sf):
+    """One file per session, some of them bad: the good ones are taken in, the others listed with the reason."""
+    base = f"{checkpoint_dir(spark)}/rejects-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").select(F.col("user_id").alias("u"), F.col("event_id").cast("string").alias("t"), F.col("value").cast("string").alias("v"))
+    short = F.col("u") % 3 == 0
+    head = e.select("u").distinct().select("u", F.lit(-1).cast("long").alias("k"), F.when(short, "time_sec,LOC").otherwise("ROC,time_sec,LOC").alias("value"))
+    line = F.when(short, F.concat_ws(",", "t", "v")).when(F.col("u") % 5 == 0, F.concat_ws(",", "v", "t")).otherwise(F.concat_ws(",", F.lit("1.5"), "t", "v"))
+    rows = e.filter(short | (F.col("u") % 7 != 0)).select("u", F.col("t").cast("long").alias("k"), line.alias("value"))
+    lines = head.unionByName(rows).repartition("u").sortWithinPartitions("u", "k")
+    lines.select(F.concat(F.lit("DCSM_"), "u", F.lit("_a")).alias("file"), "value").write.partitionBy("file").text(f"{base}/in")
+    per = lambda d: d.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("LOC"), 4).alias("total"))
+    good, bad = quarantine.ingest_folder(spark, f"{base}/in", f"{base}/out", schemas.EOG, per, "*.txt")
+    bad = bad.select(F.regexp_extract("path", schemas.SESSION_ID, 1).alias(KEY), "reason")
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 PARTS = ("stage_distribution", "rem_epoch_duration", "rem_event_features", "em_classification", "em_stage_counts", "phasic_tonic", "eog_amplitude")
 REST = ("stage_probability", "rem_stability", "bout_features", "bout_structure", "em_morphology", "sleep_architecture", "waso")
 
