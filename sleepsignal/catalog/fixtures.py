@@ -56,6 +56,7 @@ NEEDS: dict[str, tuple[str, ...]] = {
     "hypno": ("staging",),
     "subepochs": ("night", "hypno", "em_events"),
     "merged": ("night", "staging", "rem_events", "em_events", "subepochs", "eeg"),
+    "dense_night": ("dense",),
     "long_features": ("features",),
     "splits": ("long_features",),
 }
@@ -307,6 +308,33 @@ FROM (SELECT *, -LOC * (0.5::DOUBLE + l_discount * 5) + l_tax * 100 AS ROC FROM
    l_quantity * 10 - 250 AS LOC, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS sample_idx FROM lineitem))"""
 
 
+#: Columns of a merged night on the dense grid: texts that both engines read alike.
+_EM, _EV_ID = "floor(sample_idx / 24e0)", "floor(sample_idx / 40e0)"
+DENSE_COLS = {
+    "prob_w": "sample_idx % 7 / 10e0", "prob_n1": "sample_idx % 3 / 10e0", "prob_n2": "sample_idx % 11 / 20e0",
+    "prob_n3": "CASE WHEN sample_idx % 5 <> 0 THEN 0.05e0 END", "prob_rem": "sample_idx % 13 / 13e0",
+    "is_rem_event": "sample_idx % 40 < 12",
+    **{f"event_{c}": f"CASE WHEN sample_idx % 40 < 12 THEN {v} END" for c, v in {
+        "Start": f"{_EV_ID} * 2.5e0", "Peak": f"{_EV_ID} * 2.5e0 + 0.25e0", "Duration": f"0.5e0 + {_EV_ID} % 5 / 10e0", "LOCAbsValPeak": f"20e0 + {_EV_ID} % 17",
+        "ROCAbsValPeak": f"30e0 + {_EV_ID} % 13", "LOCAbsRiseSlope": f"1e0 + {_EV_ID} % 3 / 7e0", "ROCAbsRiseSlope": f"2e0 + {_EV_ID} % 4 / 7e0"}.items()},
+    "is_em_event": "sample_idx % 24 < 10",
+    **{f"em_{c}": f"CASE WHEN sample_idx % 24 < 10 THEN {v} END" for c, v in {
+        "event_id": f"CAST({_EM} AS BIGINT)", "Duration": f"0.2e0 + {_EM} % 7 / 10e0", "MeanAbsValPeak": f"25e0 + {_EM} % 19", "LOCAbsRiseSlope": f"1e0 + {_EM} % 5 / 9e0",
+        "ROCAbsRiseSlope": f"2e0 + {_EM} % 6 / 9e0", "LOCAbsFallSlope": f"3e0 + {_EM} % 7 / 9e0", "ROCAbsFallSlope": f"4e0 + {_EM} % 8 / 9e0"}.items()},
+    "EM_Type": f"CASE WHEN sample_idx % 24 < 10 THEN CASE WHEN {_EM} % 7 > 3 THEN 'SEM' ELSE 'REM' END END",
+}
+
+
+def dense_night(spark: SparkSession, sf: str) -> DataFrame:
+    """A merged timeline on the dense grid: all columns that features are made from."""
+    return dense(spark, sf).selectExpr(
+        KEY, T, "sample_idx", "stage", "LOC", "ROC", "EEG_LOC", "EEG_ROC", "EpochType", *[f"{v} AS {c}" for c, v in DENSE_COLS.items()])
+
+
+SQL["dense_night"] = f"""
+SELECT session_id, time_sec, sample_idx, stage, LOC, ROC, EEG_LOC, EEG_ROC, EpochType, {', '.join(f"{v} AS {c}" for c, v in DENSE_COLS.items())} FROM dense"""
+
+
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """One row per customer: order and line features, NULL for customers without orders."""
     o = table(spark, sf, "orders")

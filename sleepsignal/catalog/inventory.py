@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from sleepsignal import schemas
 from sleepsignal.catalog import fixtures as fx
 from sleepsignal.catalog.cohorts import modules
-from sleepsignal.catalog.fixtures import CHUNK_S, FS, SUB_S, table, with_views
+from sleepsignal.catalog.fixtures import CHUNK_S, DENSE_FS, FS, SUB_S, table, with_views
+from sleepsignal.catalog.nights import BANDS, CTX, DCHUNK, MIN_S, SEG_S
 from sleepsignal.catalog.registry import ORACLE, query
-from sleepsignal import schemas
 from sleepsignal.operators import cohort
-from sleepsignal.operators.features import eog
+from sleepsignal.operators.features import eog, fused
 from sleepsignal.plans import night
 from sleepsignal.schemas import KEY
 from sleepsignal.session import checkpoint_dir
@@ -230,12 +231,29 @@ def eog_features(spark, sf):
     return eog.eog_features(fx.merged_table(spark, sf), FS, CHUNK_S, SUB_S)
 
 
-@query("session_features", _joined((*PARTS, *REST)))
+#: The dense grid's sampling rate, sub-epoch and long bout, in place of the sparse night's.
+DENSE_SUB_S, DENSE_LONG_S = 0.5, 1.5
+ON_DENSE = {f"/ {FS}e0": f"/ {DENSE_FS}e0", f"{SUB_S}": f"{DENSE_SUB_S}", "30000": f"{DENSE_LONG_S}"}
+
+
+def on_dense(name: str) -> str:
+    """A feature group's SQL over the dense night instead of the merged timeline."""
+    body = ORACLE[name].removeprefix(with_views("merged", body=""))
+    for old, new in ON_DENSE.items():
+        body = body.replace(old, new)
+    return with_views("dense_night", body="") + ", merged AS (SELECT * FROM dense_night)" + body
+
+
+SPECTRA = ("band_power_stage", "band_power_context")
+
+
+@query("session_features", "SELECT * FROM " + " JOIN ".join(
+    f"({sql}) p{i}" + (" USING (session_id)" if i else "") for i, sql in enumerate([on_dense(n) for n in (*PARTS, *REST)] + [ORACLE[n] for n in SPECTRA])))
 def session_features(spark, sf):
-    """All modules but the per-stage spectrum, which this sparse timeline has too few samples for."""
-    s = night.Settings(fs=FS, sub_s=SUB_S, chunk_s=CHUNK_S)
-    out, failed = night.extract(fx.merged_table(spark, sf), ("eog", "stage_prob", "bout", "extra"), s, {"bout": {"chunk_bins": 32}, "extra": {"long_s": 30000.0}})
-    return out.drop(*[c for c in out.columns if c.startswith("eeg_")])
+    """All 141 features and the wake after sleep onset, from three scans of the timeline."""
+    out = fused.night_features(
+        fx.dense_night(spark, sf), DENSE_FS, DCHUNK, DENSE_SUB_S, DENSE_LONG_S, 32, SEG_S, MIN_S, 2.0, BANDS, CTX)
+    return out.select(*[F.round(c, 6).alias(c) if c.endswith("_power") else F.col(c) for c in out.columns])
 
 
 @query("module_dispatch", f"SELECT * FROM ({ORACLE['rem_stability']}) a JOIN ({ORACLE['stage_probability']}) b USING (session_id)")

@@ -7,26 +7,26 @@ from pyspark.sql import functions as F
 
 from sleepsignal.functions.quantile import exact_quantiles
 from sleepsignal.operators import runs
-from sleepsignal.operators.features import for_all_sessions, minutes, over, rem_samples
+from sleepsignal.operators.features import for_all_sessions, minutes, narrow, over, rem_samples, samples
 from sleepsignal.schemas import KEY, STAGES, T, require
 
 REQUIRED = (T, "LOC", "ROC", "stage", "is_rem_event", "is_em_event", "EM_Type")
 
 
 def stage_distribution(df: DataFrame, fs: float, chunk_s: float = runs.CHUNK_S) -> DataFrame:
-    n = runs.with_neighbour_stage(df.select(KEY, T, "stage"), chunk_s=chunk_s)
-    total = F.count(F.lit(1))
+    n = runs.with_neighbour_stage(narrow(df, KEY, T, "stage"), chunk_s=chunk_s)
+    total = samples(n)
     aggs = [F.round(minutes(total, fs), 3).alias("total_recording_min")]
     for s in STAGES:
-        c = F.count_if(F.col("stage") == s)
+        c = samples(n, F.col("stage") == s)
         aggs += [F.round(minutes(c, fs), 3).alias(f"{s.lower()}_duration_min"), F.round(c / total, 4).alias(f"{s.lower()}_fraction")]
     starts = (F.col("stage") == "REM") & ~F.col("prev_stage").eqNullSafe(F.lit("REM"))
     return n.groupBy(KEY).agg(*aggs, F.count_if(starts).alias("n_rem_epochs"))
 
 
 def rem_epoch_duration(df: DataFrame, fs: float, chunk_s: float = runs.CHUNK_S) -> DataFrame:
-    r = runs.true_runs(df.select(KEY, T, "stage"), F.col("stage") == "REM", T, chunk_s)
-    r = r.groupBy(KEY, "run_id").agg(minutes(F.count(F.lit(1)), fs).alias("d"))
+    r = runs.true_runs(narrow(df, KEY, T, "stage"), F.col("stage") == "REM", T, chunk_s)
+    r = r.groupBy(KEY, "run_id").agg(minutes(samples(r), fs).alias("d"))
     p = "rem_epoch_"
     out = r.groupBy(KEY).agg(
         F.count(F.lit(1)).alias(f"{p}count"), F.round(F.avg("d"), 3).alias(f"{p}mean_duration_min"),

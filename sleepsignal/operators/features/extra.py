@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sleepsignal.operators import runs
 from sleepsignal.operators.clean import stage_normalise
-from sleepsignal.operators.features import bout, eeg, for_all_sessions, minutes, over
+from sleepsignal.operators.features import bout, eeg, for_all_sessions, minutes, narrow, over, samples
+from sleepsignal.plans.chunked import join_salted
 from sleepsignal.schemas import KEY, SLEEP_STAGES, T, require
 
 
@@ -25,7 +26,7 @@ def em_morphology(df: DataFrame) -> DataFrame:
 
 
 def sleep_architecture(df: DataFrame, chunk_s: float = runs.CHUNK_S) -> DataFrame:
-    d = df.select(KEY, T, stage_normalise(F.col("stage")).alias("stage"))
+    d = narrow(df, KEY, T, "stage").withColumn("stage", stage_normalise(F.col("stage")))
     n = runs.with_neighbour_stage(d, chunk_s=chunk_s)
     rem = F.col("stage") == "REM"
     first = lambda c: F.min(F.when(c, F.col(T)))
@@ -37,9 +38,10 @@ def sleep_architecture(df: DataFrame, chunk_s: float = runs.CHUNK_S) -> DataFram
 def waso(df: DataFrame, fs: float = 250.0) -> DataFrame:
     """Minutes of wake after the first sleep sample; NULL without sleep."""
     onset = df.groupBy(KEY).agg(F.min(F.when(F.col("stage").isin(*SLEEP_STAGES), F.col(T))).alias("_on"))
-    wake = F.count_if((F.col("stage") == "W") & (F.col(T) > F.col("_on")))
-    return df.select(KEY, T, "stage").join(onset, KEY).groupBy(KEY).agg(
-        F.when(F.max("_on").isNotNull(), F.round(minutes(wake, fs), 4)).alias("waso_min"))
+    wake = join_salted(narrow(df.filter(F.col("stage") == "W"), KEY, T), onset, [KEY])
+    after = wake.groupBy(KEY).agg(samples(wake, F.col(T) > F.col("_on")).alias("_w"))
+    minutes_awake = F.round(minutes(F.coalesce("_w", F.lit(0)), fs), 4)
+    return onset.join(after, KEY, "left").select(KEY, F.when(F.col("_on").isNotNull(), minutes_awake).alias("waso_min"))
 
 
 def extra_features(df: DataFrame, fs: float = 250.0, chunk_s: float = runs.CHUNK_S, sub_s: float = 4.0, long_s: float = 30.0, **spectral_options) -> DataFrame:

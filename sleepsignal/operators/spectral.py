@@ -98,20 +98,25 @@ def antiphase_gate(df: DataFrame, loc: str = "LOC_clean", roc: str = "ROC_clean"
     return df.withColumns({"loc_clean": F.when(anti, F.col(loc)).otherwise(0.0), "roc_clean": F.when(anti, F.col(roc)).otherwise(0.0)})
 
 
+def density(segments: Sequence, fs: float) -> pd.Series:
+    """One-sided spectral density of each segment: Hann window, mean removed; segments of equal length go together."""
+    out: list = [None] * len(segments)
+    lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+    for n in np.unique(lengths):
+        where = np.flatnonzero(lengths == n)
+        x = np.stack([np.asarray(segments[i], dtype=float) for i in where])
+        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+        spec = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * w, axis=1)) ** 2 / (fs * (w**2).sum())
+        spec[:, 1 : None if n % 2 else -1] *= 2
+        for i, row in zip(where, spec):
+            out[i] = row
+    return pd.Series(out)
+
+
 def _psd_udf(fs: float):
     @F.pandas_udf(Ty.ArrayType(Ty.DoubleType()))
     def psd(segments: pd.Series) -> pd.Series:
-        out: list = [None] * len(segments)
-        lengths = segments.map(len).to_numpy()
-        for n in np.unique(lengths):
-            where = np.flatnonzero(lengths == n)
-            x = np.stack([np.asarray(segments.iloc[i], dtype=float) for i in where])
-            w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-            spec = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * w, axis=1)) ** 2 / (fs * (w**2).sum())
-            spec[:, 1 : None if n % 2 else -1] *= 2
-            for i, row in zip(where, spec):
-                out[i] = row
-        return pd.Series(out)
+        return density(segments.to_list(), fs)
 
     return psd
 

@@ -67,13 +67,22 @@ def with_value_chunk(
     if n == 1:
         return df.withColumn(name, F.lit(0).cast("long"))
     cuts = df.groupBy(*by).agg(F.percentile_approx(v, [k / n for k in range(1, n)], 20 * n).alias("_cuts"))
-    out, step = join_salted(df, cuts, by).withColumn(name, F.lit(0)), n // 2
-    while step:  # binary search: how many cuts lie below the value
-        out = out.withColumn(name, F.col(name) + F.when(v > F.element_at("_cuts", F.col(name) + step), step).otherwise(0))
-        step //= 2
+    out, step = join_salted(df, cuts, by).withColumn(name, F.lit(0)), n
+    while step > 1:  # search in the sorted cuts, three halvings at a time
+        deep = min(3, step.bit_length() - 1)
+        out = out.withColumn(name, _descend(v, F.col(name), step, deep))
+        step >>= deep
     return out.withColumn(name, F.col(name).cast("long")).drop("_cuts")
 
 
+def _descend(v: Column, at: Column, step: int, deep: int) -> Column:
+    """Place among the cuts after ``deep`` halvings of the ``step`` cuts from ``at`` on."""
+    if not deep:
+        return at
+    half = step // 2
+    return F.when(v > F.element_at("_cuts", at + half), _descend(v, at + half, half, deep - 1)).otherwise(_descend(v, at, half, deep - 1))
+
+
 def join_salted(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """Attach one row per key to many rows, with every key spread over ``salts`` shares.
 
