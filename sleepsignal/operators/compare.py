@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from sleepsignal.functions.distributions import normal_two_sided
 from sleepsignal.functions.quantile import exact_quantiles
 from sleepsignal.functions.ranks import cumulative_counts, rank_sums, value_counts
+from sleepsignal.operators.resample import PRIME, replicate_aucs
 from sleepsignal.plans.chunked import CHUNK, join_salted, row_index, with_value_chunk
 from sleepsignal.session import cut
 
-# Fixed value: modulus of the draw generator (a Mersenne prime, so squares fit 64 bits).
-PRIME = 2147483647
 
 
 def check_aligned(a: DataFrame, b: DataFrame, on: str = "id") -> DataFrame:
@@ -90,12 +89,12 @@ def bootstrap_weights(num: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
 def bootstrap_deltas(oof: DataFrame, a: str, b: str, n_boot: int = 10_000, seed: int = 42) -> DataFrame:
     """AUC of both models in every paired resample; replicates without both classes are NULL."""
     num = cut(numbered(oof))
-    drawn = bootstrap_weights(num, n_boot, seed).join(num, "i")
-    long = long_scores(drawn, [a, b], ("replicate", "y_true", "w"))
-    # the boundaries of a model's scores serve all its replicates
-    auc = rank_sums(long, ["replicate", "model"], "score", "y_true", "w", bound_keys=["model"])
+    first = num.select("n").first()
+    if first is None:
+        return num.sparkSession.createDataFrame([], "replicate long, auc_1 double, auc_2 double, delta double")
+    auc = replicate_aucs(num.select("i", "y_true", F.col(a).alias("_a"), F.col(b).alias("_b")), ["_a", "_b"], first["n"], n_boot, seed)
     pick = lambda m: F.max(F.when(F.col("model") == m, F.col("auc")))
-    return auc.groupBy("replicate").agg(pick(a).alias("auc_1"), pick(b).alias("auc_2")).withColumn("delta", F.col("auc_1") - F.col("auc_2"))
+    return auc.groupBy("replicate").agg(pick(0).alias("auc_1"), pick(1).alias("auc_2")).withColumn("delta", F.col("auc_1") - F.col("auc_2"))
 
 
 def bootstrap_auc(oof: DataFrame, a: str, b: str, n_boot: int = 10_000, seed: int = 42, deltas: DataFrame | None = None) -> DataFrame:

@@ -169,7 +169,8 @@ def fragments(series: DataFrame) -> DataFrame:
 def spectra(df: DataFrame, pieces: DataFrame, fs: float, chunk_s: float, seg_s: float, stage_min_s: float, context_min_s: float) -> DataFrame:
     """(session, context?, stage, k, freq, psd) of all stages, the night and the REM contexts.
 
-    Channels of a stage are paired by their position, the longer one is cut; in a context NULL counts as 0 if both channels have values.
+    Channels of a stage are paired by their position, the longer one is cut; in a context NULL counts as 0 if both
+    channels have values, else segments with a NULL are left out.
     """
     starts = _starts(pieces)
     each = [(False, s, k, F.col(f"_b_{s}_{c}"), F.least(f"_n_{s}_l", f"_n_{s}_r"), stage_min_s) for s in (*STAGES, ALL) for k, c in enumerate("lr")]
@@ -193,11 +194,12 @@ def spectra(df: DataFrame, pieces: DataFrame, fs: float, chunk_s: float, seg_s:
                 if mode == MIX:
                     both = np.nan_to_num(both, nan=0.0)
                 x = both[:, 0] if mode == LEFT else both[:, 1] if mode == RIGHT else (both[:, 0] + both[:, 1]) / 2
-                total = np.sum(density(list(x), fs).to_list(), axis=0)
-                yield pd.DataFrame([(*keys, len(rows), total)], columns=[*group, "segs", "total"])
+                x = x[~np.isnan(x).any(axis=1)]
+                total = np.sum(density(list(x), fs).to_list(), axis=0) if len(x) else [None] * (size // 2 + 1)
+                yield pd.DataFrame([(*keys, len(x), total)], columns=[*group, "segs", "total"])
 
     sums = whole.mapInPandas(add_up, f"{KEY} string, context boolean, stage string, size long, mode int, segs long, total array<double>")
-    spec = sums.select(*group, "segs", F.posexplode("total").alias("k", "_p")).groupBy(*group, "k").agg((F.sum("_p") / F.sum("segs")).alias("psd"))
+    spec = sums.select(*group, "segs", F.posexplode("total").alias("k", "_p")).groupBy(*group, "k").agg(over(F.sum("_p"), F.sum("segs")).alias("psd"))
     return spec.select(KEY, "context", "stage", "k", (F.col("k") * fs / F.col("size")).alias("freq"), "psd")
 
 
