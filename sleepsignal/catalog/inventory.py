@@ -10,9 +10,10 @@ from sleepsignal import schemas
 from sleepsignal.catalog import fixtures as fx
 from sleepsignal.catalog.cohorts import modules
 from sleepsignal.catalog.fixtures import CHUNK_S, DENSE_FS, FS, SUB_S, table, with_views
-from sleepsignal.catalog.nights import BANDS, CTX, DCHUNK, MIN_S, SEG_S
+from sleepsignal.catalog.nights import BANDS, CTX, DCHUNK, MIN_S, SEG_S, TAPS
 from sleepsignal.catalog.registry import ORACLE, query
-from sleepsignal.operators import cohort
+from sleepsignal.catalog.sequences import _SLOPES, DENSE
+from sleepsignal.operators import clean, cohort
 from sleepsignal.operators.features import eog, fused
 from sleepsignal.plans import night
 from sleepsignal.schemas import KEY
@@ -217,6 +218,47 @@ def ingest_rejects(spark, sf):
     return good.unionByName(bad, allowMissingColumns=True)
 
 
+#: Epochs, sub-epochs and limits that fit the 16 Hz grid.
+DETECT = night.Settings(detect_fs=DENSE_FS, epoch_s=2.0, sub_s=0.5, phasic_s=0.25, artefact_uv=150.0)
+#: Filtered values have six decimals, so slopes may lie on a rounding border: they are rounded times pi.
+SLOPES_AT_PI = _SLOPES.replace("round(abs(", "round(pi() * abs(")
+RAW_TO_EVENTS = f"""
+taps AS (SELECT unnest(range(41)) - 20 AS o, unnest([{', '.join(repr(float(x)) for x in TAPS)}]) AS w),
+flt AS (SELECT a.session_id, a.sample_idx, round(sum(w * b.LOC), 6) AS lc, round(sum(w * b.ROC), 6) AS rc
+  FROM dense a, taps JOIN dense b ON b.session_id = a.session_id AND b.sample_idx = a.sample_idx - o GROUP BY 1, 2),
+gated AS (SELECT d.* REPLACE (CASE WHEN lc * rc < 0 THEN lc ELSE 0 END AS loc_clean, CASE WHEN lc * rc < 0 THEN rc ELSE 0 END AS roc_clean) FROM dense d JOIN flt USING (session_id, sample_idx)),
+{DENSE.strip().replace('FROM dense', 'FROM gated')},
+em AS (SELECT ev.session_id, li / {DENSE_FS} AS Start, i / {DENSE_FS} AS Peak, ri / {DENSE_FS} AS "End", ri / {DENSE_FS} - li / {DENSE_FS} AS Duration,
+  abs(l) AS LOCAbsValPeak, abs(r) AS ROCAbsValPeak, {SLOPES_AT_PI}, ev.Stage, round((abs(g.LOC) + abs(g.ROC)) / 2, 4) AS MeanAbsValPeak,
+  CASE WHEN ri / {DENSE_FS} - li / {DENSE_FS} > 0.5 THEN 'SEM' ELSE 'REM' END AS EM_Type
+  FROM ev JOIN gated g ON g.session_id = ev.session_id AND g.sample_idx = ev.i WHERE abs(l) <= 150 AND abs(r) <= 150)"""
+
+
+def detected(spark, sf):
+    """Raw dense signal to movements and sub-epochs; the hypnogram holds each epoch's first stage."""
+    d = fx.dense(spark, sf).select(KEY, "sample_idx", "LOC", "ROC", "stage")
+    epoch = F.floor(F.col("sample_idx") / (DETECT.epoch_s * DENSE_FS)).cast("long")
+    hypnogram = d.groupBy(KEY, epoch.alias("epoch_idx")).agg(clean.stage_encode(F.min_by("stage", "sample_idx")).alias("stage_code"))
+    return night.detect(d, hypnogram, DETECT, TAPS, chunk_rows=128)
+
+
+@query("detect", with_views("dense", body=f", {RAW_TO_EVENTS} SELECT * FROM em"))
+def detect(spark, sf):
+    out = detected(spark, sf)[0]
+    return out.select(*[F.round(F.pi() * F.col(c), 4).alias(c) if c.endswith("Slope") else F.round(c, 4).alias(c) if c == "MeanAbsValPeak" else F.col(c) for c in out.columns])
+
+
+@query("detect_subepochs", with_views("dense", body=f""", {RAW_TO_EVENTS},
+h AS (SELECT session_id, sample_idx // 32 AS e, arg_min(stage, sample_idx) AS stage, FROM dense GROUP BY 1, 2),
+n AS (SELECT session_id, count(*) / {DENSE_FS} AS dur FROM dense GROUP BY 1),
+g AS (SELECT h.session_id, e, unnest(range(4 * e, 4 * e + 4)) AS slot FROM h WHERE stage = 'REM')
+SELECT g.session_id, slot * 0.5e0 AS SubEpochStart, slot * 0.5e0 + 0.5e0 AS SubEpochEnd, CAST(e AS INTEGER) AS EpochIdx,
+  CASE WHEN coalesce(sum(em.Duration), 0) >= 0.25 THEN 'Phasic' ELSE 'Tonic' END AS EpochType
+FROM g JOIN n USING (session_id) LEFT JOIN em ON em.session_id = g.session_id AND floor(em.Peak / 0.5e0) = slot WHERE slot * 0.5e0 + 0.5e0 <= dur GROUP BY 1, 2, 3, 4"""))
+def detect_subepochs(spark, sf):
+    return detected(spark, sf)[1]
+
+
 PARTS = ("stage_distribution", "rem_epoch_duration", "rem_event_features", "em_classification", "em_stage_counts", "phasic_tonic", "eog_amplitude")
 REST = ("stage_probability", "rem_stability", "bout_features", "bout_structure", "em_morphology", "sleep_architecture", "waso")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,15 +97,18 @@ def em_candidates(threshold: Column, limit: float = AMP_LIMIT) -> Column:
 
 def detect_movements(
     samples: DataFrame, threshold: DataFrame, fs: float = 128.0, idx: str = "sample_idx",
-    loc: str = "loc_clean", roc: str = "roc_clean", limit: float = AMP_LIMIT, chunk_rows: int = CHUNK_ROWS,
+    loc: str = "loc_clean", roc: str = "roc_clean", limit: float = AMP_LIMIT, chunk_rows: int = CHUNK_ROWS, raw: Sequence[str] = (),
 ) -> DataFrame:
     """One row per eye movement: times, peak amplitudes and slopes.
 
+    With ``raw`` channels, their mean absolute value at the peak is carried along as MeanAbsValPeak. The samples
+    are written between the two passes, so the second does not run the first again.
+
     Candidate runs give the peaks; the nearest qualifying minimum on either side
     gives the bases, with the adjacent sample as fallback.
     """
     require(samples, [KEY, idx, loc, roc, "stage"])
-    s = join_per_key(amplitude_steps(samples, idx, loc, roc, chunk_rows), threshold.select(KEY, "threshold"), [KEY])
+    s = cut(join_per_key(amplitude_steps(samples, idx, loc, roc, chunk_rows), threshold.select(KEY, "threshold"), [KEY]))
     s = s.withColumns({
         "_cand": F.coalesce(em_candidates(F.col("threshold"), limit), F.lit(False)),
         "_low": F.coalesce(is_minimum() & (F.col("amp") < F.col("threshold") / 2), F.lit(False)),
@@ -119,7 +123,8 @@ def detect_movements(
     left = F.coalesce("_left", "prev", me)
     right = F.coalesce("_right", "next", me)
     s = s.withColumns({"_l": left, "_r": right, "run_id": F.coalesce("run_id", F.lit(-1))})
-    row = F.struct(F.col(idx).alias("i"), F.col(loc), F.col(roc), F.col("_l"), F.col("_r"))
+    mean = [(sum((F.abs(c) for c in raw), F.lit(0.0)) / len(raw)).alias("MeanAbsValPeak")] if raw else []
+    row = F.struct(F.col(idx).alias("i"), F.col(loc), F.col(roc), F.col("_l"), F.col("_r"), *mean)
     ev = (
         s.filter("_cand").groupBy(KEY, "run_id").agg(F.max_by(row, F.struct("amp", -F.col(idx))).alias("p"))
         .select(KEY, "run_id", "p.*")
@@ -136,7 +141,7 @@ def detect_movements(
         slope("roc", roc, f"_l.{roc}", rise).alias("ROCAbsRiseSlope"),
         slope("loc", f"_r.{loc}", loc, fall).alias("LOCAbsFallSlope"),
         slope("roc", f"_r.{roc}", roc, fall).alias("ROCAbsFallSlope"),
-        F.col("_l.stage").alias("Stage"),
+        F.col("_l.stage").alias("Stage"), *(["MeanAbsValPeak"] if raw else []),
     )
 
 
@@ -159,7 +164,7 @@ def em_mean_amplitude(events: DataFrame, samples: DataFrame, fs: float, idx: str
 def detect_em(samples: DataFrame, fs: float = 128.0, sem_s: float = 0.5, threshold: DataFrame | None = None, **kw) -> DataFrame:
     """Events typed as slow (SEM) or rapid (REM) with their mean peak amplitude."""
     th = stagewise_threshold(samples) if threshold is None else threshold
-    e = em_mean_amplitude(detect_movements(samples, th, fs, **kw), samples, fs)
+    e = detect_movements(samples, th, fs, raw=("LOC", "ROC"), **kw)
     return e.withColumn("EM_Type", em_type(F.col("Duration"), sem_s))
 
 

@@ -58,10 +58,12 @@ def fir_taps(fs: float, lo: float, hi: float, n: int) -> np.ndarray:
 
 def bandpass_filter(
     samples: DataFrame, taps: Sequence[float], cols: Sequence[str], idx: str = "sample_idx", chunk_rows: int = 65536,
-    suffix: str = "_clean",
+    suffix: str = "_clean", keep: Sequence[str] = (), digits: int | None = None,
 ) -> DataFrame:
     """Zero-phase FIR over the sample index; samples outside the series count as 0.
 
+    Columns named in ``keep`` are passed on. ``digits`` rounds the result, so that it does not depend on the order of sums.
+
     Chunks carry a halo of half the filter length copied from their neighbours, so the
     series is filtered in parallel and the seams are exact.
     """
@@ -72,9 +74,10 @@ def bandpass_filter(
     i = F.col(idx)
     home = F.floor(i / chunk_rows).cast("long")
     near = F.array_distinct(F.array(F.floor((i - half) / chunk_rows).cast("long"), home, F.floor((i + half) / chunk_rows).cast("long")))
-    src = samples.select(KEY, idx, *cols, F.explode(near).alias(CHUNK)).filter(F.col(CHUNK) >= 0)
+    src = samples.select(KEY, idx, *cols, *[c for c in keep if c not in cols], F.explode(near).alias(CHUNK)).filter(F.col(CHUNK) >= 0)
     schema = Ty.StructType([
         samples.schema[KEY], Ty.StructField(idx, Ty.LongType()), *[Ty.StructField(f"{c}{suffix}", Ty.DoubleType()) for c in cols],
+        *[samples.schema[c] for c in keep],
     ])
 
     def apply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -86,7 +89,9 @@ def bandpass_filter(
         for c in cols:
             x = np.zeros(chunk_rows + 2 * half)
             x[at] = np.nan_to_num(pdf[c].to_numpy(dtype=float))
-            out[f"{c}{suffix}"] = np.convolve(x, taps, mode="valid")[at[mine] - half]
+            y = np.convolve(x, taps, mode="valid")[at[mine] - half]
+            out[f"{c}{suffix}"] = y if digits is None else np.round(y, digits)
+        out |= {c: pdf[c][mine] for c in keep}
         return pd.DataFrame(out)
 
     return src.groupBy(KEY, CHUNK).applyInPandas(apply, schema)

@@ -8,14 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sleepsignal.operators import align, clean, events
+from sleepsignal.operators import align, clean, events, spectral
 from sleepsignal.operators.cohort import append_column, outer_merge
 from sleepsignal.operators.features.bout import bout_features
 from sleepsignal.operators.features.eeg import stage_power
 from sleepsignal.operators.features.eog import eog_features
 from sleepsignal.operators.features.extra import extra_features, waso
+from sleepsignal.operators.features.fused import night_features
 from sleepsignal.operators.features.stage_prob import stage_prob_features
 from sleepsignal.schemas import KEY, T
+from sleepsignal.session import cut
 from sleepsignal.sources.incremental import each_module
 
 Module = Callable[..., DataFrame]
@@ -38,13 +40,22 @@ class Settings:
     chunk_s: float = 600.0
 
 
-def detect(filtered: DataFrame, hypnogram: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """Typed movements and classified sub-epochs from cleaned channels on the detection grid.
+def detect(
+    samples: DataFrame, hypnogram: DataFrame, s: Settings = Settings(), taps: Sequence[float] | None = None, idx: str = "sample_idx", chunk_rows: int = 65_536, digits: int = 6,
+) -> tuple[DataFrame, DataFrame]:
+    """Typed movements and classified sub-epochs from raw LOC, ROC and stage on the detection grid.
 
-    Times are relative to the first sample, as the grid starts there.
+    Band-pass in chunks with a halo, antiphase gate, amplitude against the stage-wise threshold of the raw channels, nearest minima.
+    Raw channels and stage travel through the filter with their sample, so nothing is joined back. The gated samples
+    are written once; filtered values are rounded to ``digits`` decimals and the threshold to four, so that equal
+    inputs give equal events on any cluster. Times are relative to the first sample, as the grid starts there.
     """
-    em = events.detect_em(filtered, s.detect_fs, s.sem_s)
-    em = clean.drop_artefact_events(em, s.artefact_uv)
+    taps = spectral.fir_taps(s.detect_fs, 0.1, 5.0, 2 * int(2 * s.detect_fs) + 1) if taps is None else taps
+    filtered = spectral.bandpass_filter(samples, taps, ["LOC", "ROC"], idx, chunk_rows, keep=["LOC", "ROC", "stage"], digits=digits)
+    filtered = cut(spectral.antiphase_gate(filtered).select(KEY, idx, "LOC", "ROC", "stage", "loc_clean", "roc_clean"))
+    threshold = events.stagewise_threshold(filtered).withColumn("threshold", F.round("threshold", 4))
+    em = events.detect_em(filtered, s.detect_fs, s.sem_s, threshold, idx=idx, chunk_rows=chunk_rows)
+    em = cut(clean.drop_artefact_events(em, s.artefact_uv))
     length = filtered.groupBy(KEY).agg((F.count(F.lit(1)) / F.lit(s.detect_fs)).alias("duration_s"))
     return em, events.classify_subepochs(hypnogram, length, em, s.epoch_s, s.sub_s, s.phasic_s)
 
@@ -63,6 +74,11 @@ def process(
         on_clock(eeg, [T]), s.chunk_s)
 
 
+def features(merged: DataFrame, s: Settings = Settings(), **options) -> DataFrame:
+    """One row per session with all 141 features and the wake after sleep onset, from three scans of the timeline."""
+    return night_features(merged, s.fs, s.chunk_s, s.sub_s, **options)
+
+
 def extract(
     merged: DataFrame, modules: Sequence[str] = tuple(MODULES), s: Settings = Settings(), options: dict[str, dict] | None = None,
     with_waso: bool = True,
