@@ -278,10 +278,17 @@ def null_audit_sessions(spark, sf):
 
 
 @query("signal_range", with_views("night", body="""
-SELECT session_id, stage, min(LOC) AS "LOC_min", max(LOC) AS "LOC_max", round(avg(LOC), 6) AS "LOC_mean", round(stddev_samp(LOC), 6) AS "LOC_std" FROM night GROUP BY 1, 2"""))
+SELECT session_id, stage, min(LOC) AS "LOC_min", max(LOC) AS "LOC_max", round(avg(LOC), 6) AS "LOC_mean", round(stddev_samp(LOC), 6) AS "LOC_std",
+  min(ROC) AS "ROC_min", max(ROC) AS "ROC_max", round(avg(ROC), 6) AS "ROC_mean", round(stddev_samp(ROC), 6) AS "ROC_std" FROM night GROUP BY 1, 2"""))
 def signal_range(spark, sf):
-    r = clean.signal_range(fx.night(spark, sf), ["LOC"], [KEY, "stage"])
-    return r.withColumns({c: F.round(c, 6) for c in ("LOC_mean", "LOC_std")})
+    r = clean.signal_range(fx.night(spark, sf), ["LOC", "ROC"], [KEY, "stage"])
+    return r.withColumns({f"{c}_{k}": F.round(f"{c}_{k}", 6) for c in ("LOC", "ROC") for k in ("mean", "std")})
+
+
+@query("to_microvolt", with_views("night", body="SELECT session_id, time_sec, LOC * 1e6 AS LOC, ROC * 1e6 AS ROC FROM night"))
+def to_microvolt(spark, sf):
+    """Channels read as volts."""
+    return clean.to_microvolt(fx.night(spark, sf).select(KEY, T, "LOC", "ROC"))
 
 
 # ---- importance and rankings ----

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sleepsignal import schemas
@@ -17,7 +15,7 @@ from sleepsignal.operators import clean, cohort
 from sleepsignal.operators.features import eog, fused
 from sleepsignal.plans import night
 from sleepsignal.schemas import KEY
-from sleepsignal.session import checkpoint_dir
+from sleepsignal.session import run_folder
 from sleepsignal.sources import incremental, listing, quarantine, tables
 from sleepsignal.streaming.ingest import ingest, session_stream
 
@@ -74,6 +72,15 @@ def empty_file_check(spark, sf):
     return listing.empty_files(outputs_listing(spark, sf))
 
 
+@query("missing_stages", f"""WITH {OUTS}, s AS (SELECT DISTINCT session_id AS patient_id FROM ol), o AS (SELECT session_id, stage FROM ol WHERE length > 3)
+SELECT patient_id, {', '.join(f"coalesce(bool_or(stage = '{s}'), false) AS {s}" for s in listing.STAGE_SUFFIX)} FROM s LEFT JOIN o ON o.session_id = patient_id GROUP BY 1""")
+def missing_stages(spark, sf):
+    """Which outputs of more than three bytes every session with any file has."""
+    o = outputs_listing(spark, sf)
+    sessions = listing.stage_outputs(o.withColumn("length", F.lit(1))).select(F.col(KEY).alias("patient_id")).distinct()
+    return listing.missing_stages(sessions, listing.stage_outputs(o.filter("length > 3")))
+
+
 @query("remerge_inventory", f"""WITH {OUTS} SELECT session_id, session_id || '_eog_merged.csv' AS output FROM (SELECT DISTINCT session_id, stage FROM ol WHERE length > 0
   AND stage IN ('eeg', 'eog', 'staging', 'rem_events', 'em_events')) GROUP BY 1 HAVING count(*) = 5""")
 def remerge_inventory(spark, sf):
@@ -138,7 +145,7 @@ def lights_qc(spark, sf):
 @query("scan_samples", with_views("night", body="SELECT session_id, time_sec, LOC, ROC FROM night"))
 def scan_samples(spark, sf):
     """Samples written as CSV files per part and read back with names from a column."""
-    path = f"{checkpoint_dir(spark)}/samples-{uuid.uuid4().hex}"
+    path = run_folder(spark, "samples")
     fx.eog(spark, sf).write.option("header", "true").csv(path, compression="gzip")
     raw = spark.read.schema("session_id string, time_sec double, LOC double, ROC double").option("header", "true").option("pathGlobFilter", "*.csv*").csv(path)
     return tables.nan_to_null(raw)
@@ -146,7 +153,7 @@ def scan_samples(spark, sf):
 
 @query("sink_tables", with_views("night", body="SELECT session_id, stage, count(*) AS n FROM night GROUP BY 1, 2"))
 def sink_tables(spark, sf):
-    path = f"{checkpoint_dir(spark)}/night-{uuid.uuid4().hex}"
+    path = run_folder(spark, "night")
     tables.write_table(fx.night(spark, sf).select(KEY, "stage", "event_id"), path, "stage")
     return tables.scan_parquet(spark, path, [KEY, "stage", "no_such_column"]).groupBy(KEY, "stage").agg(F.count(F.lit(1)).alias("n"))
 
@@ -172,7 +179,7 @@ SELECT session_id, count(*) AS n, CASE WHEN max(time_sec) < 2550000 THEN -1 ELSE
 def module_tables(spark, sf):
     """Three nights of runs: some sessions, then all with one module changed and redone, then nothing new."""
     n = fx.night(spark, sf)
-    root = f"{checkpoint_dir(spark)}/modules-{uuid.uuid4().hex}"
+    root = run_folder(spark, "modules")
     early = n.join(n.groupBy(KEY).agg(F.max("time_sec").alias("_t")).filter("_t < 2550000").select(KEY), KEY, "left_semi")
     total = lambda shift: lambda d: d.groupBy(KEY).agg((F.when(F.max("time_sec") < 2550000, shift).otherwise(0) + F.round(F.sum("LOC"), 4)).alias("total"))
     count = lambda d: d.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
@@ -186,7 +193,7 @@ def module_tables(spark, sf):
 @query("incremental_ingest", with_views("night", body="SELECT user_id AS session, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1"))
 def incremental_ingest(spark, sf):
     """The event file as a stream of session files; the second run finds nothing new."""
-    base = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    base = run_folder(spark, "ingest")
     schema = table(spark, sf, "events").schema
     per = lambda d: d.groupBy(F.col("user_id").alias("session")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     for _ in range(2):
@@ -204,7 +211,7 @@ SELECT session_id, CASE WHEN reason IS NULL THEN n END AS n, CASE WHEN reason IS
   SELECT 'DCSM_' || u || '_a' AS session_id, n, total, {FAULT} AS reason FROM (SELECT user_id AS u, count(*) AS n, sum(value) AS total FROM events GROUP BY 1))""")
 def ingest_rejects(spark, sf):
     """One file per session, some of them bad: the good ones are taken in, the others listed with the reason."""
-    base = f"{checkpoint_dir(spark)}/rejects-{uuid.uuid4().hex}"
+    base = run_folder(spark, "rejects")
     e = table(spark, sf, "events").select(F.col("user_id").alias("u"), F.col("event_id").cast("string").alias("t"), F.col("value").cast("string").alias("v"))
     short = F.col("u") % 3 == 0
     head = e.select("u").distinct().select("u", F.lit(-1).cast("long").alias("k"), F.when(short, "time_sec,LOC").otherwise("ROC,time_sec,LOC").alias("value"))

@@ -267,12 +267,13 @@ def psd_curve(spark, sf):
 
 
 @query("welch_bands", with_views("dense", body=f"""
-, sig AS (SELECT session_id, sample_idx AS pos, LOC AS x FROM dense), {welch_sql('sig', 'session_id', 1)}
-SELECT session_id, {', '.join(f'round({band_sql(*v)}, 6) AS {b}' for b, v in BANDS.items())} FROM pl GROUP BY 1"""))
+, sig AS (SELECT session_id, 'LOC' AS channel, sample_idx AS pos, LOC AS x FROM dense UNION ALL SELECT session_id, 'ROC', sample_idx, ROC FROM dense), {welch_sql('sig', 'session_id, channel', 1)}
+SELECT session_id, channel, {', '.join(f'round({band_sql(*v)}, 6) AS {b}' for b, v in BANDS.items())} FROM pl GROUP BY 1, 2"""))
 def welch_bands(spark, sf):
-    d = spectral.positions(dense(spark, sf).select(KEY, T, F.col("LOC").alias("x")), [KEY], DCHUNK)
-    p = spectral.band_power(spectral.welch(d, [KEY], "pos", "x", DENSE_FS, SEG_S), [KEY], BANDS, False)
-    return p.select(KEY, *[F.round(b, 6).alias(b) for b in BANDS])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("x")) for c in ("LOC", "ROC")]))
+    d = spectral.positions(dense(spark, sf).select(KEY, T, each.alias("_s")).select(KEY, T, "_s.*"), [KEY, "channel"], DCHUNK)
+    p = spectral.band_power(spectral.welch(d, [KEY, "channel"], "pos", "x", DENSE_FS, SEG_S), [KEY, "channel"], BANDS, False)
+    return p.select(KEY, "channel", *[F.round(b, 6).alias(b) for b in BANDS])
 
 
 TAPS = spectral.fir_taps(DENSE_FS, 0.1, 4.0, 41)
@@ -288,33 +289,38 @@ def bandpass_filter(spark, sf):
 
 
 @query("resample_down", with_views("night", body="""
-SELECT session_id, CAST(floor(time_sec / 40000e0) AS BIGINT) AS sample_idx, round(avg(LOC), 6) AS LOC, floor(time_sec / 40000e0) * 40000e0 AS time_sec
+SELECT session_id, CAST(floor(time_sec / 40000e0) AS BIGINT) AS sample_idx, round(avg(LOC), 6) AS LOC, round(avg(ROC), 6) AS ROC, floor(time_sec / 40000e0) * 40000e0 AS time_sec
 FROM night GROUP BY session_id, floor(time_sec / 40000e0)"""))
 def resample_down(spark, sf):
-    d = spectral.resample_down(fx.night(spark, sf), 1 / 40000.0, ["LOC"])
-    return d.select(KEY, "sample_idx", F.round("LOC", 6).alias("LOC"), (F.col("sample_idx") * 40000.0).alias(T))
+    d = spectral.resample_down(fx.night(spark, sf), 1 / 40000.0, ["LOC", "ROC"])
+    return d.select(KEY, "sample_idx", F.round("LOC", 6).alias("LOC"), F.round("ROC", 6).alias("ROC"), (F.col("sample_idx") * 40000.0).alias(T))
 
 
 @query("resample_up", with_views("night", body="""
 , b AS (SELECT session_id, CAST(ceil(min(time_sec) / 8192e0) AS BIGINT) AS lo, CAST(floor(max(time_sec) / 8192e0) AS BIGINT) AS hi FROM night GROUP BY 1),
 g AS (SELECT session_id, unnest(range(lo, hi + 1)) AS sample_idx FROM b), h AS (SELECT *, sample_idx * 8192e0 AS t FROM g)
-SELECT h.session_id, h.sample_idx, h.t AS time_sec, round(p.LOC + (q.LOC - p.LOC) * CASE WHEN q.time_sec > p.time_sec THEN (h.t - p.time_sec) / (q.time_sec - p.time_sec) ELSE 0 END, 6) AS LOC
+SELECT h.session_id, h.sample_idx, h.t AS time_sec, round(p.LOC + (q.LOC - p.LOC) * CASE WHEN q.time_sec > p.time_sec THEN (h.t - p.time_sec) / (q.time_sec - p.time_sec) ELSE 0 END, 6) AS LOC,
+  round(p.ROC + (q.ROC - p.ROC) * CASE WHEN q.time_sec > p.time_sec THEN (h.t - p.time_sec) / (q.time_sec - p.time_sec) ELSE 0 END, 6) AS ROC
 FROM h ASOF LEFT JOIN night p ON p.session_id = h.session_id AND h.t >= p.time_sec ASOF LEFT JOIN night q ON q.session_id = h.session_id AND h.t <= q.time_sec"""))
 def resample_up(spark, sf):
-    u = spectral.resample_up(fx.night(spark, sf), 1 / 8192.0, ["LOC"], CHUNK_S)
-    return u.withColumn("LOC", F.round("LOC", 6))
+    u = spectral.resample_up(fx.night(spark, sf), 1 / 8192.0, ["LOC", "ROC"], CHUNK_S)
+    return u.withColumns({c: F.round(c, 6) for c in ("LOC", "ROC")})
 
 
-@query("interpolate_nulls", with_views("indexed", body="""
-, k AS (SELECT session_id, sample_idx AS i, LOC AS v FROM indexed WHERE LOC IS NOT NULL)
-SELECT n.session_id, n.sample_idx, round(CASE WHEN n.LOC IS NOT NULL THEN n.LOC WHEN b.v IS NULL THEN a.v WHEN a.v IS NULL THEN b.v
-  ELSE b.v + (a.v - b.v) / (a.i - b.i) * (n.sample_idx - b.i) END, 6) AS LOC
-FROM (SELECT session_id, sample_idx, CASE WHEN LOC < 60 THEN LOC END AS LOC FROM indexed) n
-ASOF LEFT JOIN (SELECT * FROM k WHERE v < 60) b ON b.session_id = n.session_id AND n.sample_idx >= b.i
-ASOF LEFT JOIN (SELECT * FROM k WHERE v < 60) a ON a.session_id = n.session_id AND n.sample_idx <= a.i"""))
+def _interpolated(c: str, low: str) -> str:
+    """One channel's values that meet ``low``, the others interpolated between them."""
+    known = f"(SELECT session_id, sample_idx AS i, {c} AS v FROM indexed WHERE {c} {low})"
+    return f"""(SELECT n.session_id, n.sample_idx, round(CASE WHEN n.v IS NOT NULL THEN n.v WHEN b.v IS NULL THEN a.v WHEN a.v IS NULL THEN b.v
+  ELSE b.v + (a.v - b.v) / (a.i - b.i) * (n.sample_idx - b.i) END, 6) AS {c}
+FROM (SELECT session_id, sample_idx, CASE WHEN {c} {low} THEN {c} END AS v FROM indexed) n
+ASOF LEFT JOIN {known} b ON b.session_id = n.session_id AND n.sample_idx >= b.i
+ASOF LEFT JOIN {known} a ON a.session_id = n.session_id AND n.sample_idx <= a.i)"""
+
+
+@query("interpolate_nulls", with_views("indexed", body=f"SELECT * FROM {_interpolated('LOC', '< 60')} JOIN {_interpolated('ROC', '> -40')} USING (session_id, sample_idx)"))
 def interpolate_nulls(spark, sf):
-    n = fx.indexed(spark, sf).select(KEY, "sample_idx", F.when(F.col("LOC") < 60, F.col("LOC")).alias("LOC"))
-    return clean.interpolate_nulls(n, "sample_idx", ["LOC"], 16).withColumn("LOC", F.round("LOC", 6))
+    n = fx.indexed(spark, sf).select(KEY, "sample_idx", F.when(F.col("LOC") < 60, F.col("LOC")).alias("LOC"), F.when(F.col("ROC") > -40, F.col("ROC")).alias("ROC"))
+    return clean.interpolate_nulls(n, "sample_idx", ["LOC", "ROC"], 16).withColumns({c: F.round(c, 6) for c in ("LOC", "ROC")})
 
 
 @query("residual_signal", with_views("dense", body="""

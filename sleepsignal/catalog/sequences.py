@@ -254,13 +254,12 @@ def two_window_rule(spark, sf):
     return two_window(spark, sf)
 
 
-@query("min_spacing", with_views("rem_events", body=f""", {TWO}, holed AS (SELECT * FROM w WHERE slot % 5 <> 2 AND slot % 7 <> 3),
-nx AS (SELECT a.session_id, a.slot, min(b.slot) AS nxt FROM holed a JOIN holed b ON b.session_id = a.session_id AND b.slot >= a.slot + 2 GROUP BY 1, 2),
-k AS (SELECT session_id, min(slot) AS slot FROM holed GROUP BY 1 UNION ALL SELECT k.session_id, nx.nxt FROM k JOIN nx ON nx.session_id = k.session_id AND nx.slot = k.slot)
-SELECT holed.* FROM holed JOIN k USING (session_id, slot)""").replace("WITH ", "WITH RECURSIVE ", 1))
+@query("min_spacing", with_views("rem_events", body=f""", {TWO}, nx AS (SELECT a.session_id, a.slot, min(b.slot) AS nxt FROM w a JOIN w b ON b.session_id = a.session_id AND b.slot >= a.slot + 2 GROUP BY 1, 2),
+k AS (SELECT session_id, min(slot) AS slot FROM w GROUP BY 1 UNION ALL SELECT k.session_id, nx.nxt FROM k JOIN nx ON nx.session_id = k.session_id AND nx.slot = k.slot)
+SELECT w.* FROM w JOIN k USING (session_id, slot)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def min_spacing(spark, sf):
-    """On a grid with holes; two epochs is the least distance."""
-    return events.min_spacing(two_window(spark, sf).filter("slot % 5 <> 2 and slot % 7 <> 3"), 2 * 86400.0, 86400.0)
+    """Two epochs is the least distance."""
+    return events.min_spacing(two_window(spark, sf), 2 * 86400.0, 86400.0)
 
 
 @query("onset_latency", with_views("night", body="""

@@ -411,7 +411,6 @@ def probability_strip(spark, sf):
 
 
 ROWS = "fr AS (SELECT CAST(substr(subject_id, 2) AS BIGINT) AS id, * EXCLUDE (subject_id, segment_group) FROM features)"
-IMPUTED = ("order_count", "price_std", "quantity_mean")
 
 
 def rows(spark, sf):
@@ -419,10 +418,10 @@ def rows(spark, sf):
     return f.select(F.substring("subject_id", 2, 20).cast("long").alias("id"), *FEATURES)
 
 
-@query("impute_simple", with_views("features", body=f", {ROWS} SELECT id, {', '.join(f'round(coalesce({c}, (SELECT avg({c}) FROM fr)), 6) AS {c}' for c in IMPUTED)} FROM fr"))
+@query("impute_simple", with_views("features", body=f", {ROWS} SELECT id, {', '.join(f'round(coalesce({c}, (SELECT avg({c}) FROM fr)), 6) AS {c}' for c in FEATURES)} FROM fr"))
 def impute_simple(spark, sf):
-    r = rows(spark, sf).select("id", *IMPUTED)
-    return ml.impute_simple(r, r, IMPUTED, "mean")[0].select("id", *[F.round(c, 6).alias(c) for c in IMPUTED])
+    r = rows(spark, sf).select("id", *FEATURES)
+    return ml.impute_simple(r, r, FEATURES, "mean")[0].select("id", *[F.round(c, 6).alias(c) for c in FEATURES])
 
 
 def _knn_sql() -> str:
@@ -497,3 +496,14 @@ SELECT 'm' AS model, round(avg(auc), 9) AS auc FROM a""")
 def macro_auc(spark, sf):
     e = table(spark, sf, "embeddings").select(F.lit("m").alias("model"), F.col("label").alias("y_true"), F.col("embedding").cast("array<double>").alias("probs"))
     return compare.macro_auc(e).withColumn("auc", F.round("auc", 9))
+
+
+@query("one_vs_rest_auc", """
+WITH z AS (SELECT label AS y, k AS class, embedding[k + 1] AS s FROM embeddings, range(10) r(k)),
+c AS (SELECT class, CAST(y = class AS INTEGER) AS h, rank() OVER (PARTITION BY class ORDER BY s) + (count(*) OVER (PARTITION BY class, s) - 1) / 2 AS r FROM z)
+SELECT 'm' AS model, CAST(class AS INTEGER) AS class, sum(h) AS n_pos, sum(1 - h) AS n_neg,
+  round((sum(r) FILTER (WHERE h = 1) - sum(h) * (sum(h) + 1) / 2) / nullif(sum(h) * sum(1 - h), 0), 9) AS auc FROM c GROUP BY class""")
+def one_vs_rest_auc(spark, sf):
+    """Each class against the rest, the first ten components as its scores."""
+    e = table(spark, sf, "embeddings").select(F.lit("m").alias("model"), F.col("label").alias("y_true"), F.col("embedding").cast("array<double>").alias("probs"))
+    return compare.roc_auc(compare.one_vs_rest(e, range(10)), ["model", "class"]).withColumn("auc", F.round("auc", 9))

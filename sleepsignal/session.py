@@ -51,8 +51,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def run_folder(spark: SparkSession, kind: str) -> str:
+    """A folder of one run's files in the shared folder, deleted with the stages."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _stages.append(path)
+    return path
+
+
 def discard_stages(spark: SparkSession) -> int:
-    """Delete the stage tables this process has written, at the end of a run; nothing may read them any more."""
+    """Delete the stage tables and run folders this process has written, at the end of a run; nothing may read them any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
