@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -11,11 +12,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sleepsignal.operators.compare import classification_metrics, majority_baseline, stratified_folds
-from sleepsignal.plans.chunked import join_salted
+from sleepsignal.plans.chunked import join_salted, row_index, with_value_chunk
 from sleepsignal.session import cut
 
 Scaler = dict[str, tuple[float, float]]
@@ -173,19 +174,22 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def cross_validate(
     df: DataFrame, cols: Sequence[str], models: dict[str, dict], k: int = 5, seed: int = 42, imputer: str = "median",
-    choose: Callable[[DataFrame, str], dict] | None = None,
+    tuner: Callable[[DataFrame], Callable[[str], dict]] | None = None,
 ) -> DataFrame:
     """Out-of-fold predictions of every model and of the majority baseline.
 
-    The loop is over folds and models; rows stay in Spark.
+    The loop is over folds and models; rows stay in Spark. ``tuner`` gets a fold's training rows as they are, neither
+    imputed nor scaled, and gives the function that chooses a model's parameters.
     """
     d = cut(df if "fold" in df.columns else stratified_folds(df, k, seed))
     parts = [majority_baseline(d).withColumn("probs", F.lit(None).cast("array<double>"))]
     for f in range(k):
         # Every solver iteration reads the prepared rows, so they are written once per fold.
-        tr, va = map(cut, prepare_fold(d.filter(F.col("fold") != f), d.filter(F.col("fold") == f), cols, imputer))
+        own = d.filter(F.col("fold") != f)
+        tr, va = map(cut, prepare_fold(own, d.filter(F.col("fold") == f), cols, imputer))
+        choose = None if tuner is None else tuner(own)
         for name, params in models.items():
-            best = params if choose is None else choose(tr, name)
+            best = params if choose is None else choose(name)
             parts.append(predict(fit(tr, cols, name, best, seed), va, name))
     return cut(_union([p.select("model", "id", "fold", F.col("y_true").cast("int").alias("y_true"), F.col("y_pred").cast("int").alias("y_pred"), "probs") for p in parts]))
 
@@ -200,22 +204,66 @@ def sample_params(space: dict[str, list], n_iter: int, seed: int) -> list[dict]:
 
 def nested_cross_validate(
     df: DataFrame, cols: Sequence[str], models: Sequence[str], k_outer: int = 5, k_inner: int = 3, n_iter: int = 20, seed: int = 42,
-    imputer: str = "median", spaces: dict | None = None,
+    imputer: str = "median", spaces: dict | None = None, parallelism: int = 4,
 ) -> DataFrame:
-    """Outer predictions of models tuned by balanced accuracy on inner folds of the outer training rows."""
+    """Outer predictions of models tuned by balanced accuracy on inner folds of the outer training rows.
+
+    Every inner fold is imputed and scaled with statistics of its own training rows, so no held-out row is seen by
+    what prepares it. The fits of candidates and folds run ``parallelism`` at a time.
+    """
     spaces = spaces or SEARCH
 
-    def choose(train: DataFrame, name: str) -> dict:
+    def tuner(train: DataFrame) -> Callable[[str], dict]:
         inner = cut(stratified_folds(train.drop("fold"), k_inner, seed))
-        scored = []
-        for params in sample_params(spaces[name], n_iter, seed):
-            preds = _union([
-                predict(fit(inner.filter(F.col("fold") != f), cols, name, params, seed), inner.filter(F.col("fold") == f), name) for f in range(k_inner)])
-            row = classification_metrics(preds, ["fold"], "binary").agg(F.avg("balanced_accuracy").alias("b")).first()
-            scored.append((row["b"], params))
-        return max(scored, key=lambda s: s[0])[1]
-
-    return cross_validate(df, cols, {m: {} for m in models}, k_outer, seed, imputer, choose)
+        folds = [tuple(map(cut, prepare_fold(inner.filter(F.col("fold") != f), inner.filter(F.col("fold") == f), cols, imputer))) for f in range(k_inner)]
+
+        def score(name: str, params: dict, f: int) -> float:
+            tr, va = folds[f]
+            return classification_metrics(predict(fit(tr, cols, name, params, seed), va, name), ["fold"], "binary").first()["balanced_accuracy"]
+
+        def choose(name: str) -> dict:
+            candidates = sample_params(spaces[name], n_iter, seed)
+            with ThreadPoolExecutor(parallelism) as pool:
+                jobs = [[pool.submit(score, name, params, f) for f in range(k_inner)] for params in candidates]
+                means = [sum(j.result() for j in js) / k_inner for js in jobs]
+            return candidates[max(range(len(candidates)), key=means.__getitem__)]
+
+        return choose
+
+    return cross_validate(df, cols, {m: {} for m in models}, k_outer, seed, imputer, tuner)
+
+
+def permutation_importance(
+    model: PipelineModel, df: DataFrame, cols: Sequence[str], name: str, repeats: int = 3, seed: int = 42, average: str = "binary", parallelism: int = 4
+) -> DataFrame:
+    """(feature, mean, std): balanced accuracy lost when one column is dealt anew among the rows, over ``repeats`` deals.
+
+    ``df`` holds prepared rows with ids of their own. A deal orders the rows by a seeded hash of their id and gives each the
+    value of the row at the same place in another such order; places are counted per chunk of hashes.
+    """
+    df = cut(df.withColumn("_all", F.lit(0)))
+    spark = df.sparkSession
+    score = lambda d: classification_metrics(predict(model, d, name), ["model"], average).first()["balanced_accuracy"]
+    whole = score(df)
+
+    def in_order(*salt: Column) -> DataFrame:
+        d = df.withColumn("_h", F.xxhash64(F.lit(seed), *salt, "id"))
+        return row_index(with_value_chunk(d, ["_all"], "_h", 64), ["_all"], ["_h", "id"], "_at")
+
+    placed = cut(in_order().select("_at", *cols))
+
+    def lost(c: str, r: int) -> float:
+        return whole - score(in_order(F.lit(r), F.lit(c)).drop(c).join(placed.select("_at", c), "_at"))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        jobs = {c: [pool.submit(lost, c, r) for r in range(repeats)] for c in cols}
+        rows = [(c, *_mean_std([j.result() for j in js])) for c, js in jobs.items()]
+    return spark.createDataFrame(rows, "feature string, mean double, std double")
+
+
+def _mean_std(x: Sequence[float]) -> tuple[float, float]:
+    m = sum(x) / len(x)
+    return float(m), float((sum((v - m) ** 2 for v in x) / len(x)) ** 0.5)
 
 
 def mdi_importance(model: PipelineModel, spark, cols: Sequence[str], top: int | None = None) -> DataFrame:

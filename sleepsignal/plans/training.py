@@ -13,10 +13,13 @@ from sleepsignal.session import cut
 
 def run_training(
     features: DataFrame, cols: Sequence[str], tasks: Sequence[str] = ("control_vs_all",), methods: Sequence[str] = ("kfold",),
-    models: dict[str, dict] | None = None, k: int = 5, seed: int = 42, imputer: str = "median", out: str | None = None, **nested,
+    models: dict[str, dict] | None = None, k: int = 5, seed: int = 42, imputer: str = "median", out: str | None = None, repeats: int = 0, **nested,
 ) -> tuple[DataFrame, DataFrame]:
     """Fold metrics and their summary for every (task, method); tables are written when ``out`` is given.
 
+    With ``repeats``, each model is fitted once more on all rows of a task, and ``out`` gets the table of permutation
+    importances (run_tag, feature, importance, std) that the stability and join operators read.
+
     Tasks are the binary tasks or ``multiclass``.  ``features`` needs ``id`` and ``group``.
     """
     models = models or ml.DEFAULTS
@@ -36,6 +39,8 @@ def run_training(
             folds = m if folds is None else folds.unionByName(m)
             if out is not None:
                 preds.write.mode("overwrite").parquet(f"{out}/predictions/task={task}/method={method}")
+        if out is not None and repeats:
+            importances(data, cols, models, task, seed, imputer, repeats, "weighted" if multi else "binary").write.mode("overwrite").parquet(f"{out}/importance/task={task}")
     folds = cut(folds)
     summary = compare.cv_summary(folds, ("task", "method", "model"))
     if out is not None:
@@ -44,6 +49,20 @@ def run_training(
     return folds, summary
 
 
+def importances(
+    data: DataFrame, cols: Sequence[str], models: dict[str, dict], task: str, seed: int = 42, imputer: str = "median", repeats: int = 3, average: str = "binary"
+) -> DataFrame:
+    """(run_tag, feature, importance, std) of every model refitted on all rows; a run is a task and a model."""
+    rows = cut(ml.prepare_fold(data, data, cols, imputer)[0])
+    out = None
+    for name, params in models.items():
+        model = ml.fit(rows, cols, name, params, seed)
+        p = ml.permutation_importance(model, rows, cols, name, repeats, seed, average)
+        p = p.select(F.lit(f"{task} {name}").alias("run_tag"), "feature", F.col("mean").alias("importance"), "std")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 def compare_models(
     data: DataFrame, cols_1: Sequence[str], cols_2: Sequence[str] | None = None, models: dict[str, dict] | None = None, k: int = 5,
     seed: int = 42, imputer: str = "median", n_boot: int = 10_000,

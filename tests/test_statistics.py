@@ -155,7 +155,8 @@ def test_training_writes_fold_and_summary_tables(spark, tmp_path):
     d = spark.createDataFrame(pd.DataFrame({"id": np.arange(60), "group": g, "a": np.where(np.arange(60) % 7 == 0, np.nan, x), "b": r.normal(size=60)}))
     d = d.withColumn("a", F.nanvl("a", F.lit(None).cast("double")))
     out = str(tmp_path)
-    folds, summary = training.run_training(d, ["a", "b"], ("control_vs_irbd",), ("kfold",), {"Logistic Regression": {}}, k=2, out=out)
+    folds, summary = training.run_training(d, ["a", "b"], ("control_vs_irbd",), ("kfold",), {"Logistic Regression": {}}, k=2, out=out, repeats=1)
+    assert sorted(r["feature"] for r in spark.read.parquet(f"{out}/importance").filter("task = 'control_vs_irbd'").collect()) == ["a", "b"]
     assert folds.count() == 4 and summary.columns[:3] == ["task", "method", "model"]
     assert spark.read.parquet(f"{out}/predictions").filter("model = 'Logistic Regression'").count() == 40
     assert summary.first()["model"] == "Logistic Regression" and spark.read.parquet(f"{out}/summary").count() == 2
