@@ -300,6 +300,13 @@ def may_be_in(docs: DataFrame, hashed: Column, keys: DataFrame, column: str, bit
     return docs.filter(known(hashed)), docs.filter(~known(hashed))
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    longest = max(map(len, taken), default=0)
+    return [n if n.lower() not in taken else n + "_" * (longest + 1 - len(n)) for n in names]
+
+
 def text_key() -> list[Column]:
     """128 bits that follow from the text alone, as columns ``_k1`` and ``_k2``; a null text counts as empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -1,19 +1,25 @@
 """Benchmark decontamination with spaced seeds.
 
-A seed is six words at the places of a fixed mask inside a window of 8 to 12, so an item whose words were partly
-replaced still shares seeds with its source. The four masks are chosen so that every stretch that the comparison
-below accepts, of any items of 12 words and more, has a seed; tests hold this. Seeds of the benchmark and of the training texts are joined on their
-hashes. Before that, a bitmap of fixed size over the benchmark's seeds, three bits each, leaves out nearly all
-training seeds where they are made; it only saves work, the join decides. Each hit gives an alignment of a
-stretch of text with an item; the stretch of best score (+1 for an equal word, -2 for another) is kept if it
-has ``MIN_OVERLAP`` words, or the whole item if that is shorter, and at least 3/4 of its words are equal.
+A text overlaps an item if, laid side by side without gaps at any shift, some stretch of at least ``MIN_OVERLAP``
+words (the whole item, if that is shorter) has at least 3/4 equal words; the longest such stretch is reported.
+
+A seed is six words at the places of a fixed mask inside a window of 7 to 12, so an item whose words were partly
+replaced still shares seeds with its source. The eight masks meet every overlap of items of 12 words and more: a
+stretch of 26 words and more has a half that is an overlap too, so those of 12 to 25 words are enough, and
+each of these holds 12, 16, 20 or 24 words in a row of which at most a quarter differ; the masks were searched so that
+all such patterns hold a seed, and tests go through them. Seeds of the benchmark and of the training texts are
+joined on their hashes. Before that, a bitmap of fixed size over the benchmark's seeds, three bits each, leaves out
+nearly all training seeds where they are made; it only saves work, the join decides. Each hit gives an alignment of
+a stretch of text with an item. The stretch reaches as far around its seeds as the longest item is long, so every
+alignment is compared over the whole item.
 
 Items of 5 to 11 words are searched as they are, unmasked; items of less than 5 words are not searched.
 
 Nulls and edge cases: words are lower-case, without marks around them, and marks alone are no words; null and
 empty texts have none and are clean; null or empty items match nothing; equal items count as the one with the
 smallest item_id; equal texts share their result, so repeated rows are all found; a null doc_id is kept; an
-empty benchmark leaves every document clean. Only doc_id and text, item_id and text are read.
+empty benchmark leaves every document clean. Only doc_id and text, item_id and text are read; other columns stay
+as they are, whatever their names. A text of any length costs its words once, and what surrounds its seeds.
 """
 
 from __future__ import annotations
@@ -25,21 +31,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import BITMAP_BITS, MIX_A, PROBES, WordHashes, bitmap_of, in_bitmap, mix, slices, small_batches, text_key, trimmed, word_hashes
+from sleepsignal.llm.common import BITMAP_BITS, MIX_A, PROBES, WordHashes, bitmap_of, free_names, in_bitmap, mix, slices, small_batches, text_key, trimmed, word_hashes
 from sleepsignal.session import cut
 
 #: 1 is compared, 0 ignored. Together they meet every accepted pattern of equal words.
 MASKS = (
+    "1011111",
+    "1111011",
+    "11101011",
+    "110011011",
+    "1101000111",
     "10100100111",
-    "1010100111",
-    "110000011011",
-    "11001111",
+    "11011000101",
+    "111000010011",
 )
-SPAN = max(map(len, MASKS))
+SPAN = max(map(len, MASKS))  # items of at least this many words are searched by the masks
 SHORTEST = 5
 MIN_OVERLAP = 13
-EQUAL = 0.75
-REACH = 48  # words around a hit that are kept for the comparison
+EQUAL = 3, 4  # equal words of an overlap, as a fraction
 SALTS = 8
 
 
@@ -125,8 +134,11 @@ def benchmark_seeds(items: DataFrame, short: list[int]) -> DataFrame:
 STRETCH = "_k1 long, _k2 long, stretch int, words binary, hits array<struct<place:int,hash:long>>"
 
 
-def stretches(docs: DataFrame, short: list[int], bitmap: np.ndarray) -> DataFrame:
-    """Stretches of text around seeds that the bitmap lets through: text key, number, words, hits in the stretch."""
+def stretches(docs: DataFrame, short: list[int], bitmap: np.ndarray, reach: int) -> DataFrame:
+    """Stretches of text around seeds that the bitmap lets through: text key, number, words, hits in the stretch.
+
+    ``reach`` words before and after a seed belong to it, so that an item that holds the seed fits in.
+    """
     masks = masks_for(short)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bitmap)  # its size is fixed by the parameter
@@ -151,15 +163,15 @@ def stretches(docs: DataFrame, short: list[int], bitmap: np.ndarray) -> DataFram
                 h, at = h[order].view(np.int64), at[order]
                 ends = np.cumsum(counts)
                 doc = np.searchsorted(ends, at, side="right")
-                cuts = np.concatenate([[0], np.flatnonzero((np.diff(doc) != 0) | (np.diff(at) > 2 * REACH)) + 1, [len(at)]])
+                cuts = np.concatenate([[0], np.flatnonzero((np.diff(doc) != 0) | (np.diff(at) > 2 * reach)) + 1, [len(at)]])
                 k1, k2 = batch.column("_k1").to_numpy(), batch.column("_k2").to_numpy()
                 rows, number, last = [], 0, -1
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     d = int(doc[a])
                     number = number + 1 if d == last else 0
                     last = d
-                    lo = max(int(ends[d] - counts[d]), int(at[a]) - REACH)
-                    hi = min(int(ends[d]), int(at[b - 1]) + SPAN + REACH)
+                    lo = max(int(ends[d] - counts[d]), int(at[a]) - reach)
+                    hi = min(int(ends[d]), int(at[b - 1]) + reach)
                     found = [{"place": int(p) - lo, "hash": int(x)} for p, x in zip(at[a:b], h[a:b], strict=True)]
                     rows.append({"_k1": int(k1[d]), "_k2": int(k2[d]), "stretch": number, "words": words[lo:hi].tobytes(), "hits": found})
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([
@@ -169,12 +181,14 @@ def stretches(docs: DataFrame, short: list[int], bitmap: np.ndarray) -> DataFram
     return docs.select(*text_key(), F.col("text").cast("string")).mapInArrow(trimmed(make), STRETCH)
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """Start and end of the stretch with the highest score."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    return int(np.argmin(total[: end + 1])), end
+def longest_overlap(equal: np.ndarray) -> tuple[int, int]:
+    """Start and end of the longest stretch with the share ``EQUAL`` of equal words, the first of several."""
+    total = np.concatenate([[0], np.cumsum(np.where(equal, EQUAL[1], 0) - EQUAL[0])])
+    # a stretch counts if its end is not lower than its start: from each start to the last end that is high enough
+    ahead = np.maximum.accumulate(total[::-1])[::-1]
+    ends = len(total) - np.searchsorted(ahead[::-1], total, side="left") - 1
+    start = int(np.argmax(ends - np.arange(len(total))))
+    return start, int(ends[start])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
@@ -182,31 +196,34 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, bits: int = BITMAP_BITS) ->
     small_batches(docs.sparkSession)
     items = cut(benchmark_words(benchmark))
     short = sorted(r["n"] for r in items.filter(F.col("n") < SPAN).select("n").distinct().collect())  # SPAN - SHORTEST values
+    reach = items.agg(F.max("n")).first()[0] or 0
     found = cut(benchmark_seeds(items, short))
-    around = cut(stretches(docs, short, bitmap_of(found, "hash", bits)).dropDuplicates(["_k1", "_k2", "stretch"]))
+    around = cut(stretches(docs, short, bitmap_of(found, "hash", bits), reach).dropDuplicates(["_k1", "_k2", "stretch"]))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     salt = F.pmod(F.xxhash64("_k1"), F.lit(SALTS)).cast("int").alias("salt")
     key = ["_k1", "_k2", "stretch"]
     hits = around.select(*key, salt, F.explode("hits").alias("hit")).select(*key, "salt", F.col("hit.hash").alias("hash"), F.col("hit.place").alias("at"))
     met = hits.join(found.select("*", salts), ["hash", "salt"])
     lines = met.select(*key, "salt", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
-    pairs = lines.join(items.select("item_id", F.col("words").alias("item"), salts), ["item_id", "salt"])
-    pairs = pairs.join(around.select(*key, "words"), key)
+    pairs = lines.join(items.select("item_id", F.col("words").alias("item"), "n", salts), ["item_id", "salt"])
+    beside = F.substring("words", F.greatest("shift", F.lit(0)) * 8 + 1, (F.col("n") + F.least("shift", F.lit(0))) * 8)
+    pairs = pairs.join(around.select(*key, "words"), key).withColumn("words", beside).withColumn("skipped", F.greatest(-F.col("shift"), F.lit(0)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                text, item, d = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["item"], np.uint64), r["shift"]
-                lo, hi = max(0, d), min(len(text), d + len(item))
-                equal = text[lo:hi] == item[lo - d: hi - d]
-                a, b = best_stretch(equal)
-                if b - a >= min(MIN_OVERLAP, len(item)) and equal[a:b].mean() >= EQUAL:
+                text, item = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["item"], np.uint64)
+                least = min(MIN_OVERLAP, len(item))
+                item = item[r["skipped"]: r["skipped"] + len(text)]
+                equal = text[: len(item)] == item
+                a, b = longest_overlap(equal)
+                if b - a >= least:
                     rows.append((r["_k1"], r["_k2"], r["item_id"], b - a, int(equal[a:b].sum())))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["_k1", "_k2", "item_id", "n_words", "n_equal"])
 
-    return pairs.select("_k1", "_k2", "item_id", "shift", "words", "item").mapInArrow(compare, "_k1 long, _k2 long, item_id long, n_words long, n_equal long")
+    return pairs.select("_k1", "_k2", "item_id", "skipped", "words", "item").mapInArrow(compare, "_k1 long, _k2 long, item_id long, n_words long, n_equal long")
 
 
 def leaked_texts(docs: DataFrame, benchmark: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
@@ -229,6 +246,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, bits: int = BITMAP_BITS
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
     """``docs`` without the rows whose text overlaps an item; all columns stay."""
-    leaked = leaked_texts(docs, benchmark, bits).select(F.col("_k1").alias("_l1"), F.col("_k2").alias("_l2"))
+    l1, l2 = free_names(docs, "_l1", "_l2")
+    leaked = leaked_texts(docs, benchmark, bits).select(F.col("_k1").alias(l1), F.col("_k2").alias(l2))
     k1, k2 = text_key()
-    return docs.join(leaked, (k1 == F.col("_l1")) & (k2 == F.col("_l2")), "left_anti")
+    return docs.join(leaked, (k1 == F.col(l1)) & (k2 == F.col(l2)), "left_anti")

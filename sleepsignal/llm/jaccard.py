@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sleepsignal.llm.common import MIX_A, WordHashes, may_be_in, mix, release, runs, slices, small_batches, text_key, trimmed, word_hashes
+from sleepsignal.llm.common import MIX_A, WordHashes, free_names, may_be_in, mix, release, runs, slices, small_batches, text_key, trimmed, word_hashes
 from sleepsignal.llm.components import connected_components
 from sleepsignal.session import cut
 
@@ -347,14 +347,15 @@ def keep_one(docs: DataFrame, target: float = TARGET, trees: int = TREES, depth:
     order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "_k1", "_k2")
     first = rows.groupBy("root").agg(F.min(order).alias("f")).select("root", F.col("f.doc_id").alias("f_id"), F.col("f._k1").alias("f1"), F.col("f._k2").alias("f2"))
     judged = rows.join(first, "root").withColumn("first", F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("_k1") == F.col("f1")) & (F.col("_k2") == F.col("f2")))
-    judged = cut(judged.select(F.col("doc_id").alias("_j"), F.col("_k1").alias("_j1"), F.col("_k2").alias("_j2"), "n", "first"))
+    j, j1, j2 = free_names(docs, "_j", "_j1", "_j2")
+    judged = cut(judged.select(F.col("doc_id").alias(j), F.col("_k1").alias(j1), F.col("_k2").alias(j2), "n", "first"))
     k1, k2 = text_key()
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_j")) & (k1 == F.col("_j1")) & (k2 == F.col("_j2"))
-    out = judged.filter("not first or n > 1").select("_j", "_j1", "_j2")
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(j)) & (k1 == F.col(j1)) & (k2 == F.col(j2))
+    out = judged.filter("not first or n > 1").select(j, j1, j2)
     # rows that can't be meant pass by the join, else all texts would be shuffled
-    doubted, clear = may_be_in(docs, F.xxhash64(F.col("doc_id").cast("long"), k1, k2), out.select(F.xxhash64("_j", "_j1", "_j2").alias("_h")), "_h")
+    doubted, clear = may_be_in(docs, F.xxhash64(F.col("doc_id").cast("long"), k1, k2), out.select(F.xxhash64(j, j1, j2).alias("_h")), "_h")
     out = clear.unionByName(doubted.join(out, match, "left_anti"))
-    again = judged.filter("first and n > 1").select("_j", "_j1", "_j2")
+    again = judged.filter("first and n > 1").select(j, j1, j2)
     if again.isEmpty():
         return out
     return out.unionByName(docs.join(again, match, "left_semi").dropDuplicates(["doc_id", "text"]))

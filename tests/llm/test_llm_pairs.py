@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import tables
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sleepsignal.llm import ann, decontaminate, jaccard
@@ -145,6 +146,19 @@ def test_a_full_bitmap_changes_nothing(spark):
     assert {r["doc_id"] for r in got if r["contaminated"]} == want | {None}
 
 
+def test_extra_columns_of_any_name(spark):
+    data = tables.rows()
+    items, bench = benchmark(spark)
+    rows, want = leaks(items, data)
+    docs = tables.docs(spark, data[:12] + rows)
+    names = ["_j", "_J1", "_j2", "_l1", "_L2", "_k1", "_h", "root", "salt"]
+    more = docs.withColumns({n: F.concat(F.lit("x"), F.col("doc_id").cast("string")) for n in names})
+    for keep in (jaccard.keep_one, lambda x: decontaminate.remove_contaminated(x, bench)):
+        got = keep(more)
+        assert got.columns == more.columns
+        assert Counter(r["doc_id"] for r in got.collect()) == Counter(r["doc_id"] for r in keep(docs).collect())
+
+
 def test_decontamination_without_rows(spark, docs, none):
     _, bench = benchmark(spark)
     assert decontaminate.contamination(none, bench).collect() == []
