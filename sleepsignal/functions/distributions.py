@@ -7,6 +7,7 @@ are done by Spark aggregates before.
 from __future__ import annotations
 
 import math
+from functools import cache
 from statistics import NormalDist
 
 import numpy as np
@@ -16,6 +17,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 _N = NormalDist()
 
+#: Up to this size of the smaller sample U is counted in closed form, whatever the size of the other.
+CLOSED_MAX = 8
+#: Largest product of the sample sizes beyond ``CLOSED_MAX``: that many counts are held as whole numbers.
+EXACT_CELLS = 100_000
+
 
 def norm_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
@@ -59,20 +65,62 @@ def t_two_sided(t: float, df: float) -> float:
     return min(1.0, 2.0 * norm_sf(z))
 
 
+@cache
+def _change_counts(n: int) -> tuple[int, list[int]]:
+    """Period L and the coefficients of ``(1 - q^L)^(n+1) / ((1 - q) (1 - q) (1 - q^2) ... (1 - q^n))``."""
+    period = math.lcm(*range(1, n + 1))
+    parts = [1, *range(1, n + 1)]
+    out = np.zeros(sum(period - j for j in parts) + 1, object)
+    out[0] = 1
+    for j in parts:  # times (1 - q^L) / (1 - q^j) = 1 + q^j + ... + q^(L-j)
+        out[period:] -= out[:-period].copy()
+        for r in range(j):
+            out[r::j] = np.cumsum(out[r::j])
+    return period, out.tolist()
+
+
+def _small_u(s: int, n: int, m: int) -> int:
+    """Ways in which U of ``n`` among ``n + m`` untied values is at most ``s``.
+
+    The cumulated Gaussian binomial is a product of n factors ``1 - q^(m+j)`` over fixed ones: 2^n shifted terms, each
+    a sum of n + 1 binomials, so neither time nor memory depends on m.
+    """
+    period, counts = _change_counts(n)
+
+    def at_most(x: int) -> int:
+        places = range(x % period, min(x + 1, len(counts)), period) if x >= 0 else ()
+        return sum(counts[i] * math.comb((x - i) // period + n, n) for i in places)
+
+    terms = {0: 1}
+    for j in range(1, n + 1):
+        for shift, sign in list(terms.items()):
+            terms[shift + m + j] = terms.get(shift + m + j, 0) - sign
+    return sum(sign * at_most(s - shift) for shift, sign in terms.items())
+
+
+def _small_u_by_table(s: int, n: int, m: int) -> int:
+    """As ``_small_u`` from all n * m + 1 counts."""
+    if n * m > EXACT_CELLS:
+        raise ValueError(f"the exact test of {n} against {m} values needs more than {EXACT_CELLS} counts; use the asymptotic one")
+    counts = np.zeros(n * m + 1, object)
+    counts[0] = 1
+    for j in range(1, n + 1):  # times (1 - q^(m+j)) / (1 - q^j), the Gaussian binomial step
+        if m + j < len(counts):
+            counts[m + j :] -= counts[: len(counts) - m - j].copy()
+        for r in range(min(j, len(counts))):
+            counts[r::j] = np.cumsum(counts[r::j])
+    return int(counts[: s + 1].sum())
+
+
 def exact_u_two_sided(u: float, n: int, m: int) -> float:
-    """Two-sided exact p of the Mann-Whitney U without ties (small samples)."""
+    """Two-sided exact p of the Mann-Whitney U without ties, from whole numbers.
+
+    Any size of the larger sample if the smaller has at most ``CLOSED_MAX`` values; else n * m up to ``EXACT_CELLS``.
+    """
     n, m = min(n, m), max(n, m)
-    counts = np.zeros(n * m + 1)
-    counts[0] = 1.0
-    for j in range(1, n + 1):
-        # Multiply by (1 - q^(m+j)) / (1 - q^j), the Gaussian binomial step.
-        up = counts.copy()
-        up[m + j :] -= counts[: len(counts) - m - j] if m + j < len(counts) else 0.0
-        for r in range(j):
-            up[r::j] = np.cumsum(up[r::j])
-        counts = up
-    big = max(u, n * m - u)
-    return min(1.0, 2.0 * counts[int(math.ceil(big)) :].sum() / counts.sum())
+    s = n * m - math.ceil(max(u, n * m - u))
+    ways = (_small_u if n <= CLOSED_MAX else _small_u_by_table)(s, n, m)
+    return min(1.0, 2 * ways / math.comb(n + m, n))
 
 
 def _each(fn, *cols: pd.Series) -> pd.Series:

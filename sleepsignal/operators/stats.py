@@ -121,18 +121,24 @@ def bh_fdr(df: DataFrame, p: str = "p", by: Sequence[str] = ("split",), name: st
     return d.withColumn(name, F.when(F.col(p).isNotNull(), q)).drop("_q")
 
 
+def _places(rows: DataFrame, keys: Sequence[str], subject: str, total: str) -> DataFrame:
+    """Place ``i`` of each row in the order of values, from 0, and the number of rows; ties in the order of hashed subjects."""
+    h = F.pmod(F.xxhash64(subject), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    v = with_value_chunk(rows.withColumn("_h", h), keys, "value", ties="_h")
+    return row_index_and_total(v, keys, ["value", "_h", subject], "i", total).drop("_h")
+
+
 def shapiro_summary(labelled: DataFrame, subject: str = "subject_id", keys: Sequence[str] = KEYS) -> DataFrame:
     """W and p per class over all its values, from sums over the ordered values; no class is held in one task.
 
-    ``subject`` breaks ties of the order and changes no result.
+    ``subject`` breaks ties of the order and changes no result; a value repeated very often is dealt over many chunks by it.
     """
     keys = list(keys)
     all_keys = [*keys, "class"]
     cls = F.when(F.col("y") == 1, "positive").otherwise("negative")
     rows = labelled.withColumn("class", cls).select(*all_keys, subject, "value")
     counts = rows.groupBy(*all_keys).agg(F.count("value").alias("n"))
-    v = with_value_chunk(rows.filter(F.col("value").isNotNull()), all_keys, "value")
-    r = row_index_and_total(v, all_keys, ["value", subject], "i", "_n")
+    r = _places(rows.filter(F.col("value").isNotNull()), all_keys, subject, "_n")
     r = r.withColumn("m", normal_ppf((F.col("i") + 0.625) / (F.col("_n") + 0.25)))
     at = lambda place, c="value": F.max(F.when(F.col("i") == place, F.col(c)))
     size = F.col("_n")
@@ -186,7 +192,7 @@ def qq_points(labelled: DataFrame, subject: str = "subject_id", keys: Sequence[s
     """Ordered values against normal order-statistic medians, per class."""
     all_keys = [*keys, "y"]
     v = labelled.filter(F.col("value").isNotNull()).select(*all_keys, subject, "value")
-    r = row_index_and_total(with_value_chunk(v, all_keys, "value"), all_keys, ["value", subject], "i", "n").drop(CHUNK)
+    r = _places(v, all_keys, subject, "n").drop(CHUNK)
     i, size = F.col("i") + 1, F.col("n")
     top = F.pow(F.lit(0.5), 1 / size)
     pos = F.when(i == size, top).when(i == 1, 1 - top).otherwise((i - 0.3175) / (size + 0.365))

@@ -15,7 +15,7 @@ The window over chunks sees one row per chunk, never the samples.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,12 +54,14 @@ def with_time_chunk(df: DataFrame, t: str, length: float, name: str = CHUNK) ->
 
 
 def with_value_chunk(
-    df: DataFrame, keys: Sequence[str], value: str, n_chunks: int = 512, name: str = CHUNK, bound_keys: Sequence[str] | None = None
+    df: DataFrame, keys: Sequence[str], value: str, n_chunks: int = 512, name: str = CHUNK, bound_keys: Sequence[str] | None = None, ties: str | None = None
 ) -> DataFrame:
     """Value buckets per key, cut at the key's approximate quantiles: an outlier moves no boundary.
 
-    The number of chunks is the next power of two. Equal values share a chunk. ``bound_keys`` (default: all
-    keys) are those whose values are taken together for the boundaries.
+    The number of chunks is the next power of two. Equal values share a chunk, unless ``ties`` names a column in
+    [0, 1): a value that takes up several cuts leaves as many chunks empty behind its own, and its rows are dealt over
+    them by ``ties``. The chunks then follow the order of (value, ``ties``). ``bound_keys`` (default: all keys) are
+    those whose values are taken together for the boundaries.
     """
     by = list(keys if bound_keys is None else bound_keys)
     n = 1 << max(0, n_chunks - 1).bit_length()
@@ -67,20 +69,30 @@ def with_value_chunk(
     if n == 1:
         return df.withColumn(name, F.lit(0).cast("long"))
     cuts = df.groupBy(*by).agg(F.percentile_approx(v, [k / n for k in range(1, n)], 20 * n).alias("_cuts"))
-    out, step = join_salted(df, cuts, by).withColumn(name, F.lit(0)), n
-    while step > 1:  # search in the sorted cuts, three halvings at a time
+    out = _search(join_salted(df, cuts, by), n, name, lambda cut: v > cut)
+    if ties is not None:
+        out = _search(out, n, "_beyond", lambda cut: v >= cut)
+        out = out.withColumn(name, F.col(name) + F.floor(F.col(ties) * (F.col("_beyond") - F.col(name)))).drop("_beyond")
+    return out.withColumn(name, F.col(name).cast("long")).drop("_cuts")
+
+
+def _search(df: DataFrame, n: int, name: str, passed: Callable[[Column], Column]) -> DataFrame:
+    """Number of the n - 1 sorted cuts that the value has passed, three halvings at a time."""
+    out, step = df.withColumn(name, F.lit(0)), n
+    while step > 1:
         deep = min(3, step.bit_length() - 1)
-        out = out.withColumn(name, _descend(v, F.col(name), step, deep))
+        out = out.withColumn(name, _descend(passed, F.col(name), step, deep))
         step >>= deep
-    return out.withColumn(name, F.col(name).cast("long")).drop("_cuts")
+    return out
 
 
-def _descend(v: Column, at: Column, step: int, deep: int) -> Column:
+def _descend(passed: Callable[[Column], Column], at: Column, step: int, deep: int) -> Column:
     """Place among the cuts after ``deep`` halvings of the ``step`` cuts from ``at`` on."""
     if not deep:
         return at
     half = step // 2
-    return F.when(v > F.element_at("_cuts", at + half), _descend(v, at + half, half, deep - 1)).otherwise(_descend(v, at, half, deep - 1))
+    beyond = passed(F.element_at("_cuts", at + half))
+    return F.when(beyond, _descend(passed, at + half, half, deep - 1)).otherwise(_descend(passed, at, half, deep - 1))
 
 
 def join_salted(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16) -> DataFrame:

@@ -80,6 +80,19 @@ def test_value_chunks_are_monotone(frame):
     assert (p.groupby("s")[CHUNK].diff().dropna() >= 0).all() and p[CHUNK].nunique() > 8
 
 
+def test_a_value_that_fills_half_a_key_is_dealt_over_chunks(spark):
+    r = np.random.default_rng(4)
+    v = np.concatenate([np.zeros(10_000), r.normal(0, 1, 10_000), np.full(2_000, 9.0)])
+    df = spark.createDataFrame(pd.DataFrame({"k": "f", "v": v, "h": r.random(len(v)), "id": np.arange(len(v))}))
+    got = with_value_chunk(df, ["k"], "v", 64, ties="h")
+    sizes = got.groupBy(CHUNK).count().toPandas()["count"]
+    assert sizes.max() <= 3 * len(v) / 64
+    p = got.toPandas().sort_values(["v", "h", "id"])
+    assert (p[CHUNK].diff().dropna() >= 0).all()
+    placed = row_index_and_total(got, ["k"], ["v", "h", "id"], "i", "n").toPandas().sort_values(["v", "h", "id"])
+    assert (placed["i"].to_numpy() == np.arange(len(v))).all() and (placed["n"] == len(v)).all()
+
+
 def test_an_outlier_or_a_heavy_tail_does_not_fill_a_chunk(spark):
     r = np.random.default_rng(2)
     v = np.concatenate([r.lognormal(0, 2, 40_000), [1e12, -1e15]])

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sleepsignal.functions.distributions import beta_inc, exact_u_two_sided, norm_sf, shapiro_wilk, t_two_sided
+from sleepsignal.functions.distributions import _small_u, _small_u_by_table, beta_inc, exact_u_two_sided, norm_sf, shapiro_wilk, t_two_sided
 from sleepsignal.operators import compare, ml, report, stats
 from sleepsignal.plans import training
 
@@ -55,6 +55,38 @@ def test_exact_u_by_enumeration(n, m):
         assert exact_u_two_sided(x, n, m) == pytest.approx(want)
 
 
+def test_exact_u_in_closed_form_and_by_table_agree():
+    for n, m in ((1, 9), (2, 40), (5, 31), (7, 30), (8, 25)):
+        for s in range(0, n * m + 1, 3):
+            assert _small_u(s, n, m) == _small_u_by_table(s, n, m)
+        assert _small_u(n * m, n, m) == math.comb(n + m, n)
+
+
+def test_exact_u_against_ten_million():
+    n, m = 8, 10**7
+    sd = math.sqrt(n * m * (n + m + 1) / 12)
+    assert exact_u_two_sided(0, n, m) == pytest.approx(2 / math.comb(n + m, n))
+    assert exact_u_two_sided(n * m / 2, n, m) == 1.0
+    for z in (0.5, 1.0, 2.0):
+        assert exact_u_two_sided(round(n * m / 2 + z * sd), n, m) == pytest.approx(2 * norm_sf(z), abs=0.01)
+    # with the other sample that large, U / m is a sum of n uniform numbers
+    small = 0.5
+    assert exact_u_two_sided(int(small * m), n, m) == pytest.approx(2 * small**n / math.factorial(n), rel=1e-4)
+    with pytest.raises(ValueError, match="asymptotic"):
+        exact_u_two_sided(5, 1000, 10**6)
+
+
+def test_normality_and_places_with_half_zeros(spark):
+    """A value that half of a class shares changes nothing in W; the places are those of the sorted values."""
+    r = np.random.default_rng(8)
+    v = np.concatenate([np.zeros(1500), r.normal(0, 1, 1500)])
+    df = spark.createDataFrame([("s", "f", 1, f"p{i}", float(x)) for i, x in enumerate(v)], "split string, feature string, y int, subject_id string, value double")
+    (got,) = stats.shapiro_summary(df).collect()
+    assert (got["W"], got["p"]) == pytest.approx(shapiro_wilk(v), rel=1e-8, abs=1e-12)
+    points = sorted((q["i"], q["ordered"]) for q in stats.qq_points(df).collect())
+    assert [i for i, _ in points] == list(range(3000)) and np.allclose([x for _, x in points], np.sort(v))
+
+
 @pytest.fixture(scope="module")
 def oof(spark):
     r = np.random.default_rng(5)
