@@ -110,22 +110,68 @@ def univariate_table_u(spark, sf):
     return t.select("split", "feature", "test", "stat", *r, "n_pos", "n_neg", F.col("`significant_fdr_0.05`").alias("significant"))
 
 
-@query("univariate_table")
+# Normal quantile x of p by rational approximation (fixed values), good to nine digits.
+PPF = """lo AS (SELECT *, sqrt(-2 * ln(least(p, 1 - p))) AS q FROM ps),
+ac AS (SELECT *, CASE WHEN least(p, 1 - p) < 0.02425 THEN
+   -(((((-7.784894002430293e-03 * q - 3.223964580411365e-01) * q - 2.400758277161838e+00) * q - 2.549732539343734e+00) * q + 4.374664141464968e+00) * q + 2.938163982698783e+00)
+   / ((((7.784695709041462e-03 * q + 3.224671290700398e-01) * q + 2.445134137142996e+00) * q + 3.754408661907416e+00) * q + 1)
+  ELSE (((((-3.969683028665376e+01 * r + 2.209460984245205e+02) * r - 2.759285104469687e+02) * r + 1.383577518672690e+02) * r - 3.066479806614716e+01) * r + 2.506628277459239e+00) * abs(p - 0.5)
+   / (((((-5.447609879822406e+01 * r + 1.615858368580409e+02) * r - 1.556989798598866e+02) * r + 6.680131188771972e+01) * r - 1.328068155288572e+01) * r + 1) END * sign(p - 0.5) AS x
+  FROM (SELECT *, pow(p - 0.5, 2) AS r FROM lo))"""
+
+# W and p after Royston (1995), coefficients fixed, from the ordered values of each class.
+NORMALITY = f"""n AS (SELECT split, feature, y, count(value) AS n FROM l GROUP BY 1, 2, 3),
+ps AS (SELECT split, feature, y, value, n, i, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM (
+  SELECT l.*, n, row_number() OVER (PARTITION BY split, feature, y ORDER BY value, subject_id) AS i FROM l JOIN n USING (split, feature, y) WHERE value IS NOT NULL)),
+{PPF},
+sw AS (SELECT split, feature, y, n, 1 / sqrt(n) AS r, ln(n) AS g, sum(x * x) AS q, max(x) FILTER (WHERE i = n) AS ml, max(x) FILTER (WHERE i = n - 1) AS ms,
+  max(value) FILTER (WHERE i = 1) AS x1, max(value) FILTER (WHERE i = 2) AS x2, max(value) FILTER (WHERE i = n - 1) AS x3, max(value) FILTER (WHERE i = n) AS x4,
+  coalesce(sum(x * value) FILTER (WHERE i BETWEEN 3 AND n - 2), 0) AS mid, var_pop(value) * n AS ss FROM ac GROUP BY 1, 2, 3, 4),
+wa AS (SELECT *, ((((-2.706056e0 * r + 4.434685e0) * r - 2.071190e0) * r - 0.147981e0) * r + 0.221157e0) * r + ml / sqrt(q) AS a1,
+  ((((-3.582633e0 * r + 5.682633e0) * r - 1.752461e0) * r - 0.293762e0) * r + 0.042981e0) * r + ms / sqrt(q) AS a2 FROM sw),
+ww AS (SELECT *, CASE WHEN n < 3 THEN NULL WHEN x4 - x1 < 1e-19 THEN 1 WHEN n = 3 THEN least(1, pow(sqrt(0.5e0) * (x4 - x1), 2) / ss)
+  WHEN n <= 5 THEN least(1, pow(a1 * (x4 - x1) + (ms * (x3 - x2) + mid) / sqrt((q - 2 * ml * ml) / (1 - 2 * a1 * a1)), 2) / ss)
+  ELSE least(1, pow(a1 * (x4 - x1) + a2 * (x3 - x2) + mid / sqrt((q - 2 * ml * ml - 2 * ms * ms) / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) / ss) END AS w FROM wa),
+wz AS (SELECT *, CASE WHEN n <= 3 OR w >= 1 THEN NULL
+  WHEN n > 11 THEN (ln(1 - w) - (((0.0038915e0 * g - 0.083751e0) * g - 0.31082e0) * g - 1.5861e0)) / exp((0.0030302e0 * g - 0.082676e0) * g - 0.4803e0)
+  WHEN ln(1 - w) >= -2.273e0 + 0.459e0 * n THEN 38
+  ELSE (-ln(-2.273e0 + 0.459e0 * n - ln(1 - w)) - (((-0.0006714e0 * n + 0.025054e0) * n - 0.39978e0) * n + 0.5440e0))
+    / exp(((-0.0020322e0 * n + 0.062767e0) * n - 0.77857e0) * n + 1.3822e0) END AS z FROM ww),
+wi AS (SELECT split, feature, y, 0.5 - z / 6000 / sqrt(2 * pi()) * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z * i / 2000, 2) / 2)) AS tail
+  FROM wz, si GROUP BY split, feature, y, z),
+sh AS (SELECT n.split, n.feature, n.y, n.n, w, CASE WHEN x4 - x1 < 1e-19 OR w >= 1 THEN 1 WHEN n.n = 3 THEN greatest(0, 6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75e0)))) ELSE greatest(0, tail) END AS p
+  FROM n LEFT JOIN wz USING (split, feature, y) LEFT JOIN wi USING (split, feature, y)),
+ch AS (SELECT split, feature, CASE WHEN bool_and(coalesce(p >= 0.05, FALSE)) AND count(*) = 2 THEN 't' ELSE 'u' END AS chosen FROM sh GROUP BY 1, 2)"""
+
+
+_TABLE = """tt AS (SELECT st.*, chosen, n1 >= 2 AND n0 >= 2 AS ok, CASE WHEN chosen = 't' THEN p_t ELSE p_u END AS p FROM st JOIN ch USING (split, feature) LEFT JOIN pt USING (split, feature) LEFT JOIN pn USING (split, feature)),
+t0 AS (SELECT *, p * count(p) OVER (PARTITION BY split) / row_number() OVER w AS bq, row_number() OVER w AS bi FROM tt WHERE ok WINDOW w AS (PARTITION BY split ORDER BY p, feature)),
+t1 AS (SELECT *, least(1, min(bq) OVER (PARTITION BY split ORDER BY bi ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_bh_fdr FROM t0)"""
+
+
+@query("univariate_table", with_views("features", body=f""", {STAT}, {SIMPSON}, {PN}, {PT}, {NORMALITY}, {_TABLE}
+SELECT split, feature, CASE WHEN chosen = 't' THEN 'welch_t' ELSE 'mann_whitney_u' END AS test, round(CASE WHEN chosen = 't' THEN t ELSE u END, 6) AS stat, round(p, 6) AS p, round(d, 6) AS cohens_d, round(abs(d), 6) AS abs_cohens_d,
+  {_D.replace("0.02", "0.2").replace("0.05", "0.5").replace("0.08", "0.8")} AS cohens_d_interpretation, round(delta, 6) AS cliffs_delta, round(abs(delta), 6) AS abs_cliffs_delta,
+  {_C.replace(" * 10", "")} AS cliffs_interpretation, round(greatest(a, 1 - a), 6) AS auc, n1 AS n_pos, n0 AS n_neg, round(p_bh_fdr, 6) AS p_bh_fdr, p_bh_fdr < 0.05 AS "significant_fdr_0.05" FROM t1"""))
 def univariate_table(spark, sf):
-    return stats.univariate_table(labelled(spark, sf), "auto")
+    t = stats.univariate_table(labelled(spark, sf), "auto")
+    return t.withColumns({c: F.round(c, 6) for c in ("stat", "p", "cohens_d", "abs_cohens_d", "cliffs_delta", "abs_cliffs_delta", "auc", "p_bh_fdr")})
 
 
-@query("shapiro_summary")
+@query("shapiro_summary", with_views("features", body=f""", {LAB}, {SIMPSON}, {NORMALITY}
+SELECT split, feature, CASE WHEN y = 1 THEN 'positive' ELSE 'negative' END AS class, n, round(w, 6) AS "W", round(p, 6) AS p, p >= 0.05 AS "normal_at_0.05" FROM sh"""))
 def shapiro_summary(spark, sf):
-    return stats.shapiro_summary(labelled(spark, sf))
+    return stats.shapiro_summary(labelled(spark, sf)).withColumns({c: F.round(c, 6) for c in ("W", "p")})
 
 
-@query("normality_overview")
+@query("normality_overview", with_views("features", body=f""", {LAB}, {SIMPSON}, {NORMALITY}
+SELECT *, coalesce(positive AND negative, FALSE) AS both_normal FROM (
+  SELECT split, feature, bool_or(p >= 0.05) FILTER (WHERE y = 1) AS positive, bool_or(p >= 0.05) FILTER (WHERE y = 0) AS negative FROM sh GROUP BY 1, 2)"""))
 def normality_overview(spark, sf):
     return stats.normality_overview(stats.shapiro_summary(labelled(spark, sf)))
 
 
-@query("choose_test")
+@query("choose_test", with_views("features", body=f", {LAB}, {SIMPSON}, {NORMALITY} SELECT split, feature, chosen FROM ch"))
 def choose_test(spark, sf):
     return stats.choose_test(stats.shapiro_summary(labelled(spark, sf)))
 
@@ -133,13 +179,7 @@ def choose_test(spark, sf):
 POSITIONS = f"""{LAB}, n AS (SELECT split, feature, y, count(value) AS n FROM l GROUP BY 1, 2, 3),
 o AS (SELECT split, feature, y, value, n, row_number() OVER (PARTITION BY split, feature, y ORDER BY value, subject_id) AS i FROM l JOIN n USING (split, feature, y) WHERE value IS NOT NULL),
 ps AS (SELECT *, CASE WHEN i = n THEN pow(0.5, 1 / n) WHEN i = 1 THEN 1 - pow(0.5, 1 / n) ELSE (i - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM o),
-lo AS (SELECT *, sqrt(-2 * ln(least(p, 1 - p))) AS q FROM ps),
-ac AS (SELECT *, CASE WHEN least(p, 1 - p) < 0.02425 THEN
-   -(((((-7.784894002430293e-03 * q - 3.223964580411365e-01) * q - 2.400758277161838e+00) * q - 2.549732539343734e+00) * q + 4.374664141464968e+00) * q + 2.938163982698783e+00)
-   / ((((7.784695709041462e-03 * q + 3.224671290700398e-01) * q + 2.445134137142996e+00) * q + 3.754408661907416e+00) * q + 1)
-  ELSE (((((-3.969683028665376e+01 * r + 2.209460984245205e+02) * r - 2.759285104469687e+02) * r + 1.383577518672690e+02) * r - 3.066479806614716e+01) * r + 2.506628277459239e+00) * abs(p - 0.5)
-   / (((((-5.447609879822406e+01 * r + 1.615858368580409e+02) * r - 1.556989798598866e+02) * r + 6.680131188771972e+01) * r - 1.328068155288572e+01) * r + 1) END * sign(p - 0.5) AS x
-  FROM (SELECT *, pow(p - 0.5, 2) AS r FROM lo))"""
+{PPF}"""
 
 
 @query("qq_points", with_views("features", body=f", {POSITIONS} SELECT split, feature, CAST(y AS INTEGER) AS y, i - 1 AS i, round(p, 9) AS position, round(x, 3) AS theoretical, value AS ordered FROM ac"))
