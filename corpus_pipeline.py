@@ -8,6 +8,11 @@ All but the last return the columns of ``documents``; the last returns the packe
 * near duplicates: of each class of linked documents the first row stays (smallest doc_id, then smallest text).
 * decontamination: documents that overlap a benchmark item go.
 * packing: what is left is packed into sequences of 2048 ids.
+
+Nulls and edge cases: a null or empty text is not toxic, has no letter and goes in the second stage; texts are read
+whole, however long; rows of equal id and text are judged alike, and one of them stays; a null doc_id is kept like any
+other; extra columns stay, whatever their names; empty ``documents`` give no row, empty ``benchmark`` drops nothing,
+empty ``labels`` call nothing toxic.
 """
 
 from __future__ import annotations
@@ -20,8 +25,8 @@ from sleepsignal.llm import decontaminate, jaccard, langid, packing, toxicity
 from sleepsignal.llm.common import read_table
 from sleepsignal.session import cut
 
-#: A cosine below this is that of a text unlike every learned language; whole sentences of a known one exceed it.
-LANGUAGE_LEAST = 0.05
+#: A text is unlike every learned language if fewer of its trigrams were met in the texts learned from.
+LANGUAGE_LEAST = 0.25
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -41,7 +46,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = _free(docs, "_language")
     known = langid.identify(docs, found)
-    good = (F.col(f"{found}.lang_pred") != langid.UNKNOWN) & (F.col(f"{found}.score") >= LANGUAGE_LEAST)
+    good = (F.col(f"{found}.lang_pred") != langid.UNKNOWN) & (F.col(f"{found}.known") >= LANGUAGE_LEAST)
     return known.filter(good).drop(found)
 
 

@@ -11,6 +11,9 @@ thousand rows a language reach the driver. Texts are taken whole. Learning uses
 Nulls and edge cases: null texts and texts without a letter are ``und`` with score 0; null languages teach
 nothing; ties go to the first language by name; a table without a learnable row gives ``und`` everywhere;
 repeated rows are predicted alike.
+
+A cosine of few trigrams lies within the noise of the vectors, so ``known`` says exactly what share of a text's
+trigrams was met in the texts learned from: 0 for a script that no learned language has, however short the text.
 """
 
 from __future__ import annotations
@@ -94,26 +97,38 @@ def distinct(code: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     return found, number[code]
 
 
-def bundle(texts: list[str | None], vectors: Vectors) -> np.ndarray:
-    """Vectors [texts, dimensions] of whole texts; zero for those without a letter."""
-    out = np.zeros((len(texts), vectors.dimensions), np.float32)
+def packed(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """One number per trigram of code points."""
+    return (first.astype(np.int64) << 2 * BITS) | (second.astype(np.int64) << BITS) | third.astype(np.int64)
+
+
+def bundle(texts: list[str | None], vectors: Vectors, met: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors [texts, dimensions] of whole texts, zero for those without a letter; share of trigrams among sorted ``met``."""
+    out, share = np.zeros((len(texts), vectors.dimensions), np.float32), np.zeros(len(texts))
     doc, places, alphabet = trigrams(texts)
     if not len(doc):
-        return out
+        return out, share
     n = len(alphabet)
     code, column = distinct((places[:, 0].astype(np.int64) * n + places[:, 1]) * n + places[:, 2], n**3)
-    bound = vectors.bind(code // (n * n), code // n % n, code % n, alphabet).astype(np.float32)
+    triple = code // (n * n), code // n % n, code % n
+    bound = vectors.bind(*triple, alphabet).astype(np.float32)
+    known = np.zeros(len(code), bool)
+    if met is not None and len(met):
+        number = packed(*(alphabet[t] for t in triple))
+        known = met[np.minimum(np.searchsorted(met, number), len(met) - 1)] == number
+    total = np.bincount(doc, minlength=len(texts))
+    share = np.bincount(doc, weights=known[column], minlength=len(texts)) / np.maximum(total, 1)
     step = max(1, 4_000_000 // len(code))
     for a in range(0, len(texts), step):
         lo, hi = np.searchsorted(doc, [a, min(a + step, len(texts))])
         rows = min(step, len(texts) - a)
         counts = np.bincount((doc[lo:hi] - a).astype(np.int64) * len(code) + column[lo:hi], minlength=rows * len(code))
         out[a: a + rows] = counts.reshape(rows, len(code)).astype(np.float32) @ bound
-    return out
+    return out, share
 
 
-def learn_profiles(docs: DataFrame, learn: int = LEARN, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
-    """Languages in order of name, and their prototypes of length 1, from about ``learn`` documents."""
+def learn_profiles(docs: DataFrame, learn: int = LEARN, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages in order of name, their prototypes of length 1, and all trigrams met, from about ``learn`` documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -128,8 +143,8 @@ def learn_profiles(docs: DataFrame, learn: int = LEARN, dimensions: int = DIMENS
                 code = ((lang * n + places[:, 0]) * n + places[:, 1]) * n + places[:, 2]
                 found, times = np.unique(code, return_counts=True)
                 points = alphabet.astype(np.int64)
-                packed = (points[found // (n * n) % n] << 2 * BITS) | (points[found // n % n] << BITS) | points[found % n]
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in found // n**3]), pa.array(packed), pa.array(times.astype(np.int64))], ["lang", "trigram", "n"])
+                number = packed(points[found // (n * n) % n], points[found // n % n], points[found % n])
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in found // n**3]), pa.array(number), pa.array(times.astype(np.int64))], ["lang", "trigram", "n"])
 
     small_batches(docs.sparkSession)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
@@ -146,19 +161,20 @@ def learn_profiles(docs: DataFrame, learn: int = LEARN, dimensions: int = DIMENS
             place = place.reshape(part.shape)
             out[i] += times[lang == name][a: a + 8192] @ vectors.bind(*place, alphabet).astype(np.float64)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return names, out / np.where(norm == 0, 1, norm)
+    return names, out / np.where(norm == 0, 1, norm), np.unique(trigram)
 
 
-def with_language(docs: DataFrame, names: list[str], prototypes: np.ndarray, column: str = "language") -> DataFrame:
-    """Add a struct ``column`` of lang_pred and score (the cosine, at least 0)."""
+def with_language(docs: DataFrame, names: list[str], prototypes: np.ndarray, met: np.ndarray, column: str = "language") -> DataFrame:
+    """Add a struct ``column`` of lang_pred, score (the cosine, at least 0) and known (share of trigrams met while learning)."""
     profiles = prototypes.T.astype(np.float32)
 
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vectors = Vectors(prototypes.shape[1])
         for texts in batches:
-            langs, scores = [], []
+            langs, scores, shares = [], [], []
             for part in slices(pa.record_batch({"text": texts}), "text", 1_000_000):
-                bundles = bundle(part.column(0).to_pylist(), vectors)
+                bundles, share = bundle(part.column(0).to_pylist(), vectors, met)
+                shares.append(share)
                 norm = np.linalg.norm(bundles, axis=1)
                 if not len(names):
                     norm[:] = 0
@@ -166,9 +182,10 @@ def with_language(docs: DataFrame, names: list[str], prototypes: np.ndarray, col
                 best = cosine.argmax(axis=1)
                 langs += [names[b] if x else UNKNOWN for b, x in zip(best, norm, strict=True)]
                 scores.append(np.where(norm == 0, 0.0, np.clip(cosine.max(axis=1), 0, 1)).astype(np.float64))
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.empty(0))], ["lang_pred", "score"])
+            numbers = [pa.array(np.concatenate(x) if x else np.empty(0)) for x in (scores, shares)]
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), *numbers], ["lang_pred", "score", "known"])
 
-    @F.arrow_udf("lang_pred string, score double")
+    @F.arrow_udf("lang_pred string, score double, known double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from trimmed(make)(batches)
 

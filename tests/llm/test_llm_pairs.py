@@ -242,3 +242,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids(after) == ids(before) and sum(1 for r in after if r["piece"] == 0) == len(before)
     result = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r["doc_id"], r["ids_crc32"]) for r in result) == Counter((r["doc_id"], r["ids_crc32"]) for r in after)
+
+
+def test_language_stage_keeps_short_texts_and_drops_unknown_scripts(spark):
+    data = tables.rows()
+    short = [(900 + k, t, None, *data[0][3:]) for k, t in enumerate(("The.", "and", "THE and the 5", "of"))]
+    odd = [(950 + k, t, None, *data[0][3:]) for k, t in enumerate(("ქართული ენა", "ភាសាខ្មែរ", "12 %", "", None, "ꙮꙮꙮ " * 2000))]
+    got = corpus_pipeline.keep_known_languages(spark, tables.docs(spark, data + short + odd), "")
+    ids = {r["doc_id"] for r in got.collect()}
+    assert {900, 901, 902, 903} <= ids and not ids & set(range(950, 956))
+
+
+def test_pipeline_of_empty_tables(spark, none, tmp_path):
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -114,7 +114,9 @@ def test_nnpu_finds_the_positive_words_without_negatives():
 def test_trigrams_and_bundles_against_plain_loops():
     texts = ["Straße, naïve  x", "", None, "ab 12 c", "漢字かな éÉ"]
     vectors = langid.Vectors(64)
-    got = langid.bundle(texts, vectors)
+    met = langid.packed(*(np.array([ord(w[k]) if w[k] != " " else 0 for w in (" st", "str", "ab ")]) for k in range(3)))
+    got, share = langid.bundle(texts, vectors, np.sort(met))
+    assert share.tolist() == pytest.approx([2 / 12, 0, 0, 1 / 3, 0]) and np.array_equal(langid.bundle(texts, vectors)[0], got)
     for text, row in zip(texts, got):
         want = np.zeros(64)
         letters = [c.lower()[0] if c.isalpha() else " " for c in text or ""]
