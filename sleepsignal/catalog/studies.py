@@ -517,9 +517,34 @@ def mdi_importance(spark, sf):
     return ml.mdi_importance(ml.fit(m, COLS, "Random Forest"), spark, COLS, len(COLS))
 
 
-@query("pca_2d")
+def _leading(name: str, start: str, squarings: int = 16) -> str:
+    """SQL of the leading eigenvector of the symmetric table ``start`` (i, j, v): its powers by repeated squaring."""
+    steps = [f"{name}0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FILTER (WHERE i = j) FROM {start}) AS v FROM {start})"]
+    for k in range(squarings):
+        steps += [f"{name}s{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {name}{k} a JOIN {name}{k} b ON a.j = b.i GROUP BY 1, 2)",
+                  f"{name}{k + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FILTER (WHERE i = j) FROM {name}s{k}) AS v FROM {name}s{k})"]
+    last = f"{name}{squarings}"
+    column = f"(SELECT * FROM {last} WHERE j = (SELECT i FROM {last} WHERE i = j ORDER BY v DESC, i LIMIT 1))"
+    return ", ".join([*steps, f"{name} AS MATERIALIZED (SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM {column})"])
+
+
+# Scores on the first two components; their sign is that which makes the smallest id's score positive.
+PCA_SQL = f"""WITH raw AS (SELECT vec_id AS id, k AS i, CAST(embedding[k + 1] AS DOUBLE) AS x FROM embeddings, range({DIM}) r(k)),
+z AS MATERIALIZED (SELECT id, i, (x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0) AS x FROM raw WINDOW w AS (PARTITION BY i)),
+c AS MATERIALIZED (SELECT a.i, b.i AS j, avg(a.x * b.x) AS v FROM z a JOIN z b USING (id) GROUP BY 1, 2),
+{_leading("p", "c")},
+top AS (SELECT sum(a.v * c.v * b.v) AS size FROM c JOIN p a ON a.i = c.i JOIN p b ON b.i = c.j),
+d AS MATERIALIZED (SELECT c.i, c.j, c.v - size * a.v * b.v AS v FROM c JOIN p a ON a.i = c.i JOIN p b ON b.i = c.j, top),
+{_leading("q", "d")},
+pc AS (SELECT id, sum(x * p.v) AS a, sum(x * q.v) AS b FROM z JOIN p USING (i) JOIN q USING (i) GROUP BY 1)
+SELECT id, CAST(label < 5 AS INTEGER) AS y, round(a * (SELECT sign(min_by(a, id)) FROM pc), 4) AS pc1, round(b * (SELECT sign(min_by(b, id)) FROM pc), 4) AS pc2 FROM pc JOIN embeddings ON vec_id = id"""
+
+
+@query("pca_2d", PCA_SQL)
 def pca_2d(spark, sf):
-    return ml.pca_2d(matrix(spark, sf), COLS)[0]
+    scores = ml.pca_2d(matrix(spark, sf), COLS)[0]
+    sign = scores.agg(*[F.signum(F.min_by(c, "id")).alias(f"_{c}") for c in ("pc1", "pc2")], F.lit(1).alias("_one"))
+    return scores.withColumn("_one", F.lit(1)).join(F.broadcast(sign), "_one").select("id", "y", *[F.round(F.col(c) * F.col(f"_{c}"), 4).alias(c) for c in ("pc1", "pc2")])
 
 
 @query("compare_models")
