@@ -14,7 +14,7 @@ FAST = (
     "session_features", "band_power_stage", "band_power_context", "bandpass_filter", "patient_lookup", "make_labels", "module_outer_merge",
     "describe_features", "histogram", "boxplot_stats", "importance_stability", "univariate_table_u", "delong_test", "bootstrap_auc", "roc_curve",
     "classification_metrics", "stratified_folds", "session_index", "lights_qc", "pending_inventory", "incremental_ingest", "channel_rename",
-    "min_spacing", "module_tables", "sink_tables", "trim_lights", "time_offset", "effect_outer", "macro_auc", "qq_points", "interval_label_overlapping",
+    "min_spacing", "module_tables", "sink_tables", "trim_lights", "time_offset", "effect_outer", "macro_auc", "qq_points", "shapiro_summary", "normality_overview", "choose_test", "univariate_table", "pca_2d", "interval_label_overlapping",
     "ingest_rejects", "detect", "detect_subepochs",
 )
 
