@@ -34,6 +34,12 @@ def over(a: Column, b: Column) -> Column:
     return a / F.nullif(b.cast("double"), F.lit(0.0))
 
 
+def rounded_time(c: Column, digits: int) -> Column:
+    """Difference of two times, rounded half away from zero after scaling: what the subtraction leaves in the last bits moves no half."""
+    scale = F.lit(10.0**digits)
+    return F.round(c * scale, 0) / scale
+
+
 def for_all_sessions(df: DataFrame, feats: DataFrame) -> DataFrame:
     return df.select(KEY).distinct().join(feats, KEY, "left")
 

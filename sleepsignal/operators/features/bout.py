@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sleepsignal.functions.quantile import exact_quantiles
 from sleepsignal.operators import runs
 from sleepsignal.operators.clean import stage_normalise
-from sleepsignal.operators.features import for_all_sessions, minutes, over, rem_samples
+from sleepsignal.operators.features import for_all_sessions, minutes, over, rem_samples, rounded_time
 from sleepsignal.schemas import KEY, T, require
 
 LABELS = ("Phasic", "Tonic")
@@ -53,6 +53,6 @@ def bout_structure(df: DataFrame, fs: float = 250.0, sub_s: float = 4.0, long_s:
     wide = _wide(stats, {"p25": "bout_p25_s", "p75": "bout_p75_s", "p90": "bout_p90_s", "longest": "longest_run_s", "long": "long_bout_fraction"})
     turns = runs.label_changes(series, chunk_bins)
     rem = d.filter(F.col("stage") == "REM").groupBy(KEY).agg(
-        F.round(F.min(F.when(F.col("EpochType") == "Phasic", F.col(T))) - F.min(T), 4).alias("phasic_first_latency_s"))
+        rounded_time(F.min(F.when(F.col("EpochType") == "Phasic", F.col(T))) - F.min(T), 4).alias("phasic_first_latency_s"))
     out = n.join(turns, KEY, "left").withColumn("pt_transitions_per_min", F.round(over(F.greatest("n_changes", F.lit(0)), rem_min), 4))
     return out.select(KEY, "pt_transitions_per_min").join(wide, KEY, "left").join(rem, KEY, "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sleepsignal.operators import runs
 from sleepsignal.operators.clean import stage_normalise
-from sleepsignal.operators.features import bout, eeg, for_all_sessions, minutes, narrow, over, samples
+from sleepsignal.operators.features import bout, eeg, for_all_sessions, minutes, narrow, over, rounded_time, samples
 from sleepsignal.plans.chunked import join_salted
 from sleepsignal.schemas import KEY, SLEEP_STAGES, T, require
 
@@ -32,7 +32,7 @@ def sleep_architecture(df: DataFrame, chunk_s: float = runs.CHUNK_S) -> DataFram
     first = lambda c: F.min(F.when(c, F.col(T)))
     latency = (first(rem) - first(F.col("stage").isin(*SLEEP_STAGES))) / 60.0
     starts = F.count_if(rem & ~F.col("prev_stage").eqNullSafe(F.lit("REM")))
-    return n.groupBy(KEY).agg(F.round(latency, 4).alias("rem_latency_min"), F.nullif(starts, F.lit(0)).alias("n_rem_cycles"))
+    return n.groupBy(KEY).agg(rounded_time(latency, 4).alias("rem_latency_min"), F.nullif(starts, F.lit(0)).alias("n_rem_cycles"))
 
 
 def waso(df: DataFrame, fs: float = 250.0) -> DataFrame:

@@ -95,6 +95,12 @@ def test_one_run_has_no_spread_and_a_single_bout_has_zero(spark):
     assert b["phasic_bout_total_duration_s"] == 12.0 and b["phasic_tonic_transitions"] == 0
 
 
+def test_latency_of_half_a_digit_is_rounded_up(spark):
+    """The times differ by 983888.69755 s; what their subtraction leaves is a little less."""
+    d = spark.createDataFrame([("n", 21870.321604, "REM", "Tonic"), ("n", 1005759.019154, "REM", "Phasic")], "session_id string, time_sec double, stage string, EpochType string")
+    assert bout.bout_structure(d, 1.0).first()["phasic_first_latency_s"] == 983888.6976
+
+
 def test_bouts_ignore_gaps_unless_told(spark):
     s = spark.createDataFrame([("n", b, t) for b, t in [(0, "Phasic"), (1, "Phasic"), (9, "Phasic"), (10, "Tonic")]], "session_id string, bin long, EpochType string")
     assert sorted(r["length"] for r in runs.bouts(s, chunk_bins=4).collect()) == [1, 3]
