@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sleepsignal.operators.compare import classification_metrics, majority_baseline, stratified_folds
 from sleepsignal.plans.chunked import join_salted, row_index, with_value_chunk
-from sleepsignal.session import cut
+from sleepsignal.session import cut, run_folder
 
 Scaler = dict[str, tuple[float, float]]
 # Candidates of the hyper-parameter search.
@@ -33,6 +34,10 @@ DEFAULTS = {
 }
 #: ``max_depth`` None means this deep, which is the deepest tree pyspark.ml can grow.
 UNLIMITED_DEPTH = 30
+#: Trees deeper than this can have a node per row; their forests are grown in groups, each written before the next.
+SHALLOW = 10
+#: Rows times trees of a group: a tree has about as many nodes as rows at most. A group has one tree at least.
+NODES_AT_ONCE = 200_000
 
 
 def impute_simple(train: DataFrame, other: DataFrame, cols: Sequence[str], strategy: str = "mean") -> tuple[DataFrame, DataFrame]:
@@ -134,18 +139,72 @@ def build(name: str, params: dict, seed: int, n_classes: int, total_weight: floa
     raise ValueError(f"unknown model {name!r}; use one of {sorted(DEFAULTS)}")
 
 
-def fit(train: DataFrame, cols: Sequence[str], name: str, params: dict | None = None, seed: int = 42) -> PipelineModel:
+@dataclass(frozen=True)
+class Forest:
+    """A random forest of deep trees, written group by group, so that the driver never holds more than a few trees."""
+
+    groups: list[tuple[str, int]]  # path of the model, number of its trees
+    parallelism: int
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The rows with ``probability`` and ``prediction`` from the votes of all trees, added up in the order of the groups."""
+        rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+        out = run_folder(rows.sparkSession, "votes")
+
+        def vote(g: int) -> None:
+            p = PipelineModel.load(self.groups[g][0]).transform(rows)
+            p.select("_row", F.lit(g).alias("g"), vector_to_array("rawPrediction").alias("v")).write.mode("append").parquet(f"{out}/g={g}")
+
+        with ThreadPoolExecutor(self.parallelism) as pool:
+            list(pool.map(vote, range(len(self.groups))))
+        votes = rows.sparkSession.read.parquet(*[f"{out}/g={g}" for g in range(len(self.groups))])
+        each = F.array_sort(F.collect_list(F.struct("g", "v")))
+        add = lambda a, s: F.when(F.size(a) == 0, s["v"]).otherwise(F.zip_with(a, s["v"], lambda x, y: x + y))
+        total = votes.groupBy("_row").agg(F.aggregate(each, F.array().cast("array<double>"), add).alias("_v"))
+        size = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x)
+        p = rows.join(total, "_row").withColumn("probability", F.transform("_v", lambda x: x / size))
+        return p.withColumn("prediction", (F.array_position("_v", F.array_max("_v")) - 1).cast("double")).drop("_row", "_v")
+
+    def importances(self) -> np.ndarray:
+        """Mean over the trees of their scaled impurity importances."""
+        total = sum(n for _, n in self.groups)
+        return sum(PipelineModel.load(path).stages[-1].featureImportances.toArray() * (n / total) for path, n in self.groups)
+
+
+def fit(train: DataFrame, cols: Sequence[str], name: str, params: dict | None = None, seed: int = 42, parallelism: int = 4) -> PipelineModel | Forest:
     """Fit one classifier on prepared (imputed, scaled) rows."""
     w = class_weights(train)
-    row = w.agg(F.sum("weight").alias("w"), F.count_distinct("y").alias("k")).first()
-    stages = [VectorAssembler(inputCols=list(cols), outputCol="features"), build(name, {**DEFAULTS[name], **(params or {})}, seed, row["k"], row["w"])]
-    return Pipeline(stages=stages).fit(w)
+    row = w.agg(F.sum("weight").alias("w"), F.count_distinct("y").alias("k"), F.count(F.lit(1)).alias("n")).first()
+    params = {**DEFAULTS[name], **(params or {})}
+    assemble = VectorAssembler(inputCols=list(cols), outputCol="features")
+    if name == "Random Forest" and (params["max_depth"] is None or params["max_depth"] > SHALLOW):
+        return _grow(cut(w), assemble, params, seed, row["k"], row["w"], row["n"], parallelism)
+    return Pipeline(stages=[assemble, build(name, params, seed, row["k"], row["w"])]).fit(w)
+
+
+def _grow(w: DataFrame, assemble: VectorAssembler, params: dict, seed: int, n_classes: int, total_weight: float, n_rows: int, parallelism: int) -> Forest:
+    """All trees of a forest in groups, a few groups at a time; a group's seed follows from the first of its trees."""
+    trees = params["n_estimators"]
+    most = max(1, min(-(-trees // parallelism), NODES_AT_ONCE // n_rows))
+    starts = range(0, trees, most)
+    folder = run_folder(w.sparkSession, "forest")
+
+    def grow(first: int) -> tuple[str, int]:
+        n, path = min(most, trees - first), f"{folder}/{first}"
+        part = build("Random Forest", {**params, "n_estimators": n}, seed + first, n_classes, total_weight)
+        Pipeline(stages=[assemble, part]).fit(w).write().save(path)
+        return path, n
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return Forest(list(pool.map(grow, starts)), parallelism)
 
 
-def predict(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+def predict(model: PipelineModel | Forest, df: DataFrame, name: str) -> DataFrame:
     """(model, id, fold, y_true, y_pred, probs); margins stand in where a model has no probabilities."""
     p = model.transform(df)
-    if "probability" in p.columns:
+    if isinstance(model, Forest):
+        probs = F.col("probability")
+    elif "probability" in p.columns:
         probs = vector_to_array("probability")
     elif "rawPrediction" in p.columns:
         probs = vector_to_array("rawPrediction")
@@ -174,23 +233,34 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def cross_validate(
     df: DataFrame, cols: Sequence[str], models: dict[str, dict], k: int = 5, seed: int = 42, imputer: str = "median",
-    tuner: Callable[[DataFrame], Callable[[str], dict]] | None = None,
+    tuner: Callable[[DataFrame], Callable[[str], dict]] | None = None, parallelism: int = 4,
 ) -> DataFrame:
     """Out-of-fold predictions of every model and of the majority baseline.
 
-    The loop is over folds and models; rows stay in Spark. ``tuner`` gets a fold's training rows as they are, neither
+    The fits of folds and models run ``parallelism`` at a time (one after another with a tuner, which runs its own fits
+    so); rows stay in Spark. ``tuner`` gets a fold's training rows as they are, neither
     imputed nor scaled, and gives the function that chooses a model's parameters.
     """
     d = cut(df if "fold" in df.columns else stratified_folds(df, k, seed))
     parts = [majority_baseline(d).withColumn("probs", F.lit(None).cast("array<double>"))]
-    for f in range(k):
+
+    def prepared(f: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         # Every solver iteration reads the prepared rows, so they are written once per fold.
         own = d.filter(F.col("fold") != f)
-        tr, va = map(cut, prepare_fold(own, d.filter(F.col("fold") == f), cols, imputer))
-        choose = None if tuner is None else tuner(own)
-        for name, params in models.items():
-            best = params if choose is None else choose(name)
-            parts.append(predict(fit(tr, cols, name, best, seed), va, name))
+        return own, *map(cut, prepare_fold(own, d.filter(F.col("fold") == f), cols, imputer))
+
+    def one(tr: DataFrame, va: DataFrame, name: str, params: dict) -> DataFrame:
+        # Written at once: a plan of all fits would hold every model on the driver. A forest's groups take turns with the other fits.
+        return cut(predict(fit(tr, cols, name, params, seed, 1 if tuner is None else parallelism), va, name))
+
+    if tuner is None:
+        with ThreadPoolExecutor(parallelism) as pool:
+            folds = list(pool.map(prepared, range(k)))
+            parts += pool.map(lambda job: one(*job), [(tr, va, name, params) for name, params in models.items() for _, tr, va in folds])
+    else:
+        for own, tr, va in map(prepared, range(k)):
+            choose = tuner(own)
+            parts += [one(tr, va, name, choose(name)) for name in models]
     return cut(_union([p.select("model", "id", "fold", F.col("y_true").cast("int").alias("y_true"), F.col("y_pred").cast("int").alias("y_pred"), "probs") for p in parts]))
 
 
@@ -234,7 +304,7 @@ def nested_cross_validate(
 
 
 def permutation_importance(
-    model: PipelineModel, df: DataFrame, cols: Sequence[str], name: str, repeats: int = 3, seed: int = 42, average: str = "binary", parallelism: int = 4
+    model: PipelineModel | Forest, df: DataFrame, cols: Sequence[str], name: str, repeats: int = 3, seed: int = 42, average: str = "binary", parallelism: int = 4
 ) -> DataFrame:
     """(feature, mean, std): balanced accuracy lost when one column is dealt anew among the rows, over ``repeats`` deals.
 
@@ -266,9 +336,9 @@ def _mean_std(x: Sequence[float]) -> tuple[float, float]:
     return float(m), float((sum((v - m) ** 2 for v in x) / len(x)) ** 0.5)
 
 
-def mdi_importance(model: PipelineModel, spark, cols: Sequence[str], top: int | None = None) -> DataFrame:
+def mdi_importance(model: PipelineModel | Forest, spark, cols: Sequence[str], top: int | None = None) -> DataFrame:
     """Impurity importance of each feature, largest first."""
-    v = model.stages[-1].featureImportances.toArray()
+    v = model.importances() if isinstance(model, Forest) else model.stages[-1].featureImportances.toArray()
     d = spark.createDataFrame([(c, float(x)) for c, x in zip(cols, v)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
     return d if top is None else d.limit(top)
 

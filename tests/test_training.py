@@ -37,3 +37,16 @@ def test_inner_folds_are_prepared_on_their_own_rows(spark, monkeypatch):
     assert any(s[3] for s in seen[1:4])  # inner rows come as they are, holes and all
     assert preds.filter("model = 'Logistic Regression'").count() == 120
     assert preds.filter("model = 'Logistic Regression' AND y_true = y_pred").count() > 105
+
+
+def test_a_deep_forest_is_grown_and_asked_in_groups(spark, monkeypatch):
+    """Nine trees of unlimited depth over 120 rows, two to a group: all of them vote, and none is kept on the driver."""
+    monkeypatch.setattr(ml, "NODES_AT_ONCE", 240)
+    d = data(spark).fillna(0.0)
+    forest = ml.fit(d, ["a", "b", "c"], "Random Forest", {"n_estimators": 9})
+    assert [n for _, n in forest.groups] == [2, 2, 2, 2, 1]
+    p = ml.predict(forest, d, "Random Forest").collect()
+    assert len({r["id"] for r in p}) == 120 and all(abs(sum(r["probs"]) - 1) < 1e-9 and r["y_pred"] == int(r["probs"][1] > r["probs"][0]) for r in p)
+    assert {round(r["probs"][1] * 9, 6) for r in p} <= {float(i) for i in range(10)} and sum(r["y_true"] == r["y_pred"] for r in p) > 110
+    top = ml.mdi_importance(forest, spark, ["a", "b", "c"]).collect()
+    assert top[0]["feature"] == "a" and abs(sum(r["importance"] for r in top) - 1) < 1e-9
