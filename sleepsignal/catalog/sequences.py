@@ -124,7 +124,7 @@ ev AS (SELECT pk.session_id, pk.sample_idx AS i, pk.loc_clean AS l, pk.roc_clean
 
 
 def dense(spark, sf):
-    return fx.dense(spark, sf).select(KEY, "sample_idx", T, "stage", "LOC", "ROC", "loc_clean", "roc_clean")
+    return fx.dense_table(spark, sf).select(KEY, "sample_idx", T, "stage", "LOC", "ROC", "loc_clean", "roc_clean")
 
 
 def threshold(d):

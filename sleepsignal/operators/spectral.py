@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -80,21 +81,53 @@ def bandpass_filter(
         *[samples.schema[c] for c in keep],
     ])
 
-    def apply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo = int(key[1]) * chunk_rows
-        pdf = pdf.sort_values(idx)
-        at = pdf[idx].to_numpy() - (lo - half)
-        mine = (pdf[idx].to_numpy() >= lo) & (pdf[idx].to_numpy() < lo + chunk_rows)
-        out = {KEY: pdf[KEY][mine], idx: pdf[idx][mine]}
+    def filtered(rows: pa.Table, turn: np.ndarray) -> pa.RecordBatch:
+        """Whole chunks, the first rows of which are ``turn``: laid out one after the other with zeros between, one pass per channel."""
+        at = rows.column(idx).to_numpy().astype(np.int64)
+        sizes = np.diff([*turn, len(at)])
+        lo, hi = at[turn], at[np.append(turn[1:], len(at)) - 1]
+        slots = np.concatenate([[0], np.cumsum(hi - lo + 1 + 2 * half)])
+        spot = at - np.repeat(lo - slots[:-1], sizes) + half
+        mine = at // chunk_rows == rows.column(CHUNK).to_numpy()
+        out = [rows.column(KEY), rows.column(idx).cast(pa.int64())]
         for c in cols:
-            x = np.zeros(chunk_rows + 2 * half)
-            x[at] = np.nan_to_num(pdf[c].to_numpy(dtype=float))
-            y = np.convolve(x, taps, mode="valid")[at[mine] - half]
-            out[f"{c}{suffix}"] = y if digits is None else np.round(y, digits)
-        out |= {c: pdf[c][mine] for c in keep}
-        return pd.DataFrame(out)
-
-    return src.groupBy(KEY, CHUNK).applyInPandas(apply, schema)
+            x = np.zeros(slots[-1])
+            x[spot] = np.nan_to_num(rows.column(c).cast(pa.float64()).to_numpy())
+            y = np.convolve(x, taps, mode="valid")[spot - half]
+            out.append(pa.array(y if digits is None else np.round(y, digits)))
+        out += [rows.column(c) for c in keep]
+        return pa.Table.from_arrays(out, schema.names).filter(pa.array(mine)).combine_chunks()
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            key = rows.column(KEY).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            turn = np.append(0, np.flatnonzero((np.diff(rows.column(CHUNK).to_numpy()) != 0) | (np.diff(key) != 0)) + 1)
+            yield from filtered(rows, turn).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chunk = batch.column(CHUNK).to_numpy()
+            key = batch.column(KEY).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            turn = np.flatnonzero((np.diff(chunk) != 0) | (np.diff(key) != 0)) + 1
+            first = (batch.column(KEY)[0].as_py(), chunk[0])
+            if held and first != last:
+                yield from whole()
+                held = []
+            if len(turn):  # the last chunk of a batch may go on in the next
+                held.append(batch.slice(0, turn[-1]))
+                yield from whole()
+                held = []
+            held.append(batch.slice(turn[-1] if len(turn) else 0))
+            last = (batch.column(KEY)[batch.num_rows - 1].as_py(), chunk[-1])
+        if held:
+            yield from whole()
+
+    return src.repartition(KEY, CHUNK).sortWithinPartitions(KEY, CHUNK, idx).mapInArrow(apply, schema)
 
 
 def antiphase_gate(df: DataFrame, loc: str = "LOC_clean", roc: str = "ROC_clean") -> DataFrame:

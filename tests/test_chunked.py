@@ -65,6 +65,20 @@ def test_exact_quantiles(spark, buckets):
         np.testing.assert_allclose(got.loc[g, ["lo", "p", "q", "hi"]].astype(float), np.quantile(part["v"], [0, 0.37, 0.95, 1]), rtol=1e-12)
 
 
+@pytest.mark.parametrize("small", [0, 200, 4096])
+def test_small_groups_carry_no_cuts(spark, small):
+    """Groups on either side of the limit give the same quantiles; many small ones need no approximate cuts."""
+    r = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": r.choice(["a", "b", None], 2999, p=[0.9, 0.05, 0.05]), "v": np.where(r.random(2999) < 0.1, np.nan, r.normal(0, 3, 2999).round(1))})
+    df = spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+    out = exact_quantiles(df, ["g"], "v", {"lo": 0.0, "p": 0.37, "hi": 1.0}, 16, small)
+    got = out.toPandas().set_index("g")
+    assert sorted(got.index) == ["a", "b"]
+    for g, part in pdf.dropna().groupby("g"):
+        np.testing.assert_allclose(got.loc[g].astype(float), np.quantile(part["v"], [0, 0.37, 1]), rtol=1e-12)
+    assert ("percentile_approx" in out._jdf.queryExecution().optimizedPlan().toString()) == (small < 4096)
+
+
 def test_rank_sums_equal_pair_counts(spark):
     r = np.random.default_rng(4)
     pdf = pd.DataFrame({"k": "m", "v": r.integers(0, 12, 80).astype(float), "y": r.integers(0, 2, 80)})
