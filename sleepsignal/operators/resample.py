@@ -1,29 +1,29 @@
 """Paired bootstrap of AUCs by ranks: scores are ranked once, replicates only count.
 
 1. Every subject has a number and, per model, the dense rank of its score (ties share one).
-2. Tasks draw the subject numbers of a replicate, up to a million at a time, and deal them by subject block.
-3. A (block, group of replicates) meets the block's labels and ranks, counts how often each subject was drawn, and
-   hands the counts on by rank block: ranks, drawn positives, drawn negatives.
-4. A (replicate, model, rank block) is one prefix sum; the blocks of a replicate are joined by their totals.
+2. Each model's subjects are dealt by rank to blocks; the blocks are repeated for every group of replicates.
+3. A (block, group) draws its replicates itself, slice by slice, counts how often its own subjects came up, and hands on
+   sums: those of its first and its last rank, which may go on in the next block, and those of all ranks between.
+4. The sums of a replicate are joined by their ranks.
 
-Draws travel as arrays, never as rows. No task holds more than a block of subjects for a group of replicates.
+Draws are a function of position and replicate, so none is ever sent: what travels is the subjects, once per group, and at
+most three rows per (replicate, model, block). Every block draws anew, so the time grows with draws times blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sleepsignal.plans.chunked import CHUNK, Run, join_salted, running, with_value_chunk
 
 # Fixed value: modulus of the draw generator (a Mersenne prime, so squares fit 64 bits).
 PRIME = 2147483647
-BLOCK = 1 << 16
+BLOCK = 1 << 18
 DRAWS = 1 << 20
 GROUPS = 64
 
@@ -35,92 +35,64 @@ def drawn(i: np.ndarray, b: int, n: int, seed: int) -> np.ndarray:
     return (y * y + x) % PRIME % n
 
 
-def dense_ranks(num: DataFrame, models: Sequence[str]) -> DataFrame:
-    """(i, y, rank by model) of every subject; NULL for a missing score, ties share a rank."""
+def ranked_blocks(num: DataFrame, models: Sequence[str], block: int) -> DataFrame:
+    """(model, i, y, rank, block) of every score that is there; ties share a rank, a value of many subjects is dealt over its blocks."""
     cells = F.array(*[F.struct(F.lit(k).alias("model"), F.col(m).cast("double").alias("_v")) for k, m in enumerate(models)])
-    long = num.select("i", F.explode(cells).alias("_s")).select("i", "_s.*").filter(F.col("_v").isNotNull())
-    values = with_value_chunk(long.select("model", "_v").distinct(), ["model"], "_v")
-    ranks = running(values, ["model"], ["_v"], [Run("rank", F.lit(1).cast("long"), "sum")]).drop(CHUNK)
-    found = join_salted(long, ranks, ["model", "_v"])
-    wide = found.groupBy("i").agg(*[F.max(F.when(F.col("model") == k, F.col("rank") - 1)).alias(f"rank{k}") for k in range(len(models))])
-    return num.select("i", F.col("y_true").alias("y")).join(wide, "i", "left")
-
-
-def draw_blocks(spark: SparkSession, n: int, n_boot: int, seed: int, block: int, draws: int) -> DataFrame:
-    """(replicate, block, at): numbers, inside their block of subjects, of all draws of every replicate."""
-    parts = -(-n // draws)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["replicate", "block", "at"])
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
-        for batch in batches:
-            for task in batch.column("id").to_pylist():
-                b, part = divmod(task, parts)
-                at = np.sort(drawn(np.arange(part * draws, min(n, (part + 1) * draws)), b, n, seed))
-                first = int(at[0]) // block
-                cuts = np.searchsorted(at, np.arange(first, at[-1] // block + 2) * block)
-                rows += [(b, first + k, (at[lo:hi] % block).astype(np.int32)) for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
-                held += len(at)
-                if held >= draws:
-                    yield batch_of(rows)
-                    rows, held = [], 0
-        if rows:
-            yield batch_of(rows)
-
-    tasks = max(spark.sparkContext.defaultParallelism, min(n_boot * parts, n_boot * n // (8 * DRAWS) + 1))
-    return spark.range(0, n_boot * parts, 1, tasks).mapInArrow(make, "replicate long, block long, at array<int>")
+    y = F.coalesce(F.col("y_true").cast("int"), F.lit(-1)).alias("y")
+    long = num.select("i", y, F.explode(cells).alias("_s")).select("i", "y", "_s.*").filter(F.col("_v").isNotNull())
+    values = with_value_chunk(long.groupBy("model", "_v").agg(F.count(F.lit(1)).alias("_c")), ["model"], "_v")
+    ranks = running(values, ["model"], ["_v"], [Run("rank", F.lit(1).cast("long"), "sum"), Run("_upto", F.col("_c"), "sum")]).drop(CHUNK)
+    at = F.col("_upto") - F.col("_c") + F.pmod(F.xxhash64("i"), F.col("_c"))
+    return join_salted(long, ranks, ["model", "_v"]).select("model", "i", "y", "rank", F.floor(at / block).cast("long").alias("block"))
+
+
+def times_drawn(own: np.ndarray, b: int, n: int, seed: int, draws: int) -> np.ndarray:
+    """How often replicate ``b`` draws each of the sorted subjects ``own``, a slice of the draws at a time."""
+    w = np.zeros(len(own), np.int64)
+    for lo in range(0, n, draws):
+        x = drawn(np.arange(lo, min(n, lo + draws)), b, n, seed)
+        if len(own) < n:
+            at = np.minimum(np.searchsorted(own, x), len(own) - 1)
+            x = at[own[at] == x]
+        w += np.bincount(x, minlength=len(own))
+    return w
 
 
 def replicate_aucs(num: DataFrame, models: Sequence[str], n: int, n_boot: int, seed: int = 42, block: int = BLOCK, draws: int = DRAWS, groups: int = GROUPS) -> DataFrame:
     """(replicate, model, auc) of every model in every resample; NULL where a class is missing. ``num`` has i, y_true and the scores."""
-    spark, k_models = num.sparkSession, len(models)
-    ranks = [f"rank{k}" for k in range(k_models)]
-    none = F.lit(-1).cast("long")
-    cells = F.struct((F.col("i") % block).alias("at"), F.coalesce(F.col("y").cast("int"), F.lit(-1)).alias("y"), *[F.coalesce(r, none).alias(r) for r in ranks])
-    subjects = dense_ranks(num, models).groupBy(F.floor(F.col("i") / block).alias("block")).agg(F.array_sort(F.collect_list(cells)).alias("_s"))
-    subjects = subjects.select("block", *[F.col("_s")[c].alias(c) for c in ("y", *ranks)], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
-    chosen = draw_blocks(spark, n, n_boot, seed, block, draws).withColumn("group", F.col("replicate") % groups)
-
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, types = ["replicate", "model", "cell", "rank", "pos", "neg"], (pa.int64(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3)
-        rows: list[tuple] = []
-        if right.num_rows:
-            one = {c: right.column(c)[0].values.to_numpy() for c in ("y", *ranks)}
-            orders = [np.argsort(one[r], kind="stable") for r in ranks]
-            replicates, at = left.column("replicate").to_numpy(), left.column("at").combine_chunks()
-            for b in np.unique(replicates):
-                own = [at[int(j)].values.to_numpy() for j in np.flatnonzero(replicates == b)]
-                w = np.bincount(np.concatenate(own), minlength=len(one["y"]))
-                for k, (r, order) in enumerate(zip(ranks, orders, strict=True)):
-                    o = order[(w[order] > 0) & (one[r][order] >= 0)]
-                    if not len(o):
-                        continue
-                    rank, first = np.unique(one[r][o], return_index=True)
-                    pos, neg = (np.add.reduceat(np.where(one["y"][o] == label, w[o], 0), first) for label in (1, 0))
-                    for cell in np.unique(rank // block):
-                        here = rank // block == cell
-                        rows.append((int(b), k, int(cell), rank[here], pos[here], neg[here]))
-        return pa.Table.from_arrays([pa.array([row[c] for row in rows], t) for c, t in enumerate(types)], names)
-
-    counts = chosen.groupBy("block", "group").cogroup(subjects.groupBy("block", "group")).applyInArrow(
-        count, "replicate long, model int, cell long, rank array<long>, pos array<long>, neg array<long>")
-    whole = counts.groupBy("replicate", "model", "cell").agg(F.collect_list(F.struct("rank", "pos", "neg")).alias("_v"))
-    whole = whole.select("replicate", "model", "cell", *[F.flatten(F.col("_v")[c]).alias(c) for c in ("rank", "pos", "neg")])
-
-    @F.pandas_udf("pos double, neg double, u double")
-    def sums(rank: pd.Series, pos: pd.Series, neg: pd.Series) -> pd.DataFrame:
-        out = []
-        for r, p, q in zip(rank, pos, neg, strict=True):
-            _, at = np.unique(r, return_inverse=True)
-            p, q = (np.bincount(at, x) for x in (p, q))
-            out.append((p.sum(), q.sum(), (p * (np.cumsum(q) - q / 2)).sum()))
-        return pd.DataFrame(out, columns=["pos", "neg", "u"])
-
-    cells = whole.select("replicate", "model", "cell", sums("rank", "pos", "neg").alias("_c")).select("replicate", "model", "cell", "_c.*")
-    before = Window.partitionBy("replicate", "model").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_below", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
-    u = F.sum(F.col("u") + F.col("pos") * F.col("_below"))
-    return cells.groupBy("replicate", "model").agg((u / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
+    cells = F.array_sort(F.collect_list(F.struct("rank", "i", "y")))
+    subjects = ranked_blocks(num, models, block).groupBy("model", "block").agg(cells.alias("_s"))
+    subjects = subjects.select("model", "block", *[F.col("_s")[c].alias(c) for c in ("rank", "i", "y")], F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    names, types = ["replicate", "model", "rank", "edge", "pos", "neg", "u"], (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), *[pa.float64()] * 3)
+
+    def count(rows: pa.Table) -> pa.Table:
+        group, sides, found = rows.column("group")[0].as_py(), [], []
+        for k, *one in zip(rows.column("model").to_pylist(), *[rows.column(c).combine_chunks() for c in ("rank", "i", "y")], strict=True):
+            rank, i, y = (x.values.to_numpy() for x in one)
+            own, at = np.unique(i, return_inverse=True)
+            distinct, first = np.unique(rank, return_index=True)
+            sides.append((k, own, at, y, distinct, first))
+        for b in range(group, n_boot, groups):
+            counted: list[tuple] = []
+            for k, own, at, y, distinct, first in sides:
+                w = next((w for o, w in counted if np.array_equal(o, own)), None)
+                if w is None:
+                    w = times_drawn(own, b, n, seed, draws)
+                    counted.append((own, w))
+                pos, neg = (np.add.reduceat(np.where(y == label, w[at], 0), first).astype(float) for label in (1, 0))
+                ends = sorted({0, len(distinct) - 1})
+                found += [(b, k, distinct[e], True, pos[e], neg[e], 0.0) for e in ends]
+                if len(distinct) > 2:
+                    p, q = pos[1:-1], neg[1:-1]
+                    found.append((b, k, distinct[1], False, p.sum(), q.sum(), (p * (np.cumsum(q) - q / 2)).sum()))
+        return pa.Table.from_arrays([pa.array([row[c] for row in found], t) for c, t in enumerate(types)], names)
+
+    # As many partitions as groups were asked for: the blocks are small in bytes, the work on them is not.
+    dealt = subjects.repartition(2 * groups, "block", "group")
+    sums = dealt.groupBy("block", "group").applyInArrow(count, "replicate long, model int, rank long, edge boolean, pos double, neg double, u double")
+    whole = sums.groupBy("replicate", "model", "rank").agg(F.max("edge").alias("edge"), *[F.sum(c).alias(c) for c in ("pos", "neg", "u")])
+    before = Window.partitionBy("replicate", "model").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.withColumn("_below", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
+    ties = F.when(F.col("edge"), F.col("pos") * F.col("neg") / 2).otherwise(F.col("u"))
+    u = F.sum(ties + F.col("pos") * F.col("_below"))
+    return whole.groupBy("replicate", "model").agg((u / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))

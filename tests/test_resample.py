@@ -42,6 +42,27 @@ def test_arrays_draw_as_columns_do(spark):
         assert (d[f"b{b}"].to_numpy() == resample.drawn(np.arange(50), b, 50, 42)).all()
 
 
+def test_draws_do_not_travel(spark):
+    """What tasks send is the subjects, once per group, and a few rows per replicate, not a count per subject and replicate."""
+    num = spark.range(2000).selectExpr("id AS i", "int(id % 2) AS y_true", "double(id * 7919 % 2003) AS a", "double(id * 31 % 1999) AS b")
+
+    def sent(n_boot):
+        auc = resample.replicate_aucs(num, ["a", "b"], 2000, n_boot, groups=4)
+        assert len(auc.collect()) == 2 * n_boot
+        found, walk = 0, [auc._jdf.queryExecution().executedPlan().executedPlan()]
+        while walk:
+            p = walk.pop()
+            while "QueryStage" in p.nodeName():
+                p = p.plan()
+            if p.nodeName() == "Exchange":
+                found += p.metrics().apply("dataSize").value()
+            walk += [p.children().apply(k) for k in range(p.children().size())]
+        return found
+
+    small = sent(4)
+    assert small > 0 and sent(200) - small < 196 * 2 * 500
+
+
 def test_no_subjects(spark):
     none = spark.createDataFrame([], "id long, y_true int, a double, b double")
     assert compare.bootstrap_deltas(none, "a", "b", 5).count() == 0
