@@ -210,7 +210,8 @@ def night_features(
 ) -> DataFrame:
     """One row per session with all 141 features and the wake after sleep onset.
 
-    ``merged`` is read three times. What several features need is written once in the shared folder.
+    ``merged`` is read three times. What several features need is written once in the shared folder, and so is each
+    group of features, one row per session: the driver never plans all of them as one query.
     """
     require(merged, [*eog.REQUIRED, *PROB_COLS, "EpochType", "em_event_id", "event_Peak", "EEG_LOC", "EEG_ROC"])
     pieces = cut(condense(merged, chunk_s, sub_s))
@@ -223,4 +224,4 @@ def night_features(
         eeg.context_columns(psd.filter("context").withColumn("context", F.col("stage")), context_bands), bout.bout_structure(pieces, fs, sub_s, long_s, chunk_bins),
         extra.em_morphology(pieces), extra.sleep_architecture(pieces, chunk_s), extra.waso(pieces, fs),
     ]
-    return reduce(lambda out, p: out.join(p, KEY, "left"), parts, eog.stage_distribution(pieces, fs, chunk_s))
+    return reduce(lambda out, p: out.join(p, KEY, "left"), map(cut, parts), cut(eog.stage_distribution(pieces, fs, chunk_s)))

@@ -95,3 +95,11 @@ def test_three_scans_of_the_timeline(spark):
     out = fused.night_features(m, 16.0, 16.0, 0.5, 1.5, 32, 2.0, 4.0, 2.0)
     assert "lineitem" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert all("lineitem" not in f for f in out.inputFiles())
+
+
+def test_features_are_not_planned_as_one_query(spark):
+    """The joined features read written groups: one scan each, nothing grouped or windowed again."""
+    out = fused.night_features(fx.dense_night(spark, "/root/testdata/sf0.001").filter(F.col(KEY) == "D1"), 16.0, 16.0, 0.5, 1.5, 32, 2.0, 4.0, 2.0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan and plan.count("parquet") == 15
+    assert out.count() == 1
