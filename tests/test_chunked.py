@@ -117,3 +117,14 @@ def test_an_outlier_or_a_heavy_tail_does_not_fill_a_chunk(spark):
     assert all(x["b"] < y["a"] for x, y in zip(low, low[1:]))
     q = exact_quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.999}, 32).first()
     assert (q["a"], q["b"]) == pytest.approx(tuple(np.quantile(v, [0.25, 0.999])))
+
+
+def test_no_sort_holds_what_is_carried(frame):
+    """The carried values are joined above the windows, and what the windows read is made after the rows are dealt."""
+    _, df = frame
+    runs = [Run("lag", F.struct("v", "lab"), "lag"), Run("next", F.when(F.col("v") > 3, F.struct("v", "lab")), "next")]
+    out = running(with_time_chunk(df, "t", 7.0), ["s"], ["t"], runs)
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = {w: next(i for i, line in enumerate(lines) if w in line) for w in ("Join LeftOuter", "Window [", "RepartitionByExpression")}
+    assert first["Join LeftOuter"] < first["Window ["] < first["RepartitionByExpression"]
+    assert not any("named_struct" in line for line in lines[first["RepartitionByExpression"]:first["RepartitionByExpression"] + 2])
