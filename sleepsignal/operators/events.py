@@ -42,12 +42,14 @@ def difference_threshold(samples: DataFrame, loc: str = "loc_clean", roc: str =
 
 def amplitude_steps(samples: DataFrame, idx: str = "sample_idx", loc: str = "loc_clean", roc: str = "roc_clean", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Samples with ``amp`` = abs(roc - loc) and the adjacent samples as structs ``prev`` / ``next``."""
-    a = samples.withColumn("amp", F.abs(F.col(roc) - F.col(loc)))
-    cols = ["amp", loc, roc, "stage"] if "stage" in samples.columns else ["amp", loc, roc]
+    cols = [loc, roc, "stage"] if "stage" in samples.columns else [loc, roc]
     me = F.struct(F.col(idx).alias("i"), *[F.col(c) for c in cols])
-    return running(
-        with_time_chunk(a, idx, chunk_rows), [KEY], [idx], [Run("prev", me, "lag"), Run("next", me, "lead")]
+    s = running(
+        with_time_chunk(samples, idx, chunk_rows), [KEY], [idx], [Run("prev", me, "lag"), Run("next", me, "lead")]
     )
+    # The amplitude is made from the channels on the spot and not sent along.
+    amp = lambda side: F.when(F.col(side).isNotNull(), F.col(side).withField("amp", F.abs(F.col(f"{side}.{roc}") - F.col(f"{side}.{loc}"))))
+    return s.withColumns({"amp": F.abs(F.col(roc) - F.col(loc)), "prev": amp("prev"), "next": amp("next")})
 
 
 def is_minimum() -> Column:
@@ -108,12 +110,16 @@ def detect_movements(
     gives the bases, with the adjacent sample as fallback.
     """
     require(samples, [KEY, idx, loc, roc, "stage"])
-    s = cut(join_per_key(amplitude_steps(samples, idx, loc, roc, chunk_rows), threshold.select(KEY, "threshold"), [KEY]))
+    s = join_per_key(amplitude_steps(samples, idx, loc, roc, chunk_rows), threshold.select(KEY, "threshold"), [KEY])
     s = s.withColumns({
         "_cand": F.coalesce(em_candidates(F.col("threshold"), limit), F.lit(False)),
         "_low": F.coalesce(is_minimum() & (F.col("amp") < F.col("threshold") / 2), F.lit(False)),
     })
-    me = F.struct(F.col(idx).alias("i"), "amp", loc, roc, "stage")
+    # Only minima and candidates ever look at their neighbours, so the others are written without.
+    side = lambda c, where: F.when(where & F.col(c).isNotNull(), F.struct(*[F.col(f"{c}.{n}").alias(n) for n in ("i", loc, roc, "stage")])).alias(c)
+    s = cut(s.select(KEY, idx, loc, roc, "stage", *[c for c in raw if c not in (loc, roc)], CHUNK, "_cand", "_low",
+                     side("prev", F.col("_cand") | F.col("_low")), side("next", F.col("_cand"))))
+    me = F.struct(F.col(idx).alias("i"), loc, roc, "stage")
     before_me = F.coalesce(F.col("prev"), me)
     s = running(s, [KEY], [idx], [
         Run("_left", F.when(F.col("_low"), me), "last_before"),
@@ -126,7 +132,7 @@ def detect_movements(
     mean = [(sum((F.abs(c) for c in raw), F.lit(0.0)) / len(raw)).alias("MeanAbsValPeak")] if raw else []
     row = F.struct(F.col(idx).alias("i"), F.col(loc), F.col(roc), F.col("_l"), F.col("_r"), *mean)
     ev = (
-        s.filter("_cand").groupBy(KEY, "run_id").agg(F.max_by(row, F.struct("amp", -F.col(idx))).alias("p"))
+        s.filter("_cand").groupBy(KEY, "run_id").agg(F.max_by(row, F.struct(F.abs(F.col(roc) - F.col(loc)), -F.col(idx))).alias("p"))
         .select(KEY, "run_id", "p.*")
     )
     rise = F.nullif((F.col("i") - F.col("_l.i")) / fs, F.lit(0.0))

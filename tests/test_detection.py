@@ -3,9 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sleepsignal.operators import spectral
+from sleepsignal.operators import events, spectral
 from sleepsignal.plans import night
 from sleepsignal.schemas import KEY
+from sleepsignal.session import cut
 
 FS = 32.0
 
@@ -45,3 +46,16 @@ def test_filter_hands_columns_on(spark):
     f = spectral.bandpass_filter(d, spectral.fir_taps(FS, 0.1, 5.0, 65), ["LOC"], chunk_rows=40, keep=["stage", "ROC"])
     assert f.columns == [KEY, "sample_idx", "LOC_clean", "stage", "ROC"]
     assert f.join(d.select(KEY, "sample_idx", F.col("ROC").alias("_r")), [KEY, "sample_idx"]).filter("ROC <> _r").isEmpty() and f.count() == d.count()
+
+
+def test_only_minima_and_candidates_are_written_with_neighbours(spark, monkeypatch):
+    d = signal(spark).withColumnsRenamed({"LOC": "loc_clean", "ROC": "roc_clean"})
+    written = []
+    monkeypatch.setattr(events, "cut", lambda df: written.append(cut(df)) or written[-1])
+    th = d.select(KEY).distinct().withColumn("threshold", F.lit(30.0))
+    found = events.detect_movements(d, th, FS, chunk_rows=40)
+    assert found.count() >= 2
+    s = written[0]
+    assert not {"amp", "threshold"} & set(s.columns)
+    assert s.filter("(prev is not null and not (_cand or _low)) or (next is not null and not _cand)").isEmpty()
+    assert s.count() == d.count() and not s.filter("_cand and next is not null").isEmpty()
