@@ -223,7 +223,7 @@ def _stage_cols() -> str:
 
 
 def dense(spark, sf):
-    return fx.dense(spark, sf)
+    return fx.dense_table(spark, sf)
 
 
 DCHUNK = 16.0
@@ -284,7 +284,7 @@ TAPS = spectral.fir_taps(DENSE_FS, 0.1, 4.0, 41)
 SELECT a.session_id, a.sample_idx, round(sum(w * b.LOC), 6) AS LOC_clean, round(sum(w * b.ROC), 6) AS ROC_clean
 FROM dense a, taps JOIN dense b ON b.session_id = a.session_id AND b.sample_idx = a.sample_idx - o GROUP BY 1, 2"""))
 def bandpass_filter(spark, sf):
-    f = spectral.bandpass_filter(dense(spark, sf), TAPS, ["LOC", "ROC"], chunk_rows=128)
+    f = spectral.bandpass_filter(fx.dense(spark, sf), TAPS, ["LOC", "ROC"], chunk_rows=128)
     return f.select(KEY, "sample_idx", F.round("LOC_clean", 6).alias("LOC_clean"), F.round("ROC_clean", 6).alias("ROC_clean"))
 
 

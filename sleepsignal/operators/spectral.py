@@ -18,6 +18,7 @@ from sleepsignal.schemas import KEY, STAGES, T
 STAGE_BANDS = {"delta": (0.5, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0)}
 CONTEXT_BANDS = {"delta": (0.5, 4.0), "theta": (4.0, 8.0), "gamma": (30.0, 45.0)}
 ALL = "ALL"
+BLOCK_SEGS = 16
 
 
 def resample_down(samples: DataFrame, fs: float, cols: Sequence[str], by: Sequence[str] = (KEY,)) -> DataFrame:
@@ -152,9 +153,17 @@ def density(segments: Sequence, fs: float) -> pd.Series:
 
 
 def _psd_udf(fs: float):
-    @F.pandas_udf(Ty.ArrayType(Ty.DoubleType()))
-    def psd(segments: pd.Series) -> pd.Series:
-        return density(segments.to_list(), fs)
+    @F.pandas_udf("total array<double>, segs long")
+    def psd(at: pd.Series, x: pd.Series, size: pd.Series) -> pd.DataFrame:
+        """Sum of the densities of a block's segments, and their number; values of equal position are added up."""
+        segments, owner = [], []
+        for row, (i, v, n) in enumerate(zip(at, x, size, strict=True)):
+            line = np.bincount(np.asarray(i) - np.min(i), np.asarray(v, dtype=float))
+            cuts = np.lib.stride_tricks.sliding_window_view(line, n)[:: n - n // 2]
+            segments += list(cuts)
+            owner.append(len(cuts))
+        spec, ends = density(segments, fs).to_list(), np.cumsum([0, *owner])
+        return pd.DataFrame({"total": [np.sum(spec[a:b], axis=0) for a, b in zip(ends, ends[1:])], "segs": owner})
 
     return psd
 
@@ -162,9 +171,10 @@ def _psd_udf(fs: float):
 def welch(df: DataFrame, by: Sequence[str], pos: str, x: str, fs: float, seg_s: float = 4.0, min_n: float = 1) -> DataFrame:
     """Mean one-sided spectral density per group: columns k, freq, psd.
 
-    ``pos`` is the 0-based position in the group and column ``n`` the size of the group.  Hann segments of ``seg_s`` seconds (the
-    whole series when shorter), half overlapping, mean removed.  A segment, never a
-    series, is the unit of work; segment spectra are averaged with partial aggregation.
+    ``pos`` is the 0-based position in the group and column ``n`` the size of the group; the values of rows of equal position are
+    added up.  Hann segments of ``seg_s`` seconds (the whole series when shorter), half overlapping, mean removed.  Blocks of
+    ``BLOCK_SEGS`` segments, never a series, are the unit of work: a row is sent once, or twice where two blocks overlap, and a
+    block hands on the sum of its segments' spectra.
     """
     by = list(by)
     n, size = F.col("n"), F.col("_size")
@@ -174,12 +184,14 @@ def welch(df: DataFrame, by: Sequence[str], pos: str, x: str, fs: float, seg_s:
     i = F.col(pos)
     lo = F.greatest(F.lit(0).cast("long"), F.floor((i - size) / step) + 1)
     hi = F.least(F.floor(i / step), segs - 1)
+    blocks = F.sequence(F.floor(F.col("_lo") / BLOCK_SEGS), F.floor(F.col("_hi") / BLOCK_SEGS))
     rows = d.withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi")
-    rows = rows.select(*by, "_size", pos, x, F.explode(F.sequence("_lo", "_hi")).alias("_seg"))
+    rows = rows.select(*by, "_size", pos, x, F.explode(blocks).alias("_block"))
     filled = F.coalesce(F.col(x), F.lit(float("nan")))
-    vec = rows.groupBy(*by, "_seg", "_size").agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("i"), filled.alias("x")))).alias("_v"))
-    spec = vec.select(*by, "_size", F.posexplode(_psd_udf(fs)(F.col("_v.x"))).alias("k", "_p"))
-    return spec.groupBy(*by, "_size", "k").agg(F.avg("_p").alias("psd")).select(
+    vec = rows.groupBy(*by, "_block", "_size").agg(F.collect_list(F.struct(F.col(pos).alias("i"), filled.alias("x"))).alias("_v"))
+    sums = vec.select(*by, "_size", _psd_udf(fs)(F.col("_v.i"), F.col("_v.x"), size).alias("_s"))
+    spec = sums.select(*by, "_size", F.col("_s.segs").alias("_segs"), F.posexplode("_s.total").alias("k", "_p"))
+    return spec.groupBy(*by, "_size", "k").agg((F.sum("_p") / F.sum("_segs")).alias("psd")).select(
         *by, "k", (F.col("k") * fs / F.col("_size")).alias("freq"), "psd")
 
 
@@ -203,16 +215,20 @@ def positions(df: DataFrame, by: Sequence[str], chunk_s: float, name: str = "pos
 
 
 def stage_signal(df: DataFrame, chunk_s: float) -> DataFrame:
-    """Mean of both channels per stage and over the whole night.
+    """Mean of both channels per stage and over the whole night, as one row per channel with half its value.
 
     NULLs are dropped per channel, then the channels are paired by position, so the
-    longer one is cut to the length of the shorter.
+    longer one is cut to the length of the shorter. ``welch`` adds up the halves of a position: nothing is joined.
     """
     groups = F.array_compact(F.array(F.when(F.col("stage").isin(*STAGES), F.col("stage")), F.lit(ALL)))
     base = df.select(KEY, T, F.explode(groups).alias("stage"), "EEG_LOC", "EEG_ROC")
-    side = lambda c: positions(base.filter(F.col(c).isNotNull()), [KEY, "stage"], chunk_s, total=f"_n_{c}").select(KEY, "stage", "pos", c, f"_n_{c}")
-    both = side("EEG_LOC").join(side("EEG_ROC"), [KEY, "stage", "pos"])
-    return both.select(KEY, "stage", "pos", F.least("_n_EEG_LOC", "_n_EEG_ROC").alias("n"), ((F.col("EEG_LOC") + F.col("EEG_ROC")) / 2).alias("x"))
+    there = lambda c: F.when(F.col(c).isNotNull(), 1).otherwise(0).cast("long")
+    sides = {"l": "EEG_LOC", "r": "EEG_ROC"}
+    counts = [Run(f"_{kind}_{k}", there(c), kind) for k, c in sides.items() for kind in ("sum", "total")]
+    counted = running(with_time_chunk(base, T, chunk_s), [KEY, "stage"], [T], counts)
+    halves = F.explode(F.array(*[F.struct((F.col(f"_sum_{k}") - 1).alias("pos"), (F.col(c) / 2).alias("x")) for k, c in sides.items()]))
+    each = counted.select(KEY, "stage", F.least("_total_l", "_total_r").alias("n"), halves.alias("_h")).select(KEY, "stage", "n", "_h.*")
+    return each.filter(F.col("x").isNotNull() & (F.col("pos") < F.col("n"))).select(KEY, "stage", "pos", "n", "x")
 
 
 def context_signal(df: DataFrame, chunk_s: float, stage: Column | None = None) -> DataFrame:
