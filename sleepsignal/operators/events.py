@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sleepsignal.functions.quantile import exact_quantiles
@@ -73,24 +73,23 @@ def peak_in_run(df: DataFrame, value: str, idx: str, by: list[str]) -> DataFrame
 def rolling_mask(samples: DataFrame, mask: Column, fs: float, hole_s: float = 2.0, em_s: float = 2.5, idx: str = "sample_idx", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Dilate a mask over ``hole_s`` then erode it over ``em_s`` (centred windows).
 
-    A window holds a true sample when the nearest true index behind or ahead is in
-    reach, so no frame has to cross a chunk.
+    A window holds a true sample when the last one up to its end lies behind its start. Every chunk also gets the
+    samples of its neighbours in reach of both windows, so one sort of the chunk is enough and nothing is carried.
     """
     i = F.col(idx)
 
     def reach(size: float) -> tuple[int, int]:
         n = int(size)
-        return n // 2, n - n // 2 - 1
-
-    h, k = reach(hole_s * fs)
-    d = running(
-        with_time_chunk(samples.withColumn("_m", F.coalesce(mask, F.lit(False))), idx, chunk_rows), [KEY], [idx],
-        [Run("_b", F.when(F.col("_m"), i), "last"), Run("_a", F.when(F.col("_m"), i), "next")],
-    ).withColumn("_d", F.coalesce(i - F.col("_b") <= h, F.lit(False)) | F.coalesce(F.col("_a") - i <= k, F.lit(False))).drop("_b", "_a")
-    h2, k2 = reach(em_s * fs)
-    e = running(d, [KEY], [idx], [Run("_b", F.when(~F.col("_d"), i), "last"), Run("_a", F.when(~F.col("_d"), i), "next")])
-    hole = F.coalesce(i - F.col("_b") <= h2, F.lit(False)) | F.coalesce(F.col("_a") - i <= k2, F.lit(False))
-    return e.withColumn("is_em", ~hole).drop("_b", "_a", "_m", "_d", CHUNK)
+        return n // 2, max(0, n - n // 2 - 1)
+
+    (h, k), (h2, k2) = reach(hole_s * fs), reach(em_s * fs)
+    at = lambda c: F.floor(c / F.lit(float(chunk_rows))).cast("long")
+    s = samples.withColumns({"_m": F.coalesce(mask, F.lit(False)), "_own": at(i), CHUNK: F.explode(F.sequence(at(i - k - k2), at(i + h + h2)))})
+    by = Window.partitionBy(KEY, CHUNK).orderBy(idx)
+    last = lambda c, ahead: F.max(F.when(c, i)).over(by.rangeBetween(Window.unboundedPreceding, ahead))
+    s = s.repartition(KEY, CHUNK).withColumn("_d", F.coalesce(last(F.col("_m"), k) >= i - h, F.lit(False)))
+    s = s.withColumn("is_em", ~F.coalesce(last(~F.col("_d"), k2) >= i - h2, F.lit(False)))
+    return s.filter(F.col("_own") == F.col(CHUNK)).drop("_m", "_own", "_d", CHUNK)
 
 
 def em_candidates(threshold: Column, limit: float = AMP_LIMIT) -> Column:

@@ -59,3 +59,19 @@ def test_only_minima_and_candidates_are_written_with_neighbours(spark, monkeypat
     assert not {"amp", "threshold"} & set(s.columns)
     assert s.filter("(prev is not null and not (_cand or _low)) or (next is not null and not _cand)").isEmpty()
     assert s.count() == d.count() and not s.filter("_cand and next is not null").isEmpty()
+
+
+def test_rolling_mask_in_one_sort(spark):
+    on = {3, 4, 40, 44, 60, 61, 99}
+    there = [i for i in range(100) if i not in (42, 43, 70)]  # a window goes by index, so holes count
+    d = spark.createDataFrame([("a", i, i in on) for i in there] + [("b", 0, True)], "session_id string, sample_idx long, m boolean").repartition(4)
+    for hole, em in ((8.0, 10.0), (3.0, 0.0), (1.0, 5.0)):
+        h, k, h2, k2 = int(hole) // 2, max(0, int(hole) - int(hole) // 2 - 1), int(em) // 2, max(0, int(em) - int(em) // 2 - 1)
+        wide = {i: any(i - h <= j <= i + k for j in on & set(there)) for i in there}
+        want = {i: all(wide[j] for j in there if i - h2 <= j <= i + k2) for i in there}
+        for chunk_rows in (3, 16, 1000):
+            found = events.rolling_mask(d, F.col("m"), 1.0, hole, em, chunk_rows=chunk_rows)
+            assert found.columns == [*d.columns, "is_em"] and found.count() == len(there) + 1
+            assert {r["sample_idx"]: r["is_em"] for r in found.filter(F.col(KEY) == "a").collect()} == want
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "Join" not in plan
