@@ -260,4 +260,4 @@ def movement_runs(samples: DataFrame, threshold: DataFrame, idx: str = "sample_i
     """First and last index of every candidate run."""
     s = with_time_chunk(samples.withColumn("amp", F.abs(F.col(roc) - F.col(loc))), idx, chunk_rows)
     s = join_per_key(s, threshold, [KEY])
-    return mask_runs(s, em_candidates(F.col("threshold"), limit), idx, chunk_rows)
+    return mask_runs(s, em_candidates(F.col("threshold"), limit), idx, chunk_rows, dealt=True)

@@ -33,16 +33,17 @@ def epochtype_spans(df: DataFrame, chunk_s: float = CHUNK_S) -> DataFrame:
     return spans(df, F.coalesce("EpochType", F.lit("None")), chunk_s, name="EpochType")
 
 
-def mask_runs(df: DataFrame, mask: Column, idx: str, chunk_rows: float, by: Sequence[str] = (KEY,)) -> DataFrame:
+def mask_runs(df: DataFrame, mask: Column, idx: str, chunk_rows: float, by: Sequence[str] = (KEY,), dealt: bool = False) -> DataFrame:
     """First and last index of every run where the mask is true."""
-    r = true_runs(df, mask, idx, chunk_rows, by)
+    r = true_runs(df, mask, idx, chunk_rows, by, dealt)
     return r.groupBy(*by, "run_id").agg(F.min(idx).alias("start_idx"), F.max(idx).alias("end_idx")).drop("run_id")
 
 
-def true_runs(df: DataFrame, mask: Column, idx: str, chunk_rows: float, by: Sequence[str] = (KEY,)) -> DataFrame:
-    """Rows where the mask is true; the run is named by the last index before it where it is not."""
+def true_runs(df: DataFrame, mask: Column, idx: str, chunk_rows: float, by: Sequence[str] = (KEY,), dealt: bool = False) -> DataFrame:
+    """Rows where the mask is true; the run is named by the last index before it where it is not. ``dealt``: see ``running``."""
     m = df.withColumn("_m", F.coalesce(mask, F.lit(False)))
-    r = running(with_time_chunk(m, idx, chunk_rows), list(by), [idx], [Run("run_id", F.when(~F.col("_m"), F.col(idx)), "last")])
+    m = m if dealt else with_time_chunk(m, idx, chunk_rows)
+    r = running(m, list(by), [idx], [Run("run_id", F.when(~F.col("_m"), F.col(idx)), "last")], dealt=dealt)
     return r.filter("_m").withColumn("run_id", F.coalesce("run_id", F.lit(-1))).drop("_m", CHUNK)
 
 

@@ -114,11 +114,15 @@ def running(
     runs: Sequence[Run],
     order_ahead: Sequence[Column] | None = None,
     chunk: str = CHUNK,
+    per_key: DataFrame | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Add running columns.  ``order`` must be total inside a key and refine ``chunk``.
 
     ``order_ahead`` is the ordering of the descending pass (default: ``order``
     reversed); it decides which rows at an equal position lie ahead of each other.
+    The columns of ``per_key``, one row per key, come along with the carried values (NULL for other keys).
+    ``dealt`` says that a join by (keys, chunk) has just dealt the rows, so they are not dealt again.
     """
     keys = list(keys)
     pos = F.struct(*order)
@@ -168,15 +172,18 @@ def running(
         names = [c for c in summary.columns if c.startswith("_s_")]
         summary = summary.groupBy(*keys, chunk).agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
     carry = summary.select(*keys, chunk, *carries)
+    more = [] if per_key is None else [c for c in per_key.columns if c not in keys]
+    if per_key is not None:
+        carry = carry.join(per_key, keys, "left")
     # Dealt before the windows, so that what they are computed from is not sent along.
-    rows = df.repartition(*keys, chunk)
+    rows = df if dealt else df.repartition(*keys, chunk)
     # The descending pass goes first: its sort should not carry the columns of the other pass.
     for local in (locals_ahead, locals_back):
         rows = rows.select("*", *local) if local else rows
     # Joined last, so no sort holds what is carried; outer, so that only the summaries, never the rows, can become the built side.
     joined = rows.join(carry, [*keys, chunk], "left")
     ordered = [o for r, o in outs if r.kind in AHEAD] + [o for r, o in outs if r.kind not in AHEAD]
-    return joined.select(*df.columns, *ordered)
+    return joined.select(*df.columns, *ordered, *more)
 
 
 def join_per_key(df: DataFrame, per_key: DataFrame, keys: Sequence[str], chunk: str = CHUNK) -> DataFrame:

@@ -61,6 +61,22 @@ def test_only_minima_and_candidates_are_written_with_neighbours(spark, monkeypat
     assert s.count() == d.count() and not s.filter("_cand and next is not null").isEmpty()
 
 
+def test_runs_on_dealt_rows(spark):
+    d = signal(spark).withColumnsRenamed({"LOC": "loc_clean", "ROC": "roc_clean"})
+    th = d.select(KEY).distinct().withColumn("threshold", F.lit(3.0))
+    found = events.movement_runs(d, th, chunk_rows=7)
+    assert "RepartitionByExpression" not in found._jdf.queryExecution().optimizedPlan().toString()
+    amp = {r["sample_idx"]: abs(r["roc_clean"] - r["loc_clean"]) for r in d.filter(F.col(KEY) == "n").collect()}
+    want, start = set(), None
+    for i in range(len(amp) + 1):
+        on = i in amp and 3.0 < amp[i] < events.AMP_LIMIT
+        if on and start is None:
+            start = i
+        elif not on and start is not None:
+            want.add((start, i - 1))
+            start = None
+    assert {(r["start_idx"], r["end_idx"]) for r in found.filter(F.col(KEY) == "n").collect()} == want
+
 def test_rolling_mask_in_one_sort(spark):
     on = {3, 4, 40, 44, 60, 61, 99}
     there = [i for i in range(100) if i not in (42, 43, 70)]  # a window goes by index, so holes count
