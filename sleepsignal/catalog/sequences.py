@@ -9,6 +9,7 @@ from sleepsignal.catalog.fixtures import CHUNK_S, DENSE_FS, EPOCH_S, SUB_S, with
 from sleepsignal.catalog.joins import TRANSITIONS
 from sleepsignal.catalog.registry import query
 from sleepsignal.operators import events, runs
+from sleepsignal.plans.chunked import join_per_key, with_time_chunk
 from sleepsignal.schemas import KEY, T
 
 LABELLED = """
@@ -162,8 +163,8 @@ def movement_runs(spark, sf):
 @query("peak_in_run", with_views("dense", body=f", {DENSE} SELECT session_id, sample_idx AS peak_idx, round(amp, 6) AS peak_value FROM pk"))
 def peak_in_run(spark, sf):
     d = dense(spark, sf)
-    s = d.withColumn("amp", F.abs(F.col("roc_clean") - F.col("loc_clean"))).join(threshold(d), KEY)
-    r = runs.true_runs(s, events.em_candidates(F.col("threshold")), "sample_idx", CHUNK)
+    s = join_per_key(with_time_chunk(d.withColumn("amp", F.abs(F.col("roc_clean") - F.col("loc_clean"))), "sample_idx", CHUNK), threshold(d), [KEY])
+    r = runs.true_runs(s, events.em_candidates(F.col("threshold")), "sample_idx", CHUNK, dealt=True)
     return events.peak_in_run(r, "amp", "sample_idx", [KEY, "run_id"]).select(KEY, "peak_idx", F.round("peak_value", 6).alias("peak_value"))
 
 

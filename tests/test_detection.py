@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from sleepsignal.catalog import sequences
 from sleepsignal.operators import events, spectral
 from sleepsignal.plans import night
 from sleepsignal.schemas import KEY
@@ -77,6 +78,12 @@ def test_runs_on_dealt_rows(spark):
             start = None
     assert {(r["start_idx"], r["end_idx"]) for r in found.filter(F.col(KEY) == "n").collect()} == want
 
+def test_peaks_of_runs_deal_the_samples_once(spark):
+    found = sequences.peak_in_run(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan
+    assert found.count() == found.select(KEY, "peak_idx").distinct().count() > 0
+
 def test_rolling_mask_in_one_sort(spark):
     on = {3, 4, 40, 44, 60, 61, 99}
     there = [i for i in range(100) if i not in (42, 43, 70)]  # a window goes by index, so holes count
