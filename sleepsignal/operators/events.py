@@ -40,12 +40,12 @@ def difference_threshold(samples: DataFrame, loc: str = "loc_clean", roc: str =
     return exact_quantiles(d, [KEY], "_a", {"threshold": p})
 
 
-def amplitude_steps(samples: DataFrame, idx: str = "sample_idx", loc: str = "loc_clean", roc: str = "roc_clean", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Samples with ``amp`` = abs(roc - loc) and the adjacent samples as structs ``prev`` / ``next``."""
+def amplitude_steps(samples: DataFrame, idx: str = "sample_idx", loc: str = "loc_clean", roc: str = "roc_clean", chunk_rows: int = CHUNK_ROWS, per_key: DataFrame | None = None) -> DataFrame:
+    """Samples with ``amp`` = abs(roc - loc), the adjacent samples as structs ``prev`` / ``next`` and the columns of ``per_key``."""
     cols = [loc, roc, "stage"] if "stage" in samples.columns else [loc, roc]
     me = F.struct(F.col(idx).alias("i"), *[F.col(c) for c in cols])
     s = running(
-        with_time_chunk(samples, idx, chunk_rows), [KEY], [idx], [Run("prev", me, "lag"), Run("next", me, "lead")]
+        with_time_chunk(samples, idx, chunk_rows), [KEY], [idx], [Run("prev", me, "lag"), Run("next", me, "lead")], per_key=per_key
     )
     # The amplitude is made from the channels on the spot and not sent along.
     amp = lambda side: F.when(F.col(side).isNotNull(), F.col(side).withField("amp", F.abs(F.col(f"{side}.{roc}") - F.col(f"{side}.{loc}"))))
@@ -61,7 +61,7 @@ def is_minimum() -> Column:
 
 def local_minima(samples: DataFrame, threshold: DataFrame, idx: str = "sample_idx", loc: str = "loc_clean", roc: str = "roc_clean", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Minima of the amplitude that lie below half the threshold."""
-    s = join_per_key(amplitude_steps(samples, idx, loc, roc, chunk_rows), threshold, [KEY])
+    s = amplitude_steps(samples, idx, loc, roc, chunk_rows, threshold)
     return s.filter(is_minimum() & (F.col("amp") < F.col("threshold") / 2)).select(KEY, idx, "amp")
 
 
@@ -92,8 +92,8 @@ def rolling_mask(samples: DataFrame, mask: Column, fs: float, hole_s: float = 2.
     return s.filter(F.col("_own") == F.col(CHUNK)).drop("_m", "_own", "_d", CHUNK)
 
 
-def em_candidates(threshold: Column, limit: float = AMP_LIMIT) -> Column:
-    return (F.col("amp") < limit) & (F.col("amp") > threshold)
+def em_candidates(threshold: Column, limit: float = AMP_LIMIT, amp: str = "amp") -> Column:
+    return (F.col(amp) < limit) & (F.col(amp) > threshold)
 
 
 def detect_movements(
@@ -103,33 +103,36 @@ def detect_movements(
     """One row per eye movement: times, peak amplitudes and slopes.
 
     With ``raw`` channels, their mean absolute value at the peak is carried along as MeanAbsValPeak. The samples
-    are written between the two passes, so the second does not run the first again.
+    are written between the two passes, so the second does not run the first again; it reads minima and candidates only.
 
     Candidate runs give the peaks; the nearest qualifying minimum on either side
     gives the bases, with the adjacent sample as fallback.
     """
     require(samples, [KEY, idx, loc, roc, "stage"])
-    s = join_per_key(amplitude_steps(samples, idx, loc, roc, chunk_rows), threshold.select(KEY, "threshold"), [KEY])
+    s = amplitude_steps(samples, idx, loc, roc, chunk_rows, threshold.select(KEY, "threshold"))
+    mean = [F.when(F.col("_cand"), sum((F.abs(c) for c in raw), F.lit(0.0)) / len(raw)).alias("MeanAbsValPeak")] if raw else []
     s = s.withColumns({
         "_cand": F.coalesce(em_candidates(F.col("threshold"), limit), F.lit(False)),
         "_low": F.coalesce(is_minimum() & (F.col("amp") < F.col("threshold") / 2), F.lit(False)),
+        "_goes_on": F.coalesce(em_candidates(F.col("threshold"), limit, "prev.amp"), F.lit(False)),
     })
     # Only minima and candidates ever look at their neighbours, so the others are written without.
     side = lambda c, where: F.when(where & F.col(c).isNotNull(), F.struct(*[F.col(f"{c}.{n}").alias(n) for n in ("i", loc, roc, "stage")])).alias(c)
-    s = cut(s.select(KEY, idx, loc, roc, "stage", *[c for c in raw if c not in (loc, roc)], CHUNK, "_cand", "_low",
+    s = cut(s.select(KEY, idx, loc, roc, "stage", *mean, CHUNK, "_cand", "_low", (F.col("_cand") & ~F.col("_goes_on")).alias("_begins"),
                      side("prev", F.col("_cand") | F.col("_low")), side("next", F.col("_cand"))))
+    # Candidates know whether their run begins, so the second pass needs no other samples.
+    s = s.filter(F.col("_cand") | F.col("_low"))
     me = F.struct(F.col(idx).alias("i"), loc, roc, "stage")
     before_me = F.coalesce(F.col("prev"), me)
     s = running(s, [KEY], [idx], [
         Run("_left", F.when(F.col("_low"), me), "last_before"),
         Run("_right", F.when(F.col("_low"), before_me), "next_after"),
-        Run("run_id", F.when(~F.col("_cand"), F.col(idx)), "last"),
+        Run("run_id", F.when(F.col("_begins"), F.col(idx)), "last"),
     ])
     left = F.coalesce("_left", "prev", me)
     right = F.coalesce("_right", "next", me)
-    s = s.withColumns({"_l": left, "_r": right, "run_id": F.coalesce("run_id", F.lit(-1))})
-    mean = [(sum((F.abs(c) for c in raw), F.lit(0.0)) / len(raw)).alias("MeanAbsValPeak")] if raw else []
-    row = F.struct(F.col(idx).alias("i"), F.col(loc), F.col(roc), F.col("_l"), F.col("_r"), *mean)
+    s = s.withColumns({"_l": left, "_r": right})
+    row = F.struct(F.col(idx).alias("i"), F.col(loc), F.col(roc), F.col("_l"), F.col("_r"), *(["MeanAbsValPeak"] if raw else []))
     ev = (
         s.filter("_cand").groupBy(KEY, "run_id").agg(F.max_by(row, F.struct(F.abs(F.col(roc) - F.col(loc)), -F.col(idx))).alias("p"))
         .select(KEY, "run_id", "p.*")

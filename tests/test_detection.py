@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sleepsignal.catalog import sequences
 from sleepsignal.operators import events, spectral
 from sleepsignal.plans import night
+from sleepsignal.plans.chunked import running
 from sleepsignal.schemas import KEY
 from sleepsignal.session import cut
 
@@ -62,6 +63,22 @@ def test_only_minima_and_candidates_are_written_with_neighbours(spark, monkeypat
     assert s.count() == d.count() and not s.filter("_cand and next is not null").isEmpty()
 
 
+def test_second_pass_reads_minima_and_candidates_only(spark, monkeypatch):
+    d = signal(spark).withColumnsRenamed({"LOC": "loc_clean", "ROC": "roc_clean"})
+    seen = []
+    monkeypatch.setattr(events, "running", lambda df, *a, **k: seen.append(df) or running(df, *a, **k))
+    th = d.select(KEY).distinct().withColumn("threshold", F.lit(30.0))
+    assert events.detect_movements(d, th, FS, chunk_rows=40).count() >= 2
+    assert seen[1].filter("not (_cand or _low)").isEmpty() and seen[1].count() < d.count()
+
+def test_threshold_comes_with_the_carried_values(spark):
+    d = signal(spark).withColumnsRenamed({"LOC": "loc_clean", "ROC": "roc_clean"})
+    th = d.select(KEY).distinct().filter(F.col(KEY) == "n").withColumn("threshold", F.lit(30.0))
+    low = events.local_minima(d, th, chunk_rows=40)
+    plan = low._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+    assert low.filter(F.col(KEY) == "short").isEmpty() and low.count() > 100
+
 def test_runs_on_dealt_rows(spark):
     d = signal(spark).withColumnsRenamed({"LOC": "loc_clean", "ROC": "roc_clean"})
     th = d.select(KEY).distinct().withColumn("threshold", F.lit(3.0))
