@@ -335,7 +335,7 @@ DENSE_COLS = {
 
 def dense_night(spark: SparkSession, sf: str) -> DataFrame:
     """A merged timeline on the dense grid: all columns that features are made from."""
-    return dense(spark, sf).selectExpr(
+    return dense_table(spark, sf).selectExpr(
         KEY, T, "sample_idx", "stage", "LOC", "ROC", "EEG_LOC", "EEG_ROC", "EpochType", *[f"{v} AS {c}" for c, v in DENSE_COLS.items()])
 
 

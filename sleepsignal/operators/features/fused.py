@@ -13,11 +13,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from sleepsignal.operators import runs
 from sleepsignal.operators.clean import stage_normalise
 from sleepsignal.operators.features import WEIGHT, bout, eeg, eog, extra, minutes, over
-from sleepsignal.operators.spectral import ALL, CONTEXT_BANDS, STAGE_BANDS, density
+from sleepsignal.operators.spectral import ALL, CONTEXT_BANDS, STAGE_BANDS, densities
 from sleepsignal.plans.chunked import CHUNK, with_time_chunk
 from sleepsignal.schemas import KEY, PROB_COLS, STAGES, T, require
 from sleepsignal.session import cut
@@ -40,6 +39,7 @@ EVENT_COLS = (
 LABELS = ("stage", "EpochType", "is_rem_event", "event_Start", "event_Peak", "is_em_event", "em_event_id", "EM_Type")
 CONTEXTS = ("rem", "phasic", "tonic")
 CHANNELS = ("EEG_LOC", "EEG_ROC")
+SERIES = (KEY, "context", "stage", "size", "mode")
 PAIR, MIX, LEFT, RIGHT = range(4)  # how the channels of a series make one signal
 
 
@@ -99,39 +99,57 @@ def _starts(pieces: DataFrame) -> DataFrame:
 def chunk_series(df: DataFrame, chunk_s: float) -> DataFrame:
     """(session, chunk, context, stage, side, values): each series' samples of a chunk, in order, one row per channel.
 
-    Stages and the night hold the channel's non-null values, contexts all of them (NaN for NULL). A task holds one chunk at a time.
+    Stages and the night hold the channel's non-null values, contexts all of them (NaN for NULL). A task holds one batch of rows or one chunk at a time.
     """
     rem = F.coalesce(stage_normalise(F.col("stage")) == "REM", F.lit(False))
     label = F.col("EpochType") if "EpochType" in df.columns else F.lit(None).cast("string")
     rows = with_time_chunk(df.select(KEY, T, "stage", label.alias("label"), rem.alias("rem"), *CHANNELS), T, chunk_s)
     names = [KEY, CHUNK, "context", "stage", "side", "values"]
 
-    def split(chunk: pa.Table) -> pa.RecordBatch:
-        sides = [chunk.column(c).to_numpy() for c in CHANNELS]
-        stage, label = (chunk.column(c).to_numpy() for c in ("stage", "label"))
-        rem = chunk.column("rem").to_numpy().astype(bool)
-        made = [(False, s, k, x[here & ~np.isnan(x)]) for s in (*STAGES, ALL) for here in [(stage == s) | (s == ALL)] for k, x in enumerate(sides)]
+    def split(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole chunks: a series is one mask over all of them, cut where they begin."""
+        chunks = pa.Table.from_batches(held).combine_chunks()
+        turn = np.append(0, turns(chunks.column(KEY).combine_chunks(), chunks.column(CHUNK)))
+        sides = [chunks.column(c).to_numpy() for c in CHANNELS]
+        is_one = lambda c, name: pc.fill_null(pc.equal(chunks.column(c), name), False).to_numpy()
+        rem = chunks.column("rem").to_numpy()
+        made = [(False, s, k, here & ~np.isnan(x)) for s in (*STAGES, ALL) for here in [is_one("stage", s) if s != ALL else np.ones(len(rem), bool)] for k, x in enumerate(sides)]
         for name, kind in (("rem", None), ("phasic", "Phasic"), ("tonic", "Tonic")):
-            made += [(True, name, k, x[rem if kind is None else rem & (label == kind)]) for k, x in enumerate(sides)]
-        made = [m for m in made if len(m[3])]
-        same = [chunk.column(c)[0].as_py() for c in (KEY, CHUNK)]
-        columns = [[v] * len(made) for v in same] + [[m[k] for m in made] for k in range(4)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.list_(pa.float64())), strict=True)], names)
+            here = rem if kind is None else rem & is_one("label", kind)
+            made += [(True, name, k, here) for k in (0, 1)]
+        for context, name, k, here in made:
+            sizes = np.add.reduceat(here.astype(np.int64), turn)
+            some = np.flatnonzero(sizes)
+            if len(some):
+                at = np.append(0, np.cumsum(sizes[some])).astype(np.int32)
+                same = [chunks.column(c).combine_chunks().take(pa.array(turn[some])) for c in (KEY, CHUNK)]
+                n = len(some)
+                own = [pa.repeat(pa.scalar(v, t), n) for v, t in ((context, pa.bool_()), (name, pa.string()), (k, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*same, *own, pa.ListArray.from_arrays(pa.array(at), pa.array(sides[k][here]))], names)
+
+    def turns(key: pa.Array, chunk: pa.Array) -> np.ndarray:
+        """Rows, but the first, with which a chunk begins."""
+        key = key.dictionary_encode().indices.to_numpy()
+        return np.flatnonzero((np.diff(chunk.to_numpy()) != 0) | (np.diff(key) != 0)) + 1
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            chunk, key = batch.column(CHUNK).to_numpy(), batch.column(KEY)
-            turn = (np.diff(chunk) != 0) | ~pc.equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi in pairwise([0, *(np.flatnonzero(turn) + 1).tolist(), batch.num_rows]):
-                if held and (lo or held[0].column(CHUNK)[0].as_py() != chunk[0] or held[0].column(KEY)[0] != key[0]):
-                    yield split(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(lo, hi - lo))
+            key, chunk = batch.column(KEY), batch.column(CHUNK)
+            turn = turns(key, chunk)
+            if held and (key[0].as_py(), chunk[0].as_py()) != last:
+                yield from split(held)
+                held = []
+            if len(turn):  # the last chunk of a batch may go on in the next
+                yield from split([*held, batch.slice(0, turn[-1])])
+                held = []
+            held.append(batch.slice(turn[-1] if len(turn) else 0))
+            last = (key[batch.num_rows - 1].as_py(), chunk[batch.num_rows - 1].as_py())
         if held:
-            yield split(pa.Table.from_batches(held))
+            yield from split(held)
 
     dealt = rows.filter(F.col(KEY).isNotNull()).repartition(KEY, CHUNK).sortWithinPartitions(KEY, CHUNK, T)
     return dealt.mapInArrow(make, f"{KEY} string, {CHUNK} long, context boolean, stage string, side int, values array<double>")
@@ -166,6 +184,34 @@ def fragments(series: DataFrame) -> DataFrame:
     return series.mapInArrow(make, f"{KEY} string, context boolean, stage string, size long, mode int, seg long, side int, at long, values array<double>")
 
 
+def segment_sums(batch: pa.RecordBatch, fs: float) -> Iterator[pa.RecordBatch]:
+    """(series..., segs, total): number and summed densities of each series' whole segments in a batch of (series..., values).
+
+    Segments of one length and mode are one matrix, whatever series they are of: a batch has many series with few segments each.
+    """
+    keys = batch.select(list(SERIES))
+    frame = keys.to_pandas()
+    own = frame.groupby(list(SERIES), sort=False).ngroup().to_numpy()
+    size, mode = frame["size"].to_numpy(), frame["mode"].to_numpy()
+    lists = batch.column("values")
+    flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    length = np.diff(at)
+    for n, kind, long in np.unique(np.stack([size, mode, length]), axis=1).T.tolist():
+        rows = np.flatnonzero((size == n) & (mode == kind) & (length == long))
+        rows = rows[np.argsort(own[rows], kind="stable")]
+        left, right = (flat[(at[rows] + side * (long // 2))[:, None] + np.arange(min(n, long // 2))] for side in (0, 1))
+        if kind == MIX:
+            left, right = np.nan_to_num(left, nan=0.0), np.nan_to_num(right, nan=0.0)
+        x = left if kind == LEFT else right if kind == RIGHT else (left + right) / 2
+        whole = ~np.isnan(x).any(axis=1)
+        spec = densities(np.where(whole[:, None], x, 0.0), fs) * whole[:, None]
+        first = np.flatnonzero(np.diff(own[rows], prepend=-1))
+        segs, total = np.add.reduceat(whole.astype(np.int64), first), np.add.reduceat(spec, first, axis=0)
+        values = pa.array(total.ravel(), mask=np.repeat(segs == 0, total.shape[1]))
+        totals = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * total.shape[1], pa.int32()), values)
+        yield pa.RecordBatch.from_arrays([*keys.take(pa.array(rows[first])).columns, pa.array(segs), totals], [*SERIES, "segs", "total"])
+
+
 def spectra(df: DataFrame, pieces: DataFrame, fs: float, chunk_s: float, seg_s: float, stage_min_s: float, context_min_s: float) -> DataFrame:
     """(session, context?, stage, k, freq, psd) of all stages, the night and the REM contexts.
 
@@ -182,23 +228,16 @@ def spectra(df: DataFrame, pieces: DataFrame, fs: float, chunk_s: float, seg_s:
     spots = spots.withColumns({"size": F.least(F.lit(int(seg_s * fs)).cast("long"), F.col("n")), "mode": F.when(F.col("context"), F.col("_mode")).otherwise(PAIR)}).filter("mode IS NOT NULL")
     by = [KEY, CHUNK, "context", "stage", "side"]
     series = chunk_series(df, chunk_s).join(spots, by).select(*by, "values", "start", "n", "size", "mode")
-    group = [KEY, "context", "stage", "size", "mode"]
+    group = list(SERIES)
     whole = fragments(series).groupBy(*group, "seg").agg(F.array_sort(F.collect_list(F.struct("side", "at", "values"))).alias("_v"))
     whole = whole.select(*group, F.flatten(F.transform("_v", lambda x: x["values"])).alias("values"))
 
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, rows in batch.groupby(group, sort=False):
-                size, mode = int(keys[3]), int(keys[4])
-                both = np.stack([(v[: len(v) // 2][:size], v[len(v) // 2:][:size]) for v in rows["values"]])
-                if mode == MIX:
-                    both = np.nan_to_num(both, nan=0.0)
-                x = both[:, 0] if mode == LEFT else both[:, 1] if mode == RIGHT else (both[:, 0] + both[:, 1]) / 2
-                x = x[~np.isnan(x).any(axis=1)]
-                total = np.sum(density(list(x), fs).to_list(), axis=0) if len(x) else [None] * (size // 2 + 1)
-                yield pd.DataFrame([(*keys, len(x), total)], columns=[*group, "segs", "total"])
-
-    sums = whole.mapInPandas(add_up, f"{KEY} string, context boolean, stage string, size long, mode int, segs long, total array<double>")
+            if batch.num_rows:
+                yield from segment_sums(batch, fs)
+
+    sums = whole.mapInArrow(add_up, f"{KEY} string, context boolean, stage string, size long, mode int, segs long, total array<double>")
     spec = sums.select(*group, "segs", F.posexplode("total").alias("k", "_p")).groupBy(*group, "k").agg(over(F.sum("_p"), F.sum("segs")).alias("psd"))
     return spec.select(KEY, "context", "stage", "k", (F.col("k") * fs / F.col("size")).alias("freq"), "psd")
 
@@ -206,7 +245,7 @@ def spectra(df: DataFrame, pieces: DataFrame, fs: float, chunk_s: float, seg_s:
 def night_features(
     merged: DataFrame, fs: float = 250.0, chunk_s: float = runs.CHUNK_S, sub_s: float = 4.0, long_s: float = 30.0, chunk_bins: int = 4096,
     seg_s: float = 4.0, stage_min_s: float = 10.0, context_min_s: float = 2.0,
-    stage_bands: eeg.Bands = STAGE_BANDS, context_bands: eeg.Bands = CONTEXT_BANDS,
+    stage_bands: eeg.Bands = STAGE_BANDS, context_bands: eeg.Bands = CONTEXT_BANDS, parallelism: int = 4,
 ) -> DataFrame:
     """One row per session with all 141 features and the wake after sleep onset.
 
@@ -224,4 +263,7 @@ def night_features(
         eeg.context_columns(psd.filter("context").withColumn("context", F.col("stage")), context_bands), bout.bout_structure(pieces, fs, sub_s, long_s, chunk_bins),
         extra.em_morphology(pieces), extra.sleep_architecture(pieces, chunk_s), extra.waso(pieces, fs),
     ]
-    return reduce(lambda out, p: out.join(p, KEY, "left"), map(cut, parts), cut(eog.stage_distribution(pieces, fs, chunk_s)))
+    # Most of a group's steps are shorter than their planning, so a few groups are written at a time.
+    with ThreadPoolExecutor(parallelism) as pool:
+        first, *rest = pool.map(cut, [eog.stage_distribution(pieces, fs, chunk_s), *parts])
+    return reduce(lambda out, p: out.join(p, KEY, "left"), rest, first)

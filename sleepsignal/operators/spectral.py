@@ -143,27 +143,34 @@ def density(segments: Sequence, fs: float) -> pd.Series:
     lengths = np.fromiter(map(len, segments), np.int64, len(segments))
     for n in np.unique(lengths):
         where = np.flatnonzero(lengths == n)
-        x = np.stack([np.asarray(segments[i], dtype=float) for i in where])
-        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-        spec = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * w, axis=1)) ** 2 / (fs * (w**2).sum())
-        spec[:, 1 : None if n % 2 else -1] *= 2
-        for i, row in zip(where, spec):
+        for i, row in zip(where, densities(np.stack([np.asarray(segments[i], dtype=float) for i in where]), fs)):
             out[i] = row
     return pd.Series(out)
 
 
+def densities(x: np.ndarray, fs: float) -> np.ndarray:
+    """``density`` of the rows of a matrix."""
+    n = x.shape[1]
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    spec = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * w, axis=1)) ** 2 / (fs * (w**2).sum())
+    spec[:, 1 : None if n % 2 else -1] *= 2
+    return spec
+
+
 def _psd_udf(fs: float):
     @F.pandas_udf("total array<double>, segs long")
     def psd(at: pd.Series, x: pd.Series, size: pd.Series) -> pd.DataFrame:
-        """Sum of the densities of a block's segments, and their number; values of equal position are added up."""
+        """Sum of the densities of a block's segments, and their number; values of equal position are added up, segments with a NULL left out."""
         segments, owner = [], []
         for row, (i, v, n) in enumerate(zip(at, x, size, strict=True)):
             line = np.bincount(np.asarray(i) - np.min(i), np.asarray(v, dtype=float))
             cuts = np.lib.stride_tricks.sliding_window_view(line, n)[:: n - n // 2]
+            cuts = cuts[~np.isnan(cuts).any(axis=1)]
             segments += list(cuts)
             owner.append(len(cuts))
         spec, ends = density(segments, fs).to_list(), np.cumsum([0, *owner])
-        return pd.DataFrame({"total": [np.sum(spec[a:b], axis=0) for a, b in zip(ends, ends[1:])], "segs": owner})
+        total = [np.sum(spec[a:b], axis=0) if a < b else [None] * (int(n) // 2 + 1) for a, b, n in zip(ends, ends[1:], size)]
+        return pd.DataFrame({"total": total, "segs": owner})
 
     return psd
 
@@ -191,7 +198,7 @@ def welch(df: DataFrame, by: Sequence[str], pos: str, x: str, fs: float, seg_s:
     vec = rows.groupBy(*by, "_block", "_size").agg(F.collect_list(F.struct(F.col(pos).alias("i"), filled.alias("x"))).alias("_v"))
     sums = vec.select(*by, "_size", _psd_udf(fs)(F.col("_v.i"), F.col("_v.x"), size).alias("_s"))
     spec = sums.select(*by, "_size", F.col("_s.segs").alias("_segs"), F.posexplode("_s.total").alias("k", "_p"))
-    return spec.groupBy(*by, "_size", "k").agg((F.sum("_p") / F.sum("_segs")).alias("psd")).select(
+    return spec.groupBy(*by, "_size", "k").agg((F.sum("_p") / F.nullif(F.sum("_segs"), F.lit(0))).alias("psd")).select(
         *by, "k", (F.col("k") * fs / F.col("_size")).alias("freq"), "psd")
 
 

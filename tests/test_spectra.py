@@ -1,10 +1,12 @@
 """Spectra in blocks of segments: equal to one pass over the series, wherever the blocks are cut."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sleepsignal.operators import spectral
+from sleepsignal.operators.features import fused
 from sleepsignal.schemas import KEY, T
 
 FS = 16.0
@@ -48,3 +50,32 @@ def test_channels_are_paired_without_a_join_and_rows_sent_once(spark):
     one = spark.range(0, 32 * 16).select(F.lit("n").alias(KEY), F.col("id").alias("pos"), F.rand(1).alias("x"), F.lit(512).cast("long").alias("n"))
     spec = spectral.welch(one, [KEY], "pos", "x", FS, 2.0)
     assert "_block" in plan(spec) and "_seg#" not in plan(spec) and spec.count() == 17
+
+
+def test_segments_of_many_series_are_one_matrix(monkeypatch):
+    """300 series of one or two segments in a batch: one pass per length and mode, the same sums; a segment with a hole is left out."""
+    r, calls = np.random.default_rng(1), []
+    rows = [(f"s{i % 300}", i % 2 == 0, "N2", size, fused.MIX if i % 2 == 0 else fused.PAIR, r.normal(size=2 * size)) for i in range(450) for size in [8 + 8 * (i % 300 > 200)]]
+    rows[7][5][3] = np.nan
+    types = (pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [*fused.SERIES, "values"])
+    one = fused.densities
+    monkeypatch.setattr(fused, "densities", lambda x, fs: calls.append(len(x)) or one(x, fs))
+    got = {tuple(g[c] for c in fused.SERIES): g for out in fused.segment_sums(batch, FS) for g in out.to_pylist()}
+    assert len(calls) == 4 and sum(calls) == 450 and len(got) == len({r[:5] for r in rows}) == 300
+    for key, g in got.items():
+        mine = [(v[:len(v) // 2] + v[len(v) // 2:]) / 2 for *k, v in rows if tuple(k) == key]
+        mine = [x for x in mine if not np.isnan(x).any()]
+        assert g["segs"] == len(mine)
+        np.testing.assert_allclose(g["total"], np.sum([*spectral.density(mine, FS)], axis=0), rtol=1e-12)
+
+
+def test_segments_with_a_hole_are_left_out(spark):
+    """One channel only: NULLs stay, so the mean is over the segments without one."""
+    x = [None if i == 40 else float(v) for i, v in enumerate(np.random.default_rng(3).normal(size=160))]
+    df = spark.createDataFrame([("n", i, v, 160) for i, v in enumerate(x)], f"{KEY} string, pos long, x double, n long")
+    got = spectral.welch(df, [KEY], "pos", "x", FS, 2.0).orderBy("k").collect()
+    whole = [x[a:a + 32] for a in range(0, 129, 16) if None not in x[a:a + 32]]
+    np.testing.assert_allclose([r["psd"] for r in got], np.mean([*spectral.density(whole, FS)], axis=0), rtol=1e-9)
+    none = spectral.welch(df.filter("pos < 64").withColumn("n", spectral.F.lit(64).cast("long")).withColumn("x", spectral.F.lit(None).cast("double")), [KEY], "pos", "x", FS, 2.0)
+    assert [r["psd"] for r in none.collect()] == [None] * 17
