@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sleepsignal.operators import forest
 from sleepsignal.operators.compare import classification_metrics, majority_baseline, stratified_folds
 from sleepsignal.plans.chunked import join_salted, row_index, with_value_chunk
 from sleepsignal.session import cut, run_folder
@@ -38,6 +39,8 @@ UNLIMITED_DEPTH = 30
 SHALLOW = 10
 #: Rows times trees of a group: a tree has about as many nodes as rows at most. A group has one tree at least.
 NODES_AT_ONCE = 200_000
+#: Deep forests of more rows are grown by ``forest.grow``: a pass per level over all nodes, as pyspark.ml makes it, takes a histogram for each node.
+MANY_ROWS = 2_000
 
 
 def impute_simple(train: DataFrame, other: DataFrame, cols: Sequence[str], strategy: str = "mean") -> tuple[DataFrame, DataFrame]:
@@ -171,13 +174,15 @@ class Forest:
         return sum(PipelineModel.load(path).stages[-1].featureImportances.toArray() * (n / total) for path, n in self.groups)
 
 
-def fit(train: DataFrame, cols: Sequence[str], name: str, params: dict | None = None, seed: int = 42, parallelism: int = 4) -> PipelineModel | Forest:
+def fit(train: DataFrame, cols: Sequence[str], name: str, params: dict | None = None, seed: int = 42, parallelism: int = 4) -> PipelineModel | Forest | forest.Grown:
     """Fit one classifier on prepared (imputed, scaled) rows."""
     w = class_weights(train)
     row = w.agg(F.sum("weight").alias("w"), F.count_distinct("y").alias("k"), F.count(F.lit(1)).alias("n")).first()
     params = {**DEFAULTS[name], **(params or {})}
     assemble = VectorAssembler(inputCols=list(cols), outputCol="features")
     if name == "Random Forest" and (params["max_depth"] is None or params["max_depth"] > SHALLOW):
+        if row["n"] > MANY_ROWS:
+            return forest.grow(cut(w), assemble, params["n_estimators"], UNLIMITED_DEPTH if params["max_depth"] is None else params["max_depth"], seed)
         return _grow(cut(w), assemble, params, seed, row["k"], row["w"], row["n"], parallelism)
     return Pipeline(stages=[assemble, build(name, params, seed, row["k"], row["w"])]).fit(w)
 
@@ -199,10 +204,10 @@ def _grow(w: DataFrame, assemble: VectorAssembler, params: dict, seed: int, n_cl
         return Forest(list(pool.map(grow, starts)), parallelism)
 
 
-def predict(model: PipelineModel | Forest, df: DataFrame, name: str) -> DataFrame:
+def predict(model: PipelineModel | Forest | forest.Grown, df: DataFrame, name: str) -> DataFrame:
     """(model, id, fold, y_true, y_pred, probs); margins stand in where a model has no probabilities."""
     p = model.transform(df)
-    if isinstance(model, Forest):
+    if isinstance(model, (Forest, forest.Grown)):
         probs = F.col("probability")
     elif "probability" in p.columns:
         probs = vector_to_array("probability")
@@ -304,7 +309,7 @@ def nested_cross_validate(
 
 
 def permutation_importance(
-    model: PipelineModel | Forest, df: DataFrame, cols: Sequence[str], name: str, repeats: int = 3, seed: int = 42, average: str = "binary", parallelism: int = 4
+    model: PipelineModel | Forest | forest.Grown, df: DataFrame, cols: Sequence[str], name: str, repeats: int = 3, seed: int = 42, average: str = "binary", parallelism: int = 4
 ) -> DataFrame:
     """(feature, mean, std): balanced accuracy lost when one column is dealt anew among the rows, over ``repeats`` deals.
 
@@ -336,9 +341,9 @@ def _mean_std(x: Sequence[float]) -> tuple[float, float]:
     return float(m), float((sum((v - m) ** 2 for v in x) / len(x)) ** 0.5)
 
 
-def mdi_importance(model: PipelineModel | Forest, spark, cols: Sequence[str], top: int | None = None) -> DataFrame:
+def mdi_importance(model: PipelineModel | Forest | forest.Grown, spark, cols: Sequence[str], top: int | None = None) -> DataFrame:
     """Impurity importance of each feature, largest first."""
-    v = model.importances() if isinstance(model, Forest) else model.stages[-1].featureImportances.toArray()
+    v = model.importances() if isinstance(model, (Forest, forest.Grown)) else model.stages[-1].featureImportances.toArray()
     d = spark.createDataFrame([(c, float(x)) for c, x in zip(cols, v)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
     return d if top is None else d.limit(top)
 
