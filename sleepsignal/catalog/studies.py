@@ -502,7 +502,7 @@ for _key, _name in (("clf_logistic", "Logistic Regression"), ("clf_linear_svm",
 
 @query("kfold_cv")
 def kfold_cv(spark, sf):
-    return ml.cross_validate(matrix(spark, sf), COLS, {name: ml.DEFAULTS[name] for name in ("Logistic Regression", "SVM", "Random Forest")}, k=5)
+    return ml.cross_validate(matrix(spark, sf), COLS, ml.DEFAULTS, k=5)
 
 
 @query("nested_cv")

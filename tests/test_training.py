@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 
+from sleepsignal.catalog import studies
 from sleepsignal.operators import forest, ml, report
 from sleepsignal.plans import training
 
@@ -109,3 +110,11 @@ def test_a_cell_is_the_tree_that_brute_force_gives():
     x = np.arange(32, dtype=np.uint8)[:, None]
     deep = forest.grow_cell(x, y[:32], times[:32], weight, 30, 1, 0, 0)
     assert (deep.shares[deep.leaf_of(x)].argmax(axis=1) == y[:32]).all() and (deep.shares[deep.feature < 0].max(axis=1) == 1).all()
+
+
+def test_kfold_query_runs_every_model(spark, monkeypatch):
+    """The query hands all four models with their defaults to the cross-validation."""
+    seen = []
+    monkeypatch.setattr(ml, "cross_validate", lambda df, cols, models, **rest: seen.append((len(cols), models, rest)))
+    studies.kfold_cv(spark, "/root/testdata/sf0.001")
+    assert seen == [(64, ml.DEFAULTS, {"k": 5})] and len(ml.DEFAULTS) == 4
