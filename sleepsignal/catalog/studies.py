@@ -549,8 +549,8 @@ def pca_2d(spark, sf):
 
 @query("compare_models")
 def compare_models(spark, sf):
-    """All columns against the first half of them: pooled predictions of both, then the paired bootstrap."""
-    return training.compare_models(matrix(spark, sf), COLS, COLS[:32], {"Logistic Regression": {}}, k=5, n_boot=N_BOOT)
+    """All columns against the first half of them: pooled predictions of both by every model, then the paired bootstrap."""
+    return training.compare_models(matrix(spark, sf), COLS, COLS[:32], ml.DEFAULTS, k=5, n_boot=N_BOOT)
 
 
 @query("macro_auc", """

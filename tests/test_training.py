@@ -118,3 +118,11 @@ def test_kfold_query_runs_every_model(spark, monkeypatch):
     monkeypatch.setattr(ml, "cross_validate", lambda df, cols, models, **rest: seen.append((len(cols), models, rest)))
     studies.kfold_cv(spark, "/root/testdata/sf0.001")
     assert seen == [(64, ml.DEFAULTS, {"k": 5})] and len(ml.DEFAULTS) == 4
+
+
+def test_comparison_query_runs_every_model(spark, monkeypatch):
+    """All four models on both feature sets, with 10 000 resamples."""
+    seen = []
+    monkeypatch.setattr(training, "compare_models", lambda df, a, b, models, **rest: seen.append((len(a), len(b), models, rest)))
+    studies.compare_models(spark, "/root/testdata/sf0.001")
+    assert seen == [(64, 32, ml.DEFAULTS, {"k": 5, "n_boot": 10_000})]
