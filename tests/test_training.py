@@ -126,3 +126,14 @@ def test_comparison_query_runs_every_model(spark, monkeypatch):
     monkeypatch.setattr(training, "compare_models", lambda df, a, b, models, **rest: seen.append((len(a), len(b), models, rest)))
     studies.compare_models(spark, "/root/testdata/sf0.001")
     assert seen == [(64, 32, ml.DEFAULTS, {"k": 5, "n_boot": 10_000})]
+
+
+def test_the_longest_fits_begin_first(spark, monkeypatch):
+    """One fit at a time: boosted trees of all folds, then forests, then the rest; predictions keep the order of the models."""
+    begun = []
+    fit = ml.fit
+    monkeypatch.setattr(ml, "fit", lambda tr, cols, name, *a: begun.append(name) or fit(tr, cols, "Logistic Regression", None, *a[1:]))
+    names = ("Logistic Regression", "Random Forest", "Boosted Trees")
+    p = ml.cross_validate(data(spark, 40, ""), ["a", "b", "c"], {name: {} for name in names}, k=2, parallelism=1)
+    assert begun == [name for name in reversed(names) for _ in range(2)]
+    assert {r["model"]: r["count"] for r in p.groupBy("model").count().collect()} == {"Baseline (majority)": 40, **dict.fromkeys(names, 40)}
